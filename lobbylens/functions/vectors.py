@@ -1,9 +1,10 @@
-"""Field geometry on struct<x,y,z> and struct<x,y,z,w> columns."""
+"""Field geometry as SQL expression text over struct<x,y,z> and struct<x,y,z,w> columns.
 
-from __future__ import annotations
+Text keeps a wide projection to one parse instead of thousands of column
+objects; wrap it with `F.expr` or pass it to `selectExpr`.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 # Field size and speed limits used for scaling.
 HALF_LENGTH = 5120.0
@@ -16,64 +17,61 @@ BLUE_GOAL = (0.0, -5120.0, 0.0)
 MIN_DIRECTION_LENGTH = 1.0e-4
 
 
-def clamp(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(value, F.lit(high)))
+def clamp(value: str, low: float, high: float) -> str:
+    return f"greatest({low}D, least({value}, {high}D))"
 
 
-def scaled(value: Column, size: float, low: float = -1.0) -> Column:
-    return clamp(value / F.lit(size), low, 1.0)
+def scaled(value: str, size: float, low: float = -1.0) -> str:
+    return clamp(f"({value}) / {size}D", low, 1.0)
 
 
-def scaled_position(p: Column) -> list[Column]:
-    return [scaled(p["x"], HALF_LENGTH), scaled(p["y"], HALF_WIDTH), scaled(p["z"], MAX_HEIGHT, 0.0)]
+def scaled_position(p: str) -> list[str]:
+    return [scaled(f"{p}.x", HALF_LENGTH), scaled(f"{p}.y", HALF_WIDTH), scaled(f"{p}.z", MAX_HEIGHT, 0.0)]
 
 
-def scaled_velocity(v: Column, limit: float) -> list[Column]:
-    return [scaled(v[axis], limit) for axis in "xyz"]
+def scaled_velocity(v: str, limit: float) -> list[str]:
+    return [scaled(f"{v}.{axis}", limit) for axis in "xyz"]
 
 
-def vec3(x, y, z) -> Column:
-    return F.struct(*(c.cast("double").alias(n) for c, n in zip((x, y, z), "xyz")))
+def vec3(x: float, y: float, z: float) -> str:
+    return f"named_struct('x', {x}D, 'y', {y}D, 'z', {z}D)"
 
 
-def dot(a: Column, b: Column) -> Column:
-    return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
+def dot(a: str, b: str) -> str:
+    return " + ".join(f"{a}.{i} * {b}.{i}" for i in "xyz")
 
 
-def magnitude(v: Column) -> Column:
-    return F.sqrt(dot(v, v))
+def magnitude(v: str) -> str:
+    return f"sqrt({dot(v, v)})"
 
 
-def distance(a: Column, b: Column) -> Column:
-    dx, dy, dz = a["x"] - b["x"], a["y"] - b["y"], a["z"] - b["z"]
-    return F.sqrt(dx * dx + dy * dy + dz * dz)
+def distance(a: str, b: str) -> str:
+    return "sqrt(" + " + ".join(f"({a}.{i} - {b}.{i}) * ({a}.{i} - {b}.{i})" for i in "xyz") + ")"
 
 
-def scaled_distance(a: Column, b: Column) -> Column:
-    return F.least(distance(a, b) / F.lit(DIAGONAL), F.lit(1.0))
+def scaled_distance(a: str, b: str) -> str:
+    return f"least({distance(a, b)} / {DIAGONAL}D, 1.0D)"
 
 
-def direction(a: Column, b: Column) -> Column:
+def direction(a: str, b: str) -> str:
     """Unit vector from a to b, zero when the points coincide."""
     length = distance(a, b)
-    return F.struct(
-        *(
-            F.when(length < MIN_DIRECTION_LENGTH, F.lit(0.0))
-            .otherwise((b[axis] - a[axis]) / length)
-            .alias(axis)
-            for axis in "xyz"
-        )
+    parts = ", ".join(
+        f"'{i}', if({length} < {MIN_DIRECTION_LENGTH}D, 0.0D, ({b}.{i} - {a}.{i}) / {length})" for i in "xyz"
     )
+    return f"named_struct({parts})"
 
 
-def quaternion_forward(q: Column) -> Column:
+def quaternion_forward(q: str) -> str:
     """The unit X axis turned by a rotation."""
-    x = 1.0 - 2.0 * (q["y"] * q["y"] + q["z"] * q["z"])
-    y = 2.0 * (q["x"] * q["y"] + q["w"] * q["z"])
-    z = 2.0 * (q["x"] * q["z"] - q["w"] * q["y"])
-    return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+    x = f"1.0D - 2.0D * ({q}.y * {q}.y + {q}.z * {q}.z)"
+    y = f"2.0D * ({q}.x * {q}.y + {q}.w * {q}.z)"
+    z = f"2.0D * ({q}.x * {q}.z - {q}.w * {q}.y)"
+    return f"named_struct('x', {x}, 'y', {y}, 'z', {z})"
 
 
-def facing(position: Column, rotation: Column, target: Column) -> Column:
-    """Cosine between where a car points and where the target is."""
-    return dot(quaternion_forward(rotation), direction(position, target))
+def facing(position: str, rotation: str, target: str, length: str) -> str:
+    """Cosine between where a car points and where the target is, `length` away."""
+    forward = quaternion_forward(rotation)
+    along = " + ".join(f"{forward}.{i} * ({target}.{i} - {position}.{i})" for i in "xyz")
+    return f"if({length} < {MIN_DIRECTION_LENGTH}D, 0.0D, ({along}) / {length})"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("catalog",)
+TOPICS = ("catalog", "frames", "events")
 
 
 def collect() -> tuple[dict, dict]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lobbylens.functions import labels, ladder
 from lobbylens.operators import catalog, labelling
 from lobbylens.queries import sqltext as q
-from lobbylens.queries.registry import Registry, num
+from lobbylens.queries.registry import OFF_TIE, Registry, num
 from lobbylens.sources import blocks, bundle, inventory
 from lobbylens.sources import tables as t
 
@@ -80,8 +80,8 @@ def file_inventory(spark, sf):
     return inventory.list_files(spark, sf, "*.parquet")
 
 
-@R.add("blob_decode", """SELECT vec_id, CAST(len(embedding) AS INT) AS n, FLOOR(list_sum(list_transform(embedding,
-  lambda x: CAST(x AS DOUBLE)))*10000.0E0 + 0.5E0)/10000.0E0 AS total, CAST(embedding[1] AS DOUBLE) AS first,
+@R.add("blob_decode", f"""SELECT vec_id, CAST(len(embedding) AS INT) AS n, FLOOR(list_sum(list_transform(embedding,
+  lambda x: CAST(x AS DOUBLE)))*10000.0E0 + {OFF_TIE}E0)/10000.0E0 AS total, CAST(embedding[1] AS DOUBLE) AS first,
   CAST(embedding[64] AS DOUBLE) AS last_, FALSE AS is_bad FROM embeddings""")
 def blob_decode(spark, sf):
     raw = t.table(spark, sf, "embeddings").select("vec_id", blocks.encode_block("embedding").alias("content"))

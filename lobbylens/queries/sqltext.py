@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lobbylens.functions import ladder
+from lobbylens.queries.registry import OFF_TIE
 
 
 def text_list(values) -> str:
@@ -17,7 +18,7 @@ RANK_NAMES = text_list(ladder.RANK_NAMES)
 
 
 def r6(x: str) -> str:
-    return f"FLOOR(({x})*1000000.0E0 + 0.5E0)/1000000.0E0"
+    return f"FLOOR(({x})*1000000.0E0 + {OFF_TIE}E0)/1000000.0E0"
 
 
 def band(x: str) -> str:

@@ -20,10 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _mod(column: Column, factor: int, lane: Column, step: int, size: int, shift: int = 0) -> Column:
-    return ((column * factor + lane * step) % size - shift).cast("double")
-
-
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event with its position in the user's game."""
     events = table(spark, sf_dir, "events").select(
@@ -32,59 +28,38 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_index(events, ["game_id"], ["event_id"], "frame_idx", span("event_id", ROW_CHUNK))
 
 
+CAR = """named_struct(
+  'lane', cast(l AS int),
+  'name', concat('p', cast((l * 5 + game_id) % 6 AS string), '_', cast(game_id AS string)),
+  'team', cast(floor(l / 3) AS int),
+  'pos', named_struct(
+    'x', cast((event_id * 7919 + l * 104729) % 10240 - 5120 AS double),
+    'y', cast((event_id * 6007 + l * 50021) % 10240 - 5120 AS double),
+    'z', cast((event_id * 31 + l * 997) % 2044 AS double)),
+  'vel', named_struct(
+    'x', cast((event_id * 4001 + l * 811) % 4601 - 2300 AS double),
+    'y', cast((event_id * 3307 + l * 613) % 4601 - 2300 AS double),
+    'z', cast((event_id * 101 + l * 37) % 301 - 150 AS double)),
+  'rot', named_struct(
+    'x', 0.0D, 'y', 0.0D, 'z', if(l % 2 = 1, 0.8D, 0.0D), 'w', if(l % 2 = 1, 0.6D, 1.0D)),
+  'boost', ((event_id * 13 + l * 29) % 101) / 100.0D,
+  'is_demolished', event_type = 'error' AND event_id % 6 = l)"""
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested telemetry: one row per frame with the ball and the cars present."""
-    e = F.col("event_id")
-    none = F.lit(0).cast("bigint")
-    zero = F.lit(0.0)
-
-    def car(lane: Column) -> Column:
-        odd = lane % 2 == 1
-        return F.struct(
-            lane.cast("int").alias("lane"),
-            player_name(F.col("game_id"), lane).alias("name"),
-            F.floor(lane / 3).cast("int").alias("team"),
-            F.struct(
-                _mod(e, 7919, lane, 104729, 10240, 5120).alias("x"),
-                _mod(e, 6007, lane, 50021, 10240, 5120).alias("y"),
-                _mod(e, 31, lane, 997, 2044).alias("z"),
-            ).alias("pos"),
-            F.struct(
-                _mod(e, 4001, lane, 811, 4601, 2300).alias("x"),
-                _mod(e, 3307, lane, 613, 4601, 2300).alias("y"),
-                _mod(e, 101, lane, 37, 301, 150).alias("z"),
-            ).alias("vel"),
-            F.struct(
-                zero.alias("x"),
-                zero.alias("y"),
-                F.when(odd, F.lit(0.8)).otherwise(zero).alias("z"),
-                F.when(odd, F.lit(0.6)).otherwise(F.lit(1.0)).alias("w"),
-            ).alias("rot"),
-            (((e * 13 + lane * 29) % 101) / F.lit(100.0)).alias("boost"),
-            ((F.col("event_type") == "error") & (e % 6 == lane)).alias("is_demolished"),
-        )
-
-    lanes = F.filter(
-        F.sequence(F.lit(0).cast("bigint"), F.lit(SLOTS - 1).cast("bigint")), lambda lane: (e + lane) % 17 != 0
-    )
-    return event_frames(spark, sf_dir).select(
+    return event_frames(spark, sf_dir).selectExpr(
         "game_id",
         "frame_idx",
         "event_id",
         "event_type",
-        (F.col("frame_idx") * F.lit(0.25)).alias("time"),
-        (F.lit(300) - F.col("frame_idx") * 5).cast("int").alias("seconds_remaining"),
-        F.struct(
-            _mod(e, 2203, none, 0, 10240, 5120).alias("x"),
-            _mod(e, 1709, none, 0, 10240, 5120).alias("y"),
-            _mod(e, 97, none, 0, 2044).alias("z"),
-        ).alias("ball_pos"),
-        F.struct(
-            _mod(e, 1511, none, 0, 9001, 4500).alias("x"),
-            _mod(e, 1129, none, 0, 9001, 4500).alias("y"),
-            _mod(e, 17, none, 0, 501).alias("z"),
-        ).alias("ball_vel"),
-        F.transform(lanes, car).alias("players"),
+        "frame_idx * 0.25D AS time",
+        "cast(300 - frame_idx * 5 AS int) AS seconds_remaining",
+        """named_struct('x', cast(event_id * 2203 % 10240 - 5120 AS double),
+  'y', cast(event_id * 1709 % 10240 - 5120 AS double), 'z', cast(event_id * 97 % 2044 AS double)) AS ball_pos""",
+        """named_struct('x', cast(event_id * 1511 % 9001 - 4500 AS double),
+  'y', cast(event_id * 1129 % 9001 - 4500 AS double), 'z', cast(event_id * 17 % 501 AS double)) AS ball_vel""",
+        f"transform(filter(sequence(0L, {SLOTS - 1}L), l -> (event_id + l) % 17 <> 0), l -> {CAR}) AS players",
     )
 
 
