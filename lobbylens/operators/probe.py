@@ -74,7 +74,7 @@ def ridge_score(df: DataFrame, weights: DataFrame, xs: Sequence[Column], name: s
     """Add the prediction. `weights` is a single row of fixed width."""
     terms = [F.get("weights", F.lit(i)) * x for i, x in enumerate(xs)]
     scored = sum(terms[1:], terms[0])
-    return df.join(F.broadcast(weights.limit(1))).withColumn(name, scored).drop("weights")
+    return df.withColumn("weights", weights.scalar()).withColumn(name, scored).drop("weights")
 
 
 def verdict(rows: DataFrame, pred: str, y: str, train_mean: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("catalog", "frames", "events")
+TOPICS = ("catalog", "frames", "events", "scores", "streams")
 
 
 def collect() -> tuple[dict, dict]:

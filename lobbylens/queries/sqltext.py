@@ -98,7 +98,7 @@ CTES = {
     "lp": f"""SELECT *, CASE WHEN rank_known THEN CAST({MID}[division_idx + 1] AS DOUBLE) END AS target_mmr FROM (
   SELECT replay_id, slot, CAST(slot // 3 AS INT) AS team,
   'p' || ((replay_id*31 + slot*7) % 9973) AS player_name,
-  CAST((SUM(quantity)*17 + slot) % 85 AS INT) AS division_idx, MIN(known_here) AS rank_known,
+  CAST((SUM(quantity)*37 + slot) % 85 AS INT) AS division_idx, MIN(known_here) AS rank_known,
   CAST(SUM(price) AS BIGINT)/(42.0E0*COUNT(*)) AS pred_mmr, COUNT(*) AS n_segments
   FROM sp GROUP BY replay_id, slot) t""",
     "known": f"""SELECT *, {rank_of_rating('target_mmr')} AS true_rank, {rank_of_rating('pred_mmr')} AS pred_rank

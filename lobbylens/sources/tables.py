@@ -131,7 +131,7 @@ def lobby_players(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Sums are whole numbers, so the result does not depend on row order.
     """
-    division = ((F.sum("quantity") * 17 + F.col("slot")) % ladder.DIVISION_COUNT).cast("int")
+    division = ((F.sum("quantity") * 37 + F.col("slot")) % ladder.DIVISION_COUNT).cast("int")
     return (
         segment_scores(spark, sf_dir)
         .groupBy("replay_id", "slot")
