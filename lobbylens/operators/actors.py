@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lobbylens.operators.scan import Fold, prefix_scan
+from lobbylens.operators.scan import Fold, attach_group, prefix_scan, scatter
 from lobbylens.session import enable_checkpoints
 
 
@@ -86,18 +86,18 @@ def resolve_links(
         .groupBy("src")
         .agg(F.min("dst").alias("record"))
     )
-    shared = edges.join(named, "src").select(
+    shared = attach_group(edges, named, ["src"], scatter("dst"), "inner").select(
         F.col("dst").alias("node"), F.lit(2).alias("distance"), "record"
     )
     best = _best(direct.unionByName(shared).join(known, "node", "left_anti")).checkpoint()
     frontier = best
     for _ in range(max_rounds - 1):
         reached = (
-            edges.join(frontier, edges["dst"] == frontier["node"])
+            attach_group(edges, frontier.withColumnRenamed("node", "dst"), ["dst"], scatter("src"), "inner")
             .groupBy("src")
             .agg(F.min(F.struct("distance", "record")).alias("b"))
         )
-        found = edges.join(reached, "src").select(
+        found = attach_group(edges, reached, ["src"], scatter("dst"), "inner").select(
             F.col("dst").alias("node"), (F.col("b.distance") + 2).alias("distance"), F.col("b.record").alias("record")
         )
         fresh = _best(found.join(best, "node", "left_anti").join(known, "node", "left_anti")).checkpoint()

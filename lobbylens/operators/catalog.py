@@ -13,9 +13,13 @@ DOWNLOADED, PENDING, FAILED, RUNNING = "downloaded", "not_downloaded", "failed",
 
 
 def new_rows(incoming: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Incoming rows whose key is not stored yet, one per key."""
+    """Incoming rows whose key is not stored yet, one per key.
+
+    Repeats are combined before the join, so a key that fills the input does not
+    gather on one task; both steps share one partitioning.
+    """
     keys = list(keys)
-    return incoming.join(stored.select(*keys), keys, "left_anti").dropDuplicates(keys)
+    return incoming.dropDuplicates(keys).join(stored.select(*keys).distinct(), keys, "left_anti")
 
 
 def append_new(incoming: DataFrame, stored: DataFrame, keys: Sequence[str], path: str, **options) -> None:
@@ -27,7 +31,7 @@ def append_new(incoming: DataFrame, stored: DataFrame, keys: Sequence[str], path
 
 
 def existing(df: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(stored.select(*keys), list(keys), "left_semi")
+    return df.join(stored.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def with_file_path(replays: DataFrame) -> DataFrame:

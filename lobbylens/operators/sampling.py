@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from lobbylens.functions import ladder
 from lobbylens.operators.catalog import DOWNLOADED, PENDING
-from lobbylens.operators.scan import ROW_CHUNK, Fold, prefix_scan, span
+from lobbylens.operators.scan import ROW_CHUNK, Fold, prefix_scan, row_index, span
 
 RANKED = ladder.RANK_COUNT - 1
 SEGMENTS_PER_REPLAY = 3
 SEGMENTS_PER_RANK = 15
 HASH_DIGITS = 4
+# Largest limit that spark.sql.optimizer.windowGroupLimitThreshold pushes down by default.
+GROUP_LIMIT = 1000
 
 
 def oldest_pending(replays: DataFrame, n: int, rank: str | None = None) -> DataFrame:
@@ -32,9 +34,17 @@ def oldest_pending(replays: DataFrame, n: int, rank: str | None = None) -> DataF
     return queue.orderBy("created_at", "id").limit(n)
 
 
-def first_k(rows: DataFrame, group: Sequence[str], order: Sequence[str | Column], k: int) -> DataFrame:
-    """First k rows of each group. The limit also runs before the shuffle, so a
-    group of any size sends at most k rows per task."""
+def first_k(
+    rows: DataFrame, group: Sequence[str], order: Sequence[str | Column], k: int, chunk: Column | None = None
+) -> DataFrame:
+    """First k rows of each group.
+
+    Spark applies a small row_number limit before the shuffle as well, so a group
+    of any size sends at most k rows per task. Beyond GROUP_LIMIT it does not;
+    then positions come from the chunked scan, for which `chunk` cuts the order.
+    """
+    if k > GROUP_LIMIT and chunk is not None:
+        return row_index(rows, group, list(order), "_n", chunk).where(F.col("_n") < k).drop("_n")
     ranked = rows.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
     return ranked.where(F.col("_n") <= k).drop("_n")
 
@@ -43,7 +53,7 @@ def stratified_sample(replays: DataFrame, n: int) -> DataFrame:
     """The lowest ids, the same number from each ranked tier, n in all."""
     per_rank = -(-n // RANKED)
     ranked = replays.where((F.col("rank_index") >= 1) & (F.col("rank_index") <= RANKED))
-    return first_k(ranked, ["rank_index"], ["id"], per_rank).orderBy("id").limit(n)
+    return first_k(ranked, ["rank_index"], ["id"], per_rank, span("id", ROW_CHUNK)).orderBy("id").limit(n)
 
 
 def longest_groups(segments: DataFrame) -> DataFrame:

@@ -67,6 +67,11 @@ def span(order: str | Column, size: int = FRAME_CHUNK) -> Column:
     return F.floor(column / F.lit(size))
 
 
+def scatter(*columns: str | Column, parts: int = 64) -> Column:
+    """Chunk number that spreads rows evenly by the hash of the given columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(parts))
+
+
 def prefix_scan(
     df: DataFrame,
     keys: Sequence[str],

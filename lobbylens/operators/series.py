@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lobbylens.operators.scan import CHUNK, Fold, attach_group, order_statistics, prefix_scan, span
+from lobbylens.operators.scan import CHUNK, Fold, attach_group, order_statistics, prefix_scan, scatter, span
 
 EMA_ALPHA = 0.3
 TOP_FRACTION = 0.99
@@ -54,12 +54,12 @@ def top_flags(df: DataFrame, epoch: str, value: str, fraction: float = TOP_FRACT
 
     An epoch has one row per segment, so it is as large as the data; its
     threshold comes from the chunked order statistic and is spread back by
-    (epoch, value chunk).
+    (epoch, row hash).
     """
     cut = order_statistics(
         df, [epoch], value, {"_threshold": lambda n: F.floor(n * F.lit(fraction))}, width
     ).drop("n")
-    joined = attach_group(df, cut, [epoch], F.floor(F.col(value) / F.lit(width)))
+    joined = attach_group(df, cut, [epoch], scatter(*df.columns))
     return joined.withColumn("is_high", F.col(value) >= F.col("_threshold")).drop("_threshold")
 
 

@@ -46,10 +46,10 @@ def _numbers(*values: str) -> str:
 def with_slots(frames: DataFrame) -> DataFrame:
     """Six car columns in roster order; NULL when absent, the last one on a repeated name."""
     kept = [c for c in frames.columns if c not in ("players", "roster")]
-    return frames.selectExpr(
-        *kept,
-        *(f"try_element_at(filter(players, p -> p.name = get(roster, {s})), -1) AS p{s}" for s in range(SLOTS)),
+    places = frames.selectExpr("*", "reverse(players.name) AS _names").selectExpr(
+        "*", *(f"size(players) - array_position(_names, get(roster, {s})) AS _i{s}" for s in range(SLOTS))
     )
+    return places.selectExpr(*kept, *(f"get(players, cast(_i{s} AS int)) AS p{s}" for s in range(SLOTS)))
 
 
 def _numbered(frames: DataFrame, length: int, attach: DataFrame | None = None) -> DataFrame:
@@ -61,11 +61,8 @@ def _numbered(frames: DataFrame, length: int, attach: DataFrame | None = None) -
     )
 
 
-def training_frames(
-    frames: DataFrame, goals: DataFrame, kickoffs: DataFrame, rosters: DataFrame, length: int
-) -> DataFrame:
-    """Subsampled frames without goal footage, renumbered, with score and segment."""
-    marked = tel.mark_frames(frames, goals, kickoffs)
+def training_frames(marked: DataFrame, rosters: DataFrame, length: int) -> DataFrame:
+    """Marked frames -> subsampled frames without goal footage, renumbered, with score and segment."""
     scanned = prefix_scan(marked, tel.KEY, tel.ORDER, tel.score_folds() + tel.trim_folds(), attach=rosters)
     kept = tel.subsample(scanned.where(~tel.is_trimmed()))
     dropped = ("goal_blue", "goal_orange", "is_kickoff", "_last_goal", "_last_kickoff")
@@ -149,79 +146,109 @@ def role_rank(slot: int) -> str:
     )
 
 
-def player_block(p: str, with_boost: bool) -> str:
-    """13 numbers of a player, or 12 of an opponent (boost hidden); zeros when absent."""
-    width = STATE_WIDTH if with_boost else OPPONENT_WIDTH
+def player_block(p: str) -> str:
+    """13 numbers of a player; zeros and a flag when demolished, zeros when absent."""
     values = [
         *v.scaled_position(f"{p}.pos"),
         *v.scaled_velocity(f"{p}.vel", v.MAX_CAR_SPEED),
         *(f"{p}.rot.{axis}" for axis in "xyzw"),
         f"least({v.magnitude(f'{p}.vel')} / {v.MAX_CAR_SPEED}D, 1.0D)",
-        *([f"{p}.boost"] if with_boost else []),
+        f"{p}.boost",
         "0.0D",
     ]
-    gone = f"concat({zeros(width - 1)}, array(1.0D))"
+    gone = f"concat({zeros(STATE_WIDTH - 1)}, array(1.0D))"
     return (
-        f"CASE WHEN {p} IS NULL THEN {zeros(width)} WHEN {p}.is_demolished THEN {gone} "
+        f"CASE WHEN {p} IS NULL THEN {zeros(STATE_WIDTH)} WHEN {p}.is_demolished THEN {gone} "
         f"ELSE {_numbers(*values)} END"
     )
 
 
+def opponent_block(block: str) -> str:
+    """The 12 numbers of a player block that an opponent may see: all but the boost."""
+    return f"concat(slice({block}, 1, {OPPONENT_WIDTH - 1}), slice({block}, {STATE_WIDTH}, 1))"
+
+
 def _ball_block() -> str:
     speed = f"least({v.magnitude('ball_vel')} / {v.MAX_BALL_SPEED}D, 1.0D)"
     return _numbers(*v.scaled_position("ball_pos"), *v.scaled_velocity("ball_vel", v.MAX_BALL_SPEED), speed)
 
 
-def _near(slot: int) -> str:
-    return f"least(d{slot} / {v.DIAGONAL}D, 1.0D)"
+# Slots seen from each focal slot: two mates, then three opponents.
+VIEW = [mates(s) + opponents(s) for s in range(SLOTS)]
+
 
+def _near(distance: str) -> str:
+    return f"least({distance} / {v.DIAGONAL}D, 1.0D)"
 
-def _relations(focal: int, other: int) -> str:
-    """Distance of another car to the ball and to the focal car."""
-    gap = v.scaled_distance(f"p{other}.pos", f"p{focal}.pos")
-    return f"if({out_of_play(other)}, {zeros(2)}, array({_near(other)}, {gap}))"
 
+def _relations(n: int) -> str:
+    """Distance of the n-th other car to the ball and to the focal car."""
+    gap = v.scaled_distance(f"q{n}.pos", "me.pos")
+    return f"if(coalesce(q{n}.is_demolished, true), {zeros(2)}, array({_near(f'd[v{n}]')}, {gap}))"
 
-def _vector(slot: int, with_context: bool) -> str:
-    c = f"c{slot}"
-    facing = v.facing(f"p{slot}.pos", f"p{slot}.rot", "ball_pos", f"d{slot}")
-    own_ball = f"if({out_of_play(slot)}, {zeros(2)}, array({_near(slot)}, {facing}))"
+
+def _vector(with_context: bool) -> str:
+    """The 106 numbers of the focal car `me` in `slot`."""
+    facing = v.facing("me.pos", "me.rot", "ball_pos", "d[slot]")
+    own_ball = f"if(me.is_demolished, {zeros(2)}, array({_near('d[slot]')}, {facing}))"
     cumulative = _numbers(
-        f"least({c}.gained / {SEGMENT_BOOST}D, 1.0D)",
-        f"least({c}.spent / {SEGMENT_BOOST}D, 1.0D)",
-        *(fraction(slot, name) for name in ("airborne", "supersonic", "demolished")),
+        f"least(mine.gained / {SEGMENT_BOOST}D, 1.0D)",
+        f"least(mine.spent / {SEGMENT_BOOST}D, 1.0D)",
+        *(f"mine.{name} / greatest(mine.present, 1)" for name in ("airborne", "supersonic", "demolished")),
     )
-    mine, theirs = ("blue", "orange") if slot < TEAM else ("orange", "blue")
-    context = _numbers(*tel.game_context("seconds_remaining", mine, theirs)) if with_context else zeros(3)
-    role = role_rank(slot)
+    if with_context:
+        lead, left, over = tel.game_context("seconds_remaining", "blue", "orange")
+        context = _numbers(f"if(slot < {TEAM}, {lead}, -({lead}))", left, over)
+    else:
+        context = zeros(3)
     parts = [
         "ball",
-        f"s{slot}",
+        "s[slot]",
         own_ball,
         cumulative,
-        *(f"s{m}" for m in mates(slot)),
-        *(_relations(slot, m) for m in mates(slot)),
-        *(f"o{s}" for s in opponents(slot)),
-        *(_relations(slot, s) for s in opponents(slot)),
+        "s[v0]",
+        "s[v1]",
+        _relations(0),
+        _relations(1),
+        *(opponent_block(f"s[v{n}]") for n in (2, 3, 4)),
+        *(_relations(n) for n in (2, 3, 4)),
         "array(goal_distance)",
         context,
-        "array(" + ", ".join(f"if({role} = {k}, 1.0D, 0.0D)" for k in range(TEAM)) + ")",
+        "array(" + ", ".join(f"if(roles[slot] = {k}, 1.0D, 0.0D)" for k in range(TEAM)) + ")",
     ]
-    return f"if(p{slot} IS NULL, {zeros(FEATURES)}, concat({', '.join(parts)}))"
+    return f"if(me IS NULL, {zeros(FEATURES)}, concat({', '.join(parts)}))"
 
 
 def feature_vectors(segmented: DataFrame, with_context: bool = True) -> DataFrame:
-    """(game, frame, rn, segment, slot, features) from training or inference frames."""
+    """(game, frame, rn, segment, slot, features) from training or inference frames.
+
+    Slot columns become arrays before the frame is repeated per slot, so one
+    vector expression serves all six and stays small enough to be compiled.
+    """
     near = with_ball_distances(with_cumulative(segmented))
+    keys = ["game_id", "frame_idx", "rn", "segment", "n_kept"]
+    context = ["seconds_remaining", "blue", "orange"] if with_context else []
+
+    def slots(name: str) -> str:
+        return "array(" + ", ".join(f"{name}{s}" for s in range(SLOTS)) + ")"
+
     blocks = near.selectExpr(
         "*",
         f"{_ball_block()} AS ball",
         f"{v.scaled_distance('ball_pos', v.vec3(*v.BLUE_GOAL))} AS goal_distance",
-        *(f"{player_block(f'p{s}', True)} AS s{s}" for s in range(SLOTS)),
-        *(f"{player_block(f'p{s}', False)} AS o{s}" for s in range(SLOTS)),
+        *(f"{player_block(f'p{s}')} AS s{s}" for s in range(SLOTS)),
+        "array(" + ", ".join(role_rank(s) for s in range(SLOTS)) + ") AS roles",
     )
-    keys = ["game_id", "frame_idx", "rn", "segment", "n_kept"]
-    return by_slot(blocks, keys, features=lambda s: _vector(s, with_context))
+    gathered = blocks.selectExpr(
+        *keys, *context, "ball_pos", "ball", "goal_distance", "roles",
+        *(f"{slots(n)} AS {n}" for n in "pscd"),
+    )
+    views = ", ".join("array(" + ", ".join(map(str, view)) + ")" for view in VIEW)
+    focal = gathered.selectExpr("*", f"posexplode(array({views})) AS (slot, view)").selectExpr(
+        "*", *(f"view[{n}] AS v{n}" for n in range(5))
+    )
+    seen = focal.selectExpr("*", "p[slot] AS me", "c[slot] AS mine", *(f"p[v{n}] AS q{n}" for n in range(5)))
+    return seen.selectExpr(*keys, "slot", f"{_vector(with_context)} AS features")
 
 
 def by_slot(df: DataFrame, keep: list[str], **values: Callable[[int], str]) -> DataFrame:

@@ -25,12 +25,11 @@ def marked(spark, sf):
 
 
 def rosters(spark, sf):
-    return tel.roster(t.player_frames(spark, sf))
+    return tel.roster(t.car_names(spark, sf))
 
 
 def training(spark, sf):
-    return ft.training_frames(
-        t.frames(spark, sf), t.goals(spark, sf), t.kickoffs(spark, sf), rosters(spark, sf), L)
+    return ft.training_frames(t.marked_frames(spark, sf), rosters(spark, sf), L)
 
 
 def inference(spark, sf):
@@ -40,7 +39,6 @@ def inference(spark, sf):
 # --- check SQL for the telemetry chain ----------------------------------------------------
 
 CHAIN = {
-    "goal_frames": "SELECT game_id, frame FROM goals",
     "windows": """SELECT g.game_id, g.frame, MIN(k.frame) AS next_kickoff FROM goals g
   LEFT JOIN kickoffs k ON k.game_id = g.game_id AND k.frame > g.frame GROUP BY g.game_id, g.frame""",
     "kept": """SELECT f.* FROM fr f WHERE NOT EXISTS (SELECT 1 FROM windows w WHERE w.game_id = f.game_id
@@ -158,12 +156,20 @@ def vector_sql(frames: str, context: bool) -> dict:
     }
 
 
+OWN_GOALS = """SELECT game_id, frame_idx AS frame, CAST(event_id % 2 AS INT) AS player_team FROM ef
+  WHERE event_type = 'purchase' AND event_id % 13 <> 0"""
+
+
 def chain(body: str, *names: str, **extra: str) -> str:
-    picked = {n: CHAIN[n] for n in ("goal_frames", "windows", "kept", "score", "numbered", "inf", "roster") if n in names}
+    """The named steps and their relations; the training steps use the goals of the frames themselves."""
+    if "numbered" in names:
+        picked = {"goals": OWN_GOALS, **{n: CHAIN[n] for n in CHAIN if n in names}}
+        return q.with_ctes("ef fr pf kickoffs", body, **picked, **extra)
+    picked = {n: CHAIN[n] for n in CHAIN if n in names}
     return q.with_ctes("ef fr pf goals kickoffs", body, **picked, **extra)
 
 
-TRAIN = ("goal_frames", "windows", "kept", "score", "numbered", "roster")
+TRAIN = ("windows", "kept", "score", "numbered", "roster")
 INFER = ("score", "inf", "roster")
 
 
@@ -368,7 +374,7 @@ def cumulative_fractions(spark, sf):
 def player_block(spark, sf):
     rows = t.player_frames(spark, sf).selectExpr(
         "game_id", "frame_idx", "lane", "struct(pos, vel, rot, boost, is_demolished) AS p").selectExpr(
-        "game_id", "frame_idx", "lane", f"{ft.player_block('p', True)} AS s", f"{ft.player_block('p', False)} AS o")
+        "game_id", "frame_idx", "lane", f"{ft.player_block('p')} AS s").selectExpr("*", f"{ft.opponent_block('s')} AS o")
     return rows.selectExpr(
         "game_id", "frame_idx", "lane", *(f"{num_text(f's[{i}]')} AS s{i}" for i in range(13)),
         *(f"{num_text(f'o[{i}]')} AS o{i}" for i in range(12)))

@@ -18,6 +18,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "lob
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+        # The JVM does not compile methods above 8000 bytes; wide stages do better split up.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("LOBBYLENS_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")

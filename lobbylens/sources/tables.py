@@ -28,22 +28,43 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_index(events, ["game_id"], ["event_id"], "frame_idx", span("event_id", ROW_CHUNK))
 
 
+PRESENT = "(event_id + {l}) % 17 <> 0"
+NAME = "concat('p', cast(({l} * 5 + game_id) % 6 AS string), '_', cast(game_id AS string))"
 CAR = """named_struct(
-  'lane', cast(l AS int),
-  'name', concat('p', cast((l * 5 + game_id) % 6 AS string), '_', cast(game_id AS string)),
-  'team', cast(floor(l / 3) AS int),
+  'lane', {l},
+  'name', {name},
+  'team', {team},
   'pos', named_struct(
-    'x', cast((event_id * 7919 + l * 104729) % 10240 - 5120 AS double),
-    'y', cast((event_id * 6007 + l * 50021) % 10240 - 5120 AS double),
-    'z', cast((event_id * 31 + l * 997) % 2044 AS double)),
+    'x', cast((event_id * 7919 + {l} * 104729) % 10240 - 5120 AS double),
+    'y', cast((event_id * 6007 + {l} * 50021) % 10240 - 5120 AS double),
+    'z', cast((event_id * 31 + {l} * 997) % 2044 AS double)),
   'vel', named_struct(
-    'x', cast((event_id * 4001 + l * 811) % 4601 - 2300 AS double),
-    'y', cast((event_id * 3307 + l * 613) % 4601 - 2300 AS double),
-    'z', cast((event_id * 101 + l * 37) % 301 - 150 AS double)),
-  'rot', named_struct(
-    'x', 0.0D, 'y', 0.0D, 'z', if(l % 2 = 1, 0.8D, 0.0D), 'w', if(l % 2 = 1, 0.6D, 1.0D)),
-  'boost', ((event_id * 13 + l * 29) % 101) / 100.0D,
-  'is_demolished', event_type = 'error' AND event_id % 6 = l)"""
+    'x', cast((event_id * 4001 + {l} * 811) % 4601 - 2300 AS double),
+    'y', cast((event_id * 3307 + {l} * 613) % 4601 - 2300 AS double),
+    'z', cast((event_id * 101 + {l} * 37) % 301 - 150 AS double)),
+  'rot', named_struct('x', 0.0D, 'y', 0.0D, 'z', {rz}D, 'w', {rw}D),
+  'boost', ((event_id * 13 + {l} * 29) % 101) / 100.0D,
+  'is_demolished', event_type = 'error' AND event_id % 6 = {l})"""
+
+
+def _cars(template: str) -> str:
+    """The cars present in a frame, written out per lane so that it compiles to straight code."""
+    lanes = ", ".join(
+        f"if({PRESENT.format(l=lane)}, "
+        + template.format(
+            l=lane, team=lane // 3, name=NAME.format(l=lane), rz=0.8 * (lane % 2), rw=0.6 if lane % 2 else 1.0
+        )
+        + ", NULL)"
+        for lane in range(SLOTS)
+    )
+    return f"array_compact(array({lanes}))"
+
+
+def car_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Game, team and name of every car in every frame."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("game_id"), "event_id")
+    cars = _cars("named_struct('team', {team}, 'name', {name})")
+    return events.selectExpr("game_id", f"explode({cars}) AS c").selectExpr("game_id", "c.team", "c.name")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +80,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
   'y', cast(event_id * 1709 % 10240 - 5120 AS double), 'z', cast(event_id * 97 % 2044 AS double)) AS ball_pos""",
         """named_struct('x', cast(event_id * 1511 % 9001 - 4500 AS double),
   'y', cast(event_id * 1129 % 9001 - 4500 AS double), 'z', cast(event_id * 17 % 501 AS double)) AS ball_vel""",
-        f"transform(filter(sequence(0L, {SLOTS - 1}L), l -> (event_id + l) % 17 <> 0), l -> {CAR}) AS players",
+        f"{_cars(CAR)} AS players",
     )
 
 
@@ -70,6 +91,17 @@ def player_name(game_id: Column, lane: Column) -> Column:
     )
 
 
+def marked_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames whose goals and kickoffs are read off the event of the frame itself."""
+    goal = "event_type = 'purchase' AND event_id % 13 <> 0"
+    return frames(spark, sf_dir).selectExpr(
+        "*",
+        f"if({goal} AND event_id % 2 = 0, 1, 0) AS goal_blue",
+        f"if({goal} AND event_id % 2 = 1, 1, 0) AS goal_orange",
+        "event_type = 'signup' OR frame_idx = 0 AS is_kickoff",
+    )
+
+
 def player_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per frame and car."""
     return frames(spark, sf_dir).select("*", F.explode("players").alias("car")).select(

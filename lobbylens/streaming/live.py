@@ -150,42 +150,44 @@ def segment_frames(frames: DataFrame, length: int) -> DataFrame:
 def assemble(frames: DataFrame, length: int, live: bool = False) -> DataFrame:
     """Buffer the frames of each (game, segment) until it is complete.
 
-    Complete segments come out whole and their state is dropped. With `live`,
-    each new frame comes out at once together with the frames it builds on;
-    `is_new` marks the ones not sent before. Repeated frames are ignored.
+    Complete segments come out whole. With `live`, frames come out as soon as
+    all earlier frames of their segment are there, together with those;
+    `is_new` marks the ones not sent before. Files may arrive in any order, and
+    repeated frames are ignored.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buffer: dict = {}
-        if state.exists:
-            numbers, bodies = state.get
-            buffer = dict(zip(numbers, bodies))
-        arrived = {}
+        numbers, bodies, sent = state.get if state.exists else ([], [], 0)
+        buffer = dict(zip(numbers, bodies))
         for part in parts:
             for number, body in zip(part["rn"], part["body"]):
-                if number not in buffer:
-                    arrived[int(number)] = body
-        buffer.update(arrived)
-        numbers = sorted(buffer)
-        complete = len(buffer) >= length
+                buffer.setdefault(int(number), body)
+        first = int(key[1]) * length
+        ready = sent
+        while first + ready in buffer:
+            ready += 1
+        if not live and ready < length:
+            ready = sent
+        order = sorted(buffer)
         # A finished segment keeps its frame numbers only, to recognise repeats.
-        state.update((numbers, ["" if complete else buffer[n] for n in numbers]))
-        if not arrived or not (complete or live):
-            return
-        yield pd.DataFrame(
-            {
-                "game_id": key[0],
-                "segment": key[1],
-                "rn": numbers,
-                "body": [buffer[n] for n in numbers],
-                "is_new": [n in arrived or not live for n in numbers],
-            }
-        )
+        done = ready >= length
+        state.update((order, ["" if done else buffer[n] for n in order], ready))
+        if ready > sent:
+            out = list(range(first, first + ready))
+            yield pd.DataFrame(
+                {
+                    "game_id": key[0],
+                    "segment": key[1],
+                    "rn": out,
+                    "body": [buffer[n] for n in out],
+                    "is_new": [n >= first + sent for n in out],
+                }
+            )
 
     return frames.groupBy("game_id", "segment").applyInPandasWithState(
         step,
         outputStructType=f"{FRAME_KEYS}, is_new boolean",
-        stateStructType="numbers array<bigint>, bodies array<string>",
+        stateStructType="numbers array<bigint>, bodies array<string>, sent int",
         outputMode="append",
         timeoutConf=GroupStateTimeout.NoTimeout,
     )
