@@ -30,10 +30,13 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     queries["mmr_band_lookup"](spark, folder).write.format("noop").mode("overwrite").save()
     times = {}
-    for name in names:
-        start = time.perf_counter()
-        queries[name](spark, folder).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - start, 3)
+    # Two rounds; the better one leaves out class loading and code generation.
+    for _ in range(2):
+        for name in names:
+            start = time.perf_counter()
+            queries[name](spark, folder).write.format("noop").mode("overwrite").save()
+            spent = round(time.perf_counter() - start, 3)
+            times[name] = min(spent, times.get(name, spent))
     print(
         json.dumps(
             {

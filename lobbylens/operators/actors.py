@@ -10,8 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lobbylens.operators.scan import Fold, attach_group, prefix_scan, scatter
-from lobbylens.session import enable_checkpoints
+from lobbylens.operators.scan import Fold, prefix_scan, scatter
+from lobbylens.session import materialize
 
 
 def lifetimes(log: DataFrame, keys: Sequence[str], order: str, kind: str = "kind") -> DataFrame:
@@ -74,37 +74,43 @@ def resolve_links(
     node settles once, which ends cycles. A record that is itself the component
     counts before a record the component refers to.
     """
-    enable_checkpoints(links.sparkSession)
     known = records.select(F.col("id").alias("node")).distinct()
-    edges = links.select("src", "dst").distinct().checkpoint()
+    edges = materialize(
+        links.select("src", "dst").distinct().select(
+            "src", "dst", scatter("dst").alias("src_part"), scatter("src").alias("dst_part")
+        )
+    )
+    # Where the links of each node lie once scattered.
+    src_parts = materialize(edges.select("src", "src_part").distinct())
+    dst_parts = materialize(edges.select("dst", "dst_part").distinct())
+
+    def at_src(values: DataFrame) -> DataFrame:
+        return edges.join(src_parts.join(values, "src"), ["src", "src_part"])
+
+    def at_dst(values: DataFrame) -> DataFrame:
+        return edges.join(dst_parts.join(values, "dst"), ["dst", "dst_part"])
+
     # Distance 1: the component is a record itself; distance 2: it refers to one.
-    direct = edges.join(known, edges["src"] == known["node"], "left_semi").select(
+    direct = at_src(known.withColumnRenamed("node", "src")).select(
         F.col("dst").alias("node"), F.lit(1).alias("distance"), F.col("src").alias("record")
     )
-    named = (
-        edges.join(known, edges["dst"] == known["node"], "left_semi")
-        .groupBy("src")
-        .agg(F.min("dst").alias("record"))
-    )
-    shared = attach_group(edges, named, ["src"], scatter("dst"), "inner").select(
-        F.col("dst").alias("node"), F.lit(2).alias("distance"), "record"
-    )
-    best = _best(direct.unionByName(shared).join(known, "node", "left_anti")).checkpoint()
-    frontier = best
+    named = at_dst(known.withColumnRenamed("node", "dst")).groupBy("src").agg(F.min("dst").alias("record"))
+    shared = at_src(named).select(F.col("dst").alias("node"), F.lit(2).alias("distance"), "record")
+    frontier = materialize(_best(direct.unionByName(shared).join(known, "node", "left_anti")))
+    best = frontier
     for _ in range(max_rounds - 1):
         reached = (
-            attach_group(edges, frontier.withColumnRenamed("node", "dst"), ["dst"], scatter("src"), "inner")
+            at_dst(frontier.withColumnRenamed("node", "dst"))
             .groupBy("src")
             .agg(F.min(F.struct("distance", "record")).alias("b"))
         )
-        found = attach_group(edges, reached, ["src"], scatter("dst"), "inner").select(
+        found = at_src(reached).select(
             F.col("dst").alias("node"), (F.col("b.distance") + 2).alias("distance"), F.col("b.record").alias("record")
         )
-        fresh = _best(found.join(best, "node", "left_anti").join(known, "node", "left_anti")).checkpoint()
-        if fresh.isEmpty():
+        frontier = materialize(_best(found.join(best, "node", "left_anti").join(known, "node", "left_anti")))
+        if frontier.isEmpty():
             break
-        best = best.unionByName(fresh).checkpoint()
-        frontier = fresh
+        best = best.unionByName(frontier)
     return cars.select(F.col("id").alias("car")).join(
         best.withColumnRenamed("node", "car"), "car", "left"
     )

@@ -101,29 +101,33 @@ def validation_loss(players: DataFrame, batch_size: int) -> DataFrame:
     return per_batch.agg(F.avg("mse").alias("loss"), F.count(F.lit(1)).alias("batches"))
 
 
+def pearson(covariance: Column, std_a: Column, std_b: Column) -> Column:
+    """Correlation held to [-1, 1]; 0 when either side hardly varies."""
+    flat = (F.coalesce(std_a, F.lit(0.0)) <= MIN_STD) | (F.coalesce(std_b, F.lit(0.0)) <= MIN_STD)
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(covariance, std_a * std_b)))
+    return F.when(flat, F.lit(0.0)).otherwise(r)
+
+
 def collapse_metrics(players: DataFrame) -> DataFrame:
     """Signs of a model stuck at the mean, against two constant baselines."""
     rows = known_rows(players)
-    means = rows.groupBy("replay_id").agg(F.avg("target_mmr").alias("lobby_mean"))
-    off = F.col("lobby_mean") - F.col("target_mmr")
-    flat = (F.col("pred_std") <= MIN_STD) | (F.col("target_std") <= MIN_STD)
+    # A lobby has at most six rows.
+    off = F.avg("target_mmr").over(W.partitionBy("replay_id")) - F.col("target_mmr")
     return (
-        rows.join(means, "replay_id")
+        rows.select("pred_mmr", "target_mmr", (off * off).alias("off2"))
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.stddev_samp("pred_mmr").alias("pred_std"),
             F.stddev_samp("target_mmr").alias("target_std"),
-            F.corr("pred_mmr", "target_mmr").alias("r"),
+            F.covar_samp("pred_mmr", "target_mmr").alias("covariance"),
             F.sqrt(F.var_pop("target_mmr")).alias("constant_rmse"),
-            F.sqrt(F.avg(off * off)).alias("lobby_mean_rmse"),
+            F.sqrt(F.avg("off2")).alias("lobby_mean_rmse"),
         )
         .where(F.col("n") >= 2)
         .select(
             "n",
             "pred_std",
-            F.when(flat, F.lit(0.0))
-            .otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))))
-            .alias("pearson_r"),
+            pearson(F.col("covariance"), F.col("pred_std"), F.col("target_std")).alias("pearson_r"),
             "constant_rmse",
             "lobby_mean_rmse",
             (F.col("pred_std") < COLLAPSE_STD).alias("collapse_alert"),
@@ -254,12 +258,37 @@ def spread_loss(players: DataFrame) -> DataFrame:
 
 
 def composite_loss(weighted: DataFrame, logits: str = "logits") -> DataFrame:
-    """The four terms and their weighted total; each term is a single row."""
-    parts = regression_loss(weighted).select(
-        "regression",
-        ordinal_loss(weighted, logits).scalar().alias("ordinal"),
-        pairwise_loss(weighted).scalar().alias("pairwise"),
-        spread_loss(weighted).scalar().alias("spread"),
+    """The four terms and their weighted total, in one pass over the players.
+
+    Each lobby folds its element losses, moments and pair hinges; the lobbies
+    then add up. The spread comes from the first two moments.
+    """
+    pred, target = F.col("pred_mmr"), F.col("target_mmr")
+    diff = losses.scaled_error(pred, target)
+    element = (losses.huber(diff) + losses.pinball_term(diff, target)) * F.col("weight")
+    bce = losses.ordinal_bce(F.col(logits), target) / F.lit(float(len(ladder.ORDINAL_BOUNDARIES)))
+    p, t = pred / F.lit(losses.MMR_SCALE), target / F.lit(losses.MMR_SCALE)
+    sums = {"element": element, "bce": bce, "p": p, "pp": p * p, "t": t, "tt": t * t}
+    lobby = F.collect_list(F.struct(target.alias("target"), pred.alias("pred")))
+    folded = known_rows(weighted).groupBy("replay_id").agg(
+        *(F.sum(x).alias(n) for n, x in sums.items()),
+        F.count(F.lit(1)).alias("n"),
+        losses.pair_hinges(lobby).alias("h"),
+    )
+    totals = folded.select(
+        *sums, "n", F.size("h").alias("pairs"), F.aggregate("h", F.lit(0.0), lambda acc, x: acc + x).alias("hinge")
+    ).agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in (*sums, "n", "pairs", "hinge")))
+    n = F.greatest(F.col("n"), F.lit(1.0))
+
+    def std(first: str, second: str) -> Column:
+        mean = F.col(first) / n
+        return F.sqrt(F.greatest(F.col(second) / n - mean * mean, F.lit(losses.SPREAD_FLOOR)))
+
+    parts = totals.select(
+        (F.col("element") / n).alias("regression"),
+        (F.col("bce") / n).alias("ordinal"),
+        (F.col("hinge") / F.greatest(F.col("pairs"), F.lit(1.0))).alias("pairwise"),
+        losses.spread_gap(std("t", "tt"), std("p", "pp")).alias("spread"),
     )
     total = (
         F.col("regression")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lobbylens.operators.metrics import pearson
+
 # Positions read by default: five cumulative values of the last frame and the
 # segment mean of three instantaneous ones.
 LAST_INDICES = (22, 23, 24, 25, 26)
@@ -81,16 +83,16 @@ def verdict(rows: DataFrame, pred: str, y: str, train_mean: Column) -> DataFrame
     """RMSE, Pearson r and gain over the constant predictor on held-out rows."""
     err = F.col(pred) - F.col(y)
     base = train_mean - F.col(y)
-    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.corr(pred, y)))
-    flat = (F.coalesce(F.stddev_samp(pred), F.lit(0.0)) < 1e-8) | (F.coalesce(F.stddev_samp(y), F.lit(0.0)) < 1e-8)
     measured = rows.agg(
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.sqrt(F.avg(base * base)).alias("constant_rmse"),
-        F.when(flat, F.lit(0.0)).otherwise(r).alias("pearson_r"),
-    )
+        F.covar_samp(pred, y).alias("_cov"),
+        F.stddev_samp(pred).alias("_sp"),
+        F.stddev_samp(y).alias("_sy"),
+    ).withColumn("pearson_r", pearson(F.col("_cov"), F.col("_sp"), F.col("_sy"))).drop("_cov", "_sp", "_sy")
     return measured.select(
         "*",
-        (F.lit(100.0) * (1.0 - F.col("rmse") / F.col("constant_rmse"))).alias("gain_pct"),
+        (F.lit(100.0) * (1.0 - F.try_divide("rmse", "constant_rmse"))).alias("gain_pct"),
         (F.col("rmse") < F.col("constant_rmse") * 0.95).alias("carries_signal"),
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lobbylens.functions import labels, ladder
@@ -48,15 +49,15 @@ def segment_medians(predictions: DataFrame) -> DataFrame:
     return medians.withColumn("division_idx", ladder.band_index(F.col("median_mmr")))
 
 
-def lobby_medians(players: DataFrame, value: str) -> DataFrame:
-    """Median over the players of a lobby; a lobby holds at most six rows."""
-    return players.groupBy("replay_id").agg(F.median(value).alias("lobby_median"))
-
-
 def lobby_outliers(players: DataFrame, value: str, margin: float = SUSPICION_MARGIN) -> DataFrame:
-    """Every player with the lobby median and whether they lie above it by the margin."""
-    joined = players.join(lobby_medians(players, value), "replay_id")
-    return joined.withColumn("is_suspect", F.col(value) > F.col("lobby_median") + margin)
+    """Every player with the lobby median and whether they lie above it by the margin.
+
+    `players` has one row per replay and slot, so a lobby window holds six rows.
+    """
+    lobby = W.partitionBy("replay_id")
+    return players.withColumn("lobby_median", F.median(value).over(lobby)).withColumn(
+        "is_suspect", F.col(value) > F.col("lobby_median") + margin
+    )
 
 
 def smurf_scores(predictions: DataFrame, labelled: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lobbylens.functions import ladder
 from lobbylens.operators.catalog import DOWNLOADED, PENDING
 from lobbylens.operators.scan import ROW_CHUNK, Fold, prefix_scan, row_index, span
+from lobbylens.session import materialize
 
 RANKED = ladder.RANK_COUNT - 1
 SEGMENTS_PER_REPLAY = 3
@@ -110,7 +111,8 @@ def oversample(rows: DataFrame, factors: DataFrame, row_id: str, seed: int) -> D
         .where(F.col("copy") <= F.col("factor"))
     )
     named = repeated.withColumn("_copy_id", F.concat_ws("/", F.col(row_id).cast("string"), F.col("copy").cast("string")))
-    return shuffled(named, "_copy_id", seed).drop("_copy_id", "factor")
+    # The scan reads its input twice; the input is costlier than writing it once.
+    return shuffled(materialize(named), "_copy_id", seed).drop("_copy_id", "factor")
 
 
 def sticky_split(replays: DataFrame, ratio: float, seed: int) -> DataFrame:
@@ -234,7 +236,7 @@ def hash_coin(epoch: Column, batch: Column, fraction: float) -> Column:
 def label_jitter(rows: DataFrame, epoch: int, batch: str, row: str, std: float = JITTER_STD) -> DataFrame:
     """Seeded label noise with mean zero over the known players of each lobby.
 
-    A lobby has at most six rows; its mean is aggregated and joined back.
+    A lobby has at most six rows.
     """
 
     @F.pandas_udf("double")
@@ -245,7 +247,7 @@ def label_jitter(rows: DataFrame, epoch: int, batch: str, row: str, std: float =
                   F.col("slot").cast("bigint"))
     noisy = rows.withColumn("_noise", cell * F.lit(std))
     known = F.col("target_mmr") > 0
-    means = noisy.groupBy("replay_id").agg(F.avg(F.when(known, F.col("_noise"))).alias("_mean"))
-    return noisy.join(means, "replay_id").withColumn(
-        "jitter", F.when(known, F.col("_noise") - F.col("_mean")).otherwise(F.lit(0.0))
-    ).drop("_noise", "_mean")
+    mean = F.avg(F.when(known, F.col("_noise"))).over(W.partitionBy("replay_id"))
+    return noisy.withColumn(
+        "jitter", F.when(known, F.col("_noise") - mean).otherwise(F.lit(0.0))
+    ).drop("_noise")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lobbylens.operators.scan import CHUNK, Fold, attach_group, order_statistics, prefix_scan, scatter, span
+from lobbylens.session import materialize
 
 EMA_ALPHA = 0.3
 TOP_FRACTION = 0.99
@@ -72,6 +73,7 @@ def sustained(df: DataFrame, keys: Sequence[str], epoch: str, flag: str = "is_hi
     streaks = prefix_scan(df, keys, [epoch], [Fold("_off", "max", F.when(~F.col(flag), at))]).withColumn(
         "streak", (at - F.coalesce("_off", F.lit(-1))).cast("int")
     ).drop("_off")
+    streaks = materialize(streaks)
     masked = Fold("_hit", "max", (F.col("streak") >= runs).cast("int"))
     return prefix_scan(streaks, keys, [epoch], [masked]).withColumn("is_masked", F.col("_hit") == 1).drop("_hit")
 
@@ -87,3 +89,15 @@ def best_so_far(df: DataFrame, keys: Sequence[str], epoch: str, value: str) -> D
         (since == 0).alias("improved"),
         since.cast("int").alias("epochs_since"),
     )
+
+
+def mask_outliers(
+    df: DataFrame, keys: Sequence[str], epoch: str, value: str, fraction: float = TOP_FRACTION, runs: int = SUSTAIN
+) -> DataFrame:
+    """Flags, streaks and masks of a loss series.
+
+    Every step scans its input more than once, so the narrow results in between
+    are written out and the work stays linear in the number of steps.
+    """
+    flagged = materialize(top_flags(materialize(df), epoch, value, fraction))
+    return sustained(flagged, keys, epoch, runs=runs)

@@ -378,7 +378,7 @@ AVERAGE = """SELECT l.replay_id, CAST(COALESCE(SUM(division_idx) FILTER (rank_kn
 
 @R.add("avg_division", q.with_ctes("lp bounds", AVERAGE))
 def avg_division(spark, sf):
-    return labelling.average_division(labelling.player_rows(summaries(spark, sf)))
+    return labelling.average_division(summaries(spark, sf))
 
 
 @R.add("impute_midpoint", q.with_ctes("lp bounds", """SELECT l.replay_id, player_name, team, rank_known,

@@ -78,8 +78,8 @@ def ema(spark, sf):
     SELECT frame_idx, ema, ROW_NUMBER() OVER (PARTITION BY frame_idx ORDER BY ema) - 1 AS i, COUNT(*) OVER (PARTITION BY frame_idx) AS n FROM m) s
    GROUP BY frame_idx) c ON c.frame_idx = m.frame_idx) x) y""", e=EMA, m=f"SELECT game_id, frame_idx, {q.r6('ema')} AS ema FROM e"))
 def sustained_outlier(spark, sf):
-    flagged = series.top_flags(ema(spark, sf), "frame_idx", "ema", fraction=0.9)
-    return series.sustained(flagged, ["game_id"], "frame_idx").select(
+    masked = series.mask_outliers(ema(spark, sf), ["game_id"], "frame_idx", "ema", fraction=0.9)
+    return masked.select(
         "game_id", "frame_idx", "is_high", "streak", "is_masked")
 
 

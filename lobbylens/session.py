@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -39,14 +39,14 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session without the setting gets a temporary folder.
     """
-    configured = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="lobbylens-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    context = spark.sparkContext
+    named = context.getConf().get(CHECKPOINT_DIR) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by the cluster")
+        named = tempfile.mkdtemp(prefix="lobbylens-")
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -58,3 +58,13 @@ def enable_checkpoints(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the checkpoint folder and cut its lineage.
+
+    For narrow results that several scans read: the plan behind them runs once,
+    and a lost executor costs a re-read and not a re-run.
+    """
+    enable_checkpoints(df.sparkSession)
+    return df.checkpoint()

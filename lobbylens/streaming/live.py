@@ -52,12 +52,12 @@ def ingest(
 
     def store(batch: DataFrame, number: int) -> None:
         good = bundle.line_class(batch).where("line_class = 'ok'").select(F.col("id").alias("replay_id"), F.col("data").alias("doc"))
-        fresh = good.dropDuplicates(["replay_id"])
-        players = labelling.impute_lobby_average(labelling.player_rows(fresh)).where(
-            F.col("player_name") != "")
-        averages = labelling.average_division(labelling.player_rows(fresh)).select(
+        labelled = labelling.with_labels(good.dropDuplicates(["replay_id"])).where("average_division IS NOT NULL")
+        replays = labelled.select(
             "replay_id", ladder.rank_name(ladder.division_rank(F.col("average_division"))).alias("rank"))
-        replays = fresh.select("replay_id").join(averages, "replay_id").where("rank IS NOT NULL")
+        players = labelled.select("replay_id", "average_division", F.explode("players").alias("p")).select(
+            "replay_id", "average_division", "p.*")
+        players = labelling.impute_lobby_average(players)
         for rows, keys, path in (
             (replays, ["replay_id"], replays_path),
             (players, ["replay_id", "player_name"], players_path),
