@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def utc(ts: str) -> Column:
+    """A zoneless timestamp as the instant it names in UTC, whatever the session zone."""
+    return F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {ts}))")
+
+
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event with its position in the user's game."""
     events = table(spark, sf_dir, "events").select(
