@@ -134,7 +134,7 @@ def progress_report(spark: SparkSession, path: str, status: str) -> DataFrame:
 FRAME_KEYS = "game_id bigint, segment bigint, rn bigint, body string"
 
 
-def segment_frames(frames: DataFrame, length: int) -> DataFrame:
+def segment_frames(frames: DataFrame, length: int, event_time: str | None = None) -> DataFrame:
     """Subsampled frames with their position and segment, the rest as one JSON body.
 
     Without goal trimming the position follows from the frame number, so the
@@ -143,35 +143,45 @@ def segment_frames(frames: DataFrame, length: int) -> DataFrame:
     """
     kept = frames.where(F.pmod(F.col("frame_idx"), F.lit(2)) == 0)
     rn = F.floor(F.col("frame_idx") / 2)
-    body = F.to_json(F.struct(*[c for c in frames.columns if c != "game_id"]))
-    return kept.select("game_id", F.floor(rn / length).alias("segment"), rn.alias("rn"), body.alias("body"))
+    body = F.to_json(F.struct(*[c for c in frames.columns if c not in ("game_id", event_time)]))
+    time = [F.col(event_time).alias("event_time")] if event_time else []
+    return kept.select("game_id", F.floor(rn / length).alias("segment"), rn.alias("rn"), body.alias("body"), *time)
 
 
-def assemble(frames: DataFrame, length: int, live: bool = False) -> DataFrame:
+def assemble(frames: DataFrame, length: int, live: bool = False, lateness_seconds: int | None = None) -> DataFrame:
     """Buffer the frames of each (game, segment) until it is complete.
 
     Complete segments come out whole. With `live`, frames come out as soon as
     all earlier frames of their segment are there, together with those;
     `is_new` marks the ones not sent before. Files may arrive in any order, and
-    repeated frames are ignored.
+    repeated frames are ignored. A finished segment keeps one number. With
+    `lateness_seconds` (and a watermark on `event_time`) the state of a segment
+    goes once nothing has arrived for it for that long in event time.
     """
+    expiring = lateness_seconds is not None
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         numbers, bodies, sent = state.get if state.exists else ([], [], 0)
         buffer = dict(zip(numbers, bodies))
+        newest = 0
         for part in parts:
+            if expiring:
+                newest = max(newest, int(part["event_time"].max().timestamp() * 1000))
             for number, body in zip(part["rn"], part["body"]):
                 buffer.setdefault(int(number), body)
         first = int(key[1]) * length
         ready = sent
-        while first + ready in buffer:
+        while ready < length and first + ready in buffer:
             ready += 1
         if not live and ready < length:
             ready = sent
-        order = sorted(buffer)
-        # A finished segment keeps its frame numbers only, to recognise repeats.
-        done = ready >= length
-        state.update((order, ["" if done else buffer[n] for n in order], ready))
+        order = sorted(buffer) if ready < length else []
+        state.update((order, [buffer[n] for n in order], ready))
+        if expiring:
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + lateness_seconds * 1000)
         if ready > sent:
             out = list(range(first, first + ready))
             yield pd.DataFrame(
@@ -189,7 +199,7 @@ def assemble(frames: DataFrame, length: int, live: bool = False) -> DataFrame:
         outputStructType=f"{FRAME_KEYS}, is_new boolean",
         stateStructType="numbers array<bigint>, bodies array<string>, sent int",
         outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
+        timeoutConf=GroupStateTimeout.EventTimeTimeout if expiring else GroupStateTimeout.NoTimeout,
     )
 
 

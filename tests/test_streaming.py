@@ -53,3 +53,20 @@ def test_progress_windows_update(spark, folder):
     live.track_progress(counts, f"{folder}/out", f"{folder}/check").awaitTermination()
     got = sorted((r.s, r.n) for r in live.progress_report(spark, f"{folder}/out", "s").collect())
     assert got == [("a", 3), ("b", 1)]
+
+
+def test_state_expires_with_the_watermark(spark, folder):
+    def land_at(indices, second):
+        frames_df(spark, rows(indices)).withColumn("at", F.timestamp_seconds(F.lit(second))).coalesce(1).write.mode(
+            "append").parquet(f"{folder}/frames")
+
+    land_at([0, 2], 1000)
+    land_at([100], 5000)
+    land_at([102], 9000)
+    land_at([4], 20)
+    schema = spark.read.parquet(f"{folder}/frames").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/frames")
+    frames = live.segment_frames(stream, LENGTH, "at").withWatermark("event_time", "60 seconds")
+    assembled = live.assemble(frames, LENGTH, lateness_seconds=60)
+    live.live_features(assembled, rosters_df(spark, [1]), FRAME.split(", ", 1)[1], f"{folder}/out", f"{folder}/check").awaitTermination()
+    assert spark.read.parquet(f"{folder}/out").count() == 0
