@@ -80,15 +80,21 @@ def prefix_scan(
     chunk: Column | None = None,
     reverse: bool = False,
     attach: DataFrame | None = None,
+    keep_chunk: bool = False,
 ) -> DataFrame:
     """Add one column per fold, running over `order` within `keys`.
 
     `reverse` scans from the end. `attach` is a table with one row per key; its
     columns are carried along through the chunk totals, so a group-level value
-    reaches every row without a shuffle by the bare key.
+    reaches every row without a shuffle by the bare key. With `keep_chunk` the
+    chunk number stays in the result, and a following scan that finds it there
+    works on the rows where they lie.
     """
     keys = list(keys)
-    chunked = df.withColumn(CHUNK, span(order[0]) if chunk is None else chunk)
+    if chunk is None and CHUNK in df.columns:
+        chunked = df
+    else:
+        chunked = df.withColumn(CHUNK, span(order[0]) if chunk is None else chunk)
     sort = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     position = F.struct(*order)
     part = W.partitionBy(*keys, CHUNK).orderBy(*sort)
@@ -130,7 +136,8 @@ def prefix_scan(
     out = local.join(carried, [*keys, CHUNK], "inner")
     attached = [c for c in (attach.columns if attach is not None else []) if c not in keys]
     return out.select(
-        *df.columns,
+        *(c for c in df.columns if c != CHUNK),
+        *([CHUNK] if keep_chunk else []),
         *attached,
         *(
             (

@@ -63,7 +63,8 @@ def _numbered(frames: DataFrame, length: int, attach: DataFrame | None = None) -
 
 def training_frames(marked: DataFrame, rosters: DataFrame, length: int) -> DataFrame:
     """Marked frames -> subsampled frames without goal footage, renumbered, with score and segment."""
-    scanned = prefix_scan(marked, tel.KEY, tel.ORDER, tel.score_folds() + tel.trim_folds(), attach=rosters)
+    folds = tel.score_folds() + tel.trim_folds()
+    scanned = prefix_scan(marked, tel.KEY, tel.ORDER, folds, attach=rosters, keep_chunk=True)
     kept = tel.subsample(scanned.where(~tel.is_trimmed()))
     dropped = ("goal_blue", "goal_orange", "is_kickoff", "_last_goal", "_last_kickoff")
     return with_slots(_numbered(kept.drop(*dropped), length))
