@@ -2,22 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from string import ascii_lowercase, ascii_uppercase
 
+from lobbylens.llm.decontaminate import contamination
 from lobbylens.llm.exact import exact_groups
 from lobbylens.llm.packing import pack
 from lobbylens.llm.shards import hilbert_shards
+from lobbylens.llm.tokenfiles import token_files
+from lobbylens.llm.viterbi import token_counts
 from lobbylens.queries.registry import Registry
 from lobbylens.sources.tables import table
 
 R = Registry()
 
+ASCII_LOWER = f"translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}')"
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 
 @R.add("op1_hilbert_shards")
 def op1(spark, sf_dir):
     return hilbert_shards(table(spark, sf_dir, "documents"))
 
 
+@R.add(
+    "op5_winnowing_decontamination",
+    rf"""
+    WITH i AS (SELECT item_id, regexp_extract_all({ASCII_LOWER}, '{ALNUM}') AS ws FROM benchmark),
+    k AS (SELECT item_id, ws, least(len(ws), 10) AS k FROM i WHERE len(ws) > 0),
+    iw AS (SELECT DISTINCT item_id, k, ws[a:a + k - 1] AS w FROM (SELECT item_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS a FROM k)),
+    d AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '{ALNUM}') AS ws FROM documents),
+    dw AS (SELECT doc_id, s.k AS k, a, ws[a:a + s.k - 1] AS w
+           FROM (SELECT doc_id, ws, s, unnest(range(1, len(ws) - s.k + 2)) AS a
+                 FROM d, (SELECT DISTINCT {{'k': k}} AS s FROM k))),
+    m AS (SELECT doc_id, a, k, item_id FROM dw JOIN iw USING (k, w)),
+    h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(a, a + k)) AS p FROM m) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
+    SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
+)
+def op5(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
+@R.add("op6_viterbi_token_counts")
+def op6(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+@R.add("op7_token_files")
+def op7(spark, sf_dir):
+    return token_files(table(spark, sf_dir, "documents"))
+
+
 @R.add(
     "op8_exact_dedup",
     r"""
