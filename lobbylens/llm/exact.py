@@ -24,9 +24,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Only the last key of a batch is held back, so memory is one batch whatever the run.
     """
-    held = None
+    held, names = None, [f.split()[0] for f in MERGED.split(", ")]
     for batch in batches:
-        table = pa.Table.from_batches([batch])
+        table = pa.table(batch.columns, names)  # every column may be null, in all batches alike
         if held is not None:
             table = pa.concat_tables([held, table])
         if not table.num_rows:
