@@ -162,7 +162,7 @@ def filter_bits(df: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarr
     words = (
         df.select(spots.alias("spot"))
         .groupBy(F.shiftright("spot", 6).alias("word"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.col("spot").bitwiseAND(F.lit(63)).cast("int"))).alias("set"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63L AS int)))").alias("set"))
         .toArrow()
     )
     out = np.zeros(1 << (bits - 6), np.int64)

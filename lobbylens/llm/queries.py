@@ -6,7 +6,9 @@ from string import ascii_lowercase, ascii_uppercase
 
 from lobbylens.llm.decontaminate import contamination
 from lobbylens.llm.exact import exact_groups
+from lobbylens.llm.jaccard import near_duplicates
 from lobbylens.llm.packing import pack
+from lobbylens.llm.repeats import without_repeats
 from lobbylens.llm.shards import hilbert_shards
 from lobbylens.llm.tokenfiles import token_files
 from lobbylens.llm.viterbi import token_counts
@@ -16,6 +18,7 @@ from lobbylens.sources.tables import table
 R = Registry()
 
 ASCII_LOWER = f"translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}')"
+WORD = r"[^\x20\x09-\x0D]+"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -24,6 +27,42 @@ def op1(spark, sf_dir):
     return hilbert_shards(table(spark, sf_dir, "documents"))
 
 
+@R.add(
+    "op3_ngram_jaccard_join",
+    rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '{WORD}') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(ws[a:a + 4], ' ') AS g
+          FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS a FROM d WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+    FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
+    """,
+)
+def op3(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@R.add(
+    "op4_lempel_ziv_repeats",
+    rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+    w AS (SELECT doc_id, a, md5(array_to_string(ws[a:a + 49], ' ')) AS t
+          FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS a FROM d)),
+    f AS (SELECT t, min(doc_id) AS first FROM w GROUP BY t),
+    h AS (SELECT DISTINCT doc_id, unnest(range(a, a + 50)) AS p FROM w JOIN f USING (t) WHERE first < doc_id),
+    v AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM d),
+    k AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS kept FROM v ANTI JOIN h USING (doc_id, p) GROUP BY doc_id)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, len(ws) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id)
+    """,
+)
+def op4(spark, sf_dir):
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 @R.add(
     "op5_winnowing_decontamination",
     rf"""
