@@ -7,7 +7,9 @@ from string import ascii_lowercase, ascii_uppercase
 from lobbylens.llm.decontaminate import contamination
 from lobbylens.llm.exact import exact_groups
 from lobbylens.llm.jaccard import near_duplicates
+from lobbylens.llm.language import identify_languages
 from lobbylens.llm.packing import pack
+from lobbylens.llm.quality import quality_scores
 from lobbylens.llm.repeats import without_repeats
 from lobbylens.llm.shards import hilbert_shards
 from lobbylens.llm.tokenfiles import token_files
@@ -27,6 +29,11 @@ def op1(spark, sf_dir):
     return hilbert_shards(table(spark, sf_dir, "documents"))
 
 
+@R.add("op2_neighbour_quality")
+def op2(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @R.add(
     "op3_ngram_jaccard_join",
     rf"""
@@ -116,5 +123,10 @@ def op9(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+@R.add("op10_ecoc_language")
+def op10(spark, sf_dir):
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def collect() -> tuple[dict, dict]:
     return R.queries, R.oracles
