@@ -113,10 +113,9 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end
     The driver holds the histogram (at most `sequence` rows) and the slots made from it.
     """
     spark = docs.sparkSession
-    pieces = ranked(
-        pieces_of(docs, path or vocabulary("word_bpe_49k.json"), sequence, end_id),
-        ["length", "doc_id", "start", "ids_crc32", "doc_tokens"], "pieces",
-    )
+    # Written before they are ordered: range partitioning reads its input twice.
+    pieces = stash(pieces_of(docs, path or vocabulary("word_bpe_49k.json"), sequence, end_id), "pieces")
+    pieces = ranked(pieces, ["length", "doc_id", "start", "ids_crc32", "doc_tokens"], "ranked-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = plan_slots(histogram, sequence)
     table = slot_table(spark, slots)
