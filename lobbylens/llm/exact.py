@@ -74,7 +74,8 @@ def merged_runs(rows: DataFrame, partitions: int, radix_bits: int = RADIX_BITS)
 def exact_groups(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """Group documents whose texts are equal after deleting [\\x20\\x09-\\x0D].
 
-    Returns one row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+    Returns one row per input row: doc_id, keep_id, group_size, kept, text_sha256, key
+    (xxhash64 of the text).
     Of a group the row with most code points stays, then the smallest doc_id, then (for
     repeated rows) one of them, so exactly one row per group has kept = true.
     Equality is SHA-256 of the normalised text, held against its length and a second hash at
@@ -88,10 +89,12 @@ def exact_groups(docs: DataFrame, partitions: int | None = None) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.char_length(text).alias("n_chars"),
         F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "").alias("bare"),
+        F.xxhash64("text").alias("key"),
     )
     rows = stash(
         bare.select(
             "doc_id",
+            "key",
             F.unhex(F.sha2(F.col("bare"), 256)).alias("sha"),
             F.octet_length("bare").alias("size"),
             F.xxhash64("bare").alias("check"),
@@ -114,5 +117,5 @@ def exact_groups(docs: DataFrame, partitions: int | None = None) -> DataFrame:
         F.coalesce("g_copies", F.lit(1).cast("long")).alias("group_size"),
         F.coalesce(F.col("row") == F.col("g_row"), F.lit(True)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
-        "row",
+        "key",
     )

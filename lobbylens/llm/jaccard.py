@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lobbylens.llm.common import filter_bits, gram_hashes, in_filter, signed, stash, texts, word_hashes
+from lobbylens.llm.common import filter_bits, gram_hashes, in_filter, null_last, signed, stash, texts, word_hashes
 from lobbylens.llm.graph import components
 
 #: Words of a shingle; the similarity is at least PART / WHOLE.
@@ -49,14 +49,14 @@ def _least_overlap(n: int) -> int:
     return -(-n * PART // WHOLE)
 
 
-PROFILE = "doc_id long, fp long, n int, profile array<smallint>, cell int, seen long"
+PROFILE = "doc_id long, key long, fp long, n int, profile array<smallint>, cell int, seen long"
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, then the partition's shingle counts per cell of the sketch."""
     cells = np.zeros(1 << SKETCH_BITS, np.int64)
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("profile", pa.list_(pa.int16())),
+        [("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("profile", pa.list_(pa.int16())),
          ("cell", pa.int32()), ("seen", pa.int64())]
     )
     for batch in batches:
@@ -69,12 +69,12 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.bincount((shingles & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
             profiles.append(np.minimum(counts, CLASS_LIMIT).astype(np.int16))
         n = batch.num_rows
-        columns = [batch.column("doc_id"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()),
+        columns = [batch.column("doc_id"), batch.column("key"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()),
                    pa.array(profiles, pa.list_(pa.int16())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
     full = np.flatnonzero(cells)
     columns = [pa.nulls(full.size, f.type) for f in schema]
-    columns[4], columns[5] = pa.array(full, pa.int32()), pa.array(cells[full], pa.int64())
+    columns[5], columns[6] = pa.array(full, pa.int32()), pa.array(cells[full], pa.int64())
     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
@@ -189,7 +189,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Sets are the distinct 5-word shingles (words of [^\\x20\\x09-\\x0D]+, A-Z lower-cased) of
     the whole text; a text of fewer words is one shingle, one without words has none and is
     linked with nothing. Returns one row per input row: doc_id, n_shingles, component_id
-    (smallest doc_id reachable by links, itself included). Null texts are empty; repeated rows
+    (smallest doc_id reachable by links, itself included), key (xxhash64 of the text) and kept
+    (one document of each component; rows equal in doc_id and text share the mark). Null texts are empty; repeated rows
     and equal sets share a node; null doc_ids count last (null only if all are); an empty table
     gives an empty result; further columns are not read.
 
@@ -202,9 +203,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
        member and leader, and no link between components is missed.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     profiles = stash(docs.mapInArrow(_profiles, PROFILE), "profiles")
-    classes = profiles.where("n IS NOT NULL").select("doc_id", "fp", "n", "profile")
+    classes = profiles.where("n IS NOT NULL").select("doc_id", "key", "fp", "n", "profile")
     counted = profiles.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("seen")).toArrow()
     cells = np.zeros(1 << SKETCH_BITS, np.int64)
     cells[counted["cell"].to_numpy()] = counted["seen"].to_numpy()
@@ -250,10 +251,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         comps = stash(components(links.union(more)), "components")
 
     # Smallest doc_id of each component, by way of its nodes.
-    whole = classes.select("doc_id", "fp", F.col("n").cast("long").alias("n_shingles"))
+    whole = classes.select("doc_id", "key", "fp", F.col("n").cast("long").alias("n_shingles"))
     filled = whole.where("n_shingles > 0").join(comps, F.col("fp") == F.col("node"), "left")
-    filled = stash(filled.select("doc_id", "n_shingles", F.coalesce("comp", "fp").alias("comp")), "classes")
-    lowest = stash(filled.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("docs")), "lowest")
-    linked = filled.join(lowest, "comp").select("doc_id", "n_shingles", "component_id")
-    empty = whole.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(empty)
+    filled = stash(filled.select("doc_id", "key", "n_shingles", F.coalesce("comp", "fp").alias("comp")), "classes")
+    low = F.min(F.struct(null_last("doc_id").alias("ord"), F.col("key").alias("low_key"), F.col("doc_id").alias("low_id")))
+    lowest = stash(filled.groupBy("comp").agg(low.alias("low"), F.count("*").alias("docs")).select("comp", "low.*"), "lowest")
+    linked = filled.join(lowest, "comp").select(
+        "doc_id", "n_shingles", F.col("low_id").alias("component_id"), "key",
+        (F.col("doc_id").eqNullSafe(F.col("low_id")) & (F.col("key") == F.col("low_key"))).alias("kept"),
+    )
+    empty = whole.where("n_shingles = 0")
+    return linked.union(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "key", F.lit(True)))

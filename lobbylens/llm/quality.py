@@ -123,16 +123,14 @@ def _map_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(vectors, pa.binary())], names=["quality", "vector"])
 
 
-def _map_scores(model, threshold: float):
+def _map_scores(model, names: list[str], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(lo, BLOCK)
                 scores = model.value.scores(np.vstack([features(t) for t in texts(part, "_text")])).astype(np.float64)
                 columns = [pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
-                rest = [i for i, name in enumerate(part.schema.names) if name != "_text"]
-                names = [part.schema.names[i] for i in rest]
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in rest], *columns], names=[*names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=names)
 
     return run
 
@@ -166,17 +164,16 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> M
     return fit(x, table["quality"].to_numpy(), counts.get(1, 0) / total)
 
 
-def score_quality(docs: DataFrame, model: Model, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Add score and predicted to the named columns (default doc_id) of every document."""
-    keep = ["doc_id"] if keep is None else keep
+def score_quality(docs: DataFrame, model: Model, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """The named narrow columns of every document with score and predicted."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(_map_scores(sent, threshold), f"{fields}, score double, predicted int")
+    rows = docs.select(F.col("text").alias("_text"), *keep)
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[1:]] + ["score double", "predicted int"]
+    return rows.mapInArrow(_map_scores(sent, [f.split()[0] for f in fields], threshold), ", ".join(fields))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Quality of every document: doc_id, held_out, score, predicted.
+    """Quality of every document: doc_id, held_out, key (xxhash64 of the text), score, predicted.
 
     Labels are learned outside the held-out fold only; labels, lang, source and doc_id are no
     inputs of a score. score is the share of votes for label 1 among the nearest labelled
@@ -186,5 +183,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     labels every score is 0.5. Repeated rows are scored each; an empty table gives an empty
     result; further columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
-    return score_quality(rows, learn_quality(docs, labels, sample), ["doc_id", "held_out"])
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"), F.xxhash64("text").alias("key")
+    )
+    return score_quality(rows, learn_quality(docs, labels, sample), ["doc_id", "held_out", "key"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
+import corpus_pipeline
 from lobbylens.llm.decontaminate import contamination
 from lobbylens.llm.exact import exact_groups
 from lobbylens.llm.jaccard import near_duplicates
@@ -31,7 +32,7 @@ def op1(spark, sf_dir):
 
 @R.add("op2_neighbour_quality")
 def op2(spark, sf_dir):
-    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("key")
 
 
 @R.add(
@@ -49,7 +50,7 @@ def op2(spark, sf_dir):
     """,
 )
 def op3(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("key", "kept")
 
 
 @R.add(
@@ -115,7 +116,7 @@ def op7(spark, sf_dir):
     """,
 )
 def op8(spark, sf_dir):
-    return exact_groups(table(spark, sf_dir, "documents")).drop("row")
+    return exact_groups(table(spark, sf_dir, "documents")).drop("key")
 
 
 @R.add("op9_histogram_packing")
@@ -128,5 +129,10 @@ def op10(spark, sf_dir):
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+@R.add("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def collect() -> tuple[dict, dict]:
     return R.queries, R.oracles
