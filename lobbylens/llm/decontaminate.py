@@ -115,7 +115,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
             F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit("").cast("binary"), 256).alias("items_sha256"),
             F.lit(False).alias("contaminated"),
         )
-    known = stash(_occurrences(items, families).distinct(), "benchmark-grams")
+    # Items of a window and more are found by their winnowed grams, each shorter one as a whole.
+    fitting = [
+        _occurrences(items.where(F.size("words") >= window if slack else F.size("words") == k), [(k, slack)])
+        for k, slack in families
+    ]
+    known = stash(reduce(DataFrame.unionByName, fitting).distinct(), "benchmark-grams")
     n_known = known.count()
 
     # One pass over all texts: of each document its word count and its kept grams that the
