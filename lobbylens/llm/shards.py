@@ -42,7 +42,7 @@ def with_hilbert(df: DataFrame, names: list[str], bits: int = BITS) -> DataFrame
     # Undo the excess turns from the highest bit down.
     turn = "if((x[s.i] & s.q) <> 0, s.q - 1, (x[0] ^ x[s.i]) & (s.q - 1))"
     turned = f"CASE WHEN k = 0 OR (k = s.i AND (x[s.i] & s.q) = 0) THEN v ^ ({turn}) ELSE v END"
-    undo = f"aggregate(array({steps(1)}), _cells, (x, s) -> transform(x, (v, k) -> {turned}))"
+    undo = f"aggregate(array({steps(1)}), _cells, (x, s) -> transform(x, (v, k) -> {turned}))" if bits > 1 else "_cells"
     # Gray code: running xor over the dimensions, then one flip mask from the last of them.
     gray = "slice(aggregate(_turned, array(0L), (a, v) -> concat(a, array(element_at(a, -1) ^ v))), 2, 99)"
     levels = ", ".join(f"{1 << b}L" for b in range(bits - 1, 0, -1)) or "0L"
