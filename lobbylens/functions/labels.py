@@ -153,8 +153,7 @@ def clock_label(seconds: Column, minute_digits: int = 1) -> Column:
 def url_set_param(url: Column, key: str, value: Column) -> Column:
     """Drop every `key` pair of the query, append one, keep the rest in order."""
     bare = F.split_part(url, F.lit("#"), F.lit(1))
-    has_fragment = F.instr(url, "#") > 0
-    fragment = F.when(has_fragment, F.substring_index(url, "#", -1))
+    fragment = F.when(F.instr(url, "#") > 0, F.substr(url, F.length(bare) + 2))
     base = F.split_part(bare, F.lit("?"), F.lit(1))
     query = F.substr(bare, F.length(base) + 2)
     kept = F.filter(

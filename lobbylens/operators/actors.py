@@ -62,12 +62,13 @@ def resolve_team(
 
 
 def resolve_links(
-    links: DataFrame, cars: DataFrame, records: DataFrame, max_rounds: int = 16
+    links: DataFrame, cars: DataFrame, records: DataFrame
 ) -> DataFrame:
     """Car -> player record over `links(src, dst)`: a component `src` refers to `dst`.
 
-    A car belongs to a record that refers to it, or that one of its components
-    also refers to, or, failing that, to whatever its components lead to next.
+    A car belongs to a record that refers to it or that it refers to itself, or that
+    one of its components also refers to, or, failing that, to whatever its
+    components lead to next, however far. Rounds go on until none finds a new node.
     Each node keeps only its best (distance, record) pair, ties to the smaller
     record, so a round costs two combining aggregations over the links, with no
     pairs listed per node. The state is checkpointed after each round, and a
@@ -98,7 +99,7 @@ def resolve_links(
     shared = at_src(named).select(F.col("dst").alias("node"), F.lit(2).alias("distance"), "record")
     frontier = materialize(_best(direct.unionByName(shared).join(known, "node", "left_anti")))
     best = frontier
-    for _ in range(max_rounds - 1):
+    while not frontier.isEmpty():
         reached = (
             at_dst(frontier.withColumnRenamed("node", "dst"))
             .groupBy("src")
@@ -108,11 +109,12 @@ def resolve_links(
             F.col("dst").alias("node"), (F.col("b.distance") + 2).alias("distance"), F.col("b.record").alias("record")
         )
         frontier = materialize(_best(found.join(best, "node", "left_anti").join(known, "node", "left_anti")))
-        if frontier.isEmpty():
-            break
         best = best.unionByName(frontier)
+    # A car's own link to a record counts for that car only, not for what leads to it.
+    own = named.select(F.col("src").alias("node"), F.lit(1).alias("distance"), "record")
+    own = own.join(cars.select(F.col("id").alias("node")).distinct(), "node", "left_semi").join(known, "node", "left_anti")
     return cars.select(F.col("id").alias("car")).join(
-        best.withColumnRenamed("node", "car"), "car", "left"
+        _best(best.unionByName(own)).withColumnRenamed("node", "car"), "car", "left"
     )
 
 

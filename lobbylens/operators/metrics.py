@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lobbylens.functions import ladder, losses
-from lobbylens.operators.scan import ROW_CHUNK, Fold, prefix_scan, span
+from lobbylens.operators.scan import numbered
 
 WATCHED_RANKS = ("bronze-1", "grand-champion-3", "supersonic-legend")
 ALERT_RISE = 0.25
@@ -82,8 +82,7 @@ def tail_guard(current: DataFrame, baseline: DataFrame) -> DataFrame:
 def lobby_index(players: DataFrame) -> DataFrame:
     """0-based position of each lobby in replay order, without a global sort."""
     lobbies = players.select("replay_id").distinct()
-    fold = Fold("lobby", "count", F.lit(1), exclusive=True)
-    return prefix_scan(lobbies, [], ["replay_id"], [fold], span("replay_id", ROW_CHUNK))
+    return numbered(lobbies, [], ["replay_id"], "lobby")
 
 
 def validation_loss(players: DataFrame, batch_size: int) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,34 +22,49 @@ MEAN_INDICES = (18, 19, 20)
 def segment_features(
     vectors: DataFrame,
     keys: Sequence[str],
+    length: int,
     last: Sequence[int] = LAST_INDICES,
     mean: Sequence[int] = MEAN_INDICES,
 ) -> DataFrame:
-    """x0.. per segment; the bias is left to the fit."""
+    """x0.. per segment of `length` frames; the bias is left to the fit.
+
+    The one segment of a shorter game counts its last frame as often as it takes.
+    """
     value = [F.get("features", F.lit(i)) for i in (*last, *mean)]
-    aggregates = [F.max_by(x, "rn") for x in value[: len(last)]] + [F.avg(x) for x in value[len(last):]]
+    missing = F.lit(length) - F.count(F.lit(1))
+    aggregates = [F.max_by(x, "rn") for x in value[: len(last)]] + [
+        (F.sum(x) + missing * F.max_by(x, "rn")) / length for x in value[len(last):]
+    ]
     return vectors.groupBy(*keys).agg(*(a.alias(f"x{i}") for i, a in enumerate(aggregates)))
 
 
 def normal_equations(df: DataFrame, xs: Sequence[Column], y: Column, ridge: float) -> DataFrame:
-    """One row: `xtx` (row-major, ridge on every diagonal cell) and `xty`.
+    """One row: `xtx` (row-major, ridge on every diagonal cell) and `xty`. NULL counts as 0.
 
-    Products are summed in one aggregate, so only a fixed number of sums
-    leaves each task.
+    Each task multiplies its rows in blocks and sends a fixed number of sums.
     """
     n = len(xs)
-    cells = {(i, j): F.sum(xs[i] * xs[j]) for i in range(n) for j in range(i, n)}
-    sums = df.agg(
-        *(c.alias(f"a{i}_{j}") for (i, j), c in cells.items()), *(F.sum(xs[i] * y).alias(f"b{i}") for i in range(n))
+    zero = F.lit(0.0)
+    rows = df.select(
+        F.array(*(F.coalesce(x.cast("double"), zero) for x in (*xs, y))).alias("row")
     )
 
-    def cell(i: int, j: int) -> Column:
-        value = F.coalesce(F.col(f"a{min(i, j)}_{max(i, j)}"), F.lit(0.0))
-        return value + F.lit(ridge) if i == j else value
-
-    return sums.select(
-        F.array(*(cell(i, j) for i in range(n) for j in range(n))).alias("xtx"),
-        F.array(*(F.coalesce(F.col(f"b{i}"), F.lit(0.0)) for i in range(n))).alias("xty"),
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n + 1))
+        for batch in batches:
+            block = batch.column("row").flatten().to_numpy().reshape(-1, n + 1)
+            total += block[:, :n].T @ block
+        yield pa.RecordBatch.from_pydict({"cell": np.arange(total.size, dtype=np.int32), "value": total.ravel()})
+
+    sums = rows.mapInArrow(partial, "cell int, value double")
+    none = df.sparkSession.range(n * (n + 1)).select(F.col("id").cast("int").alias("cell"), zero.alias("value"))
+    sums = sums.unionByName(none).groupBy("cell").agg(F.sum("value").alias("value"))
+    # n * (n + 1) cells, whatever the rows.
+    cells = sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "value"))), lambda c: c["value"]).alias("m"))
+    diagonal = f"CASE WHEN k DIV {n} = k % {n} THEN {float(ridge)!r}D ELSE 0.0D END"
+    return cells.select(
+        F.expr(f"transform(sequence(0, {n * n - 1}), k -> m[cast(k DIV {n} AS int) * {n + 1} + k % {n}] + {diagonal})").alias("xtx"),
+        F.expr(f"transform(sequence(0, {n - 1}), k -> m[k * {n + 1} + {n}])").alias("xty"),
     )
 
 
@@ -97,34 +113,59 @@ def verdict(rows: DataFrame, pred: str, y: str, train_mean: Column) -> DataFrame
     )
 
 
+# (n, slots, frames, features) -> (n, slots): all players of a lobby at once.
 Scorer = Callable[[np.ndarray], np.ndarray]
+# Lobby segments of one call of the scorer: about 60 MB at 300 frames and 106 features.
+SCORE_BATCH = 32
 
 
 def linear_scorer(
-    weights: Sequence[float], last: Sequence[int] = LAST_INDICES, mean: Sequence[int] = MEAN_INDICES
+    weights: Sequence[float],
+    last: Sequence[int] = LAST_INDICES,
+    mean: Sequence[int] = MEAN_INDICES,
+    lobby_share: float = 0.0,
 ) -> Scorer:
-    """The probe as a scorer on an (n, frames, features) block."""
+    """The probe as a scorer; each score is drawn to the lobby's mean by lobby_share."""
     w = np.asarray(weights, dtype=float)
 
     def score(block: np.ndarray) -> np.ndarray:
-        x = np.concatenate(
-            [block[:, -1, list(last)], block[:, :, list(mean)].mean(axis=1), np.ones((len(block), 1))], axis=1
-        )
-        return x @ w
+        ones = np.ones((*block.shape[:2], 1))
+        own = np.concatenate([block[:, :, -1, list(last)], block[:, :, :, list(mean)].mean(axis=2), ones], axis=2) @ w
+        return own + lobby_share * (own.mean(axis=1, keepdims=True) - own)
 
     return score
 
 
-def score_segments(segments: DataFrame, scorer: Scorer, keys: Sequence[str]) -> DataFrame:
-    """Score packed segments in Arrow batches: one call of the scorer per batch."""
+def score_lobbies(segments: DataFrame, scorer: Scorer, keys: Sequence[str], slots: int = 6) -> DataFrame:
+    """Score packed segments, the slots of a lobby together; one row per key and slot.
+
+    `segments` has keys, slot and frames, at most one row per slot; a missing slot is all zeros and
+    gets no row. A lobby segment is one block of bounded size; a call of the scorer sees
+    SCORE_BATCH of them.
+    """
     keys = list(keys)
+    lobbies = segments.groupBy(*keys).agg(F.collect_list(F.struct("slot", "frames")).alias("players"))
     fields = ", ".join(f"{c} {t}" for c, t in segments.select(*keys).dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch) == 0:
-                continue
-            block = np.stack([np.stack(f) for f in batch["frames"]]).astype(float)
-            yield batch[keys].assign(pred_mmr=scorer(block))
-
-    return segments.select(*keys, "frames").mapInPandas(run, f"{fields}, pred_mmr double")
+            for lo in range(0, batch.num_rows, SCORE_BATCH):
+                part = batch.slice(lo, SCORE_BATCH)
+                players = part.column("players")
+                rows = players.flatten()
+                lobby = players.value_parent_indices().to_numpy()
+                slot = rows.field("slot").to_numpy()
+                frames = rows.field("frames")
+                width = len(frames[0][0]) if len(frames) else 0
+                length = len(frames[0]) if len(frames) else 0
+                if frames.flatten().flatten().null_count or len(frames.flatten().flatten()) != len(rows) * length * width:
+                    raise ValueError("segments must have the same numbers of frames and features")
+                block = np.zeros((part.num_rows, slots, length, width))
+                block[lobby, slot] = frames.flatten().flatten().to_numpy().reshape(len(rows), length, width)
+                scores = scorer(block)[lobby, slot]
+                head = [part.column(k).take(pa.array(lobby)) for k in keys]
+                yield pa.RecordBatch.from_arrays(
+                    [*head, pa.array(slot, pa.int32()), pa.array(scores, pa.float64())], names=[*keys, "slot", "pred_mmr"]
+                )
+
+    return lobbies.mapInArrow(run, f"{fields}, slot int, pred_mmr double")

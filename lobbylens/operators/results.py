@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lobbylens.functions import labels, ladder
-from lobbylens.operators.scan import exact_median
 
 SUSPICION_MARGIN = 200.0
 NO_PREDICTION = 1000.0
@@ -44,8 +43,10 @@ def segment_means(predictions: DataFrame, players: DataFrame) -> DataFrame:
 
 
 def segment_medians(predictions: DataFrame) -> DataFrame:
-    """Midpoint median over a player's segments, however many there are."""
-    medians = exact_median(predictions, ["replay_id", "slot"], "pred_mmr", "median_mmr")
+    """Midpoint median over a player's segments: those of one match, so one shuffle does."""
+    medians = predictions.where(F.col("pred_mmr").isNotNull()).groupBy("replay_id", "slot").agg(
+        F.median("pred_mmr").alias("median_mmr"), F.count(F.lit(1)).alias("n")
+    )
     return medians.withColumn("division_idx", ladder.band_index(F.col("median_mmr")))
 
 

@@ -17,15 +17,12 @@ from pyspark.sql import functions as F
 
 from lobbylens.functions import ladder
 from lobbylens.operators.catalog import DOWNLOADED, PENDING
-from lobbylens.operators.scan import ROW_CHUNK, Fold, prefix_scan, row_index, span
+from lobbylens.operators.scan import numbered
 from lobbylens.session import materialize
 
 RANKED = ladder.RANK_COUNT - 1
 SEGMENTS_PER_REPLAY = 3
 SEGMENTS_PER_RANK = 15
-HASH_DIGITS = 4
-# Largest limit that spark.sql.optimizer.windowGroupLimitThreshold pushes down by default.
-GROUP_LIMIT = 1000
 
 
 def oldest_pending(replays: DataFrame, n: int, rank: str | None = None) -> DataFrame:
@@ -36,25 +33,23 @@ def oldest_pending(replays: DataFrame, n: int, rank: str | None = None) -> DataF
 
 
 def first_k(
-    rows: DataFrame, group: Sequence[str], order: Sequence[str | Column], k: int, chunk: Column | None = None
+    rows: DataFrame, group: Sequence[str], order: Sequence[str | Column], k: int
 ) -> DataFrame:
-    """First k rows of each group.
+    """First k rows of each group, for any k, group size and type of order.
 
-    Spark applies a small row_number limit before the shuffle as well, so a group
-    of any size sends at most k rows per task. Beyond GROUP_LIMIT it does not;
-    then positions come from the chunked scan, for which `chunk` cuts the order.
+    Positions come from ranges of (group, order), so neither a large group nor a large k
+    meets in one task.
     """
-    if k > GROUP_LIMIT and chunk is not None:
-        return row_index(rows, group, list(order), "_n", chunk).where(F.col("_n") < k).drop("_n")
-    ranked = rows.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
-    return ranked.where(F.col("_n") <= k).drop("_n")
+    return numbered(rows, group, order, "_n").where(F.col("_n") < k).drop("_n")
 
 
 def stratified_sample(replays: DataFrame, n: int) -> DataFrame:
-    """The lowest ids, the same number from each ranked tier, n in all."""
+    """The lowest ids of downloaded replays, the same number from each ranked tier, n in all."""
     per_rank = -(-n // RANKED)
-    ranked = replays.where((F.col("rank_index") >= 1) & (F.col("rank_index") <= RANKED))
-    return first_k(ranked, ["rank_index"], ["id"], per_rank, span("id", ROW_CHUNK)).orderBy("id").limit(n)
+    ranked = replays.where(
+        (F.col("rank_index") >= 1) & (F.col("rank_index") <= RANKED) & (F.col("download_status") == DOWNLOADED)
+    )
+    return first_k(ranked, ["rank_index"], ["id"], per_rank).orderBy("id").limit(n)
 
 
 def longest_groups(segments: DataFrame) -> DataFrame:
@@ -95,11 +90,7 @@ def order_hash(seed: int, row_id: Column) -> Column:
 def shuffled(rows: DataFrame, row_id: str, seed: int, position: str = "position") -> DataFrame:
     """Position of each row in the hash order. Ids are unique."""
     hashed = rows.withColumn("_hash", order_hash(seed, F.col(row_id)))
-    bucket = F.conv(F.substr("_hash", F.lit(1), F.lit(HASH_DIGITS)), 16, 10).cast("int")
-    fold = Fold(position, "count", F.lit(1), exclusive=True)
-    return prefix_scan(hashed, [], ["_hash", row_id], [fold], chunk=bucket).drop("_hash").withColumn(
-        position, F.col(position).cast("bigint")
-    )
+    return numbered(hashed, [], ["_hash", row_id], position).drop("_hash")
 
 
 def oversample(rows: DataFrame, factors: DataFrame, row_id: str, seed: int) -> DataFrame:
@@ -111,7 +102,7 @@ def oversample(rows: DataFrame, factors: DataFrame, row_id: str, seed: int) -> D
         .where(F.col("copy") <= F.col("factor"))
     )
     named = repeated.withColumn("_copy_id", F.concat_ws("/", F.col(row_id).cast("string"), F.col("copy").cast("string")))
-    # The scan reads its input twice; the input is costlier than writing it once.
+    # Range partitioning reads its input twice; the input is costlier than writing it once.
     return shuffled(materialize(named), "_copy_id", seed).drop("_copy_id", "factor")
 
 
@@ -122,12 +113,7 @@ def sticky_split(replays: DataFrame, ratio: float, seed: int) -> DataFrame:
     """
     open_rows = replays.where(F.col("dataset_split").isNull() & (F.col("download_status") == DOWNLOADED))
     hashed = open_rows.select("id").withColumn("_hash", order_hash(seed, F.col("id")))
-    bucket = F.conv(F.substr("_hash", F.lit(1), F.lit(HASH_DIGITS)), 16, 10).cast("int")
-    folds = [
-        Fold("_position", "count", F.lit(1), exclusive=True),
-        Fold("_total", "count", F.lit(1), whole=True),
-    ]
-    placed = prefix_scan(hashed, [], ["_hash", "id"], folds, chunk=bucket)
+    placed = numbered(hashed, [], ["_hash", "id"], "_position", total="_total")
     quota = F.round(F.col("_total") * F.lit(float(ratio)))
     fresh = placed.select(
         "id", F.when(F.col("_position") < quota, F.lit("training")).otherwise(F.lit("evaluation")).alias("_new")
@@ -137,12 +123,8 @@ def sticky_split(replays: DataFrame, ratio: float, seed: int) -> DataFrame:
 
 
 def tail_split(rows: DataFrame, order: str, fraction: float, flag: str = "is_validation") -> DataFrame:
-    """The last floor(n * fraction) rows, at least one, are held out."""
-    folds = [
-        Fold("_i", "count", F.lit(1), exclusive=True),
-        Fold("_n", "count", F.lit(1), whole=True),
-    ]
-    scanned = prefix_scan(rows, [], [order], folds, span(order, ROW_CHUNK))
+    """The last floor(n * fraction) rows, at least one, are held out. NULL orders come first."""
+    scanned = numbered(rows, [], [order], "_i", total="_n")
     held = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(fraction)))
     return scanned.withColumn(flag, F.col("_i") >= F.col("_n") - held).drop("_i", "_n")
 
@@ -157,8 +139,7 @@ def mixed_lobbies(
     no lobbies.
     """
     wanted = rows.where(F.col("rank_index").isin(*ranks))
-    fold = Fold("_ordinal", "count", F.lit(1), exclusive=True)
-    numbered = prefix_scan(wanted, ["rank_index"], [order], [fold], span(order, ROW_CHUNK))
+    placed = numbered(wanted, ["rank_index"], [order], "_ordinal")
     sizes = wanted.groupBy("rank_index").agg(F.count(F.lit(1)).alias("_size"))
     sizes = sizes.withColumn("_ranks", F.count(F.lit(1)).over(W.partitionBy(F.lit(0)))).where(F.col("_ranks") >= 2)
     slots = F.array(*(F.lit(r) for r in ranks))
@@ -170,7 +151,7 @@ def mixed_lobbies(
         "lobby", "rank_index", F.pmod(number, F.col("_size")).cast("bigint").alias("_ordinal")
     )
     return drawn.join(
-        numbered.withColumn("_ordinal", F.col("_ordinal").cast("bigint")), ["rank_index", "_ordinal"]
+        placed, ["rank_index", "_ordinal"]
     ).drop("_ordinal").withColumn("canonical_mmr", ladder.canonical_mmr(F.col("rank_index")))
 
 

@@ -6,7 +6,9 @@ own task, the per-chunk totals (one row per key and chunk) are folded across
 chunks, and the carried-in value is joined back on (key, chunk). Rows are
 shuffled once, by (key, chunk), whatever the size of the largest key. A chunk
 holds at most as many rows as its span of the order column, because order
-columns are unique within a key. Key columns must not be NULL.
+columns are unique within a key. A NULL order sorts first and stays; a NULL key
+raises an error. `numbered` needs no span: it cuts any order, of any type, where
+the data lie.
 """
 
 from __future__ import annotations
@@ -18,9 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lobbylens.session import run_folder
+
 FRAME_CHUNK = 1 << 16
 ROW_CHUNK = 1 << 20
 CHUNK = "_chunk"
+# Before every chunk of a whole-number order: rows whose order is NULL.
+NULL_CHUNK = -(1 << 62)
 
 
 @dataclass(frozen=True)
@@ -94,7 +100,8 @@ def prefix_scan(
     if chunk is None and CHUNK in df.columns:
         chunked = df
     else:
-        chunked = df.withColumn(CHUNK, span(order[0]) if chunk is None else chunk)
+        cut = span(order[0]) if chunk is None else chunk
+        chunked = df.withColumn(CHUNK, F.coalesce(cut.cast("bigint"), F.lit(NULL_CHUNK)))
     sort = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     position = F.struct(*order)
     part = W.partitionBy(*keys, CHUNK).orderBy(*sort)
@@ -113,8 +120,14 @@ def prefix_scan(
     chunk_sort = F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc()
     before = group.orderBy(chunk_sort).rowsBetween(W.unboundedPreceding, -1)
     everything = group.orderBy(chunk_sort).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    # A join by key would lose rows without one silently.
+    given = [
+        F.when(F.col(k).isNull(), F.raise_error(F.lit(f"NULL in key column {k}")).cast(totals.schema[k].dataType))
+        .otherwise(F.col(k)).alias(k)
+        for k in keys
+    ]
     carried = totals.select(
-        *keys,
+        *given,
         CHUNK,
         *(
             f.carry(F.col(f"_t_{f.name}")).over(everything if f.whole else before).alias(f"_c_{f.name}")
@@ -154,6 +167,52 @@ def _first_in_scan(fold: Fold, position: Column) -> Column:
     return F.min_by(fold.value, F.when(fold.value.isNotNull(), position))
 
 
+def numbered(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    name: str,
+    weight: str | None = None,
+    total: str | None = None,
+) -> DataFrame:
+    """0-based position of each row within its key (`weight`: the weight before it).
+
+    Works for orders of any type and density: rows are cut into ranges of (key, order) by
+    the data themselves, counted per range and key, and the counts are summed up, so a
+    key of any size lies on as many tasks as it needs. NULLs sort first. `total` adds the
+    rows or weight of the whole key.
+    """
+    keys = list(keys)
+    sort = [*(F.col(k) for k in keys), *(F.col(o) if isinstance(o, str) else o for o in order)]
+    path = run_folder(df.sparkSession, "numbered")
+    laid = df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id())
+    laid.write.parquet(path)
+    laid = df.sparkSession.read.schema(laid.schema).parquet(path).withColumn("_range", F.shiftright("_at", 33))
+    amount = F.col(weight) if weight else F.lit(1)
+    parts = laid.groupBy(*keys, "_range").agg(F.sum(amount).alias("_sum"), F.min("_at").alias("_first"))
+    group = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_range")
+    everything = group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    parts = parts.select(
+        *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)),
+        F.col("_range").alias("_kr"),
+        F.coalesce(F.sum("_sum").over(group.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
+        F.sum("_sum").over(everything).alias("_total"),
+        "_first",
+    )
+    same = F.col("_range") == F.col("_kr")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = laid.join(parts, same)
+    if weight:
+        inside = W.partitionBy(*keys, "_range").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+        place = F.coalesce(F.sum(weight).over(inside), F.lit(0))
+    else:
+        place = F.col("_at") - F.col("_first")
+    return out.select(
+        *df.columns, (F.col("_base") + place).alias(name), *([F.col("_total").alias(total)] if total else [])
+    )
+
+
 def row_index(
     df: DataFrame,
     keys: Sequence[str],
@@ -188,38 +247,27 @@ def order_statistics(
     keys: Sequence[str],
     value: str,
     positions: dict[str, Callable[[Column], Column]],
-    width: float = 1.0,
 ) -> DataFrame:
     """Exact order statistics per key: name -> f(row count) = 0-based position.
 
     Equal values are counted map-side; the distinct values of a key are then
-    ranked in chunks of `width`, so no task sorts a whole group.
+    ranked in ranges cut by the data, so no task sorts a whole group.
     """
     keys = list(keys)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = prefix_scan(
-        counted,
-        keys,
-        [value],
-        [Fold("_upto", "sum", F.col("_n")), Fold("_rows", "sum", F.col("_n"), whole=True)],
-        chunk=F.floor(F.col(value) / F.lit(width)),
-    )
+    ranked = numbered(counted, keys, [value], "_before", weight="_n", total="_rows")
 
     def at(position: Column) -> Column:
-        hit = (position < F.col("_upto")) & (position >= F.col("_upto") - F.col("_n"))
+        hit = (position >= F.col("_before")) & (position < F.col("_before") + F.col("_n"))
         return F.max(F.when(hit, F.col(value)))
 
     picked = [at(f(F.col("_rows"))).alias(name) for name, f in positions.items()]
     return ranked.groupBy(*keys).agg(*picked, F.max("_rows").alias("n"))
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str, width: float = 1.0) -> DataFrame:
-    """Midpoint median per key."""
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Midpoint median per key, for keys of any size."""
     both = order_statistics(
-        df,
-        keys,
-        value,
-        {"_low": lambda n: F.floor((n - 1) / 2), "_high": lambda n: F.floor(n / 2)},
-        width,
+        df, keys, value, {"_low": lambda n: F.floor((n - 1) / 2), "_high": lambda n: F.floor(n / 2)}
     )
     return both.withColumn(name, (F.col("_low") + F.col("_high")) / 2.0).drop("_low", "_high")

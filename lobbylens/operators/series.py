@@ -5,6 +5,7 @@ Rows are keyed by a segment and ordered by a dense, unique 0-based epoch.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -17,48 +18,66 @@ from lobbylens.session import materialize
 EMA_ALPHA = 0.3
 TOP_FRACTION = 0.99
 SUSTAIN = 3
-EMA_CHUNK = 256
+EMA_CHUNK = 1 << 16
+# Largest exponent (base e) of the rescaling inside a chunk.
+RESCALE = 230.0
 
 
-def moving_average(
-    df: DataFrame, keys: Sequence[str], epoch: str, value: str, alpha: float = EMA_ALPHA, name: str = "ema"
-) -> DataFrame:
-    """Exponential moving average that starts at 0, at every epoch.
+def _recurrence(df: DataFrame, keys: Sequence[str], order: str, value: str, decay: float, name: str) -> DataFrame:
+    """Running y(t) = value(t) + decay * y(t - 1) over a dense whole-number order, from 0.
 
-    The recurrence is linear, so within a chunk it is a running sum of rescaled
-    values. Only the last two chunks can still reach a row: what is older has a
-    weight below (1 - alpha)^EMA_CHUNK, far under double precision.
+    Within a chunk y is a running sum of rescaled values; the chunk is as long as the
+    rescaling stays far from overflow, whatever the decay. What the chunks before it
+    add is the same recurrence over the chunk ends, with decay ** length: four chunks reach
+    the end of double precision where that is tiny, else the ends are scanned alike.
     """
     keys = list(keys)
-    decay = 1.0 - alpha
-    place = F.pmod(F.col(epoch), F.lit(EMA_CHUNK))
-    chunked = df.withColumn(CHUNK, span(epoch, EMA_CHUNK))
-    part = W.partitionBy(*keys, CHUNK).orderBy(epoch).rowsBetween(W.unboundedPreceding, W.currentRow)
-    scaled = F.lit(alpha) * F.col(value) * F.pow(F.lit(decay), -place)
-    local = chunked.withColumn("_local", F.sum(scaled).over(part) * F.pow(F.lit(decay), place))
-    ends = chunked.groupBy(*keys, CHUNK).agg(
-        (F.sum(scaled) * F.pow(F.lit(decay), F.max(place))).alias("_end")
-    )
+    length = int(max(2, min(EMA_CHUNK, RESCALE // max(-math.log(decay), 1e-300))))
+    place = F.pmod(F.col(order), F.lit(length))
+    chunked = df.withColumn(CHUNK, span(order, length))
+    part = W.partitionBy(*keys, CHUNK).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    base = F.lit(decay)
+    local = chunked.withColumn("_local", F.sum(F.col(value) * F.pow(base, -place)).over(part) * F.pow(base, place))
+    ends = chunked.groupBy(*keys, CHUNK).agg(F.sum(F.col(value) * F.pow(base, F.lit(length - 1) - place)).alias("_end"))
+    step = decay**length
+    if step < 1e-80:
+        near = W.partitionBy(*keys).orderBy(CHUNK).rangeBetween(-4, -1)
+        weighted = F.transform(
+            F.collect_list(F.struct(CHUNK, "_end")).over(near),
+            lambda e: e["_end"] * F.pow(F.lit(step), F.col(CHUNK) - e[CHUNK] - 1),
+        )
+        ends = ends.select(*keys, CHUNK, F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x).alias("_carried"))
+    else:
+        ends = materialize(ends)  # one row per key and chunk, read by each level
+        whole = _recurrence(ends.withColumnRenamed(CHUNK, "_to"), keys, "_to", "_end", step, "_carried")
+        moved = whole.select(*keys, (F.col("_to") + 1).alias(CHUNK), "_carried")
+        ends = ends.select(*keys, CHUNK).join(moved, [*keys, CHUNK], "left")
+    joined = local.join(ends, [*keys, CHUNK], "left")
+    carried = F.coalesce("_carried", F.lit(0.0)) * F.pow(base, place + 1)
+    return joined.select(*df.columns, (F.col("_local") + carried).alias(name))
 
-    def shifted(chunks: int, column: str) -> DataFrame:
-        return ends.select(*keys, (F.col(CHUNK) + chunks).alias(CHUNK), F.col("_end").alias(column))
 
-    joined = local.join(shifted(1, "_e1"), [*keys, CHUNK], "left").join(shifted(2, "_e2"), [*keys, CHUNK], "left")
-    carried = F.coalesce("_e1", F.lit(0.0)) + F.coalesce("_e2", F.lit(0.0)) * decay**EMA_CHUNK
-    return joined.select(
-        *df.columns, (F.col("_local") + carried * F.pow(F.lit(decay), place + 1)).alias(name)
-    )
+def moving_average(
+    df: DataFrame, keys: Sequence[str], epoch: str, value: str, alpha: float = EMA_ALPHA, name: str = "ema"
+) -> DataFrame:
+    """Exponential moving average that starts at 0, at every epoch, for any alpha in (0, 1]."""
+    if not 0.0 < alpha <= 1.0:
+        raise ValueError("alpha must lie in (0, 1]")
+    if alpha == 1.0:
+        return df.withColumn(name, F.col(value).cast("double"))
+    scaled = df.withColumn("_x", F.lit(alpha) * F.col(value))
+    return _recurrence(scaled, keys, epoch, "_x", 1.0 - alpha, name).drop("_x")
 
 
-def top_flags(df: DataFrame, epoch: str, value: str, fraction: float = TOP_FRACTION, width: float = 1.0) -> DataFrame:
+def top_flags(df: DataFrame, epoch: str, value: str, fraction: float = TOP_FRACTION) -> DataFrame:
     """Mark values at or above the epoch's threshold, sorted[floor(fraction * n)].
 
     An epoch has one row per segment, so it is as large as the data; its
-    threshold comes from the chunked order statistic and is spread back by
+    threshold comes from the order statistic over ranges and is spread back by
     (epoch, row hash).
     """
     cut = order_statistics(
-        df, [epoch], value, {"_threshold": lambda n: F.floor(n * F.lit(fraction))}, width
+        df, [epoch], value, {"_threshold": lambda n: F.floor(n * F.lit(fraction))}
     ).drop("n")
     joined = attach_group(df, cut, [epoch], scatter(*df.columns))
     return joined.withColumn("is_high", F.col(value) >= F.col("_threshold")).drop("_threshold")

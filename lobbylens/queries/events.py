@@ -100,20 +100,18 @@ LINKS = """SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FRO
 RECORDS = "SELECT 's' || s_suppkey AS id FROM supplier WHERE s_nationkey < 3"
 
 
-def _round(prev: str, settled: str, step: int) -> str:
-    return f"""SELECT dst AS node, {2 * step} AS distance, MIN(rec) AS record FROM links JOIN (
-  SELECT src, MIN(record) AS rec FROM links JOIN {prev} p ON p.node = links.dst GROUP BY src) r USING (src)
-  WHERE dst NOT IN (SELECT id FROM records) AND dst NOT IN (SELECT node FROM {settled}) GROUP BY dst"""
-
-
-@R.add("link_resolve", f"""WITH links AS ({LINKS}), records AS ({RECORDS}),
+# Each step repeats all settled nodes and adds those the last ones lead to, until there are none.
+@R.add("link_resolve", f"""WITH RECURSIVE links AS ({LINKS}), records AS ({RECORDS}),
   d1 AS (SELECT dst AS node, 2 AS distance, MIN(rec) AS record FROM links JOIN (SELECT src, MIN(dst) AS rec FROM links
    WHERE dst IN (SELECT id FROM records) GROUP BY src) r USING (src) WHERE dst NOT IN (SELECT id FROM records) GROUP BY dst),
-  d2 AS ({_round('d1', 'd1', 2)}), b2 AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2),
-  d3 AS ({_round('d2', 'b2', 3)}), b3 AS (SELECT * FROM b2 UNION ALL SELECT * FROM d3),
-  d4 AS ({_round('d3', 'b3', 4)}), b4 AS (SELECT * FROM b3 UNION ALL SELECT * FROM d4)
-  SELECT c.car, CAST(b.distance AS INT) AS distance, b.record FROM (SELECT 'p' || p_partkey AS car FROM part) c
-  LEFT JOIN b4 b ON b.node = c.car""")
+  b AS (SELECT 1 AS step, TRUE AS fresh, node, distance, record FROM d1 UNION ALL (
+   WITH nxt AS (SELECT dst AS node, MAX(d) + 2 AS distance, MIN(rec) AS record, MAX(step) AS step FROM links JOIN (
+     SELECT src, MIN(record) AS rec, MAX(distance) AS d, MAX(step) AS step FROM links JOIN b ON b.node = links.dst AND b.fresh GROUP BY src) r
+     USING (src) WHERE dst NOT IN (SELECT id FROM records) AND dst NOT IN (SELECT node FROM b) GROUP BY dst)
+   SELECT step + 1, TRUE, node, distance, record FROM nxt
+   UNION ALL SELECT step + 1, FALSE, node, distance, record FROM b WHERE EXISTS (SELECT 1 FROM nxt)))
+  SELECT c.car, CAST(x.distance AS INT) AS distance, x.record FROM (SELECT 'p' || p_partkey AS car FROM part) c
+  LEFT JOIN (SELECT * FROM b WHERE step = (SELECT MAX(step) FROM b)) x ON x.node = c.car""")
 def link_resolve(spark, sf):
     """Parts as cars, orders as components, some suppliers as player records."""
     line = t.table(spark, sf, "lineitem")
@@ -123,4 +121,4 @@ def link_resolve(spark, sf):
     cars = t.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
     records = t.table(spark, sf, "supplier").where("s_nationkey < 3").select(
         F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
-    return actors.resolve_links(links, cars, records, max_rounds=4)
+    return actors.resolve_links(links, cars, records)

@@ -479,9 +479,11 @@ def incremental_segments(spark, sf):
 
 def probe_sql(cell: str) -> str:
     last = ", ".join(f"MAX_BY({cell.format(i + 1)}, rn) AS x{n}" for n, i in enumerate(range(22, 27)))
-    mean = ", ".join(f"AVG({cell.format(i + 1)}) AS x{n + 5}" for n, i in enumerate((18, 19, 20)))
+    mean = ", ".join(
+        f"(SUM({cell.format(i + 1)}) + (10 - COUNT(*))*MAX_BY({cell.format(i + 1)}, rn))/10 AS x{n + 5}"
+        for n, i in enumerate((18, 19, 20)))
     return f"""SELECT game_id, segment, slot, {last}, {mean} FROM vecs
-  WHERE segment < n_kept // 10 GROUP BY game_id, segment, slot"""
+  WHERE {WHOLE} GROUP BY game_id, segment, slot"""
 
 
 PROBE = probe_sql("vec[{}]")
@@ -491,23 +493,20 @@ PROBE32 = probe_sql("CAST(CAST(vec[{}] AS FLOAT) AS DOUBLE)")
 @R.add("probe_features", chain("SELECT game_id, segment, slot, " + ", ".join(
     f"{q.r6(f'x{i}')} AS x{i}" for i in range(8)) + " FROM pr", *TRAIN, **TRAIN_VECTORS, pr=PROBE))
 def probe_features(spark, sf):
-    rows = whole_vectors(spark, sf)
-    return probe.segment_features(rows, ["game_id", "segment", "slot"]).select(
-        "game_id", "segment", "slot", *(num(F.col(f"x{i}")).alias(f"x{i}") for i in range(8)))
-
-
-def whole_vectors(spark, sf):
     vectors = ft.feature_vectors(training(spark, sf))
-    return vectors.where(F.col("segment") < F.floor(F.col("n_kept") / L))
+    rows = vectors.where(F.col("segment") < tel.segment_count(F.col("n_kept"), L))
+    return probe.segment_features(rows, ["game_id", "segment", "slot"], L).select(
+        "game_id", "segment", "slot", *(num(F.col(f"x{i}")).alias(f"x{i}") for i in range(8)))
 
 
 WEIGHTS = [120.0, -80.0, 240.0, 310.0, -150.0, 95.0, -60.0, 45.0, 700.0]
 
 
-@R.add("batch_score", chain("SELECT game_id, segment, slot, " + q.r6("700.0E0 + " + " + ".join(
-    f"({w}E0)*x{i}" for i, w in enumerate(WEIGHTS[:8]))) + " AS pred_mmr FROM pr", *TRAIN, **TRAIN_VECTORS, pr=PROBE32))
+@R.add("batch_score", chain(f"SELECT game_id, segment, slot, {q.r6('own + 0.25E0*(AVG(own) OVER (PARTITION BY game_id, segment) - own)')} AS pred_mmr FROM (SELECT *, 700.0E0 + "
+                            + " + ".join(f"({w}E0)*x{i}" for i, w in enumerate(WEIGHTS[:8])) + " AS own FROM pr) s",
+                            *INFER, **INFER_VECTORS, pr=PROBE32))
 def batch_score(spark, sf):
-    """Any scorer with the signature (n, L, 106) -> n; here a linear probe."""
-    rows = sg.pack(whole_vectors(spark, sf), L)
-    scored = probe.score_segments(rows, probe.linear_scorer(WEIGHTS), ["game_id", "segment", "slot"])
+    """Any scorer with the signature (n, 6, L, 106) -> (n, 6); here a linear probe drawn to the lobby's mean."""
+    rows = sg.pack(ft.feature_vectors(inference(spark, sf), with_context=False), L)
+    scored = probe.score_lobbies(rows, probe.linear_scorer(WEIGHTS, lobby_share=0.25), ["game_id", "segment"])
     return scored.withColumn("pred_mmr", num(F.col("pred_mmr")))

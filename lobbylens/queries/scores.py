@@ -176,7 +176,7 @@ def collapse_metrics(spark, sf):
                    "pred_std", "pearson_r", "constant_rmse", "lobby_mean_rmse")
 
 
-HIST = """SELECT rank_index, COUNT(true_rank) AS n FROM ranks LEFT JOIN known ON true_rank = rank_index AND rank_index % 5 <> 4 GROUP BY rank_index"""
+HIST = """SELECT rank_index, COUNT(true_rank) AS n FROM ranks LEFT JOIN known ON true_rank = rank_index GROUP BY rank_index"""
 MEDIAN = "SELECT COALESCE(list_sort(LIST(n) FILTER (n > 0))[len(LIST(n) FILTER (n > 0)) // 2 + 1], 1) AS median FROM h"
 FACTOR = """SELECT rank_index, n, CAST(CASE WHEN n = 0 THEN 0 ELSE GREATEST(1, LEAST(4, median // n)) END AS INT) AS factor FROM h CROSS JOIN md"""
 WEIGHT = """SELECT rank_index, n, raw/AVG(raw) OVER () AS weight FROM (SELECT rank_index, n, CASE WHEN n = 0 THEN 1.0E0
@@ -184,8 +184,8 @@ WEIGHT = """SELECT rank_index, n, raw/AVG(raw) OVER () AS weight FROM (SELECT ra
 
 
 def histogram(spark, sf):
-    """Known players by true rank; some ranks are left empty."""
-    rows = metrics.with_ranks(t.lobby_players(spark, sf)).where("true_rank % 5 <> 4")
+    """Known players by true rank."""
+    rows = metrics.with_ranks(t.lobby_players(spark, sf))
     return metrics.rank_histogram(rows.withColumnRenamed("true_rank", "rank_index"))
 
 
@@ -307,7 +307,7 @@ def pending_topk(spark, sf):
 
 
 @R.add("stratified_sample", q.with_ctes("rp", """SELECT id, rank_index FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY rank_index ORDER BY id) AS n
-  FROM rp WHERE rank_index > 0) x WHERE n <= 46 ORDER BY id LIMIT 1000"""))
+  FROM rp WHERE rank_index > 0 AND download_status = 'downloaded') x WHERE n <= 46 ORDER BY id LIMIT 1000"""))
 def stratified_sample(spark, sf):
     return sampling.stratified_sample(t.replays(spark, sf), 1000).select("id", "rank_index")
 
@@ -478,45 +478,52 @@ def label_jitter(spark, sf):
 # --- ridge probe on embeddings ------------------------------------------------------------------------
 
 LAMBDA = 0.5
-DIMS = 8
-X_SQL = "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(DIMS)) + ", 1.0E0 AS x8, CAST(label AS DOUBLE) AS y FROM embeddings"
-XS = [f"x{i}" for i in range(DIMS + 1)]
+DIMS = 64
+BIAS = DIMS
+N = DIMS + 1
+X_SQL = f"""SELECT vec_id, list_append(list_transform(embedding, lambda v: CAST(v AS DOUBLE)), 1.0E0) AS x,
+  CAST(label AS DOUBLE) AS y FROM embeddings"""
+XS = [f"x{i}" for i in range(N)]
+# All cells of the normal equations as rows (i, j, value); column N is the right-hand side.
+CELLS = f"""SELECT i, j, SUM(x[i + 1]*CASE WHEN j = {N} THEN y ELSE x[j + 1] END) + CASE WHEN i = j THEN 0.5E0 ELSE 0 END AS value
+  FROM {{source}}, range({N}) a(i), range({N + 1}) b(j) GROUP BY i, j"""
 
 
 def design(spark, sf):
     return t.table(spark, sf, "embeddings").selectExpr(
-        "vec_id", *(f"cast(embedding[{i}] AS double) AS x{i}" for i in range(DIMS)), "1.0D AS x8", "cast(label AS double) AS y")
+        "vec_id", *(f"cast(embedding[{i}] AS double) AS x{i}" for i in range(DIMS)), f"1.0D AS x{BIAS}",
+        "cast(label AS double) AS y")
 
 
-@R.add("ridge_normal_equations", f"""WITH d AS ({X_SQL}) """ + " UNION ALL ".join(
-    f"SELECT {i} AS i, {j} AS j, {q.r6(f'SUM(x{i}*x{j}) + {LAMBDA if i == j else 0}')} AS value FROM d" for i in range(9) for j in range(9)) +
-    " UNION ALL " + " UNION ALL ".join(f"SELECT {i}, 9, {q.r6(f'SUM(x{i}*y)')} FROM d" for i in range(9)))
+@R.add("ridge_normal_equations", f"""WITH d AS ({X_SQL}), c AS ({CELLS.format(source='d')})
+  SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, {q.r6('value')} AS value FROM c""")
 def ridge_normal_equations(spark, sf):
     system = probe.normal_equations(design(spark, sf), [F.col(x) for x in XS], F.col("y"), LAMBDA)
     cells = F.concat(
-        F.transform("xtx", lambda v, k: F.struct(F.floor(k / 9).cast("int").alias("i"), (k % 9).alias("j"), v.alias("v"))),
-        F.transform("xty", lambda v, k: F.struct(k.alias("i"), F.lit(9).alias("j"), v.alias("v"))))
+        F.transform("xtx", lambda v, k: F.struct(F.floor(k / N).cast("int").alias("i"), (k % N).alias("j"), v.alias("v"))),
+        F.transform("xty", lambda v, k: F.struct(k.alias("i"), F.lit(N).alias("j"), v.alias("v"))))
     return system.select(F.explode(cells).alias("c")).select("c.i", "c.j", num(F.col("c.v")).alias("value"))
 
 
 def _eliminate(source: str) -> str:
-    """Gauss-Jordan on the 9x10 system, one pivot per level (the matrix is positive definite)."""
+    """Gauss-Jordan on the system, one pivot per level (the matrix is positive definite)."""
     return f"""WITH RECURSIVE d AS ({X_SQL}), train AS ({source}),
-  sys AS (SELECT [{', '.join('[' + ', '.join([f'SUM(x{i}*x{j}) + {LAMBDA if i == j else 0}' for j in range(9)] + [f'SUM(x{i}*y)']) + ']' for i in range(9))}] AS m FROM train),
-  g AS (SELECT 1 AS k, m FROM sys UNION ALL SELECT k + 1, list_transform(range(1, 10), lambda r: CASE WHEN r = k
+  cells AS ({CELLS.format(source='train')}),
+  sys AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(value ORDER BY j) AS r FROM cells GROUP BY i) x),
+  g AS (SELECT 1 AS k, m FROM sys UNION ALL SELECT k + 1, list_transform(range(1, {N + 1}), lambda r: CASE WHEN r = k
     THEN list_transform(m[k], lambda v: v/m[k][k])
-    ELSE list_transform(range(1, 11), lambda c: m[r][c] - m[r][k]/m[k][k]*m[k][c]) END) FROM g WHERE k <= 9),
-  sol AS (SELECT list_transform(m, lambda r: r[10]) AS w FROM g WHERE k = 10)"""
+    ELSE list_transform(range(1, {N + 2}), lambda c: m[r][c] - m[r][k]/m[k][k]*m[k][c]) END) FROM g WHERE k <= {N}),
+  sol AS (SELECT list_transform(m, lambda r: r[{N + 1}]) AS w FROM g WHERE k = {N + 1})"""
 
 
-@R.add("ridge_weights", _eliminate("SELECT * FROM d") + f" SELECT CAST(i AS INT) AS i, {q.r6('w[i + 1]')} AS weight FROM sol, range(9) r(i)")
+@R.add("ridge_weights", _eliminate("SELECT * FROM d") + f" SELECT CAST(i AS INT) AS i, {q.r6('w[i + 1]')} AS weight FROM sol, range(65) r(i)")
 def ridge_weights(spark, sf):
     fitted = probe.ridge_fit(design(spark, sf), [F.col(x) for x in XS], F.col("y"), LAMBDA)
     return fitted.select(F.posexplode("weights").alias("i", "w")).select("i", num(F.col("w")).alias("weight"))
 
 
 @R.add("ridge_eval", _eliminate("SELECT * FROM d WHERE vec_id < (SELECT COUNT(*) - GREATEST(1, FLOOR(COUNT(*)*0.2E0)) FROM d)") + f""",
-  v AS (SELECT y, {' + '.join(f'w[{i + 1}]*x{i}' for i in range(9))} AS p, (SELECT AVG(y) FROM train) AS mu FROM d, sol
+  v AS (SELECT y, list_dot_product(w, x) AS p, (SELECT AVG(y) FROM train) AS mu FROM d, sol
    WHERE vec_id >= (SELECT COUNT(*) - GREATEST(1, FLOOR(COUNT(*)*0.2E0)) FROM d)),
   s AS (SELECT SQRT(AVG((p - y)*(p - y))) AS rmse, SQRT(AVG((mu - y)*(mu - y))) AS cr, CORR(p, y) AS r FROM v)
   SELECT {q.r6('rmse')} AS rmse, {q.r6('cr')} AS constant_rmse, {q.r6('r')} AS pearson_r, {q.r6('100*(1 - rmse/cr)')} AS gain_pct,

@@ -49,6 +49,9 @@ def nearest_records(links, cars, records):
                 found = (2 * step + 1, min(direct))
             elif shared & records:
                 found = (2 * step + 2, min(shared & records))
+            own = refs.get(start, set()) & records if step == 0 else set()
+            if own and (found is None or found > (1, min(own))):
+                found = (1, min(own))
             level = shared - seen - records
             seen |= level
             step += 1
@@ -71,6 +74,19 @@ def test_link_resolution_with_cycles(spark):
     assert got["n7"] == (1, "r9") and got["alone"] is None
 
 
+def test_links_far_away_and_direct(spark):
+    links = {(f"c{i}", f"n{i}") for i in range(40)} | {(f"c{i}", f"n{i + 1}") for i in range(40)}
+    links |= {("c39", "r9"), ("car", "r5"), ("car", "r7"), ("c40", "car"), ("c40", "r8"), ("c41", "car"), ("c41", "other")}
+    cars, records = [f"n{i}" for i in range(41)] + ["car", "other"], {"r5", "r7", "r8", "r9"}
+    out = actors.resolve_links(
+        spark.createDataFrame(sorted(links), "src string, dst string"),
+        spark.createDataFrame([(c,) for c in cars], "id string"),
+        spark.createDataFrame([(r,) for r in records], "id string"))
+    got = {r.car: r.record and (r.distance, r.record) for r in out.collect()}
+    assert got == nearest_records(links, cars, records)
+    assert got["n0"] == (80, "r9") and got["car"] == (1, "r5") and got["other"] == (4, "r8")
+
+
 def test_block_files(spark, folder):
     values = np.arange(12, dtype="<f4") / 8
     (tmp := __import__("pathlib").Path(folder) / "a").mkdir()

@@ -6,7 +6,7 @@ from helpers import column
 from pyspark.sql import functions as F
 
 from lobbylens.functions import ladder, losses
-from lobbylens.operators import metrics, results, series
+from lobbylens.operators import metrics, probe, results, series
 
 PLAYERS = "replay_id bigint, slot int, target_mmr double, pred_mmr double"
 
@@ -117,16 +117,30 @@ def test_moving_average(spark):
     assert got == pytest.approx([0.3, 0.51, 0.657])
 
 
-def test_moving_average_across_chunks(spark):
+@pytest.mark.parametrize(("alpha", "chunk"), [
+    (0.3, 1 << 16), (0.01, 1 << 16), (0.99, 1 << 16), (1.0, 7), (1e-5, 1 << 16), (0.3, 7), (0.01, 64), (1e-5, 256)])
+def test_moving_average_across_chunks(spark, monkeypatch, alpha, chunk):
+    """Small chunks carry the whole history, level by level, for any alpha."""
+    monkeypatch.setattr(series, "EMA_CHUNK", chunk)
     rng = np.random.default_rng(8)
     values = rng.uniform(0, 50, 1500)
     rows = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(values)], "s int, e bigint, v double")
     want, state = [], 0.0
     for x in values:
-        state = 0.3 * x + 0.7 * state
+        state = alpha * x + (1.0 - alpha) * state
         want.append(state)
-    got = [r.ema for r in series.moving_average(rows, ["s"], "e", "v").orderBy("e").collect()]
-    assert np.allclose(got, want, rtol=1e-12)
+    got = [r.ema for r in series.moving_average(rows, ["s"], "e", "v", alpha).orderBy("e").collect()]
+    assert np.allclose(got, want, rtol=1e-10)
+
+
+def test_lobby_scorer_sees_all_slots(spark):
+    rows = [(g, s, [[float(g * 10 + s + f)] * 30 for f in range(4)]) for g in range(70) for s in range(6) if (g, s) != (3, 5)]
+    df = spark.createDataFrame(rows, "game_id int, slot int, frames array<array<float>>")
+    out = probe.score_lobbies(df, lambda block: block.sum(axis=(2, 3)) - block.sum(axis=(1, 2, 3))[:, None], ["game_id"])
+    got = {(r.game_id, r.slot): r.pred_mmr for r in out.collect()}
+    own = {(g, s): float(np.sum(f)) for g, s, f in rows}
+    assert len(got) == len(rows)
+    assert all(v == own[k] - sum(own.get((k[0], s), 0.0) for s in range(6)) for k, v in got.items())
 
 
 def test_sustained_outliers(spark):

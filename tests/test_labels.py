@@ -37,6 +37,8 @@ def test_url_parameter_is_replaced_once(spark):
     assert out == "https://x.example/api?after=cursor&min-rank=top&playlist=ranked&max-rank=gold-1"
     bare = column(spark, ["https://x.example/a#top"], "string", lambda c: labels.url_set_param(c, "k", F.lit("v")))[0]
     assert bare == "https://x.example/a?k=v#top"
+    twice = column(spark, ["http://x/y?a=1#b#c"], "string", lambda c: labels.url_set_param(c, "page", F.lit("2")))[0]
+    assert twice == "http://x/y?a=1&page=2#b#c"
 
 
 def test_names_ranges_epochs(spark):

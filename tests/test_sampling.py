@@ -1,3 +1,5 @@
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -64,20 +66,38 @@ def test_tail_split(spark):
     assert split(10, 0.2) == [8, 9] and split(3, 0.1) == [2]
 
 
-def test_first_k_both_ways(spark):
+def test_first_k_of_any_size(spark):
     rng = np.random.default_rng(1)
     data = pd.DataFrame({"g": np.where(np.arange(6000) % 3 == 0, 1, rng.integers(2, 9, 6000)), "id": rng.permutation(6000)})
     df = spark.createDataFrame(data.astype("int64"))
     for k in (5, 1500):
-        got = sampling.first_k(df, ["g"], ["id"], k, F.floor(F.col("id") / 256)).toPandas()
+        got = sampling.first_k(df, ["g"], ["id"], k).toPandas()
         want = data.sort_values("id").groupby("g").head(k)
         assert sorted(map(tuple, got[["g", "id"]].to_numpy())) == sorted(map(tuple, want[["g", "id"]].to_numpy()))
 
 
 def test_stratified_sample(spark):
-    df = spark.createDataFrame([(i, i % 23) for i in range(2300)], "id bigint, rank_index int")
+    rows = [(i, i % 23, "downloaded" if i % 4 else "failed") for i in range(2300)]
+    df = spark.createDataFrame(rows, "id bigint, rank_index int, download_status string")
     got = sampling.stratified_sample(df, 50).toPandas()
     assert len(got) == 50 and (got["rank_index"] > 0).all() and (got["rank_index"].value_counts() <= 3).all()
+    assert (got["id"] % 4 != 0).all()
+
+
+def test_stratified_sample_with_text_ids(spark):
+    rows = [(str(uuid.UUID(int=i * 7919 % 100_003)), 1 + i % 22, "downloaded") for i in range(40_000)]
+    df = spark.createDataFrame(rows, "id string, rank_index int, download_status string")
+    for n in (1000, 30_000):
+        got = sampling.stratified_sample(df, n).toPandas()
+        assert len(got) == n and got["rank_index"].value_counts().max() == -(-n // 22)
+        lowest = sorted(r[0] for r in rows if r[1] == 5)[: -(-n // 22)]
+        assert set(got.loc[got["rank_index"] == 5, "id"]) <= set(lowest)
+
+
+def test_null_orders_stay(spark):
+    df = spark.createDataFrame([(None,), (3,), (1,), (2,)], "id bigint")
+    out = {r.id: r.is_validation for r in sampling.tail_split(df, "id", 0.5).collect()}
+    assert out == {None: False, 1: False, 2: True, 3: True}
 
 
 def test_capped_sample_is_a_soft_cap(spark):

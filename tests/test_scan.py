@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lobbylens.operators.scan import (
-    Fold, attach_group, exact_median, order_statistics, prefix_scan, row_index, scatter, span,
+    Fold, attach_group, exact_median, numbered, order_statistics, prefix_scan, row_index, scatter, span,
 )
 
 
@@ -74,14 +74,36 @@ def test_row_index_and_attach(spark, skewed):
 
 def test_order_statistics(spark, skewed):
     df = spark.createDataFrame(skewed[["k", "v"]].astype({"k": "int64"}))
-    out = order_statistics(df, ["k"], "v", {"p99": lambda n: F.floor(n * 0.99)}, width=0.05).toPandas().set_index("k")
-    medians = exact_median(df, ["k"], "v", "m", width=0.05).toPandas().set_index("k")["m"]
+    out = order_statistics(df, ["k"], "v", {"p99": lambda n: F.floor(n * 0.99)}).toPandas().set_index("k")
+    medians = exact_median(df, ["k"], "v", "m").toPandas().set_index("k")["m"]
     for key, group in skewed.groupby("k"):
         ordered = np.sort(group["v"].to_numpy())
         assert out.loc[key, "p99"] == ordered[int(len(ordered) * 0.99)]
         assert np.isclose(medians[key], np.median(ordered))
 
 
+def test_numbered(spark, skewed):
+    df = spark.createDataFrame(skewed[["k", "v"]].astype({"k": "int64"}).assign(s=[f"{x:08.3f}" for x in skewed["v"]]))
+    df = df.union(spark.createDataFrame([(None, 1.0, "x"), (None, 2.0, None), (1, None, None)], df.schema))
+    out = numbered(df.repartition(9), ["k"], ["s"], "at", total="n").toPandas()
+    for key, group in out.groupby("k", dropna=False):
+        assert sorted(group["at"]) == list(range(len(group))) and (group["n"] == len(group)).all()
+        texts = group.sort_values("at")["s"].fillna("").tolist()
+        assert texts == sorted(texts)
+    assert len(out) == len(skewed) + 3
+    weighted = numbered(df.where("v > 0"), [], ["v"], "before", weight="v", total="all").toPandas().sort_values("v")
+    assert np.allclose(weighted["before"], weighted["v"].cumsum() - weighted["v"])
+    assert np.allclose(weighted["all"], weighted["v"].sum())
+
+
+def test_null_orders_stay_and_null_keys_raise(spark):
+    df = spark.createDataFrame([(1, None, 5), (1, 2, 1), (1, 70_000, 1)], "k int, i bigint, v int")
+    out = prefix_scan(df, ["k"], ["i"], [Fold("n", "sum", F.col("v"))])
+    assert {r.i: r.n for r in out.collect()} == {None: 5, 2: 6, 70_000: 7}
+    with pytest.raises(Exception, match="NULL in key column k"):
+        prefix_scan(df.union(df.sparkSession.createDataFrame([(None, 1, 1)], df.schema)), ["k"], ["i"], [Fold("n", "sum", F.col("v"))]).collect()
+
+
 def test_global_scan_needs_no_key(spark):
     df = spark.range(1000).withColumn("id", F.col("id") * 3)
     out = prefix_scan(df, [], ["id"], [Fold("n", "count", F.lit(1), exclusive=True)], span("id", 128))
