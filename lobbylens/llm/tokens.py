@@ -9,17 +9,25 @@ from functools import lru_cache
 import numpy as np
 
 #: Cached words per worker and generation; the generation before is kept as well.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 350_000
 #: Longer words are encoded each time.
 CACHE_CHARS = 48
 #: Words encoded in one call.
 TOGETHER = 4096
 
-# A space between two characters that are no white space always starts a token of the
-# byte-level tokenizer; other white space runs are left whole.
+# (Without the one capital whose lower case is two characters.)
+_LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F"
+#: Texts of Latin letters and ASCII without apostrophes are cut at every run of letters, where
+#: both tokenizers start a word; the byte-level one takes the space before it along.
+_OTHER = re.compile(f"[^{_LETTERS}\\x00-&(-\x7f]")
+_RUNS = {
+    False: re.compile(f" ?[{_LETTERS}]+|[^{_LETTERS}]+?(?= ?[{_LETTERS}]|\\Z)"),
+    True: re.compile(f"[{_LETTERS}]+|[^{_LETTERS} \t\n\x0b\x0c\r]+"),
+}
+# Other texts are cut at single spaces between two characters that are no white space, or, if
+# the tokenizer drops white space, at that of ASCII.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-# Latin letters, then punctuation without apostrophes: separate tokens to both tokenizers.
-_PLAIN = re.compile(r"(\n?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
+_SPACES = re.compile(r"\s\s")
 
 
 def vocabulary(name: str) -> str:
@@ -45,90 +53,69 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words, self.cache, self.before, self.tails = words, {}, {}, {}
+        self.words, self.cache, self.before = words, {}, {}
+        self.runs = _RUNS[words].findall
 
     def direct(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def whole(self, part: str) -> bytes:
-        """A part in its place: the byte-level tokenizer joins the space before it."""
-        return self.direct(part if self.words or part[:1] == "\n" else " " + part)
-
-    def letters(self, runs: list[str], step: int = 1) -> dict[str, bytes]:
-        """Runs of letters, many in one call: each is step words to the tokenizer."""
+    def letters(self, runs: list[str]) -> dict[str, bytes]:
+        """Runs of letters, many in one call: each is one word to the tokenizer."""
         out = {}
         for at in range(0, len(runs), TOGETHER):
             some = runs[at : at + TOGETHER]
-            joined = " ".join(some) if self.words else "".join(some) if step == 2 else " " + " ".join(some)
-            found = self.tokenizer.encode(joined, add_special_tokens=False)
+            found = self.tokenizer.encode((" " if self.words else "").join(some), add_special_tokens=False)
             ids = np.asarray(found.ids, "<u4").tobytes()
-            cuts = (np.flatnonzero(np.diff(np.asarray(found.word_ids))) + 1) * 4
-            cuts = [0, *cuts.tolist(), len(ids)][::step]
-            if len(cuts) != len(some) + 1:  # not that many words after all
-                out.update((r, self.whole(r)) for r in some)
+            cuts = ((np.flatnonzero(np.diff(np.asarray(found.word_ids))) + 1) * 4).tolist()
+            if len(cuts) + 1 != len(some):  # not one word each after all
+                out.update((r, self.direct(r)) for r in some)
             else:
-                out.update((r, ids[a:b]) for r, a, b in zip(some, cuts, cuts[1:]))
+                out.update((r, ids[a:b]) for r, a, b in zip(some, [0, *cuts], [*cuts, len(ids)]))
         return out
 
-    def learn(self, parts: set) -> dict | None:
-        """ids of parts that are not cached; None if a part has white space at its ends."""
-        out, plain, bases = {}, {}, {}
-        for key in parts:
-            if (ids := self.before.get(key)) is not None:
-                out[key] = ids
-                continue
-            part = key.decode() if self.words else key
-            if (match := _PLAIN.fullmatch(part)) is None:
-                inner = part.removeprefix("\n")
-                if not self.words and (not inner or inner[0].isspace() or inner[-1].isspace()):
-                    return None
-                out[key] = self.whole(part)
-                continue
-            base, tail = plain[key] = match.groups()
-            if tail not in self.tails:
-                if len(self.tails) > 10_000:
-                    self.tails.clear()
-                self.tails[tail] = self.direct(tail) if tail else b""
-            out[key] = self.tails[tail]
-            stored = base.encode() if self.words else base
-            bases[base] = self.cache.get(stored) or self.before.get(stored)
-        new = [b for b, ids in bases.items() if ids is None]
-        bases.update(self.letters([b for b in new if b[0] != "\n"]))
-        bases.update(self.letters([b for b in new if b[0] == "\n"], 2))
-        for key, (base, _) in plain.items():
-            out[key] = bases[base] + out[key]
+    def learn(self, parts: set[str]) -> dict[str, bytes] | None:
+        """ids of parts that are not cached; None if the cuts do not hold for one of them."""
+        out, runs = {}, []
+        for part in parts:
+            if (ids := self.before.get(part)) is not None:
+                out[part] = ids
+            elif part[-1].isalpha() and (self.words or part[0] == " "):
+                runs.append(part)
+            elif not self.words and _SPACES.search(part):
+                return None  # how a white space run ends depends on what follows
+            else:
+                out[part] = self.direct(part)
+        out.update(self.letters(runs))
         return out
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.words:
-            # Only white space of ASCII: the tokenizer drops it, and nothing joins across it.
-            head, parts = b"", text.encode().lower().split()
-        else:
-            first, *parts = text.replace("\n", " \n").split(" ")
-            if not first or first[0].isspace() or first[-1].isspace():
-                return self.awkward(text)
-            head = self.direct(first)
+        if "'" in text or not text.isascii() and _OTHER.search(text):
+            return self.apart(text)
+        parts = self.runs(text.encode().lower().decode() if self.words else text)
         new = set(parts).difference(self.cache)
         if not new:
-            return head + b"".join(map(self.cache.__getitem__, parts))
+            return b"".join(map(self.cache.__getitem__, parts))
         learnt = self.learn(new)
         if learnt is None:
-            return self.awkward(text)
+            return self.apart(text)
         if len(self.cache) + len(learnt) > CACHE_WORDS and self.cache:
             learnt.update((p, self.cache[p]) for p in set(parts).difference(learnt))
             self.before, self.cache = self.cache, {}
         self.cache.update(learnt)
-        out = head + b"".join(map(self.cache.__getitem__, parts))
+        out = b"".join(map(self.cache.__getitem__, parts))
         for p in [p for p in learnt if len(p) > CACHE_CHARS]:
             del self.cache[p]
         return out
 
-    def awkward(self, text: str) -> bytes:
-        """Texts with other white space runs: cut at single spaces only."""
-        first, *parts = _SAFE.split(text)
-        return self.direct(first) + b"".join(self.cache.get(p) or self.direct(" " + p) for p in parts)
+    def apart(self, text: str) -> bytes:
+        """Any text: parts between safe spaces, each encoded unless it was just before."""
+        if self.words:
+            parts = [p.decode() for p in text.encode().split()]
+        else:
+            first, *rest = _SAFE.split(text)
+            parts = [first, *[" " + p for p in rest]]
+        own: dict[str, bytes] = {}
+        return b"".join([own.get(p) or own.setdefault(p, self.direct(p)) for p in parts])
 
 
 @lru_cache(maxsize=4)
