@@ -18,6 +18,7 @@ GAME_MODES = [
 DEFAULT_GAME_MODE = "ranked-standard"
 
 # The one accepted game type and playlist, and the labels shown for others.
+UNKNOWN_GAME_TYPE = "unknown game type"
 SOCCER_GAME_TYPE = "TAGame.Replay_Soccar_TA"
 RANKED_STANDARD_PLAYLIST = 13
 GAME_TYPE_LABELS = [
@@ -87,7 +88,8 @@ def reject_reason(game_type, team_size, player_count, playlist, match_type) -> C
     )
     ranked = F.coalesce(match_type.contains("PublicRanked"), F.lit(False))
     return (
-        F.when(game_type != SOCCER_GAME_TYPE, game_type_label(game_type))
+        F.when(game_type.isNull(), F.lit(UNKNOWN_GAME_TYPE))
+        .when(game_type != SOCCER_GAME_TYPE, game_type_label(game_type))
         .when(team_size.isNull(), F.lit("missing team size in replay header"))
         .when(team_size != 3, team_size_label(team_size))
         .when(player_count != 6, wrong_count)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lobbylens.functions import labels, ladder
@@ -22,12 +22,15 @@ def new_rows(incoming: DataFrame, stored: DataFrame, keys: Sequence[str]) -> Dat
     return incoming.dropDuplicates(keys).join(stored.select(*keys).distinct(), keys, "left_anti")
 
 
-def append_new(incoming: DataFrame, stored: DataFrame, keys: Sequence[str], path: str, **options) -> None:
-    """Append to a table and leave rows that are already there untouched."""
-    writer = new_rows(incoming, stored, keys).write.mode("append")
+def append_new(incoming: DataFrame, stored: DataFrame, keys: Sequence[str], path: str, **options) -> int:
+    """Append to a table, leave rows that are already there untouched, return the number inserted."""
+    written = Observation()
+    rows = new_rows(incoming, stored, keys).observe(written, F.count(F.lit(1)).alias("inserted"))
+    writer = rows.write.mode("append")
     if options.get("partition_by"):
         writer = writer.partitionBy(*options["partition_by"])
     writer.parquet(path)
+    return written.get["inserted"]
 
 
 def existing(df: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -77,6 +80,16 @@ def latest_models(registry: DataFrame) -> DataFrame:
     )
 
 
+def find_model(registry: DataFrame, name: str, version: int) -> DataFrame:
+    return registry.where((F.col("name") == name) & (F.col("version") == version))
+
+
+def list_models(registry: DataFrame, name: str | None = None) -> DataFrame:
+    """Models by name, newest version first."""
+    chosen = registry if name is None else registry.where(F.col("name") == name)
+    return chosen.orderBy("name", F.desc("version"))
+
+
 def next_version(registry: DataFrame, names: DataFrame) -> DataFrame:
     newest = registry.groupBy("name").agg(F.max("version").alias("v"))
     return names.join(newest, "name", "left").select(

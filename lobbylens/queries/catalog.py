@@ -75,23 +75,73 @@ def json_not_exists(spark, sf):
         "replay_id", "player_name")
 
 
-@R.add("file_inventory")
+# Replay files of the catalogue, files it does not know, and paths of another form.
+LISTED = """SELECT path, length FROM (
+  SELECT 'replays/' || game_mode || '/' || rank || '/' || id || '.replay' AS path, id*3 AS length FROM rp WHERE file_present
+  UNION ALL SELECT 'replays/hoops/gold-1/orphan-' || id || '.replay', 1 FROM rp WHERE id % 7 = 0
+  UNION ALL SELECT 'replays/' || rank || '/' || id || '.replay', 2 FROM rp WHERE id % 11 = 0
+  UNION ALL SELECT 'replays/' || game_mode || '/' || rank || '/' || id || '.replay.bak', 3 FROM rp WHERE id % 13 = 0) x"""
+
+
+def listed_files(spark, sf):
+    replays = catalog.with_file_path(t.replays(spark, sf))
+    size = lambda n: F.lit(n).cast("bigint").alias("length")
+    known = replays.where("file_present").select(F.col("file_path").alias("path"), (F.col("id") * 3).alias("length"))
+    orphan = replays.where("id % 7 = 0").select(
+        F.concat(F.lit("replays/hoops/gold-1/orphan-"), F.col("id").cast("string"), F.lit(".replay")), size(1))
+    shallow = replays.where("id % 11 = 0").select(
+        F.concat(F.lit("replays/"), "rank", F.lit("/"), F.col("id").cast("string"), F.lit(".replay")), size(2))
+    other = replays.where("id % 13 = 0").select(F.concat("file_path", F.lit(".bak")), size(3))
+    return known.union(orphan).union(shallow).union(other)
+
+
+@R.add("file_inventory", q.with_ctes("rp", """SELECT path, length, split_part(path, '/', 2) AS game_mode, split_part(path, '/', 3) AS rank,
+  replace(split_part(path, '/', 4), '.replay', '') AS id FROM l WHERE len(string_split(path, '/')) = 4 AND path LIKE '%.replay'""", l=LISTED))
 def file_inventory(spark, sf):
-    return inventory.list_files(spark, sf, "*.parquet")
+    return inventory.replay_parts(listed_files(spark, sf))
 
 
-@R.add("blob_decode", f"""SELECT vec_id, CAST(len(embedding) AS INT) AS n, FLOOR(list_sum(list_transform(embedding,
-  lambda x: CAST(x AS DOUBLE)))*10000.0E0 + {OFF_TIE}E0)/10000.0E0 AS total, CAST(embedding[1] AS DOUBLE) AS first,
-  CAST(embedding[64] AS DOUBLE) AS last_, FALSE AS is_bad FROM embeddings""")
+@R.add("blob_decode", f"""SELECT vec_id, CASE WHEN fits THEN CAST(len(embedding) AS INT) ELSE -1 END AS n, CASE WHEN fits THEN
+  FLOOR(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))*10000.0E0 + {OFF_TIE}E0)/10000.0E0 END AS total,
+  CASE WHEN fits THEN CAST(embedding[1] AS DOUBLE) END AS first, CASE WHEN fits THEN CAST(embedding[64] AS DOUBLE) END AS last_,
+  NOT fits AS is_bad FROM (SELECT *, vec_id % 5 <> 3 AS fits FROM embeddings) x""")
 def blob_decode(spark, sf):
-    raw = t.table(spark, sf, "embeddings").select("vec_id", blocks.encode_block("embedding").alias("content"))
+    """Blocks of 64 numbers; some have lost their last bytes."""
+    whole = blocks.encode_block("embedding")
+    raw = t.table(spark, sf, "embeddings").select("vec_id", whole.alias("whole")).select(
+        "vec_id", F.when(F.col("vec_id") % 5 == 3, F.expr("substring(whole, 1, 253)")).otherwise(F.col("whole")).alias("content"))
     v = F.col("values")
     total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double"))
     return blocks.decode_blocks(raw, "content", 64).select(
-        "vec_id", F.size(v).alias("n"), num(total, 4).alias("total"),
+        "vec_id", F.coalesce(F.size(v), F.lit(-1)).alias("n"), num(total, 4).alias("total"),
         F.get(v, F.lit(0)).cast("double").alias("first"), F.get(v, F.lit(63)).cast("double").alias("last_"), "is_bad")
 
 
+@R.add("team_code", "SELECT l_orderkey, l_linenumber, CAST(l_linenumber % 2 AS INT) AS team, COUNT(*) AS n FROM lineitem GROUP BY ALL")
+def team_code(spark, sf):
+    return t.table(spark, sf, "lineitem").groupBy(
+        "l_orderkey", "l_linenumber", labels.team_code(F.col("l_linenumber")).cast("int").alias("team")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@R.add("registry_register", """SELECT p_brand AS name, CAST(p_partkey AS INT) AS version FROM part
+  UNION ALL SELECT n.name, CAST(COALESCE(MAX(p_partkey), 0) + 1 AS INT) FROM (SELECT DISTINCT p_brand AS name FROM part WHERE p_size = 1
+  UNION SELECT 'new') n LEFT JOIN part ON p_brand = n.name GROUP BY n.name""")
+def registry_register(spark, sf):
+    """Another model for some names and for one that is new; all versions of all names."""
+    registry = model_registry(spark, sf)
+    names = t.table(spark, sf, "part").where("p_size = 1").select(F.col("p_brand").alias("name")).distinct()
+    models = names.union(spark.range(1).select(F.lit("new"))).select(
+        "name", F.lit("models/next").alias("checkpoint_path"), F.lit("{}").alias("training_config"))
+    return catalog.list_models(catalog.register_model(registry, models)).select("name", "version")
+
+
+@R.add("registry_find", "SELECT p_brand AS name, CAST(p_partkey AS INT) AS version, 'models/' || p_partkey AS checkpoint_path FROM part WHERE p_partkey = 7")
+def registry_find(spark, sf):
+    brand = t.table(spark, sf, "part").where("p_partkey = 7").select("p_brand").first()[0]
+    return catalog.find_model(model_registry(spark, sf), brand, 7).select("name", "version", "checkpoint_path")
+
+
 @R.add("append_skip_existing", q.with_ctes("rp", """SELECT id, rank,
   'replays/' || game_mode || '/' || rank || '/' || id || '.replay' AS file_path
   FROM rp WHERE dataset_split IS DISTINCT FROM 'training'"""))
@@ -281,8 +331,7 @@ RECONCILED = """SELECT id, download_status, file_present AS on_disk,
 
 def _reconciled(spark, sf):
     replays = catalog.with_file_path(t.replays(spark, sf))
-    files = replays.where("file_present").select(F.col("file_path").alias("path"))
-    return catalog.reconcile(replays, files)
+    return catalog.reconcile(replays, listed_files(spark, sf).select("path"))
 
 
 @R.add("status_reconcile", q.with_ctes("rp", RECONCILED))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -37,12 +38,12 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "lob
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the session.
 
-    Only a local session without the setting gets a temporary folder.
+    Only a session on one machine without the setting gets a temporary folder.
     """
     context = spark.sparkContext
     named = context.getConf().get(CHECKPOINT_DIR) or context.getCheckpointDir()
     if not named:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by the cluster")
         named = tempfile.mkdtemp(prefix="lobbylens-")
         context.setCheckpointDir(named)

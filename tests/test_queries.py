@@ -44,4 +44,4 @@ def test_contract(spark):
     assert set(collect()[0]) <= set(entry.queries())
     queries, oracles = collect()
     assert set(oracles) <= set(queries) and len(queries) >= 130
-    assert set(queries) - set(oracles) == {"file_inventory"}
+    assert set(queries) == set(oracles)
