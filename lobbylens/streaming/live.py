@@ -131,12 +131,16 @@ def progress_report(spark: SparkSession, path: str, status: str) -> DataFrame:
 
 # --- live segments -----------------------------------------------------------------------
 
+# Seconds of event time that an unfinished segment is waited for.
+LATENESS = 3600
 FRAME_KEYS = "game_id bigint, segment bigint, rn bigint, body string"
 
 
-def segment_frames(frames: DataFrame, length: int, event_time: str | None = None) -> DataFrame:
+def segment_frames(frames: DataFrame, length: int, event_time: str, lateness_seconds: int = LATENESS) -> DataFrame:
     """Subsampled frames with their position and segment, the rest as one JSON body.
 
+    `event_time` carries the watermark by which the state of unfinished segments ends.
+
     Without goal trimming the position follows from the frame number, so the
     stream can be keyed by (game, segment): state per key is at most one
     segment, and a long game spreads over its segments.
@@ -144,21 +148,25 @@ def segment_frames(frames: DataFrame, length: int, event_time: str | None = None
     kept = frames.where(F.pmod(F.col("frame_idx"), F.lit(2)) == 0)
     rn = F.floor(F.col("frame_idx") / 2)
     body = F.to_json(F.struct(*[c for c in frames.columns if c not in ("game_id", event_time)]))
-    time = [F.col(event_time).alias("event_time")] if event_time else []
-    return kept.select("game_id", F.floor(rn / length).alias("segment"), rn.alias("rn"), body.alias("body"), *time)
+    rows = kept.select(
+        "game_id", F.floor(rn / length).alias("segment"), rn.alias("rn"), body.alias("body"),
+        F.col(event_time).alias("event_time"),
+    )
+    return rows.withWatermark("event_time", f"{lateness_seconds} seconds")
 
 
-def assemble(frames: DataFrame, length: int, live: bool = False, lateness_seconds: int | None = None) -> DataFrame:
+def assemble(frames: DataFrame, length: int, live: bool = False, lateness_seconds: int = LATENESS) -> DataFrame:
     """Buffer the frames of each (game, segment) until it is complete.
 
     Complete segments come out whole. With `live`, frames come out as soon as
     all earlier frames of their segment are there, together with those;
     `is_new` marks the ones not sent before. Files may arrive in any order, and
-    repeated frames are ignored. A finished segment keeps one number. With
-    `lateness_seconds` (and a watermark on `event_time`) the state of a segment
-    goes once nothing has arrived for it for that long in event time.
+    repeated frames are ignored. A finished segment keeps one number. The state of
+    a segment goes once nothing has arrived for it for `lateness_seconds` of event time.
     """
-    expiring = lateness_seconds is not None
+
+    # Python sees timestamps without a zone, as wall time of the session.
+    session_zone = frames.sparkSession.conf.get("spark.sql.session.timeZone")
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -168,8 +176,7 @@ def assemble(frames: DataFrame, length: int, live: bool = False, lateness_second
         buffer = dict(zip(numbers, bodies))
         newest = 0
         for part in parts:
-            if expiring:
-                newest = max(newest, int(part["event_time"].max().timestamp() * 1000))
+            newest = max(newest, int(part["event_time"].max().tz_localize(session_zone).timestamp() * 1000))
             for number, body in zip(part["rn"], part["body"]):
                 buffer.setdefault(int(number), body)
         first = int(key[1]) * length
@@ -180,8 +187,7 @@ def assemble(frames: DataFrame, length: int, live: bool = False, lateness_second
             ready = sent
         order = sorted(buffer) if ready < length else []
         state.update((order, [buffer[n] for n in order], ready))
-        if expiring:
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + lateness_seconds * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + lateness_seconds * 1000)
         if ready > sent:
             out = list(range(first, first + ready))
             yield pd.DataFrame(
@@ -199,7 +205,7 @@ def assemble(frames: DataFrame, length: int, live: bool = False, lateness_second
         outputStructType=f"{FRAME_KEYS}, is_new boolean",
         stateStructType="numbers array<bigint>, bodies array<string>, sent int",
         outputMode="append",
-        timeoutConf=GroupStateTimeout.EventTimeTimeout if expiring else GroupStateTimeout.NoTimeout,
+        timeoutConf=GroupStateTimeout.EventTimeTimeout,
     )
 
 

@@ -10,14 +10,14 @@ LENGTH = 3
 def land(spark, folder, batches):
     """Each batch becomes one file; the stream reads one file per trigger."""
     for rows in batches:
-        frames_df(spark, rows).coalesce(1).write.mode("append").parquet(f"{folder}/frames")
+        frames_df(spark, rows).withColumn("at", F.timestamp_seconds(F.col("frame_idx") + 1_700_000_000)).coalesce(1).write.mode("append").parquet(f"{folder}/frames")
 
 
 def run(spark, folder, assemble_live):
     schema = spark.read.parquet(f"{folder}/frames").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/frames")
     body = FRAME.split(", ", 1)[1]
-    assembled = live.assemble(live.segment_frames(stream, LENGTH), LENGTH, live=assemble_live)
+    assembled = live.assemble(live.segment_frames(stream, LENGTH, "at"), LENGTH, live=assemble_live)
     live.live_features(assembled, rosters_df(spark, [1]), body, f"{folder}/out", f"{folder}/check").awaitTermination()
     out = spark.read.parquet(f"{folder}/out")
     return {(r.rn, r.slot): r.features for r in out.collect()}, out.count()
@@ -66,7 +66,7 @@ def test_state_expires_with_the_watermark(spark, folder):
     land_at([4], 20)
     schema = spark.read.parquet(f"{folder}/frames").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/frames")
-    frames = live.segment_frames(stream, LENGTH, "at").withWatermark("event_time", "60 seconds")
+    frames = live.segment_frames(stream, LENGTH, "at", 60)
     assembled = live.assemble(frames, LENGTH, lateness_seconds=60)
     live.live_features(assembled, rosters_df(spark, [1]), FRAME.split(", ", 1)[1], f"{folder}/out", f"{folder}/check").awaitTermination()
     assert spark.read.parquet(f"{folder}/out").count() == 0
