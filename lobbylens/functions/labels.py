@@ -17,8 +17,9 @@ GAME_MODES = [
 ]
 DEFAULT_GAME_MODE = "ranked-standard"
 
-# The one accepted game type and playlist, and the labels shown for others.
+# Label of a header without a game type.
 UNKNOWN_GAME_TYPE = "unknown game type"
+# The one accepted game type and playlist, and the labels shown for others.
 SOCCER_GAME_TYPE = "TAGame.Replay_Soccar_TA"
 RANKED_STANDARD_PLAYLIST = 13
 GAME_TYPE_LABELS = [
@@ -100,6 +101,7 @@ def reject_reason(game_type, team_size, player_count, playlist, match_type) -> C
 
 
 def rejection_message(reason: Column) -> Column:
+    # The sentence around the reason.
     return F.concat(
         F.lit("We currently do not support "),
         reason,

@@ -46,9 +46,11 @@ ORDINAL_BOUNDARIES = [
     194.0, 257.0, 321.0, 386.0, 451.0, 516.0, 580.0, 644.0, 709.0, 773.0, 837.0,
     902.0, 966.0, 1030.0, 1127.0, 1258.0, 1388.0, 1520.0, 1651.0, 1782.0, 2200.0,
 ]
-# Folder-name proxy ratings, one per ranked tier. They sit one
-# tier above CANONICAL_MMR below the top and have their own 1913 step.
-FOLDER_PROXY_MMR = ORDINAL_BOUNDARIES[:20] + [1913.0, 2200.0]
+# Folder-name proxy ratings, one per ranked tier, lowest first.
+FOLDER_PROXY_MMR = [
+    194.0, 257.0, 321.0, 386.0, 451.0, 516.0, 580.0, 644.0, 709.0, 773.0, 837.0,
+    902.0, 966.0, 1030.0, 1127.0, 1258.0, 1388.0, 1520.0, 1651.0, 1782.0, 1913.0, 2200.0,
+]
 
 TIERS = ["bronze", "silver", "gold", "platinum", "diamond", "champion", "grand-champion"]
 ROMAN = ["I", "II", "III"]

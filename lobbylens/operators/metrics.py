@@ -11,8 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lobbylens.functions import ladder, losses
-from lobbylens.operators.scan import numbered
+from lobbylens.operators.scan import lobby_list, numbered
 
+# Watched ranks and thresholds of the reports.
 WATCHED_RANKS = ("bronze-1", "grand-champion-3", "supersonic-legend")
 ALERT_RISE = 0.25
 COLLAPSE_STD = 50.0
@@ -226,7 +227,7 @@ def ordinal_loss(players: DataFrame, logits: str = "logits") -> DataFrame:
 
 def lobby_hinges(players: DataFrame) -> DataFrame:
     """Pairs and hinge sum per lobby of at most six players."""
-    lobby = F.collect_list(F.struct(F.col("target_mmr").alias("target"), F.col("pred_mmr").alias("pred")))
+    lobby = lobby_list(F.struct(F.col("target_mmr").alias("target"), F.col("pred_mmr").alias("pred")))
     hinges = known_rows(players).groupBy("replay_id").agg(losses.pair_hinges(lobby).alias("h"))
     return hinges.select(
         "replay_id",
@@ -268,7 +269,7 @@ def composite_loss(weighted: DataFrame, logits: str = "logits") -> DataFrame:
     bce = losses.ordinal_bce(F.col(logits), target) / F.lit(float(len(ladder.ORDINAL_BOUNDARIES)))
     p, t = pred / F.lit(losses.MMR_SCALE), target / F.lit(losses.MMR_SCALE)
     sums = {"element": element, "bce": bce, "p": p, "pp": p * p, "t": t, "tt": t * t}
-    lobby = F.collect_list(F.struct(target.alias("target"), pred.alias("pred")))
+    lobby = lobby_list(F.struct(target.alias("target"), pred.alias("pred")))
     folded = known_rows(weighted).groupBy("replay_id").agg(
         *(F.sum(x).alias(n) for n, x in sums.items()),
         F.count(F.lit(1)).alias("n"),

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lobbylens.functions import labels, ladder
+from lobbylens.operators.scan import lobby_list
 
+# Margin of suspicion, default prediction, players of a lobby.
 SUSPICION_MARGIN = 200.0
 NO_PREDICTION = 1000.0
 LANES = 6
@@ -15,7 +17,7 @@ LANES = 6
 
 def _members(*columns: str) -> Column:
     """At most six players of a lobby in slot order."""
-    return F.array_sort(F.collect_list(F.struct("slot", *columns)))
+    return F.array_sort(lobby_list(F.struct("slot", *columns)))
 
 
 def padded_lanes(players: DataFrame, lanes: int = LANES) -> DataFrame:
@@ -104,7 +106,7 @@ def verdicts(players: DataFrame, value: str) -> DataFrame:
     """One verdict line per lobby."""
     flagged = lobby_outliers(players, value)
     suspects = F.array_sort(
-        F.collect_list(F.when(F.col("is_suspect"), F.struct("slot", "player_name")))
+        lobby_list(F.when(F.col("is_suspect"), F.struct("slot", "player_name")))
     )
     return flagged.groupBy("replay_id").agg(
         suspects.alias("s"), F.first("lobby_median").alias("lobby_median")

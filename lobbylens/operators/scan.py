@@ -271,3 +271,9 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
         df, keys, value, {"_low": lambda n: F.floor((n - 1) / 2), "_high": lambda n: F.floor(n / 2)}
     )
     return both.withColumn(name, (F.col("_low") + F.col("_high")) / 2.0).drop("_low", "_high")
+
+
+def lobby_list(member: Column, most: int = 6) -> Column:
+    """The members of a lobby as an array; an error if there are more than a lobby holds."""
+    too_many = F.raise_error(F.lit(f"more than {most} players in a lobby"))
+    return F.when(F.count(F.lit(1)) > most, too_many).otherwise(F.collect_list(member))

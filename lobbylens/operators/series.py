@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from lobbylens.operators.scan import CHUNK, Fold, attach_group, order_statistics, prefix_scan, scatter, span
 from lobbylens.session import materialize
 
+# Smoothing, threshold and streak of the outlier rule.
 EMA_ALPHA = 0.3
 TOP_FRACTION = 0.99
 SUSTAIN = 3
+# Longest chunk of the moving average.
 EMA_CHUNK = 1 << 16
 # Largest exponent (base e) of the rescaling inside a chunk.
 RESCALE = 230.0

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lobbylens.functions import vectors as v
 from lobbylens.operators.scan import Fold, attach_group, prefix_scan, span
 
+# Every second frame counts, goals hide ten seconds, a match lasts five minutes.
 SUBSAMPLE = 2
 GOAL_TRIM_FRAMES = 600
 REGULATION_SECONDS = 300

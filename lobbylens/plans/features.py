@@ -18,6 +18,7 @@ from lobbylens.functions import vectors as v
 from lobbylens.operators import telemetry as tel
 from lobbylens.operators.scan import Fold, prefix_scan
 
+# Sizes and thresholds of the feature layout.
 SLOTS = 6
 TEAM = 3
 FEATURES = 106
@@ -30,7 +31,7 @@ BOOST_GAIN_STEP = 5.0
 BOOST_SPEND_STEP = 1.0
 ABSENT_DISTANCE = 3.4028234663852886e38
 
-# Positions of the focal player's cumulative and instantaneous features.
+# Positions of the focal player's cumulative and instantaneous features.
 CUMULATIVE = range(22, 27)
 SPEED, BOOST, DEMOLISHED, BALL_DISTANCE = 17, 18, 19, 20
 
