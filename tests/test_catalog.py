@@ -28,7 +28,7 @@ def test_append_keeps_stored_rows(spark, folder):
         return spark.createDataFrame([(i, f"v{n}") for n, i in enumerate(ids)], "id int, v string")
 
     rows(1, 2).write.mode("append").parquet(folder)
-    catalog.append_new(rows(9, 2, 3, 3), spark.read.parquet(folder), ["id"], folder)
+    assert catalog.append_new(rows(9, 2, 3, 3), spark.read.parquet(folder), ["id"], folder) == 2
     got = {r.id: r.v for r in spark.read.parquet(folder).collect()}
     assert sorted(got) == [1, 2, 3, 9] and got[2] == "v1"
 

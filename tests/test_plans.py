@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lobbylens.plans import segments as sg
 from lobbylens.queries import collect
 from lobbylens.queries import frames as fq
 from lobbylens.sources import tables as t
@@ -73,7 +74,7 @@ def test_scans_never_partition_rows_by_the_bare_key(spark, queries, name):
 
     text = plan(queries[name](spark, SF))
     for line in re.findall(r"Window \[.*", text):
-        if "_chunk" not in line and "_t_" not in line:
+        if "_chunk" not in line and "_t_" not in line and "_range" not in line:
             raise AssertionError(line[:200])
 
 
@@ -85,6 +86,16 @@ def test_no_cross_joins_anywhere(spark, queries):
     assert not bad
 
 
+def test_missing_games_reads_no_blocks(spark, folder):
+    import re
+
+    rows = [(1, 0, 0, [[0.5]] * 3, 0, 3, "ranked-standard", "gold-1")]
+    packed = spark.createDataFrame(rows, "game_id long, segment long, slot int, frames array<array<float>>, start long, end long, game_mode string, rank string")
+    sg.write_segments(packed, f"{folder}/store")
+    todo = sg.missing_games(spark.range(3).withColumnRenamed("id", "game_id"), sg.read_segments(spark, f"{folder}/store", 3))
+    assert "frames" not in "".join(re.findall("ReadSchema: .*", plan(todo))) and sorted(r.game_id for r in todo.collect()) == [0, 2]
+
+
 def test_frames_are_bounded_per_chunk(spark):
     counted = t.event_frames(spark, SF).groupBy("game_id").agg(F.max("frame_idx").alias("m"), F.count("*").alias("n"))
     assert counted.where("m + 1 <> n").count() == 0 and fq.L == 10
