@@ -25,7 +25,44 @@ WORD = r"[^\x20\x09-\x0D]+"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-@R.add("op1_hilbert_shards")
+# CRC-32 byte by byte over a table made by its rule, and the curve as list folds.
+CRC_TABLE = """SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)) x"""
+STEPS = [(1 << b, i + 1) for b in range(5, 0, -1) for i in range(3)]
+TURN = "CASE WHEN x[s[2]] & s[1] <> 0 THEN s[1] - 1 ELSE xor(x[1], x[s[2]]) & (s[1] - 1) END"
+UNDO = f"""list_reduce(list_prepend(cells, {[list(s) for s in STEPS]}), lambda x, s: list_transform(x, lambda v, k:
+  CASE WHEN k = 1 OR (k = s[2] AND x[s[2]] & s[1] = 0) THEN xor(v, {TURN}) ELSE v END))"""
+FLIP = " ".join(f"xor(CASE WHEN g3 & {1 << b} <> 0 THEN {(1 << b) - 1} ELSE 0 END," for b in range(5, 0, -1)) + " 0" + ")" * 5
+WOVEN = " + ".join(
+    f"(CASE WHEN xor(g{i}, flip) & {1 << b} <> 0 THEN {1 << (3 * b + 3 - i)} ELSE 0 END)" for b in range(5, -1, -1) for i in (1, 2, 3)
+)
+
+
+def cell_sql(column: str) -> str:
+    return f"""SELECT {column} AS value, CAST(least(floor((sum(n) OVER (ORDER BY {column} NULLS FIRST) - n + n/2)*64/sum(n) OVER ()), 63) AS BIGINT)
+      AS cell FROM (SELECT {column}, count(*) AS n FROM documents GROUP BY {column}) x"""
+
+
+@R.add(
+    "op1_hilbert_shards",
+    f"""
+    WITH t AS ({CRC_TABLE}), lc AS ({cell_sql('lang')}), sc AS ({cell_sql('source')}),
+    d AS (SELECT doc_id, lang, source, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    b AS (SELECT d.*, list_transform(range(size - 1), lambda i: CAST('0x' || h[2*i + 1:2*i + 2] AS BIGINT)) AS bytes FROM d),
+    c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes),
+            lambda c, v: xor(c >> 8, tab[(xor(c, v) & 255) + 1])), 4294967295) AS text_crc32,
+          [lc.cell, sc.cell, least(CAST(floor(ln(size)/ln(2)*4) AS BIGINT), 63)] AS cells
+          FROM b, t, lc, sc WHERE b.lang IS NOT DISTINCT FROM lc.value AND b.source IS NOT DISTINCT FROM sc.value),
+    u AS (SELECT *, {UNDO} AS x FROM c),
+    g AS (SELECT *, x[1] AS g1, xor(x[1], x[2]) AS g2, xor(xor(x[1], x[2]), x[3]) AS g3 FROM u),
+    f AS (SELECT *, {FLIP} AS flip FROM g),
+    w AS (SELECT *, {WOVEN} AS hilbert FROM f),
+    r AS (SELECT *, row_number() OVER (ORDER BY hilbert, doc_id, text_crc32, size) - 1 AS rank, count(*) OVER () AS total FROM w)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, CAST(hilbert AS BIGINT) AS hilbert, 'rows' AS law,
+           CAST(rank*16 // total AS INT) AS shard, rank - (CAST(rank*16 // total AS BIGINT)*total + 15) // 16 AS slot, CAST(NULL AS INT) AS grown_shard
+    FROM r
+    """,
+)
 def op1(spark, sf_dir):
     return hilbert_shards(table(spark, sf_dir, "documents"))
 
