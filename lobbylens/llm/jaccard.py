@@ -18,9 +18,8 @@ PART, WHOLE = 4, 5
 #: Shingle frequencies are counted in 2^SKETCH_BITS cells, whatever the corpus: they only
 #: choose the common order of shingles, which may be any order without losing a link.
 SKETCH_BITS = 18
-#: Classes of the suffix filter.
-CLASSES = 32
-CLASS_LIMIT = 32767
+#: Bits of the parity vector that the suffix filter compares, as 64-bit words.
+PARITY_WORDS = 8
 #: Rows that an Arrow batch of prefixes is cut to.
 BATCH = 1 << 18
 
@@ -49,28 +48,28 @@ def _least_overlap(n: int) -> int:
     return -(-n * PART // WHOLE)
 
 
-PROFILE = "doc_id long, key long, fp long, n int, profile array<smallint>, cell int, seen long"
+PROFILE = "doc_id long, key long, fp long, n int, parity array<bigint>, cell int, seen long"
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, then the partition's shingle counts per cell of the sketch."""
     cells = np.zeros(1 << SKETCH_BITS, np.int64)
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("profile", pa.list_(pa.int16())),
+        [("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("parity", pa.list_(pa.int64())),
          ("cell", pa.int32()), ("seen", pa.int64())]
     )
     for batch in batches:
-        fps, sizes, profiles = [], [], []
+        fps, sizes, parities = [], [], []
         for text in texts(batch):
             shingles = shingle_set(text)
             np.add.at(cells, (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             fps.append(int(_fingerprint(shingles).view(np.int64)))
             sizes.append(shingles.size)
-            counts = np.bincount((shingles & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
-            profiles.append(np.minimum(counts, CLASS_LIMIT).astype(np.int16))
+            counts = np.bincount((shingles & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS)
+            parities.append(np.packbits((counts & 1).astype(np.uint8)).view(np.int64))
         n = batch.num_rows
         columns = [batch.column("doc_id"), batch.column("key"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()),
-                   pa.array(profiles, pa.list_(pa.int16())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
+                   pa.array(parities, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
     full = np.flatnonzero(cells)
     columns = [pa.nulls(full.size, f.type) for f in schema]
@@ -151,22 +150,29 @@ def _passing(a: str, b: str) -> str:
     )
 
 
+def _near(a: str, b: str, na: str, nb: str) -> str:
+    """Suffix filter: a lower bound of what the sets differ in, from their parity vectors.
+
+    Each shingle flips one bit of its set's vector, so bits that differ are shingles that differ.
+    Of a + b shingles 8 (a + b) / 9 at least are common to similar sets, the rest may differ.
+    """
+    apart = " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(PARITY_WORDS))
+    return f"({na} + {nb}) * {WHOLE - PART}L >= ({apart}) * {PART + WHOLE}L"
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (u, v) among candidate pairs (u, v), each pair compared once over the whole sets.
 
-    The suffix filter comes first: sets whose shingle counts per hash class differ by more than
-    the similarity allows need not be fetched.
+    Sets that the suffix filter tells apart are not fetched.
     """
     spark = docs.sparkSession
     for side in ("u", "v"):
         named = nodes.select(
             F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("code").alias(f"code_{side}"),
-            F.col("profile").alias(f"p_{side}"),
+            F.col("parity").alias(f"p_{side}"),
         )
         pairs = pairs.join(named, side)
-    apart = F.expr("aggregate(zip_with(p_u, p_v, (x, y) -> abs(cast(x AS int) - y)), 0, (s, d) -> s + d)")
-    # Of a + b shingles 2 x overlap are common, the rest differs: a + b - 8 (a + b) / 9 at most.
-    pairs = pairs.where((F.col("n_u") + F.col("n_v")) * (WHOLE - PART) >= apart * (PART + WHOLE))
+    pairs = pairs.where(F.expr(_near("p_u", "p_v", "n_u", "n_v")))
     pairs = stash(pairs.drop("p_u", "p_v"), "pairs")
     if pairs.isEmpty():
         return pairs.select("u", "v")
@@ -198,33 +204,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     2. Prefix shingles, rarest first, are aggregated by hash: those of one node only are out.
     3. Every remaining node is compared with one leader per shingle; links give components.
     4. Where a shingle still holds several components, all pairs across components
-       are compared that pass the length and positional filter. Pairs inside a
+       are compared that pass the length, positional and suffix filter. Pairs inside a
        component cannot change it. So a large group of near copies costs one comparison per
        member and leader, and no link between components is missed.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     profiles = stash(docs.mapInArrow(_profiles, PROFILE), "profiles")
-    classes = profiles.where("n IS NOT NULL").select("doc_id", "key", "fp", "n", "profile")
+    classes = profiles.where("n IS NOT NULL").select("doc_id", "key", "fp", "n", "parity")
     counted = profiles.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("seen")).toArrow()
     cells = np.zeros(1 << SKETCH_BITS, np.int64)
     cells[counted["cell"].to_numpy()] = counted["seen"].to_numpy()
     sketch = spark.sparkContext.broadcast(cells)
     nodes = classes.where("n > 0").groupBy("fp").agg(
-        F.first("n").alias("n"), F.first("profile").alias("profile"), F.xxhash64(F.min("doc_id")).alias("code")
+        F.first("n").alias("n"), F.first("parity").alias("parity"), F.xxhash64(F.min("doc_id")).alias("code")
     )
     nodes = stash(nodes, "nodes")
 
     text = docs.select("text")
     shared = text.mapInArrow(_prefix_rows(sketch, None), "h long, fp long")
-    shared = shared.groupBy("h").agg(F.min("fp").alias("leader"), F.max("fp").alias("top")).where("leader < top")
-    shared = stash(shared.select("h", "leader"), "shared-shingles")
+    shared = shared.groupBy("h").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
+    shared = stash(shared.select("h"), "shared-shingles")
     bits = spark.sparkContext.broadcast(filter_bits(shared, "h"))
     members = text.mapInArrow(_prefix_rows(sketch, bits), "h long, fp long, n int, pos int")
-    members = stash(members.join(shared, "h"), "members")
+    members = stash(members.join(shared, "h", "left_semi"), "members")
 
-    leaders = members.where("fp = leader").select("h", "fp", "n", "pos").distinct().alias("b")
-    stars = members.where("fp <> leader").alias("a").join(leaders, F.col("a.h") == F.col("b.h")).where(_passing("a", "b"))
+    # The leader has fewest rarer shingles before this one: of near copies, the least edited.
+    leaders = members.groupBy("h").agg(F.min(F.struct("pos", "n", "fp")).alias("b"))
+    leaders = stash(leaders.select("h", "b.*"), "leaders").alias("b")
+    stars = members.alias("a").join(leaders, (F.col("a.h") == F.col("b.h")) & (F.col("a.fp") != F.col("b.fp")))
+    stars = stars.where(_passing("a", "b"))
     stars = stars.select(F.greatest("a.fp", "b.fp").alias("u"), F.least("a.fp", "b.fp").alias("v")).distinct()
     stars = stash(stars, "star-pairs")
     links = stash(_verified(docs, stars, nodes), "star-links")
@@ -237,12 +246,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = placed.groupBy("h", "comp").agg(F.count("*").alias("size")).groupBy("h")
     sizes = sizes.agg(F.max_by("comp", "size").alias("main"), F.count("*").alias("comps")).where("comps > 1")
     sizes = stash(sizes.select("h", "main"), "mixed-shingles")
-    rest = stash(placed.join(sizes, "h"), "rest")
+    rest = placed.join(sizes, "h").join(nodes.select("fp", "parity"), "fp")
+    rest = stash(rest, "rest")
     minor = rest.where("comp <> main").alias("a")
     across = minor.join(
         rest.alias("b"),
         (F.col("a.h") == F.col("b.h")) & (F.col("a.comp") != F.col("b.comp"))
-        & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.fp") < F.col("b.fp"))) & F.expr(_passing("a", "b")),
+        & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.fp") < F.col("b.fp")))
+        & F.expr(_passing("a", "b")) & F.expr(_near("a.parity", "b.parity", "a.n", "b.n")),
     )
     across = across.select(F.greatest("a.fp", "b.fp").alias("u"), F.least("a.fp", "b.fp").alias("v")).distinct()
     across = stash(across.join(stars, ["u", "v"], "left_anti"), "cross-pairs")
