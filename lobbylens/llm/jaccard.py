@@ -20,6 +20,10 @@ PART, WHOLE = 4, 5
 SKETCH_BITS = 18
 #: Bits of the parity vector that the suffix filter compares, as 64-bit words.
 PARITY_WORDS = 8
+#: Classes of shingles that it counts once the texts of a pair are at hand.
+CLASSES = 1024
+#: Nodes whose ids are broadcast to pick their sets; more are picked by the join itself.
+BROADCAST_NODES = 200_000
 #: Rows that an Arrow batch of prefixes is cut to.
 BATCH = 1 << 18
 
@@ -120,7 +124,7 @@ def _prefix_rows(sketch, bits):
 
 
 def _sets(bits):
-    """Map function: the whole sets of documents that pass the filter on `code`."""
+    """Map function: the whole sets of documents that pass the filter on `code`, and their sizes per class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,9 +134,10 @@ def _sets(bits):
                 some = [s for s in some if s.size]
                 if some:
                     fps = pa.array([int(_fingerprint(s).view(np.int64)) for s in some], pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [fps, pa.array([s.view(np.int64) for s in some], pa.list_(pa.int64()))], names=["fp", "shingles"]
-                    )
+                    counts = [np.bincount((s >> np.uint64(40) & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES) for s in some]
+                    counts = pa.array([np.minimum(c, 32767).astype(np.int16) for c in counts], pa.list_(pa.int16()))
+                    shingles = pa.array([s.view(np.int64) for s in some], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([fps, counts, shingles], names=["fp", "counts", "shingles"])
 
     return run
 
@@ -163,7 +168,9 @@ def _near(a: str, b: str, na: str, nb: str) -> str:
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (u, v) among candidate pairs (u, v), each pair compared once over the whole sets.
 
-    Sets that the suffix filter tells apart are not fetched.
+    Sets that the suffix filter tells apart are not fetched: first by their parity vectors, then by
+    their counts per class, which differ by no more than the sets do. Repeated rows may give a
+    link twice.
     """
     spark = docs.sparkSession
     for side in ("u", "v"):
@@ -179,10 +186,15 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     codes = pairs.select(F.explode(F.array("code_u", "code_v")).alias("code")).distinct()
     bits = spark.sparkContext.broadcast(filter_bits(codes, "code"))
     coded = docs.select("text", F.xxhash64("doc_id").alias("code"))
-    found = coded.mapInArrow(_sets(bits), "fp long, shingles array<long>")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = found.join(wanted, F.col("fp") == F.col("node"), "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles"))
-    sets = stash(sets, "sets")
+    sets = stash(coded.mapInArrow(_sets(bits), "fp long, counts array<smallint>, shingles array<long>"), "sets")
+    for side in ("v", "u"):
+        pairs = pairs.join(sets.select(F.col("fp").alias(side), F.col("counts").alias(f"c_{side}")), side)
+    apart = F.expr("aggregate(zip_with(c_u, c_v, (x, y) -> abs(cast(x AS int) - y)), 0, (s, d) -> s + d)")
+    pairs = pairs.where((F.col("n_u") + F.col("n_v")) * (WHOLE - PART) >= apart * (PART + WHOLE))
+    pairs = stash(pairs.select("u", "v", "n_u", "n_v").distinct(), "near-pairs")
+    wanted = stash(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-nodes")
+    if wanted.count() <= BROADCAST_NODES:
+        sets = sets.join(F.broadcast(wanted), F.col("fp") == F.col("node"), "left_semi")
     for side in ("v", "u"):
         pairs = pairs.join(sets.select(F.col("fp").alias(side), F.col("shingles").alias(f"s_{side}")), side)
     common = F.size(F.array_intersect("s_u", "s_v"))
