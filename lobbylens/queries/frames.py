@@ -8,6 +8,7 @@ from lobbylens.functions import labels
 from lobbylens.functions import vectors as v
 from lobbylens.operators import probe
 from lobbylens.operators import telemetry as tel
+from lobbylens.operators.scan import FRAME_CHUNK, row_index, span
 from lobbylens.plans import features as ft
 from lobbylens.plans import segments as sg
 from lobbylens.queries import sqltext as q
@@ -204,6 +205,35 @@ def running_score(spark, sf):
     return tel.running_score(marked(spark, sf)).select("game_id", "frame_idx", "blue", "orange")
 
 
+# Three games over all events, with rare goals and kickoffs: windows reach the frame limit.
+LONG = {
+    "ef": """SELECT user_id % 3 AS game_id, event_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1 AS BIGINT)
+  AS frame_idx FROM events""",
+    "goals": "SELECT game_id, frame_idx AS frame, CAST(event_id % 2 AS INT) AS player_team FROM ef WHERE event_id % 1500 = 7",
+    "kickoffs": "SELECT game_id, frame_idx AS frame FROM ef WHERE event_id % 4000 = 0 OR frame_idx = 0",
+}
+
+
+def long_marked(spark, sf):
+    events = t.table(spark, sf, "events").select((F.col("user_id") % 3).alias("game_id"), "event_id")
+    rows = row_index(events, ["game_id"], ["event_id"], "frame_idx", span("event_id", FRAME_CHUNK))
+    goals = rows.where("event_id % 1500 = 7").select(
+        "game_id", F.col("frame_idx").alias("frame"), (F.col("event_id") % 2).cast("int").alias("player_team"))
+    kickoffs = rows.where("event_id % 4000 = 0 OR frame_idx = 0").select("game_id", F.col("frame_idx").alias("frame"))
+    return tel.mark_frames(rows, goals, kickoffs)
+
+
+@R.add("long_game_trimming", q.with_ctes("", "SELECT game_id, frame_idx FROM kept", **LONG, windows=CHAIN["windows"],
+                                         kept=CHAIN["kept"].replace("FROM fr f", "FROM ef f")))
+def long_game_trimming(spark, sf):
+    return tel.trim_goal_windows(long_marked(spark, sf)).select("game_id", "frame_idx")
+
+
+@R.add("long_game_score", q.with_ctes("", "SELECT * FROM score", **LONG, score=CHAIN["score"]))
+def long_game_score(spark, sf):
+    return tel.running_score(long_marked(spark, sf)).select("game_id", "frame_idx", "blue", "orange")
+
+
 MARKERS = """SELECT g.game_id, g.frame, g.event_id, g.player_name, g.player_team, f.time, CAST(l.lane AS INT) AS lane FROM goals g
   JOIN fr f ON f.game_id = g.game_id AND f.frame_idx = g.frame LEFT JOIN (SELECT game_id, name,
    ROW_NUMBER() OVER (PARTITION BY game_id ORDER BY lane) - 1 AS lane FROM pf WHERE frame_idx = 0) l
