@@ -18,7 +18,10 @@ UNKNOWN_PENALTY = 10.0
 #: Cached words per worker and generation.
 CACHE_WORDS = 250_000
 CACHE_CHARS = 48
+_LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
 _PARTS = re.compile(r" *[^ ]+| +\Z")
+_RUNS = re.compile(f" *(?:[{_LETTERS}]+|[^{_LETTERS} ]+)| +\\Z")
+_MIXED = re.compile(f"[{_LETTERS}][^{_LETTERS}{SPACE}]|[^{_LETTERS}{SPACE}][{_LETTERS}]")
 
 
 class Unigram:
@@ -30,7 +33,9 @@ class Unigram:
     character is tried last, if no piece of one character matches. Neighbouring unknown
     characters are one run; with byte fallback a run counts its UTF-8 bytes.
     A text is cut before a space that follows another character, because no piece spans such a
-    place (checked when the vocabulary is loaded). Scores are whole numbers, so that
+    place, and between Latin letters and other characters if none spans that either (both are
+    checked when the vocabulary is loaded; named pieces like <s> are let be by not cutting
+    texts with a <). Scores are whole numbers, so that
     sums over parts are exact and equal those over the whole text.
     """
 
@@ -51,11 +56,28 @@ class Unigram:
         self.unknown = min(score for _, score in vocab) - UNKNOWN_PENALTY
         names = {piece for piece, _ in vocab}
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in names for b in range(256))
+        # Unknown runs may cross such a cut: bytes add up, whole runs would not.
+        self.runs = self.bytes and not any(_MIXED.search(piece) for piece in names if "<" not in piece)
         self.cache: dict[str, tuple[float, int]] = {}
         self.before: dict[str, tuple[float, int]] = {}
 
     def best(self, part: str) -> tuple[float, int]:
         """(score, pieces) of the best path through part."""
+        scores, counts = [0.0] + [float("-inf")] * len(part), [0] * (len(part) + 1)
+        singles = 0
+        # Pieces that end at a place come longest first, so an earlier start wins ties.
+        for end, (length, score) in self.automaton.iter(part):
+            end += 1
+            start = end - length
+            total = scores[start] + score
+            if total > scores[end]:
+                scores[end], counts[end] = total, counts[start] + 1
+            singles += length == 1
+        if singles == len(part):  # every character is known
+            return scores[-1], counts[-1]
+        return self.best_with_unknown(part)
+
+    def best_with_unknown(self, part: str) -> tuple[float, int]:
         n = len(part)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
         for end, piece in self.automaton.iter(part):
@@ -86,24 +108,19 @@ class Unigram:
         """(score, pieces) of a whole text with its space mark in front; 0 pieces if empty."""
         if not text:
             return 0.0, 0
-        text = " " + text.replace(SPACE, " ")
-        parts = text[1:].split(" ") if "  " not in text and text[-1] != " " else None
-        if parts is None:
-            parts = [p[1:] if p[:1] == " " else p for p in _PARTS.findall(text)]
-        score, pieces = 0.0, 0
+        cut = _RUNS if self.runs and "<" not in text else _PARTS
+        parts = cut.findall(" " + text.replace(SPACE, " "))
         new = set(parts).difference(self.cache)
         if new:
-            learnt = {p: self.before.get(p) or self.best(SPACE + p.replace(" ", SPACE)) for p in new}
+            learnt = {p: self.before.get(p) or self.best(p.replace(" ", SPACE)) for p in new}
             if len(self.cache) + len(learnt) > CACHE_WORDS:
                 learnt.update((p, self.cache[p]) for p in set(parts).difference(learnt))
                 self.before, self.cache = self.cache, {}
             self.cache.update(learnt)
-        for s, n in map(self.cache.__getitem__, parts):
-            score += s
-            pieces += n
+        scores, counts = zip(*map(self.cache.__getitem__, parts))
         for p in [p for p in new if len(p) > CACHE_CHARS]:
             del self.cache[p]
-        return score, pieces
+        return sum(scores), sum(counts)
 
 
 def piece_vocabulary(path: str) -> list[tuple[str, float]]:
