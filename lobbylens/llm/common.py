@@ -128,8 +128,9 @@ def _slice_hashes(raw: np.ndarray, lower: bool) -> np.ndarray:
     place = np.arange(raw.size) - np.maximum.accumulate(first)
     with np.errstate(over="ignore"):
         value = _BYTE[raw] * _STEP[place & 0xFFF]
-        if int(size.max()) > 0xFFF:
-            value = mix(value + place.astype(np.uint64))
+        if int(size.max()) > 0xFFF + 1:  # weights repeat there; only bytes so far into a word change
+            far = np.flatnonzero(place > 0xFFF)
+            value[far] = mix(value[far] + place[far].astype(np.uint64))
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
         return mix(total[ends] - total[starts] + size.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 

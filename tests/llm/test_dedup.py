@@ -97,6 +97,23 @@ def test_repeats_at_the_bound(spark):
     c.same(without_repeats(c.frame(spark, rows)), c.repeats(rows), ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+def test_long_words_leave_others_alone(spark):
+    """A word of 5,000 bytes that is added, missing or shortened changes no other word's hash."""
+    rng = c.rng(12)
+    blob = "".join(rng.choice("abcdefgh") for _ in range(5000))
+    near = c.sentence(rng, 200, 9000).split()
+    turned = blob[:4500] + ("b" if blob[4500] == "a" else "a") + blob[4501:]
+    rows = [(i + 1, " ".join(near[:90] + word + near[90:])) for i, word in enumerate([[], [blob], [blob[:4096]], [blob[:4000]], [turned]])]
+    passage = c.sentence(rng, 50, 9000).split()
+    for i, word in enumerate(([], [blob], [blob[:4097]])):
+        rows.append((10 + i, " ".join(c.sentence(rng, 60, 9000).split() + word + passage + c.sentence(rng, 60, 9000).split())))
+    groups = c.near_groups(rows)
+    assert len({r[2] for r in groups if r[0] < 10}) == 1 and {r[2] for r in c.repeats(rows) if r[0] > 10} == {50}
+    df = c.frame(spark, rows)
+    c.same(near_duplicates(df), groups, ["doc_id", "n_shingles", "component_id"])
+    c.same(without_repeats(df), c.repeats(rows), ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+
 def test_equal_windows_have_equal_anchors():
     import numpy as np
 
