@@ -1,4 +1,4 @@
-"""Substring dedup: factors of documents in indexed reference blocks become duplicate spans."""
+"""Substring dedup: windows found by hash in indexed reference blocks become duplicate spans."""
 
 from __future__ import annotations
 
@@ -144,10 +144,10 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     key is xxhash64 of the text, to tell rows with the same doc_id apart.
     1. Every document is cut into pieces, runs of windows with the same anchor. The pieces of
        an anchor are its reference block; only anchors of two and more documents matter.
-    2. A piece that is the same, as a whole, in an earlier document is one factor.
-    3. Other pieces of blocks with several different pieces are parsed against the block
-       window by window, which covers the factors that end inside a piece, so no factor is lost
-       at a boundary. Neighbouring factors join where they overlap.
+    2. A piece that is the same, as a whole, in an earlier document is one span.
+    3. Other pieces of blocks with several different pieces are looked up in the block window
+       by window, which covers the repeats that end inside a piece, so none is lost at a
+       boundary. Neighbouring spans join where they overlap. No longest match is searched for.
     Equal copies are one reference; what is compared grows with the different pieces, and a
     window is looked up by hash, so no block is gathered in one task.
     """
