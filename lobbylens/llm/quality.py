@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from lobbylens.llm.common import mix, texts, word_hashes
 
-#: Hashed features: trigrams of byte classes, and the repetition of words and word pairs.
+#: Hashed features: trigrams of byte classes, the repetition of words and word pairs, and terms
+#: (words, and runs of letters of other scripts, which may have no spaces).
 SHAPES = 1 << 11
 BINS = 32
-FEATURES = SHAPES + 2 * BINS
+TERMS = 1 << 11
+FEATURES = SHAPES + 2 * BINS + TERMS
+#: Bytes of a run of letters: two of three bytes or three of two.
+LETTERS = 6
 #: Labelled documents that vectors are fitted on and that vote, at most about this many per
 #: label, picked by a hash of doc_id: SAMPLE x 2 x FEATURES x 2 bytes are collected once.
 SAMPLE = 1500
@@ -51,8 +55,28 @@ def _repetition(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def _letter_runs(text: bytes) -> Iterator[np.ndarray]:
+    """Hashes of the runs of LETTERS bytes >= 0x80 that begin with a letter."""
+    if text.isascii():
+        return
+    for at in range(0, len(text), _SLICE):
+        raw = np.frombuffer(text, np.uint8, min(_SLICE + LETTERS - 1, len(text) - at), at)
+        n = raw.size - LETTERS + 1
+        if n <= 0:
+            continue
+        inside = raw[:n] >= 0xC0
+        for i in range(1, LETTERS):
+            inside &= raw[i : i + n] >= 0x80
+        starts = np.flatnonzero(inside)
+        code = np.zeros(starts.size, np.uint64)
+        for i in range(LETTERS):
+            code = code << np.uint64(8) | raw[starts + i]
+        with np.errstate(over="ignore"):
+            yield mix(code)
+
+
 def features(text: bytes) -> np.ndarray:
-    """Log counts of class trigrams per thousand, then repetition of words and word pairs."""
+    """Log counts of class trigrams per thousand, repetition of words and word pairs, log counts of terms."""
     counts, size = np.zeros(SHAPES, np.int64), 0
     for at in range(0, len(text), _SLICE):
         c = _CLASS[np.frombuffer(text, np.uint8, min(_SLICE + 2, len(text) - at), at)]
@@ -63,13 +87,28 @@ def features(text: bytes) -> np.ndarray:
     words = word_hashes(text, lower=True)
     pairs = mix(words[1:] * np.uint64(3) + words[:-1]) if words.size > 1 else words
     shapes = np.log1p(counts * (1000.0 / max(size, 1))).astype(np.float32)
-    return np.concatenate((shapes, 2 * _repetition(words), 2 * _repetition(pairs)))
+    counts, size = np.zeros(TERMS, np.int64), 0
+    for terms in (words, *_letter_runs(text)):
+        counts += np.bincount((terms & np.uint64(TERMS - 1)).astype(np.int64), minlength=TERMS)
+        size += terms.size
+    tf = np.log1p(counts * (1000.0 / max(size, 1))).astype(np.float32)
+    return np.concatenate((shapes, 2 * _repetition(words), 2 * _repetition(pairs), tf))
+
+
+def _weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Features with their terms as tf-idf of length 1."""
+    x = x.copy()
+    terms = x[:, -TERMS:]
+    terms *= idf
+    terms /= np.maximum(np.linalg.norm(terms, axis=1, keepdims=True), 1e-9)
+    return x
 
 
 @dataclass
 class Model:
-    """Projection to the latent space, labelled vectors with labels and vote weights."""
+    """Term weights, projection to the latent space, labelled vectors with labels and vote weights."""
 
+    idf: np.ndarray
     mean: np.ndarray
     projection: np.ndarray
     vectors: np.ndarray
@@ -78,7 +117,7 @@ class Model:
     prior: float
 
     def latent(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.mean) @ self.projection
+        z = (_weighted(x, self.idf) - self.mean) @ self.projection
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -104,13 +143,19 @@ def _axes(x: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, positive: float) -> Model:
     """Latent-semantic vectors of labelled documents; votes are weighted back to the true share."""
-    mean = x.mean(axis=0)
-    centred = x - mean
-    scale = np.sqrt((centred**2).mean(axis=0)) + 0.05
+    idf = (np.log((1 + x.shape[0]) / (1 + (x[:, -TERMS:] > 0).sum(axis=0))) + 1).astype(np.float32)
+    centred = _weighted(x, idf)
+    mean = centred.mean(axis=0)
+    centred -= mean
+    spread = (centred**2).mean(axis=0)
+    scale = np.sqrt(spread) + np.float32(0.05)
+    # Terms share one scale, so that idf counts, and vary as much as all other features together.
+    others = (spread / scale**2)[:-TERMS].sum()
+    scale[-TERMS:] = np.sqrt(max(spread[-TERMS:].sum(), 1e-6) / max(others, 1e-6))
     projection = (_axes(centred / scale) / scale[:, None]).astype(np.float32)
     share = max(float(y.mean()), 1e-9)
     weights = np.where(y == 1, positive / share, (1 - positive) / max(1 - share, 1e-9)).astype(np.float32)
-    model = Model(mean.astype(np.float32), projection, np.empty((0, 0), np.float32), y.astype(np.float32), weights, positive)
+    model = Model(idf, mean.astype(np.float32), projection, np.empty((0, 0), np.float32), y.astype(np.float32), weights, positive)
     model.vectors = model.latent(x.astype(np.float32)).astype(np.float32)
     return model
 
@@ -149,7 +194,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> M
     marked = marked.where("quality = other").select("l_id", F.col("quality").cast("int").alias("quality"))
     counts = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
-    empty = Model(*[np.zeros((0, 0), np.float32)] * 3, np.zeros(0, np.float32), np.zeros(0, np.float32), 0.5)
+    empty = Model(*[np.zeros((0, 0), np.float32)] * 4, np.zeros(0, np.float32), np.zeros(0, np.float32), 0.5)
     if not total:
         return empty
     coin = F.pmod(F.xxhash64("l_id", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)

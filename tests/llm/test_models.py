@@ -41,6 +41,18 @@ def test_quality_ignores_held_out_labels_and_other_columns(spark):
     assert first == {r["doc_id"]: r["score"] for r in quality_scores(other, turned).collect()}
 
 
+def test_quality_by_words_alone(spark):
+    """Labels that only the choice of words tells apart: same shapes, lengths and repetition."""
+    rng = c.rng(4)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x4E00, 0x4F00)))):
+        vocab = ["".join(rng.choice(alphabet) for _ in range(5)) for _ in range(400)]
+        gap = " " if alphabet[0] == "a" else ""
+        rows = [(i, gap.join(rng.choice(vocab[i % 2 :: 2]) for _ in range(120))) for i in range(240)]
+        labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], c.LABELS)
+        got = quality_scores(c.frame(spark, rows), labels).where("held_out").collect()
+        assert auc([(r["doc_id"] % 2, r["score"]) for r in got]) > 0.95
+
+
 def test_quality_awkward(spark):
     rows = c.awkward(c.rng(2))
     docs = c.frame(spark, rows)
