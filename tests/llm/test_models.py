@@ -31,6 +31,17 @@ def test_quality_held_out(spark):
     assert auc(held) > 0.97
 
 
+def test_quality_cut_held_out(spark):
+    """What the pipeline deletes: the share of each label on its side of the cut."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    marked = labels.select("doc_id", "quality").where("quality IN (0, 1)")
+    held = quality_scores(docs, labels).where("held_out").join(marked, "doc_id").collect()
+    good = [r["predicted"] for r in held if r["quality"] == 1]
+    bad = [r["predicted"] for r in held if r["quality"] == 0]
+    print(f"kept {sum(good)} of {len(good)} with label 1, rejected {len(bad) - sum(bad)} of {len(bad)} with label 0")
+    assert np.mean(good) > 0.95 and np.mean(bad) < 0.1
+
+
 def test_quality_ignores_held_out_labels_and_other_columns(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     from pyspark.sql import functions as F
