@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lobbylens.llm.decontaminate import contamination
 from lobbylens.llm.exact import exact_groups
 from lobbylens.llm.jaccard import near_duplicates
 from lobbylens.llm.language import identify_languages
+from lobbylens.llm.manifest import merkle_manifest
 from lobbylens.llm.packing import pack
 from lobbylens.llm.quality import quality_scores
 from lobbylens.llm.repeats import without_repeats
+from lobbylens.llm.search import ranked_search
 from lobbylens.llm.shards import hilbert_shards
 from lobbylens.llm.tokenfiles import token_files
 from lobbylens.llm.viterbi import token_counts
@@ -166,6 +170,76 @@ def op10(spark, sf_dir):
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+CRC_ID = f"""xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(doc_id::VARCHAR)),
+  lambda i: ord(substr(doc_id::VARCHAR, i + 1, 1)))), lambda c, v: xor(c >> 8, tab[(xor(c, v) & 255) + 1])), 4294967295)"""
+
+
+def leaf_sql(text: str) -> str:
+    columns = [f"{c}::VARCHAR" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in columns) + ")"
+
+
+def tree_sql(nodes: str) -> str:
+    """All nodes above those of a relation (tree, pos, h): level by level, threes and what is left."""
+    return f"""SELECT 0 AS lv, tree, pos, h, count(*) OVER (PARTITION BY tree) AS m FROM {nodes}
+      UNION ALL SELECT lv + 1, tree, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(m) + 2) // 3
+      FROM {{0}} WHERE m > 1 GROUP BY lv, tree, pos // 3"""
+
+
+def walk_sql(start: str, runs: str) -> str:
+    """Up from (doc, tree, pos, node, proof): siblings are appended, the node is put into its run."""
+    return f"""SELECT 0 AS lv, * FROM {start} UNION ALL
+      SELECT w.lv + 1, w.doc, w.tree, w.pos // 3, sha256(array_to_string(list_transform(hs, lambda h, k: CASE WHEN k = pos % 3 + 1 THEN node ELSE h END), '')),
+        proof || array_to_string(list_filter(hs, lambda h, k: k <> pos % 3 + 1), '')
+      FROM {{0}} w JOIN {runs} u ON u.lv = w.lv AND u.tree = w.tree AND u.run = w.pos // 3"""
+
+
+@R.add(
+    "op11_merkle_manifest",
+    f"""
+    WITH RECURSIVE t AS ({CRC_TABLE}),
+    d AS (SELECT row_number() OVER () AS doc, doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, {leaf_sql('text')} AS leaf,
+            CASE WHEN {CRC_ID} % 2 = 0 THEN {leaf_sql("replace(text, chr(10), '')")} ELSE {leaf_sql('text')} END AS seen FROM documents, t),
+    l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf AS h FROM d),
+    r AS ({tree_sql('l').format('r')}),
+    s AS (SELECT 0 AS tree, tree AS pos, h FROM r WHERE m = 1),
+    q AS ({tree_sql('s').format('q')}),
+    ru AS (SELECT lv, tree, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM r WHERE m > 1 GROUP BY ALL),
+    qu AS (SELECT lv, tree, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM q WHERE m > 1 GROUP BY ALL),
+    ls AS (SELECT doc, tree, pos, seen AS node, '' AS proof FROM l),
+    f AS ({walk_sql('ls', 'ru').format('f')}),
+    ss AS (SELECT doc, 0 AS tree, f.tree AS pos, node, proof FROM f JOIN r ON r.tree = f.tree AND r.lv = f.lv AND r.m = 1),
+    g AS ({walk_sql('ss', 'qu').format('g')}),
+    e AS (SELECT doc, node AS folded_root, proof, h AS root FROM g JOIN q ON q.lv = g.lv AND q.m = 1)
+    SELECT l.doc_id, leaf, s.h AS subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+    FROM l JOIN s ON s.pos = l.tree JOIN e USING (doc)
+    """,
+)
+def op11(spark, sf_dir):
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0
+    return merkle_manifest(table(spark, sf_dir, "documents"), F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))))
+
+
+@R.add(
+    "op12_nra_search",
+    rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({ASCII_LOWER}, '{ALNUM}') AS ws FROM documents),
+    p AS (SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY r, w),
+    s AS (SELECT count(*) AS n, sum(len(ws))::BIGINT AS l FROM d WHERE len(ws) > 0),
+    v AS (SELECT w, floor(1000 * ln((2.0::DOUBLE * n + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS weight
+          FROM (SELECT w, count(*) AS df FROM p GROUP BY w), s),
+    m AS (SELECT r, doc_id, 100 - 50 + ((50 * len(ws) * n) // l) AS m FROM d, s WHERE len(ws) > 0),
+    i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({ASCII_LOWER}, '{ALNUM}')) AS w FROM benchmark),
+    x AS (SELECT item_id, r, any_value(doc_id) AS doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+          FROM i JOIN v USING (w) JOIN p USING (w) JOIN m USING (r) GROUP BY item_id, r),
+    o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM o WHERE rank <= 50
+    """,
+)
+def op12(spark, sf_dir):
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @R.add("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
