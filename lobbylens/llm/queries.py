@@ -17,6 +17,7 @@ from lobbylens.llm.quality import quality_scores
 from lobbylens.llm.repeats import without_repeats
 from lobbylens.llm.search import ranked_search
 from lobbylens.llm.shards import hilbert_shards
+from lobbylens.llm.suffixes import without_repeated_bytes
 from lobbylens.llm.tokenfiles import token_files
 from lobbylens.llm.viterbi import token_counts
 from lobbylens.queries.registry import Registry
@@ -240,6 +241,28 @@ def op12(spark, sf_dir):
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@R.add(
+    "op13_radix_suffix_repeats",
+    """
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    w AS (SELECT r, doc_id, a, md5_number(substr(x, 2*a + 1, 100)) AS t
+          FROM (SELECT r, doc_id, x, unnest(range(strlen(x) // 2 - 49)) AS a FROM d)),
+    f AS (SELECT t, min(doc_id) AS first FROM w GROUP BY t),
+    h AS (SELECT r, a, a - coalesce(lag(a) OVER (PARTITION BY r ORDER BY a), -51) > 50 AS fresh FROM w JOIN f USING (t) WHERE first < doc_id),
+    g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY r ORDER BY a) AS span FROM h),
+    s AS (SELECT r, span, min(a) AS lo, max(a) + 50 AS hi FROM g GROUP BY r, span),
+    e AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS before FROM s),
+    k AS (SELECT r, count(*) AS n_spans, sum(hi - lo)::BIGINT AS n_removed, max(hi) AS rest,
+          string_agg(substr(x, 2*before + 1, 2*(lo - before)), '' ORDER BY lo) AS kept FROM e JOIN d USING (r) GROUP BY r)
+    SELECT doc_id, strlen(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(coalesce(kept, '') || substr(x, 2*coalesce(rest, 0) + 1))) AS kept_sha256
+    FROM d LEFT JOIN k USING (r)
+    """,
+)
+def op13(spark, sf_dir):
+    return without_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 @R.add("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
