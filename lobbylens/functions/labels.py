@@ -205,10 +205,17 @@ MANY_SUSPECTS = [
     "{names} played well above this lobby.",
     "Keep an eye on {names}: their numbers belong to a higher rank.",
 ]
-NO_SUSPECT = [
-    "An even {tier} lobby.",
-    "Nobody stood out among these {tier} players.",
-]
+# By the tier that the lobby median falls into.
+NO_SUSPECT = {
+    "Bronze": ["An even {tier} lobby, all of them still learning.", "Nobody stood out: plain {tier}."],
+    "Silver": ["An even {tier} lobby.", "Six honest {tier} players."],
+    "Gold": ["An even {tier} lobby, no hidden talent.", "Everyone here is as {tier} as it says."],
+    "Platinum": ["A fair {tier} match.", "Nobody rose above {tier} in this one."],
+    "Diamond": ["A fair {tier} match, close all the way.", "Sharp, but {tier} throughout."],
+    "Champion": ["A clean {tier} match.", "All six belong in {tier}."],
+    "Grand Champion": ["A clean {tier} match, fast and fair.", "High level, and {tier} on every seat."],
+    "Supersonic Legend": ["Nowhere left to hide: all {tier}.", "The top of the ladder, {tier} for everyone."],
+}
 
 
 def _template(pool: list[str], pick: Column) -> Column:
@@ -217,13 +224,17 @@ def _template(pool: list[str], pick: Column) -> Column:
 
 
 def verdict_line(names: Column, lobby_median: Column, pick: Column) -> Column:
-    """One line per lobby; the template comes from a number, not from a dice roll."""
+    """One line per lobby: the pool comes from the suspects and the band of the median, the template
+    from a number, not from a dice roll."""
     tier = F.element_at(
         F.split(ladder.division_label(ladder.band_index(lobby_median)), " Division "), 1
     )
+    even = F.lit(None).cast("string")
+    for start, pool in NO_SUSPECT.items():
+        even = F.when(F.startswith(tier, F.lit(start)), _template(pool, pick)).otherwise(even)
     n = F.size(names)
     return (
-        F.when(n == 0, F.replace(_template(NO_SUSPECT, pick), F.lit("{tier}"), tier))
+        F.when(n == 0, F.replace(even, F.lit("{tier}"), tier))
         .when(n == 1, F.replace(_template(ONE_SUSPECT, pick), F.lit("{name}"), F.get(names, F.lit(0))))
         .otherwise(F.replace(_template(MANY_SUSPECTS, pick), F.lit("{names}"), name_list(names)))
     )

@@ -260,35 +260,44 @@ def spread_loss(players: DataFrame) -> DataFrame:
 def composite_loss(weighted: DataFrame, logits: str = "logits") -> DataFrame:
     """The four terms and their weighted total, in one pass over the players.
 
-    Each lobby folds its element losses, moments and pair hinges; the lobbies
-    then add up. The spread comes from the first two moments.
+    Each lobby folds its element losses and pair hinges; the lobbies then add up. Its players, six
+    at most, come along for the variances, whose moments Spark merges without cancellation.
     """
     pred, target = F.col("pred_mmr"), F.col("target_mmr")
     diff = losses.scaled_error(pred, target)
     element = (losses.huber(diff) + losses.pinball_term(diff, target)) * F.col("weight")
     bce = losses.ordinal_bce(F.col(logits), target) / F.lit(float(len(ladder.ORDINAL_BOUNDARIES)))
-    p, t = pred / F.lit(losses.MMR_SCALE), target / F.lit(losses.MMR_SCALE)
-    sums = {"element": element, "bce": bce, "p": p, "pp": p * p, "t": t, "tt": t * t}
+    sums = {"element": element, "bce": bce}
     lobby = lobby_list(F.struct(target.alias("target"), pred.alias("pred")))
     folded = known_rows(weighted).groupBy("replay_id").agg(
         *(F.sum(x).alias(n) for n, x in sums.items()),
         F.count(F.lit(1)).alias("n"),
         losses.pair_hinges(lobby).alias("h"),
+        lobby.alias("lobby"),
+    )
+    rows = folded.select(
+        *sums, "n", F.size("h").alias("pairs"), F.aggregate("h", F.lit(0.0), lambda acc, x: acc + x).alias("hinge"),
+        F.posexplode("lobby").alias("_i", "_player"),
+    )
+
+    def variance(name: str) -> Column:
+        return F.coalesce(F.var_pop(F.col(f"_player.{name}") / F.lit(losses.MMR_SCALE)), F.lit(0.0))
+
+    once = F.col("_i") == 0
+    totals = rows.agg(
+        *(F.coalesce(F.sum(F.when(once, F.col(c))), F.lit(0.0)).alias(c) for c in (*sums, "n", "pairs", "hinge")),
+        variance("target").alias("t"), variance("pred").alias("p"),
     )
-    totals = folded.select(
-        *sums, "n", F.size("h").alias("pairs"), F.aggregate("h", F.lit(0.0), lambda acc, x: acc + x).alias("hinge")
-    ).agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in (*sums, "n", "pairs", "hinge")))
     n = F.greatest(F.col("n"), F.lit(1.0))
 
-    def std(first: str, second: str) -> Column:
-        mean = F.col(first) / n
-        return F.sqrt(F.greatest(F.col(second) / n - mean * mean, F.lit(losses.SPREAD_FLOOR)))
+    def std(moment: str) -> Column:
+        return F.sqrt(F.greatest(F.col(moment), F.lit(losses.SPREAD_FLOOR)))
 
     parts = totals.select(
         (F.col("element") / n).alias("regression"),
         (F.col("bce") / n).alias("ordinal"),
         (F.col("hinge") / F.greatest(F.col("pairs"), F.lit(1.0))).alias("pairwise"),
-        losses.spread_gap(std("t", "tt"), std("p", "pp")).alias("spread"),
+        losses.spread_gap(std("t"), std("p")).alias("spread"),
     )
     total = (
         F.col("regression")

@@ -21,7 +21,12 @@ def _members(*columns: str) -> Column:
 
 
 def padded_lanes(players: DataFrame, lanes: int = LANES) -> DataFrame:
-    """Timeline lanes: players in slot order, filled up with `Player n` on blue."""
+    """Timeline lanes: players in slot order, filled up with `Player n` on blue.
+
+    With a column actor_id, a car without a name is called after its actor.
+    """
+    if "actor_id" in players.columns:
+        players = players.withColumn("player_name", labels.placeholder_name(F.col("player_name"), F.col("actor_id")))
     members = players.groupBy("replay_id").agg(_members("player_name", "team").alias("m"))
 
     def lane(i: Column) -> Column:

@@ -120,14 +120,8 @@ def prefix_scan(
     chunk_sort = F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc()
     before = group.orderBy(chunk_sort).rowsBetween(W.unboundedPreceding, -1)
     everything = group.orderBy(chunk_sort).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    # A join by key would lose rows without one silently.
-    given = [
-        F.when(F.col(k).isNull(), F.raise_error(F.lit(f"NULL in key column {k}")).cast(totals.schema[k].dataType))
-        .otherwise(F.col(k)).alias(k)
-        for k in keys
-    ]
     carried = totals.select(
-        *given,
+        *_given(totals, keys),
         CHUNK,
         *(
             f.carry(F.col(f"_t_{f.name}")).over(everything if f.whole else before).alias(f"_c_{f.name}")
@@ -163,6 +157,15 @@ def prefix_scan(
     )
 
 
+def _given(df: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """The keys, which must not be NULL: a join by key would lose rows without one silently."""
+    return [
+        F.when(F.col(k).isNull(), F.raise_error(F.lit(f"NULL in key column {k}")).cast(df.schema[k].dataType))
+        .otherwise(F.col(k)).alias(k)
+        for k in keys
+    ]
+
+
 def _first_in_scan(fold: Fold, position: Column) -> Column:
     return F.min_by(fold.value, F.when(fold.value.isNotNull(), position))
 
@@ -234,11 +237,12 @@ def attach_group(
     """Join one-row-per-key attributes onto rows, spread by (key, chunk).
 
     The attributes are first copied to the chunks that occur, so the rows of a
-    hot key meet them on many tasks.
+    hot key meet them on many tasks. Rows without a chunk stay; a NULL key raises an error.
     """
     keys = list(keys)
-    chunked = df.withColumn(CHUNK, chunk)
-    copies = chunked.select(*keys, CHUNK).distinct().join(attributes, keys, how)
+    chunked = df.withColumn(CHUNK, F.coalesce(chunk.cast("bigint"), F.lit(NULL_CHUNK)))
+    chunks = chunked.select(*keys, CHUNK).distinct()
+    copies = chunks.select(*_given(chunks, keys), CHUNK).join(attributes, keys, how)
     return chunked.join(copies, [*keys, CHUNK], "inner").drop(CHUNK)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lobbylens.operators.scan import CHUNK, Fold, attach_group, order_statistics, prefix_scan, scatter, span
+from lobbylens.operators.scan import CHUNK, ROW_CHUNK, Fold, attach_group, order_statistics, prefix_scan, scatter, span
 from lobbylens.session import materialize
 
 # Smoothing, threshold and streak of the outlier rule.
@@ -76,12 +76,11 @@ def top_flags(df: DataFrame, epoch: str, value: str, fraction: float = TOP_FRACT
 
     An epoch has one row per segment, so it is as large as the data; its
     threshold comes from the order statistic over ranges and is spread back by
-    (epoch, row hash).
+    (epoch, row hash), in as many parts as the largest epoch needs.
     """
-    cut = order_statistics(
-        df, [epoch], value, {"_threshold": lambda n: F.floor(n * F.lit(fraction))}
-    ).drop("n")
-    joined = attach_group(df, cut, [epoch], scatter(*df.columns))
+    cut = materialize(order_statistics(df, [epoch], value, {"_threshold": lambda n: F.floor(n * F.lit(fraction))}))
+    parts = (cut.agg(F.max("n")).first()[0] or 0) // ROW_CHUNK + 1
+    joined = attach_group(df, cut.drop("n"), [epoch], scatter(*df.columns, parts=parts))
     return joined.withColumn("is_high", F.col(value) >= F.col("_threshold")).drop("_threshold")
 
 

@@ -193,6 +193,44 @@ def rising_edges(frames: DataFrame, condition: Column, keys=KEY, order=ORDER) ->
     return scanned.where(edge | (F.col(order[0]) == 0)).drop("_on", "_was")
 
 
+def ball_kickoffs(log: DataFrame) -> DataFrame:
+    """Kick-off frames (game_id, frame) from the log of ball actors: frame 0, and every later frame in
+    which some ball comes to lie at the centre after a frame in which none did.
+
+    log: game_id, actor_id, frame_idx, seq (a whole number, unique in the game), kind (new, update,
+    delete), position and velocity; NULL leaves them as they were, and a new actor starts at rest at the centre.
+    State is carried along each actor; a frame then adds up how many actors enter and leave the
+    centre, so the running sum is the number of balls there and frames are never paired with actors.
+    """
+    actor, at = ["game_id", "actor_id"], F.col("seq")
+
+    def newest(value: Column) -> Column:
+        return F.when(value.isNotNull() & (F.col("kind") != "delete"), F.struct(at.alias("at"), value.alias("v")))
+
+    folds = [
+        Fold("_born", "max", F.when(F.col("kind") == "new", at)),
+        Fold("_died", "max", F.when(F.col("kind") == "delete", at)),
+        Fold("_pos", "last", newest(F.col("position"))),
+        Fold("_vel", "last", newest(F.col("velocity"))),
+    ]
+    scanned = prefix_scan(log, actor, ["seq"], folds)
+
+    def carried(name: str) -> Column:
+        rest = F.struct(*(F.lit(0.0).alias(axis) for axis in "xyz"))
+        return F.when(F.col(f"{name}.at") >= F.col("_born"), F.col(f"{name}.v")).otherwise(rest)
+
+    alive = F.col("_born").isNotNull() & (F.coalesce("_died", F.lit(-1)) < F.col("_born"))
+    centred = alive & F.coalesce(ball_at_centre(carried("_pos"), carried("_vel")), F.lit(False))
+    ends = scanned.groupBy(*actor, "frame_idx").agg(F.max_by(centred, "seq").alias("_now"))
+    moves = prefix_scan(ends, actor, ORDER, [Fold("_was", "last", F.col("_now"), exclusive=True)])
+    change = F.col("_now").cast("int") - F.coalesce("_was", F.lit(False)).cast("int")
+    changes = moves.groupBy(*KEY, *ORDER).agg(F.sum(change).alias("_change"))
+    here = prefix_scan(changes, KEY, ORDER, [Fold("_balls", "sum", F.col("_change"))])
+    starts = here.where((F.col("_balls") > 0) & (F.col("_balls") == F.col("_change")) & (F.col("frame_idx") > 0))
+    first = log.select("game_id", F.lit(0).cast("bigint").alias("frame")).distinct()
+    return starts.select("game_id", F.col("frame_idx").alias("frame")).union(first)
+
+
 def ball_at_centre(position: Column, velocity: Column) -> Column:
     near = (F.abs(position["x"]) < 10.0) & (F.abs(position["y"]) < 10.0)
     return near & (F.abs(velocity["x"]) < 1.0) & (F.abs(velocity["y"]) < 1.0)

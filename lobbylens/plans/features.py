@@ -9,8 +9,9 @@ have a bounded number of rows, so a hot game spreads over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +111,86 @@ def with_cumulative(segmented: DataFrame) -> DataFrame:
     return previous.selectExpr(*segmented.columns, *(state(s) for s in range(SLOTS)))
 
 
+# The same sums, folded frame by frame as they arrive. A frame is two arrays of numbers: what the
+# vectors need, and per slot what the sums need.
+CAR_NUMBERS = ["pos.x", "pos.y", "pos.z", "vel.x", "vel.y", "vel.z", "rot.x", "rot.y", "rot.z", "rot.w", "boost"]
+CAR_WIDTH = len(CAR_NUMBERS) + 2  # and: demolished, present
+BALL_NUMBERS = ["ball_pos.x", "ball_pos.y", "ball_pos.z", "ball_vel.x", "ball_vel.y", "ball_vel.z"]
+SUMS = ("gained", "spent", "airborne", "supersonic", "demolished", "present")
+
+
+def frame_numbers() -> str:
+    """Ball and slotted cars of a frame as one array; restore_slots turns it back."""
+    cars = [
+        value
+        for s in range(SLOTS)
+        for value in (
+            *(f"coalesce(p{s}.{n}, 0.0D)" for n in CAR_NUMBERS),
+            f"if(p{s}.is_demolished, 1.0D, 0.0D)", f"if(p{s} IS NULL, 0.0D, 1.0D)",
+        )
+    ]
+    return _numbers(*BALL_NUMBERS, *cars)
+
+
+def fold_inputs() -> str:
+    """Per slot: boost of 100, airborne, supersonic and demolished (1 or 0), present (1 or 0)."""
+    values = []
+    for s in range(SLOTS):
+        alive = f"NOT p{s}.is_demolished"
+        values += [
+            f"coalesce(p{s}.boost * 100.0D, 0.0D)", f"if({alive} AND p{s}.pos.z > {AIRBORNE_HEIGHT}D, 1.0D, 0.0D)",
+            f"if({alive} AND {v.magnitude(f'p{s}.vel')} > {SUPERSONIC_SPEED}D, 1.0D, 0.0D)",
+            f"if(p{s}.is_demolished, 1.0D, 0.0D)", f"if(p{s} IS NULL, 0.0D, 1.0D)",
+        ]
+    return _numbers(*values)
+
+
+def fold_segment(inputs: np.ndarray, carry: Sequence[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums at each of the next frames of a segment, and what the frames after them need.
+
+    inputs: fold_inputs of the frames, in order. carry: of the frames before, none at the start.
+    """
+    n = len(inputs)
+    boost, *flags, present = np.moveaxis(np.asarray(inputs, np.float64).reshape(n, SLOTS, 5), 2, 0)
+    state = np.zeros((SLOTS, len(SUMS) + 1)) if carry is None else np.asarray(carry, np.float64).reshape(SLOTS, len(SUMS) + 1)
+    here = present > 0
+    # Boost of the last frame before in which the car was there.
+    known = np.vstack([state[:, -1], boost])
+    at = np.maximum.accumulate(np.where(np.vstack([np.ones(SLOTS, bool), here]), np.arange(n + 1)[:, None], 0))
+    was = np.take_along_axis(known, at[:-1], 0)
+    gained = here & (boost > was + BOOST_GAIN_STEP)
+    spent = here & ~gained & (boost < was - BOOST_SPEND_STEP)
+    steps = [np.where(gained, boost - was, 0.0), np.where(spent, was - boost, 0.0), *flags, present]
+    sums = np.stack([np.cumsum(np.vstack([state[:, i], step]), axis=0)[1:] for i, step in enumerate(steps)], axis=2)
+    last = np.take_along_axis(known, at[-1:], 0)[0]
+    return sums.reshape(n, -1), np.column_stack([sums[-1], last]).ravel()
+
+
+def restore_slots(frames: DataFrame) -> DataFrame:
+    """Frames as numbers and sums -> slotted frames with their cumulative state."""
+
+    def vec(base: int, name: str) -> str:
+        axes = "xyzw" if name == "rot" else "xyz"
+        first = base + CAR_NUMBERS.index(f"{name}.x")
+        return "named_struct(" + ", ".join(f"'{a}', numbers[{first + i}]" for i, a in enumerate(axes)) + ")"
+
+    def car(s: int) -> str:
+        base = len(BALL_NUMBERS) + s * CAR_WIDTH
+        fields = [f"'{name}', {vec(base, name)}" for name in ("pos", "vel", "rot")]
+        fields += [f"'boost', numbers[{base + CAR_NUMBERS.index('boost')}]", f"'is_demolished', numbers[{base + CAR_WIDTH - 2}] = 1"]
+        return f"if(numbers[{base + CAR_WIDTH - 1}] = 0, NULL, named_struct({', '.join(fields)})) AS p{s}"
+
+    def state(s: int) -> str:
+        return "named_struct(" + ", ".join(f"'{n}', sums[{s * len(SUMS) + i}]" for i, n in enumerate(SUMS)) + f") AS c{s}"
+
+    balls = [
+        f"named_struct('x', numbers[{i}], 'y', numbers[{i + 1}], 'z', numbers[{i + 2}]) AS {name}"
+        for i, name in ((0, "ball_pos"), (3, "ball_vel"))
+    ]
+    keys = ["game_id", "segment", "rn", f"rn * {tel.SUBSAMPLE} AS frame_idx", "0 AS n_kept"]
+    return frames.selectExpr(*keys, *balls, *(car(s) for s in range(SLOTS)), *(state(s) for s in range(SLOTS)))
+
+
 def fraction(slot: int, name: str) -> str:
     return f"c{slot}.{name} / greatest(c{slot}.present, 1)"
 
@@ -222,12 +303,17 @@ def _vector(with_context: bool) -> str:
 
 
 def feature_vectors(segmented: DataFrame, with_context: bool = True) -> DataFrame:
-    """(game, frame, rn, segment, slot, features) from training or inference frames.
+    """(game, frame, rn, segment, slot, features) from training or inference frames."""
+    return vectors_of(with_cumulative(segmented), with_context)
+
+
+def vectors_of(summed: DataFrame, with_context: bool = True) -> DataFrame:
+    """The vectors of slotted frames with their cumulative state.
 
     Slot columns become arrays before the frame is repeated per slot, so one
     vector expression serves all six and stays small enough to be compiled.
     """
-    near = with_ball_distances(with_cumulative(segmented))
+    near = with_ball_distances(summed)
     keys = ["game_id", "frame_idx", "rn", "segment", "n_kept"]
     context = ["seconds_remaining", "blue", "orange"] if with_context else []
 

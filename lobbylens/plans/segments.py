@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lobbylens.functions import labels
 from lobbylens.operators.telemetry import segment_count
-from lobbylens.plans.features import FEATURES, SLOTS, zeros
+from lobbylens.plans.features import FEATURES, SLOTS, feature_vectors, training_frames, zeros
 
 CACHE_VERSION = "v6"
 SEGMENT_FRAMES = 300
@@ -75,6 +75,58 @@ def parse_segment_names(names: DataFrame, name: str, length: int) -> DataFrame:
     return parsed.where(F.col("end") - F.col("start") == length)
 
 
+#: What a build run does with a replay, in the order of the checks.
+OUTCOMES = ["no_players", "cached", "read_error", "parse_error", "no_frames", "built"]
+
+
+def build_outcomes(
+    replays: DataFrame, players: DataFrame, stored: DataFrame, files: DataFrame, parsed: DataFrame, frames: DataFrame
+) -> DataFrame:
+    """Each replay of the catalogue with its outcome, by one chain of outer joins.
+
+    replays: id, file_path, game_mode, rank; players: rating rows by replay_id; stored: game_id of
+    segments at hand; files: listed paths; parsed: id, is_bad; frames: by game_id. A replay without
+    ratings is skipped before its file is looked at; a file that nothing could parse is an error.
+    """
+    def known(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.select(F.col(key).alias("_key")).distinct().withColumn(name, F.lit(True))
+
+    def there(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(False))
+
+    out = replays.select("id", "file_path", "game_mode", "rank")
+    for rows, column in (
+        (known(players, "replay_id", "_rated"), "id"),
+        (known(stored, "game_id", "_stored"), "id"),
+        (known(files, "path", "_listed"), "file_path"),
+        (known(parsed.where("NOT is_bad"), "id", "_parsed"), "id"),
+        (known(frames, "game_id", "_framed"), "id"),
+    ):
+        out = out.join(rows, F.col(column) == F.col("_key"), "left").drop("_key")
+    outcome = (
+        F.when(~there("_rated"), F.lit("no_players")).when(there("_stored"), F.lit("cached"))
+        .when(~there("_listed"), F.lit("read_error")).when(~there("_parsed"), F.lit("parse_error"))
+        .when(~there("_framed"), F.lit("no_frames")).otherwise(F.lit("built"))
+    )
+    return out.select("id", "game_mode", "rank", outcome.alias("outcome"))
+
+
+def write_outcomes(outcomes: DataFrame, path: str) -> dict[str, int]:
+    """Write the plan of a build run and return how many replays have each outcome, from the same pass."""
+    seen = Observation()
+    counted = outcomes.observe(seen, *(F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES))
+    counted.write.parquet(path)
+    return {o: seen.get[o] for o in OUTCOMES}
+
+
+def build(spark: SparkSession, outcomes_path: str, marked: DataFrame, rosters: DataFrame, path: str, length: int) -> None:
+    """Store the segments of the replays that the plan says to build; the others' frames are left out first."""
+    todo = spark.read.parquet(outcomes_path).where("outcome = 'built'").select(F.col("id").alias("game_id"), "game_mode", "rank")
+    frames = marked.join(todo.select("game_id"), "game_id", "left_semi")
+    rows = pack(feature_vectors(training_frames(frames, rosters, length)), length)
+    write_segments(rows.join(todo, "game_id"), path)
+
+
 def missing_games(games: DataFrame, stored: DataFrame) -> DataFrame:
     """Games without a stored segment: the ones still to compute."""
     return games.join(stored.select("game_id").distinct(), "game_id", "left_anti")

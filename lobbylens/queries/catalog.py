@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lobbylens.functions import labels, ladder
-from lobbylens.operators import catalog, labelling
+from lobbylens.operators import catalog, labelling, results, telemetry
+from lobbylens.plans import segments
 from lobbylens.queries import sqltext as q
 from lobbylens.queries.registry import OFF_TIE, Registry, num
+from lobbylens.session import run_folder
 from lobbylens.sources import blocks, bundle, inventory
 from lobbylens.sources import tables as t
 
@@ -101,6 +103,38 @@ def file_inventory(spark, sf):
     return inventory.replay_parts(listed_files(spark, sf))
 
 
+@R.add("replay_listing", q.with_ctes("rp", """SELECT path, id % 50 + 1 AS length, split_part(path, '/', 2) AS game_mode, split_part(path, '/', 3) AS rank,
+  replace(split_part(path, '/', 4), '.replay', '') AS id FROM (SELECT id, 'replays/' || game_mode || '/' || rank || '/' || id || '.replay' AS path
+   FROM rp WHERE file_present) x"""))
+def replay_listing(spark, sf):
+    """Replay files and others are written, then listed; no content is read."""
+    root = run_folder(spark, "files")
+    body = F.to_binary(F.repeat(F.lit("x"), (F.col("id") % 50 + 1).cast("int")), F.lit("utf-8")).alias("content")
+    replays = catalog.with_file_path(t.replays(spark, sf))
+    known = replays.where("file_present").select(F.col("file_path").alias("path"), body)
+    other = replays.where("id % 13 = 0").select(F.concat("file_path", F.lit(".bak")), body)
+    shallow = replays.where("id % 11 = 0").select(F.concat(F.lit("replays/"), "rank", F.lit("/"), F.col("id").cast("string"), F.lit(".replay")), body)
+    inventory.write_files(known.union(other).union(shallow), root)
+    return inventory.list_replay_files(spark, root).withColumn("path", F.regexp_extract("path", "/(replays/.*)$", 1))
+
+
+@R.add("block_files", f"""SELECT vec_id, CAST(64 AS INT) AS n, FLOOR(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))*10000.0E0 + {OFF_TIE}E0)/10000.0E0 AS total,
+  CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[64] AS DOUBLE) AS last_ FROM embeddings WHERE vec_id % 5 <> 3""")
+def block_files(spark, sf):
+    """Block files, some of them cut short, are written and read back; short ones are left out by their length."""
+    root = run_folder(spark, "blocks")
+    whole = blocks.encode_block("embedding")
+    raw = t.table(spark, sf, "embeddings").select("vec_id", whole.alias("whole")).select(
+        F.concat(F.lit("segments/v6/"), F.col("vec_id").cast("string"), F.lit("/0-1.features")).alias("path"),
+        F.when(F.col("vec_id") % 5 == 3, F.expr("substring(whole, 1, 253)")).otherwise(F.col("whole")).alias("content"))
+    inventory.write_files(raw, root)
+    v = F.col("values")
+    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return blocks.read_blocks(spark, root, 64).select(
+        F.regexp_extract("path", "/v6/([0-9]+)/", 1).cast("bigint").alias("vec_id"), F.size(v).alias("n"), num(total, 4).alias("total"),
+        F.get(v, F.lit(0)).cast("double").alias("first"), F.get(v, F.lit(63)).cast("double").alias("last_"))
+
+
 @R.add("blob_decode", f"""SELECT vec_id, CASE WHEN fits THEN CAST(len(embedding) AS INT) ELSE -1 END AS n, CASE WHEN fits THEN
   FLOOR(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))*10000.0E0 + {OFF_TIE}E0)/10000.0E0 END AS total,
   CASE WHEN fits THEN CAST(embedding[1] AS DOUBLE) END AS first, CASE WHEN fits THEN CAST(embedding[64] AS DOUBLE) END AS last_,
@@ -138,7 +172,7 @@ def registry_register(spark, sf):
 
 @R.add("registry_find", "SELECT p_brand AS name, CAST(p_partkey AS INT) AS version, 'models/' || p_partkey AS checkpoint_path FROM part WHERE p_partkey = 7")
 def registry_find(spark, sf):
-    brand = t.table(spark, sf, "part").where("p_partkey = 7").select("p_brand").first()[0]
+    brand = t.table(spark, sf, "part").where("p_partkey = 7").select("p_brand").scalar()
     return catalog.find_model(model_registry(spark, sf), brand, 7).select("name", "version", "checkpoint_path")
 
 
@@ -235,8 +269,12 @@ def coarse_rank_match(spark, sf):
 
 
 def _playlist_sql(x: str) -> str:
-    cases = " ".join(f"WHEN {n} THEN '{label}'" for n, label in labels.PLAYLIST_LABELS.items())
-    return f"CASE {x} {cases} ELSE 'this playlist (id ' || {x} || ')' END"
+    return f"""CASE {x} WHEN 1 THEN 'casual 1v1' WHEN 2 THEN 'casual 2v2' WHEN 3 THEN 'casual 3v3 standard'
+      WHEN 10 THEN 'ranked 1v1 (duels)' WHEN 11 THEN 'ranked 2v2 (doubles)' WHEN 12 THEN 'ranked solo standard 3v3'
+      WHEN 15 THEN 'Snow Day' WHEN 16 THEN 'Snow Day' WHEN 17 THEN 'Rocket Labs' WHEN 18 THEN 'Rocket Labs'
+      WHEN 25 THEN 'Hoops' WHEN 26 THEN 'Hoops' WHEN 27 THEN 'Rumble' WHEN 28 THEN 'Rumble'
+      WHEN 29 THEN 'Dropshot' WHEN 30 THEN 'Dropshot' WHEN 31 THEN 'Heatseeker' WHEN 32 THEN 'Heatseeker'
+      ELSE 'this playlist (id ' || {x} || ')' END"""
 
 
 HEADERS = """SELECT o_orderkey AS id, o_custkey AS c, o_orderkey AS k,
@@ -273,6 +311,47 @@ def skip_counts(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
+def parse_results(spark, sf):
+    """Replays whose document parses; every thirteenth is cut off."""
+    cut = F.when(F.col("replay_id") % 13 == 0, F.substr("metadata", F.lit(1), F.lit(9))).otherwise(F.col("metadata"))
+    parsed = bundle.parse_lines(t.replay_summaries(spark, sf).withColumn("metadata", cut), "metadata", "id string")
+    return parsed.select(F.col("replay_id").alias("id"), "is_bad")
+
+
+# Every game with players, a file, a readable document and frames is built; games of the first users have frames.
+SKIPPED = """SELECT outcome, COUNT(*) AS n FROM (SELECT CASE WHEN id NOT IN (SELECT replay_id FROM lp) THEN 'no_players' WHEN id % 17 = 0 THEN 'cached'
+  WHEN NOT file_present THEN 'read_error' WHEN id % 13 = 0 THEN 'parse_error' WHEN id NOT IN (SELECT game_id FROM ef) THEN 'no_frames'
+  ELSE 'built' END AS outcome FROM rp) x GROUP BY outcome"""
+
+
+@R.add("skip_classes", q.with_ctes("rp lp ef", f"SELECT c.outcome, COALESCE(s.n, 0) AS n FROM ({SKIPPED}) s RIGHT JOIN (SELECT UNNEST(["
+                                   "'no_players', 'cached', 'read_error', 'parse_error', 'no_frames', 'built']) AS outcome) c USING (outcome)"))
+def skip_classes(spark, sf):
+    """What a build run does with each replay of the catalogue, counted while the outcomes are written."""
+    replays = catalog.with_file_path(t.replays(spark, sf))
+    outcomes = segments.build_outcomes(
+        replays, t.lobby_players(spark, sf), replays.where("id % 17 = 0").select(F.col("id").alias("game_id")),
+        listed_files(spark, sf), parse_results(spark, sf), t.event_frames(spark, sf))
+    counts = segments.write_outcomes(outcomes, run_folder(spark, "outcomes"))
+    return spark.createDataFrame(sorted(counts.items()), "outcome string, n bigint")
+
+
+@R.add("built_segments", q.with_ctes("rp lp ef", """SELECT id AS game_id, rank, game_mode, CAST(GREATEST(1, (COUNT(*) + 1) // 2 // 10) AS BIGINT)*6 AS n_rows
+  FROM rp JOIN ef ON game_id = id WHERE id IN (SELECT replay_id FROM lp) AND id % 17 <> 0 AND file_present AND id % 13 <> 0 GROUP BY ALL"""))
+def built_segments(spark, sf):
+    """The segments that the same run stores: those of the replays it builds."""
+    replays = catalog.with_file_path(t.replays(spark, sf))
+    outcomes = segments.build_outcomes(
+        replays, t.lobby_players(spark, sf), replays.where("id % 17 = 0").select(F.col("id").alias("game_id")),
+        listed_files(spark, sf), parse_results(spark, sf), t.event_frames(spark, sf))
+    folder = run_folder(spark, "built")
+    segments.write_outcomes(outcomes, f"{folder}/outcomes")
+    frames = t.marked_frames(spark, sf).withColumns({"goal_blue": F.lit(0), "goal_orange": F.lit(0)})
+    segments.build(spark, f"{folder}/outcomes", frames, telemetry.roster(t.car_names(spark, sf)), f"{folder}/segments", 10)
+    return segments.read_segments(spark, f"{folder}/segments", 10).groupBy("game_id", "rank", "game_mode").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
 @R.add("mode_label", f"""SELECT o_orderkey AS id, {_playlist_sql('(o_custkey % 40)')} AS playlist_label,
   CASE o_orderkey % 6 WHEN 0 THEN 'team size 0' WHEN 1 THEN '1v1' WHEN 2 THEN '2v2' WHEN 3 THEN 'team size 3'
    WHEN 4 THEN '4v4' ELSE 'team size 5' END AS size_label FROM orders""")
@@ -624,11 +703,14 @@ def name_list(spark, sf):
 
 
 @R.add("slot_padding", q.with_ctes("lp", """SELECT r.replay_id, CAST(g.i AS INT) AS lane,
-  COALESCE(p.player_name, 'Player ' || (g.i + 1)) AS player_name, COALESCE(p.team, 0) AS team
+  COALESCE(p.name, 'Player ' || (g.i + 1)) AS player_name, COALESCE(p.team, 0) AS team
   FROM (SELECT DISTINCT replay_id FROM lp) r CROSS JOIN (SELECT UNNEST([0,1,2,3,4,5]) AS i) g
-  LEFT JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY replay_id ORDER BY slot) - 1 AS i FROM lp) p
-  ON p.replay_id = r.replay_id AND p.i = g.i"""))
+  LEFT JOIN (SELECT *, CASE WHEN (replay_id + slot) % 9 < 2 THEN 'Player_' || (replay_id % 90 * 10 + slot) ELSE player_name END AS name,
+    ROW_NUMBER() OVER (PARTITION BY replay_id ORDER BY slot) - 1 AS i FROM lp) p ON p.replay_id = r.replay_id AND p.i = g.i"""))
 def slot_padding(spark, sf):
-    from lobbylens.operators.results import padded_lanes
-
-    return padded_lanes(t.lobby_players(spark, sf))
+    """Some cars have lost their name, or have an empty one."""
+    rest = (F.col("replay_id") + F.col("slot")) % 9
+    name = F.when(rest == 0, F.lit("")).when(rest != 1, F.col("player_name"))
+    players = t.lobby_players(spark, sf).withColumn("player_name", name).withColumn(
+        "actor_id", F.col("replay_id") % 90 * 10 + F.col("slot"))
+    return results.padded_lanes(players)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from lobbylens.functions import labels
 from lobbylens.functions import vectors as v
-from lobbylens.operators import probe
+from lobbylens.operators import labelling, probe
 from lobbylens.operators import telemetry as tel
-from lobbylens.operators.scan import FRAME_CHUNK, row_index, span
+from lobbylens.operators.scan import FRAME_CHUNK, attach_group, row_index, span
 from lobbylens.plans import features as ft
 from lobbylens.plans import segments as sg
 from lobbylens.queries import sqltext as q
@@ -21,8 +21,7 @@ L = 10
 
 
 def marked(spark, sf):
-    narrow = t.event_frames(spark, sf).withColumn("time", F.col("frame_idx") * F.lit(0.25))
-    return tel.mark_frames(narrow, t.goals(spark, sf), t.kickoffs(spark, sf))
+    return t.marked_events(spark, sf)
 
 
 def rosters(spark, sf):
@@ -95,14 +94,14 @@ def _zeros(n: int) -> str:
 
 POS = [_clamp("px/5120.0E0"), _clamp("py/5120.0E0"), _clamp("pz/2044.0E0", "0.0E0")]
 VEL = [_clamp(f"v{a}/2300.0E0") for a in "xyz"]
-ROT = ["0.0E0", "0.0E0", "qz", "qw"]
+ROT = ["qx", "qy", "qz", "qw"]
+FORWARD = ["(1.0E0 - 2.0E0*(qy*qy + qz*qz))", "(2.0E0*(qx*qy + qw*qz))", "(2.0E0*(qx*qz - qw*qy))"]
 CAR_SPEED = "LEAST(speed/2300.0E0, 1.0E0)"
 GONE13, GONE12 = _list(*["0.0E0"] * 12, "1.0E0"), _list(*["0.0E0"] * 11, "1.0E0")
 STATE = f"CASE WHEN is_demolished THEN {GONE13} ELSE {_list(*POS, *VEL, *ROT, CAR_SPEED, 'boost', '0.0E0')} END"
 OPP = f"CASE WHEN is_demolished THEN {GONE12} ELSE {_list(*POS, *VEL, *ROT, CAR_SPEED, '0.0E0')} END"
 NEAR = "LEAST(ball_dist/7245.0E0, 1.0E0)"
-FACING = ("CASE WHEN ball_dist < 0.0001E0 THEN 0.0E0 ELSE (1.0E0 - 2.0E0*qz*qz)*((bx-px)/ball_dist) "
-          "+ (2.0E0*qw*qz)*((by_-py)/ball_dist) END")
+FACING = f"CASE WHEN ball_dist < 0.0001E0 THEN 0.0E0 ELSE ({FORWARD[0]}*(bx-px) + {FORWARD[1]}*(by_-py) + {FORWARD[2]}*(bz-pz))/ball_dist END"
 BALL = _list(_clamp("bx/5120.0E0"), _clamp("by_/5120.0E0"), _clamp("bz/2044.0E0", "0.0E0"),
              _clamp("bvx/6000.0E0"), _clamp("bvy/6000.0E0"), _clamp("bvz/6000.0E0"),
              "LEAST(SQRT(bvx*bvx+bvy*bvy+bvz*bvz)/6000.0E0, 1.0E0)")
@@ -162,11 +161,10 @@ OWN_GOALS = """SELECT game_id, frame_idx AS frame, CAST(event_id % 2 AS INT) AS
 
 
 def chain(body: str, *names: str, **extra: str) -> str:
-    """The named steps and their relations; the training steps use the goals of the frames themselves."""
-    if "numbered" in names:
-        picked = {"goals": OWN_GOALS, **{n: CHAIN[n] for n in CHAIN if n in names}}
-        return q.with_ctes("ef fr pf kickoffs", body, **picked, **extra)
+    """The named steps and their relations; scores and windows use the goals of the frames themselves."""
     picked = {n: CHAIN[n] for n in CHAIN if n in names}
+    if names and {"windows", "score"} & set(names):
+        return q.with_ctes("ef fr pf kickoffs", body, **{"goals": OWN_GOALS, **picked, **extra})
     return q.with_ctes("ef fr pf goals kickoffs", body, **picked, **extra)
 
 
@@ -290,6 +288,45 @@ def segment_bounds(spark, sf):
     return tel.segment_bounds(t.frames(spark, sf), L)
 
 
+# Kick-offs read off the ball actors: each frame and actor with its newest creation, deletion and movements.
+BALLS = {
+    "ba": """SELECT game_id, frame_idx, event_id % 2 AS actor, CASE event_type WHEN 'signup' THEN 'new' WHEN 'error' THEN 'delete' ELSE 'update' END AS kind,
+  event_type NOT IN ('signup', 'error') AND event_id % 7 <> 3 AS has_pos, event_type NOT IN ('signup', 'error') AND event_id % 5 <> 2 AS has_vel,
+  event_id*7 % 31 - 15 AS x, event_id*11 % 25 - 12 AS y, (event_id*13 % 5 - 2)*0.6E0 AS vx, (event_id*17 % 3 - 1)*0.9E0 AS vy FROM ef""",
+    "st": """SELECT b.game_id, b.frame_idx, a.a, MAX(CASE WHEN actor = a.a AND kind = 'new' THEN frame_idx END) OVER w AS born,
+  MAX(CASE WHEN actor = a.a AND kind = 'delete' THEN frame_idx END) OVER w AS died,
+  MAX(CASE WHEN actor = a.a AND has_pos THEN frame_idx END) OVER w AS pos_at, MAX(CASE WHEN actor = a.a AND has_vel THEN frame_idx END) OVER w AS vel_at
+  FROM ba b CROSS JOIN (SELECT UNNEST([0, 1]) AS a) a WINDOW w AS (PARTITION BY b.game_id, a.a ORDER BY frame_idx ROWS UNBOUNDED PRECEDING)""",
+    "ct": """SELECT st.game_id, st.frame_idx, bool_or(born IS NOT NULL AND COALESCE(died, -1) < born
+   AND ABS(CASE WHEN pos_at > born THEN p.x ELSE 0 END) < 10 AND ABS(CASE WHEN pos_at > born THEN p.y ELSE 0 END) < 10
+   AND ABS(CASE WHEN vel_at > born THEN v.vx ELSE 0 END) < 1 AND ABS(CASE WHEN vel_at > born THEN v.vy ELSE 0 END) < 1) AS centred
+  FROM st LEFT JOIN ba p ON p.game_id = st.game_id AND p.frame_idx = pos_at LEFT JOIN ba v ON v.game_id = st.game_id AND v.frame_idx = vel_at
+  GROUP BY st.game_id, st.frame_idx""",
+    "bk": """SELECT game_id, frame_idx AS frame FROM (SELECT *, COALESCE(LAG(centred) OVER (PARTITION BY game_id ORDER BY frame_idx), FALSE) AS was FROM ct) x
+  WHERE frame_idx = 0 OR (COALESCE(centred, FALSE) AND NOT was)""",
+}
+
+
+def ball_kickoff_frames(spark, sf):
+    return tel.ball_kickoffs(t.ball_log(spark, sf))
+
+
+@R.add("ball_kickoffs", q.with_ctes("ef", "SELECT game_id, frame FROM bk", **BALLS))
+def ball_kickoffs(spark, sf):
+    """Frames in which a ball comes to rest at the centre, from the log of the ball actors."""
+    return ball_kickoff_frames(spark, sf)
+
+
+@R.add("ball_goal_windows", q.with_ctes("ef", "SELECT f.game_id, f.frame_idx FROM kept f", goals=OWN_GOALS, **BALLS,
+                                        windows=CHAIN["windows"].replace("kickoffs", "bk"),
+                                        kept=CHAIN["kept"].replace("FROM fr f", "FROM ef f")))
+def ball_goal_windows(spark, sf):
+    """Goal footage up to the kick-off that the ball itself shows."""
+    goals = t.goals(spark, sf).where("event_id % 13 <> 0")
+    frames = tel.mark_frames(t.event_frames(spark, sf), goals, ball_kickoff_frames(spark, sf))
+    return tel.trim_goal_windows(frames).select("game_id", "frame_idx")
+
+
 # --- per-frame geometry -----------------------------------------------------------------------
 
 @R.add("normalise", chain("SELECT game_id, frame_idx, lane, " + ", ".join(
@@ -313,8 +350,8 @@ def vector_math(spark, sf):
         num(F.col("to_ball.x")).alias("dir_x"), num(F.expr(v.dot("vel", "to_ball"))).alias("closing_speed"))
 
 
-@R.add("quaternion_forward", chain(f"""SELECT game_id, frame_idx, lane, {q.r6('1.0E0 - 2.0E0*qz*qz')} AS fx,
-  {q.r6('2.0E0*qw*qz')} AS fy, 0.0E0 AS fz FROM pf"""))
+@R.add("quaternion_forward", chain(f"""SELECT game_id, frame_idx, lane, {q.r6(FORWARD[0])} AS fx, {q.r6(FORWARD[1])} AS fy,
+  {q.r6(FORWARD[2])} AS fz FROM pf"""))
 def quaternion_forward(spark, sf):
     f = F.expr(v.quaternion_forward("rot"))
     return t.player_frames(spark, sf).select(
@@ -429,6 +466,34 @@ def feature_vector_inference(spark, sf):
     return vectors.selectExpr("game_id", "frame_idx", "rn", "segment", "slot", *vector_columns())
 
 
+RATINGS = """SELECT replay_id, team, player_name, target_mmr FROM (SELECT g.game_id AS replay_id, CAST((lane % 6) // 3 AS INT) AS team,
+  CASE WHEN g.game_id % 4 = 1 AND lane = 2 THEN 'ghost' WHEN g.game_id % 3 = 0 AND lane = 1 THEN 'p' || (g.game_id % 6) || '_' || g.game_id
+   WHEN lane = 6 THEN 'extra' ELSE 'p' || ((lane*5 + g.game_id) % 6) || '_' || g.game_id END AS player_name,
+  CAST(lane*100 + g.game_id % 50 AS DOUBLE) AS target_mmr, lane, g.game_id FROM (SELECT DISTINCT game_id FROM ef) g
+  CROSS JOIN (SELECT UNNEST([0,1,2,3,4,5,6]) AS lane) l) x
+  WHERE NOT (game_id % 5 = 2 AND lane = 4) AND (lane < 6 OR game_id % 7 = 3)"""
+RATED = {
+    "ratings": RATINGS,
+    "roster": """SELECT replay_id AS game_id, player_name AS name, team, target_mmr, CAST(team*3 + n - 1 AS INT) AS slot FROM (SELECT *,
+  ROW_NUMBER() OVER (PARTITION BY replay_id, team ORDER BY player_name, target_mmr) AS n FROM ratings) x WHERE n <= 3""",
+}
+RATED_CARS = {**TRAIN_VECTORS, "ps": TRAIN_VECTORS["ps"].replace(" AND r.team = p.team", "").replace("r.slot, p.*", "r.slot, p.*")}
+
+
+@R.add("feature_vector_rated", q.with_ctes("ef fr pf kickoffs", f"""SELECT v.game_id, v.rn, v.slot, COALESCE(r.target_mmr, 0.0E0) AS target, {vector_columns_sql()}
+  FROM vecs v LEFT JOIN roster r ON r.game_id = v.game_id AND r.slot = v.slot""", goals=OWN_GOALS,
+                                           **{n: CHAIN[n] for n in TRAIN if n != "roster"}, **RATED, **RATED_CARS))
+def feature_vector_rated(spark, sf):
+    """Training vectors whose slots are those of the rating rows, next to the slots' targets."""
+    ratings = t.rating_rows(spark, sf)
+    rosters = labelling.rating_roster(ratings).withColumnRenamed("replay_id", "game_id")
+    vectors = ft.feature_vectors(ft.training_frames(t.marked_frames(spark, sf), rosters, L))
+    targets = labelling.target_slots(ratings).select(
+        F.col("replay_id").alias("game_id"), F.array(*(f"t{s}" for s in range(ft.SLOTS))).alias("targets"))
+    rows = attach_group(vectors, targets, ["game_id"], F.col("segment"))
+    return rows.selectExpr("game_id", "rn", "slot", "targets[slot] AS target", *vector_columns())
+
+
 def packed(spark, sf, length=L):
     return sg.pack(ft.feature_vectors(training(spark, sf)), length)
 

@@ -86,14 +86,20 @@ def prediction_results(spark, sf):
         "replay_id", "slot", "player_name", "team", "segments", "median_mmr", "division", "is_suspect")
 
 
-def _pool(templates, pick):
-    return f"({q.text_list([x.replace(chr(39), chr(39) * 2) for x in templates])}[({pick}) % {len(templates)} + 1])"
+# The texts by tier of the lobby median: bands 0-11, 12-23, ... and 84.
+EVEN = """([['An even {tier} lobby, all of them still learning.', 'Nobody stood out: plain {tier}.'], ['An even {tier} lobby.', 'Six honest {tier} players.'],
+   ['An even {tier} lobby, no hidden talent.', 'Everyone here is as {tier} as it says.'], ['A fair {tier} match.', 'Nobody rose above {tier} in this one.'],
+   ['A fair {tier} match, close all the way.', 'Sharp, but {tier} throughout.'], ['A clean {tier} match.', 'All six belong in {tier}.'],
+   ['A clean {tier} match, fast and fair.', 'High level, and {tier} on every seat.'],
+   ['Nowhere left to hide: all {tier}.', 'The top of the ladder, {tier} for everyone.']])"""
 
 
-@R.add("verdict_line", q.with_ctes("lp", f"""SELECT replay_id, CASE len(s) WHEN 0 THEN REPLACE({_pool(labels.NO_SUSPECT, 'replay_id')}, '{{tier}}',
+@R.add("verdict_line", q.with_ctes("lp", f"""SELECT replay_id, CASE len(s) WHEN 0 THEN REPLACE({EVEN}[{q.band('lobby_median')} // 12 + 1][replay_id % 2 + 1], '{{tier}}',
    split_part({q.division_label(q.band('lobby_median'))}, ' Division ', 1))
-  WHEN 1 THEN REPLACE({_pool(labels.ONE_SUSPECT, 'replay_id')}, '{{name}}', s[1])
-  ELSE REPLACE({_pool(labels.MANY_SUSPECTS, 'replay_id')}, '{{names}}', CASE len(s) WHEN 2 THEN s[1] || ' and ' || s[2]
+  WHEN 1 THEN REPLACE(['{{name}} played well above this lobby.', 'Keep an eye on {{name}}: the numbers belong to a higher rank.',
+   '{{name}} made this lobby look slow.'][replay_id % 3 + 1], '{{name}}', s[1])
+  ELSE REPLACE(['{{names}} played well above this lobby.', 'Keep an eye on {{names}}: their numbers belong to a higher rank.'][replay_id % 2 + 1],
+   '{{names}}', CASE len(s) WHEN 2 THEN s[1] || ' and ' || s[2]
    ELSE array_to_string(s[1:len(s)-1], ', ') || ', and ' || s[len(s)] END) END AS verdict FROM (
   SELECT lp.replay_id, MAX(lobby_median) AS lobby_median, COALESCE(LIST(player_name ORDER BY slot) FILTER (pred_mmr > lobby_median + 200), []) AS s
   FROM lp JOIN m ON m.replay_id = lp.replay_id GROUP BY lp.replay_id) x""", m=MEDIANS))

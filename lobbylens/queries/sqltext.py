@@ -81,7 +81,10 @@ CTES = {
   CAST((event_id*4001 + lane*811) % 4601 - 2300 AS DOUBLE) AS vx,
   CAST((event_id*3307 + lane*613) % 4601 - 2300 AS DOUBLE) AS vy,
   CAST((event_id*101 + lane*37) % 301 - 150 AS DOUBLE) AS vz,
-  CASE WHEN lane % 2 = 1 THEN 0.8E0 ELSE 0.0E0 END AS qz, CASE WHEN lane % 2 = 1 THEN 0.6E0 ELSE 1.0E0 END AS qw,
+  ([0.0E0, 0.5E0, 0.1E0, -0.5E0, 0.7E0, 0.0E0])[CAST(lane AS INT) + 1] AS qx,
+  ([0.0E0, 0.5E0, -0.7E0, 0.5E0, 0.1E0, 0.0E0])[CAST(lane AS INT) + 1] AS qy,
+  ([0.0E0, 0.5E0, 0.1E0, 0.5E0, -0.7E0, 0.8E0])[CAST(lane AS INT) + 1] AS qz,
+  ([1.0E0, 0.5E0, 0.7E0, 0.5E0, 0.1E0, 0.6E0])[CAST(lane AS INT) + 1] AS qw,
   ((event_id*13 + lane*29) % 101)/100.0E0 AS boost,
   (event_type = 'error' AND event_id % 6 = lane) AS is_demolished
   FROM fr f CROSS JOIN (SELECT UNNEST([0,1,2,3,4,5]) AS lane) s WHERE (event_id + lane) % 17 <> 0""",

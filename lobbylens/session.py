@@ -55,17 +55,12 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/lobbylens/{name}-{uuid.uuid4().hex}"
 
 
-def enable_checkpoints(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-
-
 def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate result to the checkpoint folder and cut its lineage.
+    """Write an intermediate result to the shared folder, cut its lineage and read it back.
 
-    For narrow results that several scans read: the plan behind them runs once,
-    and a lost executor costs a re-read and not a re-run.
+    For narrow results that several scans read: the plan behind them runs once, the planner
+    knows their size, and a lost executor costs a re-read and not a re-run.
     """
-    enable_checkpoints(df.sparkSession)
-    return df.checkpoint()
+    path = run_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

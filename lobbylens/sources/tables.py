@@ -47,18 +47,22 @@ CAR = """named_struct(
     'x', cast((event_id * 4001 + {l} * 811) % 4601 - 2300 AS double),
     'y', cast((event_id * 3307 + {l} * 613) % 4601 - 2300 AS double),
     'z', cast((event_id * 101 + {l} * 37) % 301 - 150 AS double)),
-  'rot', named_struct('x', 0.0D, 'y', 0.0D, 'z', {rz}D, 'w', {rw}D),
+  'rot', named_struct('x', {rot[0]}D, 'y', {rot[1]}D, 'z', {rot[2]}D, 'w', {rot[3]}D),
   'boost', ((event_id * 13 + {l} * 29) % 101) / 100.0D,
   'is_demolished', event_type = 'error' AND event_id % 6 = {l})"""
 
 
+# Unit quaternions (x, y, z, w) of the six lanes.
+ROTATIONS = [
+    (0.0, 0.0, 0.0, 1.0), (0.5, 0.5, 0.5, 0.5), (0.1, -0.7, 0.1, 0.7), (-0.5, 0.5, 0.5, 0.5), (0.7, 0.1, -0.7, 0.1), (0.0, 0.0, 0.8, 0.6),
+]
+
+
 def _cars(template: str) -> str:
     """The cars present in a frame, written out per lane so that it compiles to straight code."""
     lanes = ", ".join(
         f"if({PRESENT.format(l=lane)}, "
-        + template.format(
-            l=lane, team=lane // 3, name=NAME.format(l=lane), rz=0.8 * (lane % 2), rw=0.6 if lane % 2 else 1.0
-        )
+        + template.format(l=lane, team=lane // 3, name=NAME.format(l=lane), rot=ROTATIONS[lane])
         + ", NULL)"
         for lane in range(SLOTS)
     )
@@ -107,6 +111,53 @@ def marked_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def marked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The marks alone, without cars, from one scan of the events."""
+    goal = "event_type = 'purchase' AND event_id % 13 <> 0"
+    return event_frames(spark, sf_dir).selectExpr(
+        "*",
+        "frame_idx * 0.25D AS time",
+        f"if({goal} AND event_id % 2 = 0, 1, 0) AS goal_blue",
+        f"if({goal} AND event_id % 2 = 1, 1, 0) AS goal_orange",
+        "event_type = 'signup' OR frame_idx = 0 AS is_kickoff",
+    )
+
+
+def ball_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ball actors per game: every event creates, moves or deletes one of them.
+
+    Some updates hold a position or a velocity only.
+    """
+    def vec(*axes: str) -> str:
+        return "named_struct(" + ", ".join(f"'{n}', cast({x} AS double)" for n, x in zip("xyz", axes)) + ")"
+
+    moved = "event_type NOT IN ('signup', 'error')"
+    return event_frames(spark, sf_dir).selectExpr(
+        "game_id", "frame_idx", "event_id AS seq", "event_id % 2 AS actor_id",
+        "CASE event_type WHEN 'signup' THEN 'new' WHEN 'error' THEN 'delete' ELSE 'update' END AS kind",
+        f"if({moved} AND event_id % 7 <> 3, {vec('event_id * 7 % 31 - 15', 'event_id * 11 % 25 - 12', '93')}, NULL) AS position",
+        f"if({moved} AND event_id % 5 <> 2, {vec('(event_id * 13 % 5 - 2) * 0.6D', '(event_id * 17 % 3 - 1) * 0.9D', '0')}, NULL) AS velocity",
+    )
+
+
+def rating_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings of the games' players: some are missing, unknown to the frames, repeated or too many."""
+    lane, g = F.col("lane"), F.col("game_id")
+    name = (
+        F.when((g % 4 == 1) & (lane == 2), F.lit("ghost"))
+        .when((g % 3 == 0) & (lane == 1), player_name(g, F.lit(0)))
+        .when(lane == 6, F.lit("extra"))
+        .otherwise(player_name(g, lane))
+    )
+    games = table(spark, sf_dir, "events").select(F.col("user_id").alias("game_id")).distinct()
+    lanes = games.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    given = lanes.where(~((g % 5 == 2) & (lane == 4)) & ((lane < 6) | (g % 7 == 3)))
+    return given.select(
+        g.alias("replay_id"), F.floor(lane % 6 / 3).cast("int").alias("team"), name.alias("player_name"),
+        (lane * 100 + g % 50).cast("double").alias("target_mmr"),
+    )
+
+
 def player_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per frame and car."""
     return frames(spark, sf_dir).select("*", F.explode("players").alias("car")).select(

@@ -1,106 +1,207 @@
-"""Streaming jobs: metadata ingest, status tracking, progress, live segments.
+"""Streaming jobs: metadata ingest, download status with timers, progress, live segments and features.
 
-Sinks are written per micro-batch under the batch number, so a batch that is
-run again after a failure replaces its own output. Every job takes its
-checkpoint and output folders from the caller.
+Every job takes its checkpoint and output folders from the caller and runs until its input is used
+up. Outputs are `BatchStore`s: a batch that is run again replaces its own rows, sealed
+batches are merged into snapshots.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from lobbylens.functions import ladder
 from lobbylens.operators import catalog, labelling
-from lobbylens.operators.scan import attach_group
+from lobbylens.operators.scan import numbered
 from lobbylens.plans import features as ft
+from lobbylens.session import materialize
 from lobbylens.sources import bundle
+from lobbylens.streaming.store import NUMBER, BatchStore, newest
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BATCH = "batch_id"
 
 
-def _by_batch(path: str, prepare: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    def write(batch: DataFrame, number: int) -> None:
-        prepare(batch).write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Queries started inside keep typed state and timers, which need this store."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
 
-    return write
+def _run(rows: DataFrame, sink, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    return (
+        rows.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
 
 
 # --- metadata ingest ---------------------------------------------------------------------
 
+#: Hash partitions of the stored replays and players.
+BUCKETS = 64
+
+
+class IngestStores:
+    """What the ingest keeps: replays and players by hash partition of the id, and rows per rank."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        by = {"partition_by": ["bucket"]}
+        self.replays = BatchStore(spark, f"{path}/replays", "replay_id string, rank string, bucket int", **by)
+        self.players = BatchStore(
+            spark, f"{path}/players",
+            "replay_id string, player_name string, team int, division_idx int, rank_known boolean, folder_rank int, bucket int", **by,
+        )
+        self.held = BatchStore(spark, f"{path}/held", "rank string, n bigint", lambda rows: rows.groupBy("rank").agg(F.sum("n").alias("n")))
+
+    def all(self) -> tuple[BatchStore, ...]:
+        return self.replays, self.players, self.held
+
+
+def bucket_of(replay_id: str) -> F.Column:
+    return F.pmod(F.xxhash64(replay_id), F.lit(BUCKETS)).cast("int")
+
+
+def known_replays(stores: IngestStores, buckets: Sequence[int], before: int | None = None) -> DataFrame:
+    """Stored ids of some partitions; the others are not listed or read."""
+    return stores.replays.stored(before).where(F.col("bucket").isin(list(buckets))).select("bucket", "replay_id")
+
+
+def admit(fresh: DataFrame, held: DataFrame, target: int) -> DataFrame:
+    """Of new replays (replay_id, rank) the first by id that a rank takes until it holds its target."""
+    placed = numbered(fresh.select("replay_id", "rank"), ["rank"], ["replay_id"], "_place")
+    # One row per rank of the ladder.
+    room = placed.join(F.broadcast(held), "rank", "left").where(F.col("_place") + F.coalesce("n", F.lit(0)) < target)
+    return fresh.join(room.select("replay_id"), "replay_id", "left_semi")
+
 
 def ingest(
-    spark: SparkSession, bundle_path: str, replays_path: str, players_path: str, checkpoint: str,
-    files_per_batch: int = 4,
+    spark: SparkSession, bundle_path: str, path: str, checkpoint: str,
+    target: int | None = None, files_per_batch: int = 4, compact_every: int = 0,
 ) -> StreamingQuery:
-    """JSON-lines bundles -> replay and player tables, each row stored once.
-
-    Duplicates are found against the stored tables and within the batch, which
-    holds however late a repeated line arrives; no state needs to be kept.
+    """JSON-lines bundles -> replays and players, each stored once (see IngestStores).
+
+    A replay is filed under the average rank of its lobby, or, where none is known, under the rank
+    that was asked for: the folder `requested_rank=...` of its bundle. With `target` a rank takes
+    replays until it holds so many; a batch's are taken in the order of their ids.
+    Duplicates are found within the batch and against the stored partitions that its ids fall into,
+    however late a line is repeated; no state needs to be kept. A batch that is run again sees the
+    store as it was before and writes the same rows.
     """
+    stores = IngestStores(spark, path)
     lines = (
-        spark.readStream.schema(f"{bundle.LINE}, {bundle.BAD} string")
+        spark.readStream.schema(f"{bundle.LINE}, {bundle.BAD} string, requested_rank string")
         .option("columnNameOfCorruptRecord", bundle.BAD)
         .option("maxFilesPerTrigger", files_per_batch)
         .json(bundle_path)
     )
 
     def store(batch: DataFrame, number: int) -> None:
-        good = bundle.line_class(batch).where("line_class = 'ok'").select(F.col("id").alias("replay_id"), F.col("data").alias("doc"))
-        labelled = labelling.with_labels(good.dropDuplicates(["replay_id"])).where("average_division IS NOT NULL")
-        replays = labelled.select(
-            "replay_id", ladder.rank_name(ladder.division_rank(F.col("average_division"))).alias("rank"))
-        players = labelled.select("replay_id", "average_division", F.explode("players").alias("p")).select(
-            "replay_id", "average_division", "p.*")
-        players = labelling.impute_lobby_average(players)
-        for rows, keys, path in (
-            (replays, ["replay_id"], replays_path),
-            (players, ["replay_id", "player_name"], players_path),
-        ):
-            stored = _stored(spark, path, rows)
-            catalog.append_new(rows, stored, keys, path)
+        good = bundle.line_class(batch).where("line_class = 'ok'").select(
+            F.col("id").alias("replay_id"), F.col("data").alias("doc"), "requested_rank")
+        rank = F.coalesce(ladder.rank_name(ladder.division_rank(F.col("average_division"))), F.col("requested_rank"))
+        labelled = labelling.with_labels(good.dropDuplicates(["replay_id"])).select(
+            "replay_id", rank.alias("rank"), "average_division", "players", bucket_of("replay_id").alias("bucket"))
+        labelled = materialize(labelled.where("rank IS NOT NULL"))
+        buckets = [r["bucket"] for r in labelled.select("bucket").distinct().collect()]  # BUCKETS at most
+        fresh = labelled.join(known_replays(stores, buckets, number), ["bucket", "replay_id"], "left_anti")
+        if target is not None:
+            fresh = admit(materialize(fresh), stores.held.read(number), target)
+        fresh = materialize(fresh)
+        players = fresh.select("replay_id", "bucket", "average_division", F.explode("players").alias("p")).select(
+            "replay_id", "bucket", "average_division", "p.*").dropDuplicates(["replay_id", "player_name"])
+        players = labelling.impute_lobby_average(players).withColumn("bucket", bucket_of("replay_id"))
+        stores.players.write(players, number)
+        stores.held.write(fresh.groupBy("rank").agg(F.count(F.lit(1)).alias("n")), number)
+        stores.replays.write(fresh, number)
+        if compact_every and number % compact_every == compact_every - 1:
+            for each in stores.all():
+                each.compact(number)
+
+    return _run(lines, store, checkpoint)
 
-    return (
-        lines.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
 
+# --- status and progress -----------------------------------------------------------------
 
-def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The table so far; it is created empty on the first batch."""
-    like.limit(0).write.mode("append").parquet(path)
-    return spark.read.schema(like.schema).parquet(path)
 
+class Downloads(StatefulProcessor):
+    """The newest status of a replay, and its way back into the queue when it stays in progress.
 
-# --- status and progress -----------------------------------------------------------------
+    State is held for replays in progress only: when the status came, and a timer in event time. A
+    later status ends both; when the timer fires the replay is released.
+    """
 
+    def __init__(self, key: str, timeout_seconds: int) -> None:
+        self._key, self._timeout = key, timeout_seconds
 
-def track_status(
-    events: DataFrame, key: str, status: str, order: Sequence[str], path: str, checkpoint: str
-) -> StreamingQuery:
-    """Newest status per key and batch; `current_status` reads the newest over all."""
-    newest = F.max_by(F.struct(F.col(status), *(F.col(c) for c in order if c != status)), F.struct(*order))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._running = handle.getValueState("running", "changed_at bigint, event_id bigint")
 
-    def reduce(batch: DataFrame) -> DataFrame:
-        return batch.groupBy(key).agg(newest.alias("s")).select(key, "s.*")
+    def _row(self, key, status, at, event, released) -> pd.DataFrame:
+        return pd.DataFrame({self._key: [key[0]], "status": [status], "changed_at": [at], "event_id": [event], "released": [released]})
 
-    return (
-        events.writeStream.foreachBatch(_by_batch(path, reduce))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        best = None
+        for part in rows:
+            last = part.sort_values(["changed_at", "event_id"]).iloc[-1]
+            at = int(last["changed_at"]), int(last["event_id"]), last["status"]
+            best = at if best is None else max(best, at, key=lambda x: x[:2])
+        held = self._running.get() if self._running.exists() else None
+        if held is not None and tuple(held) >= best[:2]:
+            return
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        if best[2] == catalog.RUNNING:
+            self._running.update(best[:2])
+            self._handle.registerTimer((best[0] + self._timeout) * 1000)
+        elif held is not None:
+            self._running.clear()
+        yield self._row(key, best[2], best[0], best[1], False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self._running.get()
+        self._running.clear()
+        yield self._row(key, catalog.PENDING, held[0], held[1], True)
 
+    def close(self) -> None:
+        pass
 
-def current_status(spark: SparkSession, path: str, key: str, status: str, order: Sequence[str]) -> DataFrame:
-    return catalog.latest_status(spark.read.parquet(path), key, status, order)
+
+def status_store(spark: SparkSession, path: str, key: str) -> BatchStore:
+    """Newest status per replay; a release is newer than the status it ends."""
+    schema = f"{key} bigint, status string, changed_at bigint, event_id bigint, released boolean"
+    return BatchStore(spark, path, schema, newest([key], ["changed_at", "event_id", "released"]))
+
+
+def track_status(
+    events: DataFrame, key: str, timeout_seconds: int, path: str, checkpoint: str, compact_every: int = 0
+) -> StreamingQuery:
+    """Follow (key, status, changed_at, event_id), a stream with a watermark; replays in progress for
+    more than the timeout, by the watermark, go back to the queue."""
+    spark = events.sparkSession
+    changes = events.groupBy(key).transformWithStateInPandas(
+        Downloads(key, timeout_seconds),
+        outputStructType=f"{key} bigint, status string, changed_at bigint, event_id bigint, released boolean",
+        outputMode="append",
+        timeMode="EventTime",
+    )
+    with keyed_state(spark):
+        return _run(changes, status_store(spark, path, key).sink(compact_every=compact_every), checkpoint)
 
 
 def progress_counts(events: DataFrame, time: str, status: str, window: str, lateness: str) -> DataFrame:
@@ -109,143 +210,180 @@ def progress_counts(events: DataFrame, time: str, status: str, window: str, late
         events.withWatermark(time, lateness)
         .groupBy(F.window(time, window), status)
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.unix_timestamp("window.start").alias("window_start"), status, "n")
+        .select(F.unix_timestamp("window.start").alias("window_start"), F.col(status).alias("status"), "n")
     )
 
 
-def track_progress(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Store updated windows per batch; the newest batch of a window is its value."""
-    return (
-        counts.writeStream.outputMode("update")
-        .foreachBatch(_by_batch(path, lambda batch: batch))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def progress_store(spark: SparkSession, path: str) -> BatchStore:
+    """The newest batch of a window and status is its value."""
+    return BatchStore(spark, path, "window_start bigint, status string, n bigint", newest(["window_start", "status"], [NUMBER]))
 
 
-def progress_report(spark: SparkSession, path: str, status: str) -> DataFrame:
-    stored = spark.read.parquet(path)
-    return stored.groupBy("window_start", status).agg(F.max_by("n", BATCH).alias("n"))
+def track_progress(counts: DataFrame, path: str, checkpoint: str, compact_every: int = 0) -> StreamingQuery:
+    store = progress_store(counts.sparkSession, path)
+    return _run(counts, store.sink(compact_every=compact_every), checkpoint, "update")
 
 
 # --- live segments -----------------------------------------------------------------------
 
-# Seconds of event time that an unfinished segment is waited for.
+#: Seconds of event time that an unfinished segment is waited for.
 LATENESS = 3600
-FRAME_KEYS = "game_id bigint, segment bigint, rn bigint, body string"
-
+#: Copies of a roster, so that the frames of a hot game meet theirs on several tasks.
+ROSTER_COPIES = 8
+READY = "game_id bigint, segment bigint, rn bigint, numbers array<double>, sums array<double>"
 
-def segment_frames(frames: DataFrame, length: int, event_time: str, lateness_seconds: int = LATENESS) -> DataFrame:
-    """Subsampled frames with their position and segment, the rest as one JSON body.
 
-    `event_time` carries the watermark by which the state of unfinished segments ends.
+def segment_frames(
+    frames: DataFrame, rosters: DataFrame, length: int, event_time: str, lateness_seconds: int = LATENESS
+) -> DataFrame:
+    """Subsampled frames with their position and segment, cars in roster order, as two arrays of numbers.
 
-    Without goal trimming the position follows from the frame number, so the
-    stream can be keyed by (game, segment): state per key is at most one
-    segment, and a long game spreads over its segments.
+    `event_time` carries the watermark by which the state of unfinished segments ends. Without goal
+    trimming the position follows from the frame number, so the stream can be keyed by
+    (game, segment): state per key is at most one segment, and a long game spreads over its segments.
     """
-    kept = frames.where(F.pmod(F.col("frame_idx"), F.lit(2)) == 0)
     rn = F.floor(F.col("frame_idx") / 2)
-    body = F.to_json(F.struct(*[c for c in frames.columns if c not in ("game_id", event_time)]))
-    rows = kept.select(
-        "game_id", F.floor(rn / length).alias("segment"), rn.alias("rn"), body.alias("body"),
-        F.col(event_time).alias("event_time"),
-    )
-    return rows.withWatermark("event_time", f"{lateness_seconds} seconds")
+    kept = frames.where(F.pmod(F.col("frame_idx"), F.lit(2)) == 0).withColumns(
+        {"rn": rn, "segment": F.floor(rn / length), "event_time": F.col(event_time)})
+    kept = kept.withWatermark("event_time", f"{lateness_seconds} seconds").withColumn("_copy", F.pmod("segment", F.lit(ROSTER_COPIES)))
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ROSTER_COPIES - 1).cast("bigint")))
+    placed = ft.with_slots(kept.join(rosters.withColumn("_copy", copies), ["game_id", "_copy"], "left"))
+    return placed.selectExpr(
+        "game_id", "segment", "rn", "event_time", f"{ft.frame_numbers()} AS numbers", f"{ft.fold_inputs()} AS inputs")
+
+
+class _Segment(StatefulProcessor):
+    """State of one (game, segment), which goes once nothing has arrived for `lateness` of event time."""
+
+    def __init__(self, length: int, lateness_seconds: int) -> None:
+        self._length, self._lateness = length, lateness_seconds * 1000
+
+    def _waiting(self, handle: StatefulProcessorHandle):
+        self._handle = handle
+        return handle.getListState("waiting", "rn bigint, numbers array<double>, inputs array<double>")
+
+    def _gathered(self, rows, timerValues) -> pd.DataFrame:
+        """The frames that arrived, each position once; the timer moves on."""
+        parts, last = [], timerValues.getCurrentWatermarkInMs()
+        for part in rows:
+            last = max(last, int(part["event_ms"].max()))
+            parts.append(part.drop_duplicates("rn"))
+        due = last + self._lateness
+        timers = list(self._handle.listTimers())
+        if not timers or max(timers) < due:
+            for timer in timers:
+                self._handle.deleteTimer(timer)
+            self._handle.registerTimer(due)
+        return pd.concat(parts).drop_duplicates("rn")[["rn", "numbers", "inputs"]]
+
+    @staticmethod
+    def _tuples(frames: pd.DataFrame) -> list[tuple]:
+        return [(int(rn), list(n), list(i)) for rn, n, i in zip(frames["rn"], frames["numbers"], frames["inputs"])]
+
+    @staticmethod
+    def _held(state) -> pd.DataFrame:
+        rows = list(state.get()) if state.exists() else []
+        return pd.DataFrame([tuple(r) for r in rows], columns=["rn", "numbers", "inputs"])
+
+    @staticmethod
+    def _out(key, frames: pd.DataFrame, sums: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame(
+            {"game_id": key[0], "segment": key[1], "rn": frames["rn"].to_numpy(), "numbers": frames["numbers"].to_numpy(), "sums": list(sums)}
+        )
+
+    def close(self) -> None:
+        pass
+
+
+class WholeSegments(_Segment):
+    """Frames wait in list state until the segment is complete and come out once, in order."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._frames = self._waiting(handle)
+        self._seen = handle.getValueState("seen", "places binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frames = self._gathered(rows, timerValues)
+        seen = np.zeros(self._length, bool)
+        if self._seen.exists():
+            seen = np.unpackbits(np.frombuffer(bytes(self._seen.get()[0]), np.uint8), count=self._length).astype(bool)
+        places = (frames["rn"] - key[1] * self._length).to_numpy()
+        fresh = frames[~seen[places]]
+        if fresh.empty:
+            return
+        seen[places] = True
+        self._seen.update((np.packbits(seen).tobytes(),))
+        if not seen.all():
+            self._frames.appendList(self._tuples(fresh))
+            return
+        whole = pd.concat([self._held(self._frames), fresh]).sort_values("rn")
+        self._frames.clear()
+        yield self._out(key, whole, ft.fold_segment(np.stack(whole["inputs"].tolist()))[0])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._frames.clear()
+        self._seen.clear()
+        yield from ()
 
-def assemble(frames: DataFrame, length: int, live: bool = False, lateness_seconds: int = LATENESS) -> DataFrame:
-    """Buffer the frames of each (game, segment) until it is complete.
 
-    Complete segments come out whole. With `live`, frames come out as soon as
-    all earlier frames of their segment are there, together with those;
-    `is_new` marks the ones not sent before. Files may arrive in any order, and
-    repeated frames are ignored. A finished segment keeps one number. The state of
-    a segment goes once nothing has arrived for it for `lateness_seconds` of event time.
-    """
+class RunningSegments(_Segment):
+    """Each frame comes out once, as soon as all before it are there, with the running sums up to it.
 
-    # Python sees timestamps without a zone, as wall time of the session.
-    session_zone = frames.sparkSession.conf.get("spark.sql.session.timeZone")
+    State is the sums and the frames that wait for an earlier one; what is out is not kept.
+    """
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._frames = self._waiting(handle)
+        self._folded = handle.getValueState("folded", "done int, carry array<double>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frames = self._gathered(rows, timerValues)
+        done, carry = self._folded.get() if self._folded.exists() else (0, None)
+        first = key[1] * self._length + done
+        frames = pd.concat([self._held(self._frames), frames[frames["rn"] >= first]]).drop_duplicates("rn").sort_values("rn")
+        here = frames["rn"].to_numpy() == first + np.arange(len(frames))
+        ready = len(frames) if here.all() else int(np.argmin(here))
+        rest = frames.iloc[ready:]
+        if len(rest):
+            self._frames.put(self._tuples(rest))
+        elif self._frames.exists():
+            self._frames.clear()
+        if not ready:
             return
-        numbers, bodies, sent = state.get if state.exists else ([], [], 0)
-        buffer = dict(zip(numbers, bodies))
-        newest = 0
-        for part in parts:
-            newest = max(newest, int(part["event_time"].max().tz_localize(session_zone).timestamp() * 1000))
-            for number, body in zip(part["rn"], part["body"]):
-                buffer.setdefault(int(number), body)
-        first = int(key[1]) * length
-        ready = sent
-        while ready < length and first + ready in buffer:
-            ready += 1
-        if not live and ready < length:
-            ready = sent
-        order = sorted(buffer) if ready < length else []
-        state.update((order, [buffer[n] for n in order], ready))
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + lateness_seconds * 1000)
-        if ready > sent:
-            out = list(range(first, first + ready))
-            yield pd.DataFrame(
-                {
-                    "game_id": key[0],
-                    "segment": key[1],
-                    "rn": out,
-                    "body": [buffer[n] for n in out],
-                    "is_new": [n >= first + sent for n in out],
-                }
-            )
-
-    return frames.groupBy("game_id", "segment").applyInPandasWithState(
-        step,
-        outputStructType=f"{FRAME_KEYS}, is_new boolean",
-        stateStructType="numbers array<bigint>, bodies array<string>, sent int",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.EventTimeTimeout,
-    )
+        out = frames.iloc[:ready]
+        sums, carry = ft.fold_segment(np.stack(out["inputs"].tolist()), carry)
+        self._folded.update((done + ready, carry.tolist()))
+        yield self._out(key, out, sums)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._frames.clear()
+        self._folded.clear()
+        yield from ()
 
-def restore_frames(assembled: DataFrame, rosters: DataFrame, body_schema: str) -> DataFrame:
-    """Assembled rows -> slotted frames for the feature plan."""
-    parsed = assembled.select(
-        "game_id", "segment", "rn", "is_new", F.from_json("body", body_schema).alias("b")
-    ).select("game_id", "segment", "rn", "is_new", "b.*")
-    placed = attach_group(parsed, rosters, ["game_id"], F.col("segment"))
-    return ft.with_slots(placed.withColumn("n_kept", F.lit(0)))
+
+def assemble(frames: DataFrame, length: int, live: bool = False, lateness_seconds: int = LATENESS) -> DataFrame:
+    """Frames in the order of their segment, with running sums, each once.
+
+    Complete segments come out whole; with `live`, frames come out as soon as all earlier frames of
+    their segment are there. Files may arrive in any order, and repeated frames are ignored.
+    """
+    processor = (RunningSegments if live else WholeSegments)(length, lateness_seconds)
+    timed = frames.withColumn("event_ms", F.unix_millis("event_time"))
+    return timed.groupBy("game_id", "segment").transformWithStateInPandas(
+        processor, outputStructType=READY, outputMode="append", timeMode="EventTime")
 
 
 def live_features(
-    assembled: DataFrame,
-    rosters: DataFrame,
-    body_schema: str,
-    path: str,
-    checkpoint: str,
-    finish: Callable[[DataFrame], DataFrame] = lambda vectors: vectors,
+    assembled: DataFrame, path: str, checkpoint: str, finish: Callable[[DataFrame], DataFrame] = lambda vectors: vectors
 ) -> StreamingQuery:
-    """Feature vectors of the frames that are new in each batch, then `finish` (such as a scorer)."""
+    """Feature vectors of each batch, then `finish` (such as a scorer), written under the batch number.
 
-    def vectors(batch: DataFrame) -> DataFrame:
-        slotted = restore_frames(batch, rosters, body_schema)
-        new = batch.where("is_new").select("game_id", "segment", "rn")
-        computed = ft.feature_vectors(slotted.drop("is_new"), with_context=False)
-        return finish(computed.join(new, ["game_id", "segment", "rn"], "left_semi"))
+    The sums arrive with the frames, so vectors are expressions of one row: no window, no shuffle.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        kept = batch.persist()
-        try:
-            vectors(kept).write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
-        finally:
-            kept.unpersist()
-
-    return (
-        assembled.writeStream.outputMode("append")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        vectors = ft.vectors_of(ft.restore_slots(batch), with_context=False)
+        finish(vectors).write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
 
+    with keyed_state(assembled.sparkSession):
+        return _run(assembled, write, checkpoint)

@@ -87,6 +87,48 @@ def test_links_far_away_and_direct(spark):
     assert got["n0"] == (80, "r9") and got["car"] == (1, "r5") and got["other"] == (4, "r8")
 
 
+def resolved(spark, links, cars, records):
+    out = actors.resolve_links(
+        spark.createDataFrame(sorted(links), "src string, dst string"),
+        spark.createDataFrame([(c,) for c in cars], "id string"),
+        spark.createDataFrame([(r,) for r in records], "id string"))
+    return {r.car: r.record and (r.distance, r.record) for r in out.collect()}
+
+
+def test_links_through_chains_rings_and_branches(spark):
+    """Far nodes: chains between branches, rings on chains, dead ends, a ring nobody reaches."""
+    rng = np.random.default_rng(7)
+    links = set()
+
+    def chain(name, start, end, hops):
+        at = [start, *(f"{name}{i}" for i in range(hops - 1)), end]
+        for i, (x, y) in enumerate(zip(at, at[1:])):
+            links.update({(f"c-{name}{i}", x), (f"c-{name}{i}", y)})
+
+    chain("a", "r1", "hub", 9)
+    chain("b", "hub", "hub2", 14)
+    chain("b2", "hub", "hub2", 11)
+    chain("d", "hub2", "hub2", 8)
+    chain("e", "hub2", "end", 13)
+    chain("f", "r2", "end", 30)
+    chain("g", "ring", "ring", 6)
+    for i in range(30):
+        links.add((f"c-b{rng.integers(14)}", f"leaf{i}"))
+    cars = sorted({d for _, d in links} - {"r1", "r2"})
+    assert resolved(spark, links, cars, ["r1", "r2"]) == nearest_records(links, cars, {"r1", "r2"})
+
+
+def test_a_thousand_hops(spark):
+    links = {(f"c{i}", f"n{i + d}") for i in range(1000) for d in (0, 1)} | {("c999", "r9")}
+    cars = [f"n{i}" for i in range(1001)]
+    got = resolved(spark, links, cars, ["r9"])
+    assert got == {f"n{i}": (2 * max(1, 1000 - i), "r9") for i in range(1001)}
+    inner = [(i, i - 1, i + 1) for i in range(1, 2000)] + [(-1, -2, -3), (-2, -3, -1), (-3, -1, -2)]
+    ends, rounds = actors.chain_ends(spark.createDataFrame(inner, "v int, w0 int, w1 int"))
+    assert rounds <= 12
+    assert {(r.v, r.end, r.steps) for r in ends.collect()} == {x for i in range(1, 2000) for x in ((i, 0, i), (i, 2000, 2000 - i))}
+
+
 def test_block_files(spark, folder):
     values = np.arange(12, dtype="<f4") / 8
     (tmp := __import__("pathlib").Path(folder) / "a").mkdir()

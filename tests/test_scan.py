@@ -104,6 +104,15 @@ def test_null_orders_stay_and_null_keys_raise(spark):
         prefix_scan(df.union(df.sparkSession.createDataFrame([(None, 1, 1)], df.schema)), ["k"], ["i"], [Fold("n", "sum", F.col("v"))]).collect()
 
 
+def test_attached_groups_keep_or_refuse_nulls(spark):
+    df = spark.createDataFrame([(1, None, 5), (1, 2, 1), (2, 70_000, 1), (2, None, 8)], "k int, i bigint, v int")
+    names = spark.createDataFrame([(1, "a")], "k int, name string")
+    out = attach_group(df, names, ["k"], span("i"))
+    assert sorted((r.k, r.v, r["name"]) for r in out.collect() if r.i is None) == [(1, 5, "a"), (2, 8, None)] and out.count() == 4
+    with pytest.raises(Exception, match="NULL in key column k"):
+        attach_group(df.union(spark.createDataFrame([(None, 1, 1)], df.schema)), names, ["k"], span("i")).collect()
+
+
 def test_global_scan_needs_no_key(spark):
     df = spark.range(1000).withColumn("id", F.col("id") * 3)
     out = prefix_scan(df, [], ["id"], [Fold("n", "count", F.lit(1), exclusive=True)], span("id", 128))

@@ -1,8 +1,13 @@
+import json
+
+import numpy as np
+import pytest
 from helpers import FRAME, frame, frames_df, rosters_df, six
 from pyspark.sql import functions as F
 
 from lobbylens.plans import features as ft
 from lobbylens.streaming import live
+from lobbylens.streaming.store import BatchStore, newest
 
 LENGTH = 3
 
@@ -13,12 +18,15 @@ def land(spark, folder, batches):
         frames_df(spark, rows).withColumn("at", F.timestamp_seconds(F.col("frame_idx") + 1_700_000_000)).coalesce(1).write.mode("append").parquet(f"{folder}/frames")
 
 
-def run(spark, folder, assemble_live):
+def stream(spark, folder, lateness=3600):
     schema = spark.read.parquet(f"{folder}/frames").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/frames")
-    body = FRAME.split(", ", 1)[1]
-    assembled = live.assemble(live.segment_frames(stream, LENGTH, "at"), LENGTH, live=assemble_live)
-    live.live_features(assembled, rosters_df(spark, [1]), body, f"{folder}/out", f"{folder}/check").awaitTermination()
+    frames = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/frames")
+    return live.segment_frames(frames, rosters_df(spark, [1]), LENGTH, "at", lateness)
+
+
+def run(spark, folder, assemble_live):
+    assembled = live.assemble(stream(spark, folder), LENGTH, live=assemble_live)
+    live.live_features(assembled, f"{folder}/out", f"{folder}/check").awaitTermination()
     out = spark.read.parquet(f"{folder}/out")
     return {(r.rn, r.slot): r.features for r in out.collect()}, out.count()
 
@@ -39,9 +47,24 @@ def test_live_frames_match_the_batch_plan_in_any_order(spark, folder):
 
 
 def test_only_whole_segments_come_out(spark, folder):
-    land(spark, folder, [rows([0, 2]), rows([4, 6, 8])])
+    land(spark, folder, [rows([0, 2]), rows([4, 2, 6, 8]), rows([4, 0])])
     got, n = run(spark, folder, False)
-    assert {rn for rn, _ in got} == {0, 1, 2} and n == 18
+    assert got == {k: x for k, x in batch_features(spark, range(9)).items() if k[0] < 3} and n == 18
+
+
+def test_fold_in_any_pieces():
+    """Sums carried from batch to batch are those of the whole segment, absent and demolished cars too."""
+    rng = np.random.default_rng(2)
+    inputs = rng.integers(0, 2, (40, 6, 5)).astype(float)
+    inputs[:, :, 0] = rng.integers(0, 100, (40, 6))
+    inputs = (inputs * inputs[:, :, 4:]).reshape(40, 30)
+    whole, _ = ft.fold_segment(inputs)
+    carry, parts, at = None, [], 0
+    for size in (1, 5, 3, 20, 11):
+        part, carry = ft.fold_segment(inputs[at : at + size], carry)
+        parts.append(part)
+        at += size
+    assert np.array_equal(np.concatenate(parts), whole)
 
 
 def test_progress_windows_update(spark, folder):
@@ -51,22 +74,119 @@ def test_progress_windows_update(spark, folder):
     stream = spark.readStream.schema("ts timestamp, s string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     counts = live.progress_counts(stream, "ts", "s", "30 seconds", "10 minutes")
     live.track_progress(counts, f"{folder}/out", f"{folder}/check").awaitTermination()
-    got = sorted((r.s, r.n) for r in live.progress_report(spark, f"{folder}/out", "s").collect())
+    got = sorted((r.status, r.n) for r in live.progress_store(spark, f"{folder}/out").read().collect())
     assert got == [("a", 3), ("b", 1)]
 
 
-def test_state_expires_with_the_watermark(spark, folder):
+@pytest.mark.parametrize("assemble_live", [True, False])
+def test_state_expires_with_the_watermark(spark, folder, assemble_live):
     def land_at(indices, second):
         frames_df(spark, rows(indices)).withColumn("at", F.timestamp_seconds(F.lit(second))).coalesce(1).write.mode(
             "append").parquet(f"{folder}/frames")
 
-    land_at([0, 2], 1000)
-    land_at([100], 5000)
-    land_at([102], 9000)
-    land_at([4], 20)
-    schema = spark.read.parquet(f"{folder}/frames").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/frames")
-    frames = live.segment_frames(stream, LENGTH, "at", 60)
-    assembled = live.assemble(frames, LENGTH, lateness_seconds=60)
-    live.live_features(assembled, rosters_df(spark, [1]), FRAME.split(", ", 1)[1], f"{folder}/out", f"{folder}/check").awaitTermination()
-    assert spark.read.parquet(f"{folder}/out").count() == 0
+    land_at([2, 4], 1000)
+    land_at([102], 5000)
+    land_at([104], 9000)
+    land_at([0], 20)  # too late: the segment's state is gone
+    assembled = live.assemble(stream(spark, folder, 60), LENGTH, live=assemble_live, lateness_seconds=60)
+    query = live.live_features(assembled, f"{folder}/out", f"{folder}/check")
+    query.awaitTermination()
+    assert spark.read.parquet(f"{folder}/out").where("rn < 3").count() == 0
+
+
+def statuses(spark, folder, batches):
+    for rows_ in batches:
+        spark.createDataFrame(rows_, "replay_id long, status string, at long, event_id long").select(
+            "replay_id", "status", F.timestamp_seconds("at").alias("ts"), F.col("at").alias("changed_at"), "event_id"
+        ).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    schema = "replay_id long, status string, ts timestamp, changed_at long, event_id long"
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").withWatermark("ts", "10 seconds")
+    query = live.track_status(events, "replay_id", 100, f"{folder}/out", f"{folder}/check", compact_every=2)
+    query.awaitTermination()
+    got = {r.replay_id: (r.status, r.changed_at, r.released) for r in live.status_store(spark, f"{folder}/out", "replay_id").read().collect()}
+    return got, query
+
+
+def test_stuck_downloads_are_released_by_a_timer(spark, folder):
+    got, query = statuses(spark, folder, [
+        [(1, "in_progress", 1000, 1), (2, "in_progress", 1000, 2), (3, "in_progress", 1001, 3), (4, "failed", 1000, 4)],
+        [(2, "downloaded", 1050, 5), (3, "in_progress", 1060, 6), (1, "not_downloaded", 995, 0)],
+        [(5, "downloaded", 1150, 7)],
+        [(3, "downloaded", 1200, 8), (6, "in_progress", 1200, 9)],
+        [(7, "failed", 5000, 10)],
+    ])
+    assert got == {
+        1: ("not_downloaded", 1000, True), 2: ("downloaded", 1050, False), 3: ("downloaded", 1200, False), 4: ("failed", 1000, False),
+        5: ("downloaded", 1150, False), 6: ("not_downloaded", 1200, True), 7: ("failed", 5000, False),
+    }
+    # Every replay is settled: neither values nor timers are left.
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_store_before_and_after_a_merge(spark, folder):
+    store = BatchStore(spark, folder, "k long, v long", newest(["k"], ["v"]))
+    assert store.read().count() == 0
+
+    def batch(*rows_):
+        return spark.createDataFrame(rows_, "k long, v long")
+
+    def values(before=None):
+        return sorted(map(tuple, store.read(before).collect()))
+
+    store.write(batch((1, 1), (2, 5)), 0)
+    store.write(batch((1, 3)), 1)
+    listed = store.read()
+    assert values() == [(1, 3), (2, 5)] and values(1) == [(1, 1), (2, 5)]
+    store.compact(1)
+    store.write(batch((1, 99)), 1)  # run again: the snapshot has it
+    assert values() == [(1, 3), (2, 5)] and store.numbers("snapshot") == [1]
+    store.write(batch((2, 6), (3, 0)), 2)
+    store.write(batch((3, 1)), 3)
+    store.write(batch((3, 2)), 3)  # run again before it was merged
+    assert values() == [(1, 3), (2, 6), (3, 2)] and sorted(map(tuple, listed.collect())) == [(1, 3), (2, 5)]
+    store.compact(3)
+    assert values() == [(1, 3), (2, 6), (3, 2)] and store.numbers("batch") == [2, 3]
+    store.compact(3)
+    store.write(batch(), 4)
+    store.compact(4)
+    assert values() == [(1, 3), (2, 6), (3, 2)] and store.numbers("snapshot") == [3, 4]
+
+
+def lines(ids, rank=None):
+    """Lobbies of six whose players all have the rank, or none."""
+    given = {"rank": {"id": "gold-1", "tier": 7, "division": 1, "name": "Gold I Division 1"}} if rank else {}
+    team = [[{"name": f"p{i}", **given} for i in range(s, s + 3)] for s in (0, 3)]
+    out = []
+    for i in ids:
+        name = f"00000000-0000-0000-0000-{i:012d}"
+        out.append((json.dumps({"id": name, "data": {"id": name, "blue": {"players": team[0]}, "orange": {"players": team[1]}}}),))
+    return out
+
+
+def ingested(spark, folder, batches, **options):
+    for asked, rows_ in batches:
+        spark.createDataFrame(rows_, "line string").coalesce(1).write.mode("append").text(f"{folder}/bundle/requested_rank={asked}")
+    live.ingest(spark, f"{folder}/bundle", f"{folder}/out", f"{folder}/check", files_per_batch=1, **options).awaitTermination()
+    stores = live.IngestStores(spark, f"{folder}/out")
+    kept = sorted((int(r.replay_id[-12:]), r.rank) for r in stores.replays.read().collect())
+    return stores, kept
+
+
+def test_ranks_take_replays_until_they_hold_their_target(spark, folder):
+    batches = [("gold-1", lines([5, 3, 3], True)), ("silver-2", lines([7, 8])), ("silver-2", lines([1, 2, 3, 9], True)), ("gold-1", lines([4, 7])),
+               ("silver-2", lines([6, 5]))]
+    stores, kept = ingested(spark, folder, batches, target=3, compact_every=2)
+    assert kept == [(1, "gold-1"), (3, "gold-1"), (5, "gold-1"), (6, "silver-2"), (7, "silver-2"), (8, "silver-2")]
+    held = {r.rank: r.n for r in stores.held.read().collect()}
+    assert held == {"gold-1": 3, "silver-2": 3}
+    # Lobbies without any known rank have no labelled players.
+    assert stores.players.read().groupBy("replay_id").count().where("count = 6").count() == 3
+
+
+def test_a_batch_reads_its_partitions_only(spark, folder):
+    stores, _ = ingested(spark, folder, [("gold-1", lines(range(40), True))])
+    plan = live.known_replays(stores, [3, 9])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    read = live.known_replays(stores, [3, 9])
+    assert {int(f.split("bucket=")[1].split("/")[0]) for f in read.inputFiles()} >= {r.bucket for r in read.collect()}
+    assert read.count() < 40
