@@ -9,15 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lobbylens.llm.common import texts
+from lobbylens.llm.common import stash, texts
 
 #: Hashed features: byte trigrams of the text, A-Z lower-cased.
 FEATURES = 1 << 12
-#: Documents per language that the classifiers are fitted on, at most about this many. The
-#: sample is picked by a hash of doc_id; what is collected is SAMPLE x languages x FEATURES / 2 bytes.
+#: Texts per language that the classifiers are fitted on, at most about this many, picked by a
+#: hash of the text. They stay on the workers: what is summed up has a fixed size.
 SAMPLE = 600
-#: Languages that can be learned.
-LANGUAGES = 1000
+#: Longest code. More languages than this have codewords of random bits, still far apart.
+LONGEST = 2047
+#: Sampled texts that one task sums up, and rows of the sum in a block.
+PART = 20_000
+BLOCK = 256
 RIDGE = 3.0
 #: Codewords closer than this share of the code length are ambiguous.
 MARGIN = 0.05
@@ -41,8 +44,14 @@ def features(text: bytes) -> np.ndarray:
 
 
 def codewords(n: int) -> np.ndarray:
-    """n codewords of -1 and +1 with equal distances: rows of a Hadamard matrix without its
-    constant column. Any two differ in half the bits, so many wrong bits can be mended."""
+    """n codewords of -1 and +1: rows of a Hadamard matrix without its constant column.
+
+    Any two differ in half the bits, so many wrong bits can be mended. Beyond LONGEST bits the
+    codewords are pseudo-random ones of that length, which differ in nearly half.
+    """
+    if n > LONGEST + 1:
+        bits = np.random.default_rng(7).integers(0, 2, (n, LONGEST), np.int8)
+        return (2 * bits - 1).astype(np.float32)
     size = 16
     while size < n:
         size *= 2
@@ -52,22 +61,13 @@ def codewords(n: int) -> np.ndarray:
     return code[:n, 1:].astype(np.float32)
 
 
-def fit(x: np.ndarray, languages: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of one ridge classifier per bit, languages weighted alike; (weights, codewords)."""
-    code = codewords(len(languages))
-    weight = 1.0 / np.bincount(y, minlength=len(languages))[y]
-    weight *= weight.size / weight.sum()
-    # A constant feature carries the bias.
-    x = np.hstack([x, np.full((x.shape[0], 1), 0.1, np.float32)])
-    target = code[y].astype(np.float64)
-    # Solved in the space of the documents, of which there are fewer than features.
-    gram = (x @ x.T).astype(np.float64) + RIDGE * np.diag(1.0 / weight)
-    return (x.T @ np.linalg.solve(gram, target).astype(np.float32)), code
-
-
 def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Loss-weighted decoding: nearest codeword, its score, and whether a second one is as near."""
-    loss = np.log1p(np.exp(-4.0 * margins[:, None, :] * code[None])).sum(axis=2)
+    """Loss-weighted decoding: nearest codeword, its score, and whether a second one is as near.
+
+    The loss of a bit is log(1 + exp(-4 margin bit)). Its two values differ by 4 margin, so the sums
+    of two codewords over all bits differ as their inner products with the margins do.
+    """
+    loss = -2.0 * (margins @ code.T.astype(np.float64))
     share = np.exp(loss.min(axis=1, keepdims=True) - loss)
     best = loss.argmin(axis=1)
     score = share[np.arange(best.size), best] / share.sum(axis=1)
@@ -77,12 +77,57 @@ def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best, score, two[:, 1] - two[:, 0] < MARGIN * code.shape[1]
 
 
+def with_bias(x: np.ndarray) -> np.ndarray:
+    """A constant feature carries the bias."""
+    return np.hstack([x, np.full((x.shape[0], 1), 0.1, x.dtype)])
+
+
 def _map_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             vectors = [features(t).astype(np.float16).tobytes() for t in texts(part)]
-            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(vectors, pa.binary())], names=["lang", "vector"])
+            yield pa.RecordBatch.from_arrays([*part.select(["lang", "key"]).columns, pa.array(vectors, pa.binary())], names=["lang", "key", "vector"])
+
+
+def _map_sums(place: dict[str, int], weight: np.ndarray):
+    """The part's share of the normal equations: blocks of rows of X'WX next to X'WT."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = codewords(len(place))
+        sums = np.zeros((FEATURES + 1, FEATURES + 1 + code.shape[1]))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                x = np.frombuffer(b"".join(part.column("vector").to_pylist()), np.float16).reshape(-1, FEATURES)
+                x = with_bias(x.astype(np.float32))
+                y = np.asarray([place[lang] for lang in part.column("lang").to_pylist()], np.int64)
+                weighted = x * weight[y][:, None].astype(np.float32)
+                sums[:, : FEATURES + 1] += weighted.T @ x
+                sums[:, FEATURES + 1 :] += weighted.T @ code[y]
+        for block, at in enumerate(range(0, FEATURES + 1, BLOCK)):
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "sums": pa.array([sums[at : at + BLOCK].tobytes()], pa.binary())})
+
+    return run
+
+
+def _add_blocks(blocks):
+    """The parts' blocks of one place added up; there are as many as parts."""
+    total = sum(np.frombuffer(b) for b in blocks["sums"])
+    return blocks[:1].assign(sums=[total.tobytes()])
+
+
+def _map_solved(bits: int):
+    """The weights from the blocks, which together are one matrix of fixed size."""
+
+    def run(blocks):
+        rows = b"".join(blocks.sort_values("block")["sums"])
+        sums = np.frombuffer(rows).reshape(FEATURES + 1, FEATURES + 1 + bits)
+        a = sums[:, : FEATURES + 1] + RIDGE * np.eye(FEATURES + 1)
+        weights = np.linalg.solve(a, sums[:, FEATURES + 1 :]).astype(np.float32)
+        return blocks[:1].assign(sums=[weights.tobytes()])
+
+    return run
 
 
 def _map_predict(model):
@@ -95,7 +140,7 @@ def _map_predict(model):
                 names, scores, unsure = [UNKNOWN] * len(raw), np.zeros(len(raw)), np.zeros(len(raw), bool)
                 if languages:
                     x = np.vstack([features(t) for t in raw])
-                    margins = x @ weights[:-1] + 0.1 * weights[-1]
+                    margins = with_bias(x) @ weights
                     best, scores, unsure = decode(margins.astype(np.float64), code)
                     letters = [_has_letter(t) for t in raw]
                     names = [languages[b] if has else UNKNOWN for b, has in zip(best, letters)]
@@ -112,30 +157,30 @@ def _has_letter(text: bytes) -> bool:
 
 
 def learn_languages(docs: DataFrame, learnable, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, weights, codewords) from the text and lang of learnable rows with text."""
-    known = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    counts = sorted((r["lang"], r["n"]) for r in counts)
-    languages = [lang for lang, _ in counts]
+    """(languages, weights, codewords) from the text and lang of learnable rows with text.
+
+    Ridge regression of the bits on the features, languages weighted alike. The tasks sum
+    up the normal equations in feature space, one task solves them; the driver gets the weights
+    and the names of the languages.
+    """
+    known = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("key", F.xxhash64("text", F.lit(5)))
+    counts = stash(known.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")), "language-counts")
+    # Each language is thinned to about `sample` texts by a hash; a repeated text counts once.
+    coin = F.pmod(F.col("key"), F.lit(1 << 20)) / float(1 << 20)
+    rows = known.join(counts, "lang").where(coin * F.col("n") < sample)
+    rows = rows.select("lang", "key", "text").mapInArrow(_map_features, "lang string, key long, vector binary")
+    rows = stash(rows.groupBy("lang", "key").agg(F.first("vector").alias("vector")), "language-sample")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
+    languages, total = list(sizes), sum(sizes.values())
+    code = codewords(len(languages))
     if not languages:
-        return [], np.zeros((FEATURES + 1, 0), np.float32), codewords(0)
-    # Each language is thinned to about `sample` rows by a hash of doc_id.
-    share = F.create_map(*[F.lit(v) for lang, n in counts for v in (lang, min(1.0, sample / n))])
-    coin = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
-    rows = known.where(coin < share[F.col("lang")]).select("lang", "text")
-    table = rows.mapInArrow(_map_features, "lang string, vector binary").toArrow()
-    x = np.frombuffer(b"".join(table["vector"].to_pylist()), np.float16).reshape(-1, FEATURES).astype(np.float32)
+        return [], np.zeros((FEATURES + 1, 0), np.float32), code
+    weight = np.asarray([total / (len(sizes) * n) for n in sizes.values()])
     place = {lang: i for i, lang in enumerate(languages)}
-    y = np.asarray([place[v] for v in table["lang"].to_pylist()], np.int64)
-    present = sorted(set(y.tolist()))
-    if len(present) < len(languages):  # a rare language that the hash left out
-        languages = [languages[i] for i in present]
-        y = np.searchsorted(present, y)
-    if not languages:
-        return [], np.zeros((FEATURES + 1, 0), np.float32), codewords(0)
-    return languages, *fit(x, languages, y)
+    parts = rows.repartition(-(-total // PART), "key").mapInArrow(_map_sums(place, weight), "block int, sums binary")
+    blocks = parts.groupBy("block").applyInPandas(_add_blocks, "block int, sums binary")
+    solved = blocks.groupBy().applyInPandas(_map_solved(code.shape[1]), "block int, sums binary").first()["sums"]
+    return languages, np.frombuffer(bytes(solved), np.float32).reshape(FEATURES + 1, -1), code
 
 
 def identify_languages(docs: DataFrame, folds: int = 3, held: int = 1, sample: int = SAMPLE) -> DataFrame:

@@ -56,7 +56,7 @@ def cell_sql(column: str) -> str:
     b AS (SELECT d.*, list_transform(range(size - 1), lambda i: CAST('0x' || h[2*i + 1:2*i + 2] AS BIGINT)) AS bytes FROM d),
     c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes),
             lambda c, v: xor(c >> 8, tab[(xor(c, v) & 255) + 1])), 4294967295) AS text_crc32,
-          [lc.cell, sc.cell, least(CAST(floor(ln(size)/ln(2)*4) AS BIGINT), 63)] AS cells
+          [lc.cell, sc.cell, CAST(floor(ln(size)/ln(2)*2) AS BIGINT)] AS cells
           FROM b, t, lc, sc WHERE b.lang IS NOT DISTINCT FROM lc.value AND b.source IS NOT DISTINCT FROM sc.value),
     u AS (SELECT *, {UNDO} AS x FROM c),
     g AS (SELECT *, x[1] AS g1, xor(x[1], x[2]) AS g2, xor(xor(x[1], x[2]), x[3]) AS g3 FROM u),

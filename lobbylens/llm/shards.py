@@ -25,8 +25,9 @@ def category_cells(docs: DataFrame, column: str, bits: int = BITS) -> DataFrame:
 
 
 def size_cell(size: Column, bits: int = BITS) -> Column:
-    """Four cells for each doubling of the size."""
-    return F.least(F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) * 4), F.lit((1 << bits) - 1)).cast("int")
+    """Cells of equal ratios of sizes, up to the largest text there can be (two per doubling for 6 bits)."""
+    per_doubling = (1 << bits) / 32
+    return F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) * per_doubling).cast("int")
 
 
 def with_hilbert(df: DataFrame, names: list[str], bits: int = BITS) -> DataFrame:

@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lobbylens.llm.common import SLICE_BYTES, filter_bits, in_filter, mix, signed, stash, texts
+from lobbylens.llm.common import SLICE_BYTES, collect_shuffles, discard, filter_bits, in_filter, mix, stash, texts
 
 #: Bytes through which suffixes are ordered: the shortest repeat that is removed.
 DEPTH = 50
 #: Bytes of a gram. The first digit of a suffix is the smallest gram hash within its depth.
 GRAM = 20
+#: Places of a gram within the depth, and the longest run of suffixes in one row.
+WIDTH = DEPTH - GRAM + 1
 #: Neighbouring suffixes that share the second digit: the DEPTH - CLASS + 1 bytes common to them.
 CLASS = 8
 #: Most rows of a batch that is handed to Spark.
@@ -24,50 +26,89 @@ BATCH = 1 << 18
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_CLASSES = mix(np.arange(1, WIDTH + 2, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
 RUNS = "ord long, key long, digit long, body long, start int, suffixes int"
-CORES = "ord long, key long, digit long, start int, class int, first int, shift int, bytes binary"
+SUFFIXES = "ord long, key long, digit long, suffix long, start int, offset int"
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, kept for slices of the usual size."""
     size = 1 << max(12, (n - 1).bit_length())
-    if size not in _POWERS:
+    if not _POWERS or max(_POWERS) < size:
         _POWERS.clear()
         with np.errstate(over="ignore"):
             one = np.concatenate(([np.uint64(1)], np.full(size - 1, _R)))
             back = np.concatenate(([np.uint64(1)], np.full(size - 1, _R_INVERSE)))
             _POWERS[size] = np.multiply.accumulate(one), np.multiply.accumulate(back)
-    up, down = _POWERS[size]
+    up, down = _POWERS[max(_POWERS)]
     return up[:n], down[:n]
 
 
+def _scatter(x: np.ndarray) -> np.ndarray:
+    """A cheaper finaliser, in place."""
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
+
+
 class Digits:
-    """Hashes of any part of a slice of bytes, and the first digits of its suffixes."""
+    """Hashes of any part of a slice of bytes, and the runs of suffixes with the same first digit."""
 
-    def __init__(self, raw: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> None:
+    def __init__(self, raw: np.ndarray) -> None:
         up, self._down = _powers(raw.size + 1)
         with np.errstate(over="ignore"):
             self._sums = np.zeros(raw.size + 1, np.uint64)
             np.cumsum(_BYTE[raw] * up[:-1], dtype=np.uint64, out=self._sums[1:])
-            grams = mix((self._sums[gram:] - self._sums[:-gram]) * self._down[: raw.size - gram + 1])
-        # Smallest gram within the depth of each suffix, the first of equal ones, and its place.
-        low, at = grams, np.arange(grams.size, dtype=np.int32)
-        done, width = 1, depth - gram + 1
-        while done < width:
-            step = min(done, width - done)
-            left = low[:-step] <= low[step:]
-            low, at = np.where(left, low[:-step], low[step:]), np.where(left, at[:-step], at[step:])
+            self._grams = _scatter((self._sums[GRAM:] - self._sums[:-GRAM]) * self._down[: raw.size - GRAM + 1])
+        low, done = self._grams, 1
+        while done < WIDTH:
+            step = min(done, WIDTH - done)
+            low = np.minimum(low[:-step], low[step:])
             done += step
-        # Neighbours whose digit lies in the same place are one run; none has more than `width`.
-        self.starts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-        self.counts = np.diff(np.concatenate((self.starts, [at.size])))
+        self.starts = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
+        self.counts = np.diff(np.concatenate((self.starts, [low.size])))
+        if self.counts.max() > WIDTH:  # the same gram over and over
+            parts = -(-self.counts // WIDTH)
+            run = np.repeat(np.arange(parts.size), parts)
+            past = (np.arange(run.size) - np.repeat(np.cumsum(parts) - parts, parts)) * WIDTH
+            self.starts, self.counts = self.starts[run] + past, np.minimum(self.counts[run] - past, WIDTH)
         self.digits = low[self.starts]
-        self.places = at[self.starts]
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix((self._sums[ends] - self._sums[starts]) * self._down[starts] + (ends - starts).astype(np.uint64))
+            return _scatter((self._sums[ends] - self._sums[starts]) * self._down[starts] + (ends - starts).astype(np.uint64))
+
+    def classes(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Some runs cut into classes of up to CLASS neighbours: run, first suffix, suffixes, second digit.
+
+        A class is told by the distance of a suffix from the gram that is its first digit (the
+        first of equal ones), so equal suffixes are in the same class wherever they occur. The
+        second digit is the bytes that all suffixes of such a class share, whether they occur or not.
+        """
+        run, start, count = runs, self.starts[runs], self.counts[runs]
+        pieces = []
+        while run.size:
+            at = start[:, None] + np.arange(WIDTH)
+            place = start + np.argmax(self._grams[at] == self.digits[run][:, None], axis=1)
+            n = np.minimum(count, place - start + 1)
+            pieces.append((run, start, n, place))
+            left = count > n
+            run, start, count = run[left], (place + 1)[left], (count - n)[left]
+        if not pieces:
+            return tuple(np.empty(0, np.int64) for _ in range(3)) + (np.empty(0, np.uint64),)
+        run, start, count, place = (np.concatenate(c) for c in zip(*pieces))
+        far = place - start
+        near = far - count + 1
+        parts = far // CLASS - near // CLASS + 1
+        each = np.repeat(np.arange(run.size), parts)
+        c = near[each] // CLASS + np.arange(each.size) - np.repeat(np.cumsum(parts) - parts, parts)
+        reach = np.minimum(far[each], c * CLASS + CLASS - 1)
+        first = place[each] - reach
+        core = place[each] - c * CLASS
+        second = self.hashes(core, core + DEPTH - CLASS + 1) ^ _CLASSES[c]
+        return run[each], first, reach - np.maximum(near[each], c * CLASS) + 1, second
 
 
 def slices(text: bytes, depth: int = DEPTH, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray]]:
@@ -76,29 +117,13 @@ def slices(text: bytes, depth: int = DEPTH, size: int = SLICE_BYTES) -> Iterator
         yield at, np.frombuffer(text, np.uint8, min(size + depth - 1, len(text) - at), at)
 
 
-def _map_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First digits of the suffixes, with the lowest and highest document of each."""
-
-    def packed(held: list) -> pa.RecordBatch:
-        digits, orders = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((orders, digits))
-        digits, orders = digits[order], orders[order]
-        first = np.concatenate(([True], digits[1:] != digits[:-1]))
-        last = np.concatenate((first[1:], [True]))
-        return pa.RecordBatch.from_arrays([signed(digits[first]), pa.array(orders[first]), pa.array(orders[last])], names=["digit", "low", "high"])
-
-    held, size = [], 0
+def _parts(batches: Iterator[pa.RecordBatch], *columns: str):
+    """Every slice of every text with the values of its row."""
     for batch in batches:
-        for order, text in zip(batch.column("ord").to_pylist(), texts(batch)):
-            for _, raw in slices(text):
-                digits = np.unique(Digits(raw).digits)
-                held.append((digits, np.full(digits.size, order, np.int64)))
-                size += digits.size
-                if size >= 8 * BATCH:
-                    yield packed(held)
-                    held, size = [], 0
-    if held:
-        yield packed(held)
+        values = [batch.column(c).to_numpy() for c in columns]
+        for i, text in enumerate(texts(batch)):
+            for at, raw in slices(text):
+                yield tuple(v[i] for v in values), at, Digits(raw)
 
 
 class _Rows:
@@ -107,21 +132,38 @@ class _Rows:
     def __init__(self, schema: str) -> None:
         fields = [field.split() for field in schema.split(", ")]
         self._names = [name for name, _ in fields]
-        self._kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[kind] for _, kind in fields]
-        self._held: list[list] = []
+        self._kinds = [np.int64 if kind == "long" else np.int32 for _, kind in fields]
+        self._held: list[tuple] = []
         self.size = 0
 
-    def add(self, *columns) -> None:
-        self._held.append(columns)
-        self.size += len(columns[-1])
+    def add(self, *columns: np.ndarray) -> None:
+        if columns[-1].size:
+            self._held.append(columns)
+            self.size += columns[-1].size
+
+    def columns(self) -> list[np.ndarray]:
+        held, self._held, self.size = self._held, [], 0
+        wide = [np.concatenate(c) for c in zip(*held)]
+        return [c.view(k) if c.dtype == np.uint64 else c.astype(k, copy=False) for c, k in zip(wide, self._kinds)]
 
     def batch(self) -> pa.RecordBatch:
-        columns = []
-        for kind, parts in zip(self._kinds, zip(*self._held)):
-            whole = [x for part in parts for x in part] if kind == pa.binary() else np.concatenate(parts)
-            columns.append(pa.array(whole, kind))
-        self._held, self.size = [], 0
-        return pa.RecordBatch.from_arrays(columns, names=self._names)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in self.columns()], names=self._names)
+
+
+def _map_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First digits of the suffixes; n is 2 if several documents of the part have it."""
+
+    def counted() -> pa.RecordBatch:
+        digits, n = np.unique(rows.columns()[0], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(digits), pa.array(np.minimum(n, 2).astype(np.int32))], names=["digit", "n"])
+
+    rows = _Rows("digit long")
+    for _, _, d in _parts(batches, "ord"):
+        rows.add(np.unique(d.digits))
+        if rows.size >= 8 * BATCH:
+            yield counted()
+    if rows.size:
+        yield counted()
 
 
 def _map_runs(bits):
@@ -129,61 +171,70 @@ def _map_runs(bits):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows(RUNS)
-        for batch in batches:
-            orders, keys = batch.column("ord").to_numpy(), batch.column("key").to_numpy()
-            for i, text in enumerate(texts(batch)):
-                for at, raw in slices(text):
-                    d = Digits(raw)
-                    keep = np.flatnonzero(in_filter(bits.value, d.digits))
-                    starts, counts = d.starts[keep], d.counts[keep]
-                    body = d.hashes(starts, starts + counts + DEPTH - 1)
-                    head = np.full(keep.size, orders[i]), np.full(keep.size, keys[i])
-                    rows.add(*head, d.digits[keep].view(np.int64), body.view(np.int64), starts + at, counts)
-                    if rows.size >= BATCH:
-                        yield rows.batch()
+        for (order, key), at, d in _parts(batches, "ord", "key"):
+            keep = np.flatnonzero(in_filter(bits.value, d.digits))
+            starts, counts = d.starts[keep], d.counts[keep]
+            head = np.full(keep.size, order), np.full(keep.size, key)
+            rows.add(*head, d.digits[keep], d.hashes(starts, starts + counts + DEPTH - 1), starts + at, counts)
+            if rows.size >= BATCH:
+                yield rows.batch()
         if rows.size:
             yield rows.batch()
 
     return run
 
 
-def _code(digit, body, order):
-    """Names a run of a document in the filter; the same in SQL."""
-    return digit ^ body ^ (order << np.int64(17)) ^ order
+def _open(d: Digits, bits: np.ndarray, order: int) -> np.ndarray:
+    """Runs of a document in the filter of open runs; the same code in SQL (OPEN)."""
+    body = d.hashes(d.starts, d.starts + d.counts + DEPTH - 1).view(np.int64)
+    codes = d.digits.view(np.int64) ^ body ^ (order << np.int64(17)) ^ order
+    return np.flatnonzero(in_filter(bits, codes.view(np.uint64)))
 
 
-def _map_cores(bits):
-    """Suffixes of the runs in the filter in classes of up to CLASS neighbours, with all their bytes.
+OPEN = "digit ^ body ^ shiftleft(low, 17) ^ low"
 
-    A class is told by the distance of a suffix from its first digit, so equal suffixes of any two
-    documents are in the same class. Those of a class share the bytes from the start of the last
-    one (its place in `bytes` is shift) to the end of the first one, the core.
-    """
+
+def _map_classes(bits):
+    """Second digits of the open runs, with the lowest and highest document of each."""
+
+    def packed() -> pa.RecordBatch:
+        core, order = rows.columns()
+        by = np.lexsort((order, core))
+        core, order = core[by], order[by]
+        first = np.concatenate(([True], core[1:] != core[:-1]))
+        last = np.concatenate((first[1:], [True]))
+        return pa.RecordBatch.from_arrays([pa.array(core[first]), pa.array(order[first]), pa.array(order[last])], names=["core", "low", "high"])
+
+    rows = _Rows("core long, ord long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _Rows(CORES)
-        for batch in batches:
-            orders, keys = batch.column("ord").to_numpy(), batch.column("key").to_numpy()
-            for i, text in enumerate(texts(batch)):
-                for at, raw in slices(text):
-                    d = Digits(raw)
-                    body = d.hashes(d.starts, d.starts + d.counts + DEPTH - 1)
-                    codes = _code(d.digits.view(np.int64), body.view(np.int64), orders[i])
-                    keep = np.flatnonzero(in_filter(bits.value, codes.view(np.uint64)))
-                    far = d.places[keep] - d.starts[keep]
-                    near = far - d.counts[keep] + 1
-                    classes = far // CLASS - near // CLASS + 1
-                    each = np.repeat(np.arange(keep.size), classes)
-                    c = near[each] // CLASS + np.arange(each.size) - np.repeat(np.cumsum(classes) - classes, classes)
-                    reach = np.minimum(far[each], c * CLASS + CLASS - 1)
-                    first = d.places[keep][each] - reach + at
-                    end = first + reach - np.maximum(near[each], c * CLASS) + DEPTH
-                    parts = [text[a:b] for a, b in zip(first.tolist(), end.tolist())]
-                    head = np.full(each.size, orders[i]), np.full(each.size, keys[i])
-                    run_start = d.starts[keep][each] + at
-                    rows.add(*head, d.digits[keep][each].view(np.int64), run_start, c, first, reach - c * CLASS, parts)
-                    if rows.size >= BATCH:
-                        yield rows.batch()
+        for (order,), _, d in _parts(batches, "ord"):
+            core = d.classes(_open(d, bits.value, order))[3]
+            rows.add(core, np.full(core.size, order))
+            if rows.size >= 8 * BATCH:
+                yield packed()
+        if rows.size:
+            yield packed()
+
+    return run
+
+
+def _map_suffixes(bits, shared):
+    """The suffixes of the open runs whose second digit is in the other filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _Rows(SUFFIXES)
+        for (order, key), at, d in _parts(batches, "ord", "key"):
+            in_run, first, count, core = d.classes(_open(d, bits.value, order))
+            keep = np.flatnonzero(in_filter(shared.value, core))
+            in_run, first, count = in_run[keep], first[keep], count[keep]
+            each = np.repeat(np.arange(keep.size), count)
+            place = first[each] + np.arange(each.size) - np.repeat(np.cumsum(count) - count, count)
+            start = d.starts[in_run][each]
+            head = np.full(each.size, order), np.full(each.size, key)
+            rows.add(*head, d.digits[in_run][each], d.hashes(place, place + DEPTH), start + at, place - start)
+            if rows.size >= BATCH:
+                yield rows.batch()
         if rows.size:
             yield rows.batch()
 
@@ -193,44 +244,51 @@ def _map_cores(bits):
 def repeated_suffixes(rows: DataFrame) -> DataFrame:
     """Runs (ord, key, start) with a bit mask of their suffixes that also start in an earlier document.
 
-    rows: ord, key, text. Equal suffixes fall into one group whatever the pass, and a group of one document is
-    finished, so every pass reads less.
-    1. First digit: the smallest gram in the depth. Neighbouring suffixes mostly share it in the same
-       place, so a run of them is one row; only digits of two and more documents go on.
+    rows: ord, key, text. Equal suffixes fall into one group in every pass, and a group of one
+    document is finished, so each pass writes less.
+    1. First digit: the smallest gram in the depth. Neighbouring suffixes mostly share it,
+       so a run of them is one row; only digits of two and more documents go on.
     2. Runs that are equal as a whole: all but the first document's are settled. Of the others,
        those whose digit has several different runs go on.
     3. Second digit: the bytes shared by up to CLASS neighbours.
     4. Last digit: the whole depth, suffix by suffix. What is equal now is equal through DEPTH bytes.
-    Groups are only counted (lowest and highest document), never gathered.
+    Groups are only counted (lowest and highest document), never gathered. The passes read the texts
+    again and keep what fixed-size filters of the pass before let through; a full filter makes
+    the next pass write more and changes no result. Tables and shuffles that
+    nothing reads any more are dropped along the way.
     """
     spark = rows.sparkSession
-    digits = rows.select("ord", "text").mapInArrow(_map_digits, "digit long, low long, high long")
-    digits = digits.groupBy("digit").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    digits = stash(digits.where("low < high").select("digit"), "digits")
-    bits = spark.sparkContext.broadcast(filter_bits(digits, "digit"))
-    runs = stash(rows.mapInArrow(_map_runs(bits), RUNS), "runs")
-    bodies = stash(runs.groupBy("digit", "body").agg(F.min("ord").alias("low"), F.max("ord").alias("high")), "bodies")
-    earlier = bodies.where("low < high").select("digit", "body", "low")
-    whole = runs.join(earlier, ["digit", "body"]).where("ord > low")
-    whole = whole.select("ord", "key", "start", F.expr("shiftleft(1L, suffixes) - 1L").alias("mask"))
 
+    def broadcast_filter(df: DataFrame, column: str):
+        return spark.sparkContext.broadcast(filter_bits(df, column))
+
+    digits = rows.select("ord", "text").mapInArrow(_map_digits, "digit long, n int")
+    digits = stash(digits.groupBy("digit").agg(F.sum("n").alias("n")).where("n > 1").select("digit"), "digits")
+    collect_shuffles(spark)
+    runs = stash(rows.mapInArrow(_map_runs(broadcast_filter(digits, "digit")), RUNS), "runs")
+    bodies = stash(runs.groupBy("digit", "body").agg(F.min("ord").alias("low"), F.max("ord").alias("high")), "bodies")
     several = bodies.groupBy("digit").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.count("*").alias("n"))
-    open_runs = bodies.join(several.where("a < b AND n > 1").select("digit"), "digit")
-    code = F.expr("digit ^ body ^ shiftleft(low, 17) ^ low")
-    bits = spark.sparkContext.broadcast(filter_bits(stash(open_runs.select(code.alias("code")), "open-runs"), "code"))
-    cores = rows.mapInArrow(_map_cores(bits), CORES)
-    cores = stash(cores.withColumn("core", F.xxhash64(F.expr(f"substr(bytes, shift + 1, {DEPTH - CLASS + 1})"))), "cores")
-    second = ["digit", "class", "core"]
-    shared = cores.groupBy(*second).agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
-    cores = stash(cores.join(shared.where("low < high").select(*second), second), "shared-cores")
-    places = F.expr(f"sequence(0, length(bytes) - {DEPTH})")
-    suffixes = cores.select("ord", "key", "digit", "start", "first", "bytes", F.explode(places).alias("i")).select(
-        "ord", "key", "digit", "start", F.xxhash64(F.expr(f"substr(bytes, i + 1, {DEPTH})")).alias("suffix"),
-        F.expr("shiftleft(1L, first + i - start)").alias("mask"),
-    )
+    open_runs = bodies.join(several.where("a < b AND n > 1").select("digit"), "digit").select(F.expr(OPEN).alias("code"))
+    open_bits = broadcast_filter(stash(open_runs, "open-runs"), "code")
+    collect_shuffles(spark)
+    whole = runs.join(bodies.where("low < high").select("digit", "body", "low"), ["digit", "body"]).where("ord > low")
+    whole = stash(whole.select("ord", "key", "start", F.expr("shiftleft(1L, suffixes) - 1L").alias("mask")), "whole-runs")
+    discard(runs, bodies)
+    del several, open_runs
+    collect_shuffles(spark)
+
+    cores = rows.select("ord", "text").mapInArrow(_map_classes(open_bits), "core long, low long, high long")
+    cores = cores.groupBy("core").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    shared = broadcast_filter(stash(cores.select("core"), "shared-classes"), "core")
+    suffixes = stash(rows.mapInArrow(_map_suffixes(open_bits, shared), SUFFIXES), "suffixes")
     equal = suffixes.groupBy("digit", "suffix").agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
     equal = stash(equal.where("low < high").select("digit", "suffix", "low"), "equal-suffixes")
-    single = suffixes.join(equal, ["digit", "suffix"]).where("ord > low").select("ord", "key", "start", "mask")
+    collect_shuffles(spark)
+    single = suffixes.join(equal, ["digit", "suffix"]).where("ord > low").groupBy("ord", "key", "start").agg(
+        F.expr("bit_or(shiftleft(1L, offset))").alias("mask"))
+    single = stash(single, "single-suffixes")
+    discard(suffixes, equal)
+    collect_shuffles(spark)
     return whole.union(single).groupBy("ord", "key", "start").agg(F.expr("bit_or(mask)").alias("mask"))
 
 

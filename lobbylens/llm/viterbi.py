@@ -35,19 +35,21 @@ class Unigram:
     A text is cut before a space that follows another character, because no piece spans such a
     place, and between Latin letters and other characters if none spans that either (both are
     checked when the vocabulary is loaded; named pieces like <s> are let be by not cutting
-    texts with a <). Scores are whole numbers, so that
-    sums over parts are exact and equal those over the whole text.
+    texts with a <). This needs whole numbers as scores, so that sums over parts are exact and
+    equal those over the whole text. Any other vocabulary, such as a trained one with log
+    probabilities, is run over the whole text in one pass, adding up in the tokenizer's order.
     """
 
     def __init__(self, vocab: list[tuple[str, float]], byte_fallback: bool = True) -> None:
         import ahocorasick
 
-        if any(score != int(score) for _, score in vocab):
-            raise ValueError("scores must be whole numbers, else sums depend on the cut")
-        if any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece, _ in vocab):
-            raise ValueError("a piece spans the end of a word")
-        if SPACE not in dict(vocab):
-            raise ValueError("the space mark must be a piece")
+        # Texts may be cut where no piece spans, if sums do not depend on it.
+        self.cuts = (
+            all(score == int(score) and abs(score) < 1 << 20 for _, score in vocab)
+            and not any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece, _ in vocab)
+            and SPACE in dict(vocab)
+        )
+        self.longest = max(len(piece) for piece, _ in vocab)
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocab:
             if piece and piece not in self.automaton:
@@ -104,10 +106,38 @@ class Unigram:
         score, pieces, run = path[n]
         return score, pieces + (size(run, n) if run >= 0 else 0)
 
+    def whole(self, text: str) -> tuple[float, int]:
+        """(score, pieces) of a text of any length in one pass; only the last places are kept."""
+        size = lambda a, b: len(text[a:b].encode()) if self.bytes else 1
+        keep = self.longest + 1
+        path: list[tuple[float, int, int]] = [(0.0, 0, -1)] * keep
+        matches = self.automaton.iter(text)
+        match = next(matches, None)
+        for end in range(len(text)):
+            top, last, single = None, 0, False
+            while match is not None and match[0] == end:  # longest first
+                length, score = match[1]
+                single |= length == 1
+                total = path[(end + 1 - length) % keep][0] + score
+                if top is None or total > top:
+                    top, last = total, length
+                match = next(matches, None)
+            before = path[end % keep]
+            if not single and (top is None or before[0] + self.unknown > top):
+                path[(end + 1) % keep] = before[0] + self.unknown, before[1], before[2] if before[2] >= 0 else end
+                continue
+            start = end + 1 - last
+            _, pieces, run = path[start % keep]
+            path[(end + 1) % keep] = top, pieces + 1 + (size(run, start) if run >= 0 else 0), -1
+        score, pieces, run = path[len(text) % keep]
+        return score, pieces + (size(run, len(text)) if run >= 0 else 0)
+
     def count(self, text: str) -> tuple[float, int]:
         """(score, pieces) of a whole text with its space mark in front; 0 pieces if empty."""
         if not text:
             return 0.0, 0
+        if not self.cuts:
+            return self.whole(SPACE + text.replace(" ", SPACE))
         cut = _RUNS if self.runs and "<" not in text else _PARTS
         parts = cut.findall(" " + text.replace(SPACE, " "))
         new = set(parts).difference(self.cache)

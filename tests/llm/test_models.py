@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lobbylens.llm.language import codewords, decode, identify_languages
+from lobbylens.llm.language import RIDGE, codewords, decode, features, identify_languages, with_bias
 from lobbylens.llm.quality import quality_scores
 from tests.llm import corpus as c
 
@@ -95,10 +95,49 @@ def test_language_awkward(spark):
     assert identify_languages(c.frame(spark, rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n", [1, 2, 5, 16, 17])
+def test_language_by_hand(spark):
+    """Ridge regression per bit and logistic losses of all codewords, in plain NumPy."""
+    rng = c.rng(3)
+    vocab = {lang: ["".join(rng.choice(letters) for _ in range(4)) for _ in range(60)] for lang, letters in
+             (("aa", "abcdefgh"), ("bb", "efghijkl"), ("cc", "ijklmnop"), ("dd", "mnopabcd"), ("ee", "éèüößñ"))}
+    rows = [(i, " ".join(rng.choice(vocab[lang]) for _ in range(rng.randrange(3, 30))), lang, None)
+            for i in range(150) for lang in [rng.choice("abcde") * 2]]
+    got = {r["doc_id"]: r for r in identify_languages(c.frame(spark, rows)).collect()}
+    learnt = [r for r in rows if remainder(r[0], 3) != 1]
+    languages = sorted({r[2] for r in learnt})
+    x = with_bias(np.vstack([features(r[1].encode()).astype(np.float16).astype(np.float64) for r in learnt]))
+    y = np.asarray([languages.index(r[2]) for r in learnt])
+    code = codewords(5).astype(np.float64)
+    weight = (len(y) / (5 * np.bincount(y)))[y]
+    solved = np.linalg.solve((x * weight[:, None]).T @ x + RIDGE * np.eye(x.shape[1]), (x * weight[:, None]).T @ code[y])
+    for doc_id, text, _, _ in rows:
+        margins = with_bias(features(text.encode())[None].astype(np.float64)) @ solved
+        loss = np.log1p(np.exp(-4 * margins * code)).sum(axis=1)
+        share = np.exp(loss.min() - loss)
+        assert got[doc_id]["lang_pred"] == languages[loss.argmin()]
+        assert abs(got[doc_id]["score"] - 1 / share.sum()) < 1e-4
+
+
+def test_any_number_of_languages(spark):
+    """1,500 values of lang, each with its own letters."""
+    rows = [(i, f"{chr(0x4E00 + i % 1500) * 3} {chr(0x4E00 + i % 1500) * 5}", f"l{i % 1500}", None) for i in range(6000)]
+    got = identify_languages(c.frame(spark, rows)).where("held_out").collect()
+    assert np.mean([r["lang_pred"] == f"l{r['doc_id'] % 1500}" for r in got]) > 0.9
+
+
+def test_one_text_in_most_rows(spark):
+    """A repeated row is learned from once."""
+    hot = next(i for i in range(100) if remainder(i, 3) != 1)
+    rows = [(hot, "la la la la", "aa", None)] * 3000 + [(200 + i, f"xu xo xi {i}", "bb", None) for i in range(9)]
+    got = identify_languages(c.frame(spark, rows)).groupBy("doc_id", "lang_pred").count().collect()
+    assert {(r["doc_id"], r["lang_pred"]) for r in got} == {(hot, "aa")} | {(200 + i, "bb") for i in range(9)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 16, 17, 2048, 2100])
 def test_codewords_mend_wrong_bits(n):
     code = codewords(n)
-    assert all((code[i] != code[j]).sum() >= 8 for i in range(n) for j in range(i))
+    apart = np.einsum("ik,jk->ij", code[:300], code[:300]) - 2 * code.shape[1] * np.eye(min(n, 300))
+    assert apart.max() <= code.shape[1] - 16
     margins = code.copy()
     margins[:, :3] *= -1
     assert decode(margins.astype(float), code)[0].tolist() == list(range(n))

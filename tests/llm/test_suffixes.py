@@ -86,6 +86,21 @@ def test_long_text(spark):
     assert out == {1: 0, 2: len(line), 3: 200, 4: 60}
 
 
+def test_equal_suffixes_share_their_class():
+    """Whatever surrounds them, also where the gram of the digit occurs more than once in the depth."""
+    rng = np.random.default_rng(5)
+    for inner in (rng.integers(97, 123, 60), np.tile(rng.integers(97, 123, 7), 12), np.full(70, 97), np.tile(rng.integers(97, 123, 25), 3)):
+        inner, seen = inner.astype(np.uint8), []
+        for before, after in ((0, 0), (13, 40), (200, 3), (31, 31)):
+            raw = np.concatenate((rng.integers(65, 91, before), inner, rng.integers(65, 91, after))).astype(np.uint8)
+            d = Digits(raw)
+            run, first, count, core = d.classes(np.arange(d.starts.size))
+            assert count.sum() == raw.size - 49 and count.max() <= 8
+            place = {int(f) + i: int(c) for f, n, c in zip(first, count, core) for i in range(n)}
+            seen.append([place[before + i] for i in range(inner.size - 49)])
+        assert all(x == seen[0] for x in seen)
+
+
 def test_runs_share_a_place():
     """No run is longer than the number of places of a gram, so its suffixes fit a mask."""
     raw = np.frombuffer(b"a" * 5000 + b"abc" * 900, np.uint8)

@@ -127,3 +127,26 @@ def test_viterbi_ties(seed):
         text = "".join(rng.choice("abcd é") for _ in range(rng.randrange(1, 16)))
         direct = library.encode("▁" + text.replace(" ", "▁"), add_special_tokens=False).ids
         assert own.count(text)[1] == len(direct), text
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_viterbi_of_trained_vocabularies(seed):
+    """Log probabilities, pieces across spaces, no space mark: one pass, as the tokenizers library adds up."""
+    from tokenizers import Tokenizer, models
+
+    rng = random.Random(seed)
+    pieces = {"".join(rng.choice("abc▁") for _ in range(rng.randrange(1, 6))) for _ in range(40)} | {"a", "b"}
+    if seed % 3:
+        pieces.add("▁")
+    scores = [float(np.float32(-rng.expovariate(0.2))) for _ in range(7)]
+    vocab = [("<unk>", 0.0)] + [(p, rng.choice(scores)) for p in sorted(pieces)]
+    if seed % 2:
+        vocab += [(f"<0x{b:02X}>", 0.0) for b in range(256)]
+    library = Tokenizer(models.Unigram(vocab, unk_id=0, byte_fallback=bool(seed % 2)))
+    own = Unigram(vocab, byte_fallback=bool(seed % 2))
+    assert not own.cuts
+    for n in [*[14] * 200, 5000]:
+        text = "".join(rng.choice("abcabcd é") for _ in range(rng.randrange(1, n)))
+        direct = library.encode("▁" + text.replace(" ", "▁"), add_special_tokens=False).ids
+        assert own.count(text)[1] == len(direct), text[:50]
+    assert own.count("") == (0.0, 0)
