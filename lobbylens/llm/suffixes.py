@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lobbylens.llm.common import SLICE_BYTES, collect_shuffles, discard, filter_bits, in_filter, mix, stash, texts
+from lobbylens.llm.common import collect_shuffles, discard, filter_bits, in_filter, mix, stash, texts
 
 #: Bytes through which suffixes are ordered: the shortest repeat that is removed.
 DEPTH = 50
@@ -20,8 +20,14 @@ GRAM = 20
 WIDTH = DEPTH - GRAM + 1
 #: Neighbouring suffixes that share the second digit: the DEPTH - CLASS + 1 bytes common to them.
 CLASS = 8
+#: Bytes that are turned into arrays at a time: short texts together, long ones in parts.
+SLICE = 1 << 17
 #: Most rows of a batch that is handed to Spark.
 BATCH = 1 << 18
+#: The last pass takes its digits in so many portions, which bounds the files of its shuffles.
+PORTIONS = 4
+#: In place of a run: the whole text.
+WHOLE_TEXT = -1
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -54,9 +60,13 @@ def _scatter(x: np.ndarray) -> np.ndarray:
 
 
 class Digits:
-    """Hashes of any part of a slice of bytes, and the runs of suffixes with the same first digit."""
+    """Hashes of any part of some bytes, and the runs of suffixes with the same first digit.
 
-    def __init__(self, raw: np.ndarray) -> None:
+    begins: where the texts in raw start. No suffix reaches from one text into the next.
+    """
+
+    def __init__(self, raw: np.ndarray, begins: np.ndarray | None = None) -> None:
+        begins = np.zeros(1, np.int64) if begins is None else begins
         up, self._down = _powers(raw.size + 1)
         with np.errstate(over="ignore"):
             self._sums = np.zeros(raw.size + 1, np.uint64)
@@ -67,14 +77,29 @@ class Digits:
             step = min(done, WIDTH - done)
             low = np.minimum(low[:-step], low[step:])
             done += step
-        self.starts = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
-        self.counts = np.diff(np.concatenate((self.starts, [low.size])))
-        if self.counts.max() > WIDTH:  # the same gram over and over
+        edge = np.ones(low.size + 1, bool)
+        edge[1:-1] = low[1:] != low[:-1]
+        inside = np.ones(low.size, bool)
+        if begins.size > 1:
+            step = np.zeros(raw.size + 1, np.int32)
+            np.add.at(step, np.maximum(begins[1:] - DEPTH + 1, 0), 1)
+            np.add.at(step, begins[1:], -1)
+            inside = np.cumsum(step)[: low.size] == 0
+            across = inside[1:] != inside[:-1]
+            edge[1:-1] |= across
+        places = np.flatnonzero(edge)
+        self.starts, self.counts = places[:-1], np.diff(places)
+        if begins.size > 1:
+            real = inside[self.starts]
+            self.starts, self.counts = self.starts[real], self.counts[real]
+        if self.counts.size and self.counts.max() > WIDTH:  # the same gram over and over
             parts = -(-self.counts // WIDTH)
             run = np.repeat(np.arange(parts.size), parts)
             past = (np.arange(run.size) - np.repeat(np.cumsum(parts) - parts, parts)) * WIDTH
             self.starts, self.counts = self.starts[run] + past, np.minimum(self.counts[run] - past, WIDTH)
         self.digits = low[self.starts]
+        #: The text that each run lies in.
+        self.texts = np.searchsorted(begins, self.starts, "right") - 1
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -111,19 +136,37 @@ class Digits:
         return run[each], first, reach - np.maximum(near[each], c * CLASS) + 1, second
 
 
-def slices(text: bytes, depth: int = DEPTH, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray]]:
-    """Parts of a text, each with the bytes behind it that its last suffixes need."""
-    for at in range(0, len(text) - depth + 1, size):
-        yield at, np.frombuffer(text, np.uint8, min(size + depth - 1, len(text) - at), at)
-
+def _parts(batches: Iterator[pa.RecordBatch], firsts=None):
+    """The texts in parts of up to SLICE bytes, with the bytes behind that the last suffixes need.
 
-def _parts(batches: Iterator[pa.RecordBatch], *columns: str):
-    """Every slice of every text with the values of its row."""
+    Yields per part the ord and key of its texts, the place in its text at which each begins, where that is in the
+    part, and the digits. firsts: a filter of the rows that are not copies of an earlier text.
+    """
     for batch in batches:
-        values = [batch.column(c).to_numpy() for c in columns]
-        for i, text in enumerate(texts(batch)):
-            for at, raw in slices(text):
-                yield tuple(v[i] for v in values), at, Digits(raw)
+        orders, keys = batch.column("ord").to_numpy(), batch.column("key").to_numpy()
+        text = batch.column("text").cast(pa.large_binary())
+        keep = text.is_valid().to_numpy(zero_copy_only=False)
+        if firsts is not None:
+            keep = keep & in_filter(firsts.value, (keys ^ (orders << np.int64(17)) ^ orders).view(np.uint64))
+        text, orders, keys = text.filter(pa.array(keep)), orders[keep], keys[keep]
+        if not len(text) or text.buffers()[2] is None:
+            continue
+        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        data = np.frombuffer(text.buffers()[2], np.uint8)
+        i = 0
+        while i < len(text):
+            if offsets[i + 1] - offsets[i] > SLICE:
+                for at in range(0, int(offsets[i + 1] - offsets[i]) - DEPTH + 1, SLICE):
+                    raw = data[offsets[i] + at : min(offsets[i] + at + SLICE + DEPTH - 1, offsets[i + 1])]
+                    yield orders[i : i + 1], keys[i : i + 1], np.array([at]), Digits(raw)
+                i += 1
+                continue
+            end = int(np.searchsorted(offsets, offsets[i] + SLICE, "right")) - 1
+            raw = data[offsets[i] : offsets[end]]
+            if raw.size >= DEPTH:
+                begins = offsets[i:end] - offsets[i]
+                yield orders[i:end], keys[i:end], -begins, Digits(raw, begins)
+            i = end
 
 
 class _Rows:
@@ -150,32 +193,45 @@ class _Rows:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in self.columns()], names=self._names)
 
 
-def _map_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First digits of the suffixes; n is 2 if several documents of the part have it."""
-
-    def counted() -> pa.RecordBatch:
-        digits, n = np.unique(rows.columns()[0], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(digits), pa.array(np.minimum(n, 2).astype(np.int32))], names=["digit", "n"])
+def _map_digits(firsts):
+    """First digits of the suffixes; n is 2 if several texts of the part have it."""
 
-    rows = _Rows("digit long")
-    for _, _, d in _parts(batches, "ord"):
-        rows.add(np.unique(d.digits))
-        if rows.size >= 8 * BATCH:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            digits, n = rows.columns()
+            by = np.argsort(digits, kind="stable")
+            digits = digits[by]
+            first = np.flatnonzero(np.concatenate(([True], digits[1:] != digits[:-1])))
+            n = np.minimum(np.add.reduceat(n[by], first), 2).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(digits[first]), pa.array(n)], names=["digit", "n"])
+
+        rows = _Rows("digit long, n int")
+        for _, _, _, d in _parts(batches, firsts):
+            if not d.digits.size:
+                continue
+            by = np.argsort(d.digits, kind="stable")
+            digits, text = d.digits[by], d.texts[by]
+            first = np.flatnonzero(np.concatenate(([True], digits[1:] != digits[:-1])))
+            # The texts of a digit stay in their order, so the last differs if any does.
+            last = np.concatenate((first[1:], [digits.size])) - 1
+            rows.add(digits[first], 1 + (text[first] != text[last]))
+            if rows.size >= 8 * BATCH:
+                yield counted()
+        if rows.size:
             yield counted()
-    if rows.size:
-        yield counted()
 
+    return run
 
-def _map_runs(bits):
+
+def _map_runs(firsts, bits):
     """Runs whose first digit is in the filter, with a hash of all their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows(RUNS)
-        for (order, key), at, d in _parts(batches, "ord", "key"):
+        for order, key, at, d in _parts(batches, firsts):
             keep = np.flatnonzero(in_filter(bits.value, d.digits))
-            starts, counts = d.starts[keep], d.counts[keep]
-            head = np.full(keep.size, order), np.full(keep.size, key)
-            rows.add(*head, d.digits[keep], d.hashes(starts, starts + counts + DEPTH - 1), starts + at, counts)
+            starts, counts, text = d.starts[keep], d.counts[keep], d.texts[keep]
+            rows.add(order[text], key[text], d.digits[keep], d.hashes(starts, starts + counts + DEPTH - 1), starts + at[text], counts)
             if rows.size >= BATCH:
                 yield rows.batch()
         if rows.size:
@@ -184,33 +240,32 @@ def _map_runs(bits):
     return run
 
 
-def _open(d: Digits, bits: np.ndarray, order: int) -> np.ndarray:
-    """Runs of a document in the filter of open runs; the same code in SQL (OPEN)."""
+def _open(d: Digits, bits: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """Runs in the filter of open runs; the same code in SQL (OPEN)."""
     body = d.hashes(d.starts, d.starts + d.counts + DEPTH - 1).view(np.int64)
-    codes = d.digits.view(np.int64) ^ body ^ (order << np.int64(17)) ^ order
-    return np.flatnonzero(in_filter(bits, codes.view(np.uint64)))
+    order = orders[d.texts]
+    return np.flatnonzero(in_filter(bits, (d.digits.view(np.int64) ^ body ^ (order << np.int64(17)) ^ order).view(np.uint64)))
 
 
 OPEN = "digit ^ body ^ shiftleft(low, 17) ^ low"
 
 
-def _map_classes(bits):
+def _map_classes(firsts, bits):
     """Second digits of the open runs, with the lowest and highest document of each."""
 
-    def packed() -> pa.RecordBatch:
-        core, order = rows.columns()
-        by = np.lexsort((order, core))
-        core, order = core[by], order[by]
-        first = np.concatenate(([True], core[1:] != core[:-1]))
-        last = np.concatenate((first[1:], [True]))
-        return pa.RecordBatch.from_arrays([pa.array(core[first]), pa.array(order[first]), pa.array(order[last])], names=["core", "low", "high"])
-
-    rows = _Rows("core long, ord long")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (order,), _, d in _parts(batches, "ord"):
-            core = d.classes(_open(d, bits.value, order))[3]
-            rows.add(core, np.full(core.size, order))
+        def packed() -> pa.RecordBatch:
+            core, order = rows.columns()
+            by = np.lexsort((order, core))
+            core, order = core[by], order[by]
+            first = np.concatenate(([True], core[1:] != core[:-1]))
+            last = np.concatenate((first[1:], [True]))
+            return pa.RecordBatch.from_arrays([pa.array(core[first]), pa.array(order[first]), pa.array(order[last])], names=["core", "low", "high"])
+
+        rows = _Rows("core long, ord long")
+        for order, _, _, d in _parts(batches, firsts):
+            in_run, _, _, core = d.classes(_open(d, bits.value, order))
+            rows.add(core, order[d.texts[in_run]])
             if rows.size >= 8 * BATCH:
                 yield packed()
         if rows.size:
@@ -219,20 +274,20 @@ def _map_classes(bits):
     return run
 
 
-def _map_suffixes(bits, shared):
+def _map_suffixes(firsts, bits, shared):
     """The suffixes of the open runs whose second digit is in the other filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows(SUFFIXES)
-        for (order, key), at, d in _parts(batches, "ord", "key"):
+        for order, key, at, d in _parts(batches, firsts):
             in_run, first, count, core = d.classes(_open(d, bits.value, order))
             keep = np.flatnonzero(in_filter(shared.value, core))
             in_run, first, count = in_run[keep], first[keep], count[keep]
             each = np.repeat(np.arange(keep.size), count)
             place = first[each] + np.arange(each.size) - np.repeat(np.cumsum(count) - count, count)
-            start = d.starts[in_run][each]
-            head = np.full(each.size, order), np.full(each.size, key)
-            rows.add(*head, d.digits[in_run][each], d.hashes(place, place + DEPTH), start + at, place - start)
+            in_run = in_run[each]
+            start, text = d.starts[in_run], d.texts[in_run]
+            rows.add(order[text], key[text], d.digits[in_run], d.hashes(place, place + DEPTH), start + at[text], place - start)
             if rows.size >= BATCH:
                 yield rows.batch()
         if rows.size:
@@ -241,11 +296,26 @@ def _map_suffixes(bits, shared):
     return run
 
 
+def copied_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (ord, key) whose whole text is that of an earlier document, and codes of the first rows of all texts.
+
+    Texts are equal if their two hashes and lengths are.
+    """
+    narrow = rows.select("ord", "key", F.xxhash64("text", F.lit(17)).alias("check"), F.octet_length("text").alias("size"))
+    narrow = stash(narrow.where(F.col("size") >= DEPTH), "texts")
+    same = ["key", "check", "size"]
+    groups = stash(narrow.groupBy(*same).agg(F.min("ord").alias("low"), F.max("ord").alias("high")), "text-groups")
+    copies = narrow.join(groups.where("low < high").select(*same, "low"), same).where("ord > low").select("ord", "key").distinct()
+    return stash(copies, "copies"), groups.select(F.expr("key ^ shiftleft(low, 17) ^ low").alias("code"))
+
+
 def repeated_suffixes(rows: DataFrame) -> DataFrame:
-    """Runs (ord, key, start) with a bit mask of their suffixes that also start in an earlier document.
+    """Runs (ord, key, run) of suffixes that also start in an earlier document.
 
-    rows: ord, key, text. Equal suffixes fall into one group in every pass, and a group of one
+    rows: ord, key, text. run is the start of a run and a bit mask of its suffixes, start << 32 | mask,
+    or WHOLE_TEXT. Equal suffixes fall into one group in every pass, and a group of one
     document is finished, so each pass writes less.
+    0. Texts that are equal as a whole: all but the first document's are settled.
     1. First digit: the smallest gram in the depth. Neighbouring suffixes mostly share it,
        so a run of them is one row; only digits of two and more documents go on.
     2. Runs that are equal as a whole: all but the first document's are settled. Of the others,
@@ -262,34 +332,42 @@ def repeated_suffixes(rows: DataFrame) -> DataFrame:
     def broadcast_filter(df: DataFrame, column: str):
         return spark.sparkContext.broadcast(filter_bits(df, column))
 
-    digits = rows.select("ord", "text").mapInArrow(_map_digits, "digit long, n int")
+    copies, codes = copied_texts(rows)
+    firsts = broadcast_filter(codes, "code")
+    digits = rows.mapInArrow(_map_digits(firsts), "digit long, n int")
     digits = stash(digits.groupBy("digit").agg(F.sum("n").alias("n")).where("n > 1").select("digit"), "digits")
     collect_shuffles(spark)
-    runs = stash(rows.mapInArrow(_map_runs(broadcast_filter(digits, "digit")), RUNS), "runs")
+    runs = stash(rows.mapInArrow(_map_runs(firsts, broadcast_filter(digits, "digit")), RUNS), "runs")
     bodies = stash(runs.groupBy("digit", "body").agg(F.min("ord").alias("low"), F.max("ord").alias("high")), "bodies")
     several = bodies.groupBy("digit").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.count("*").alias("n"))
     open_runs = bodies.join(several.where("a < b AND n > 1").select("digit"), "digit").select(F.expr(OPEN).alias("code"))
     open_bits = broadcast_filter(stash(open_runs, "open-runs"), "code")
     collect_shuffles(spark)
+    packed = F.expr("shiftleft(CAST(start AS BIGINT), 32)")
     whole = runs.join(bodies.where("low < high").select("digit", "body", "low"), ["digit", "body"]).where("ord > low")
-    whole = stash(whole.select("ord", "key", "start", F.expr("shiftleft(1L, suffixes) - 1L").alias("mask")), "whole-runs")
+    whole = stash(whole.select("ord", "key", packed.alias("run"), F.expr("shiftleft(1L, suffixes) - 1L").alias("mask")), "whole-runs")
     discard(runs, bodies)
     del several, open_runs
     collect_shuffles(spark)
 
-    cores = rows.select("ord", "text").mapInArrow(_map_classes(open_bits), "core long, low long, high long")
+    cores = rows.mapInArrow(_map_classes(firsts, open_bits), "core long, low long, high long")
     cores = cores.groupBy("core").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     shared = broadcast_filter(stash(cores.select("core"), "shared-classes"), "core")
-    suffixes = stash(rows.mapInArrow(_map_suffixes(open_bits, shared), SUFFIXES), "suffixes")
-    equal = suffixes.groupBy("digit", "suffix").agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
-    equal = stash(equal.where("low < high").select("digit", "suffix", "low"), "equal-suffixes")
-    collect_shuffles(spark)
-    single = suffixes.join(equal, ["digit", "suffix"]).where("ord > low").groupBy("ord", "key", "start").agg(
-        F.expr("bit_or(shiftleft(1L, offset))").alias("mask"))
-    single = stash(single, "single-suffixes")
-    discard(suffixes, equal)
+    suffixes = stash(rows.mapInArrow(_map_suffixes(firsts, open_bits, shared), SUFFIXES), "suffixes")
+    found = whole
+    for portion in range(PORTIONS):
+        collect_shuffles(spark)
+        some = suffixes.where(F.pmod("digit", F.lit(PORTIONS)) == portion)
+        equal = some.groupBy("digit", "suffix").agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
+        equal = stash(equal.where("low < high").select("digit", "suffix", "low"), "equal-suffixes")
+        single = some.join(equal, ["digit", "suffix"]).where("ord > low").groupBy("ord", "key", packed.alias("run"))
+        found = found.union(stash(single.agg(F.expr("bit_or(shiftleft(1L, offset))").alias("mask")), "single-suffixes"))
+        discard(equal)
+    discard(suffixes)
     collect_shuffles(spark)
-    return whole.union(single).groupBy("ord", "key", "start").agg(F.expr("bit_or(mask)").alias("mask"))
+    found = found.groupBy("ord", "key", "run").agg(F.expr("bit_or(mask)").alias("mask"))
+    found = found.select("ord", "key", F.expr("run | mask").alias("run"))
+    return found.union(copies.select("ord", "key", F.lit(WHOLE_TEXT).cast("long").alias("run")))
 
 
 def spans_of(packed: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -308,7 +386,9 @@ def _map_kept(with_text: bool):
             for text, runs in zip(texts(batch), batch.column("runs")):
                 kept, removed, spans = text, 0, 0
                 if runs.is_valid:
-                    lo, hi = spans_of(runs.values.to_numpy())
+                    found = runs.values.to_numpy()
+                    lo, hi = ([0], [len(text)]) if (found == WHOLE_TEXT).any() else spans_of(found)
+                    lo, hi = np.asarray(lo), np.asarray(hi)
                     removed, spans = int((hi - lo).sum()), lo.size
                     edges = zip([0, *hi.tolist()], [*lo.tolist(), len(text)])
                     kept = b"".join(text[a:b] for a, b in edges)
@@ -337,7 +417,7 @@ def without_repeated_bytes(docs: DataFrame, with_text: bool = False) -> DataFram
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     rows = docs.select(order.alias("ord"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     runs = repeated_suffixes(rows.select("ord", "key", "text"))
-    runs = runs.groupBy("ord", "key").agg(F.collect_list(F.expr("shiftleft(CAST(start AS BIGINT), 32) | mask")).alias("runs"))
+    runs = runs.groupBy("ord", "key").agg(F.collect_list("run").alias("runs"))
     # The runs are the hashed side, so that whole texts move once and need no sort.
     joined = rows.join(stash(runs, "doc-runs").hint("shuffle_hash"), ["ord", "key"], "left").select("doc_id", "text", "runs")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text

@@ -3,10 +3,8 @@
 import hashlib
 
 import numpy as np
-import pytest
 
-from lobbylens.llm import suffixes
-from lobbylens.llm.suffixes import Digits, slices, spans_of, without_repeated_bytes
+from lobbylens.llm.suffixes import Digits, spans_of, without_repeated_bytes
 from tests.llm import corpus as c
 
 COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -61,18 +59,20 @@ def test_at_the_bound(spark):
     assert removed[2] == 0 and removed[3] == 50 and removed[1] == 67
 
 
-@pytest.mark.parametrize("size", [64, 1000])
-def test_slices(spark, monkeypatch, size):
-    """Texts cut into slices give the same as whole ones."""
-    monkeypatch.setattr(suffixes.slices, "__defaults__", (50, size))
+def test_texts_are_taken_together():
+    """Runs of several texts in one part are those of each by itself; long texts give the same in slices."""
     rng = c.rng(3)
-    text = c.sentence(rng, 900, 300)
-    parts = list(slices(text.encode(), 50, size))
-    assert sum(raw.size - 49 for _, raw in parts) == len(text) - 49
-    held = [Digits(raw) for _, raw in parts]
-    whole = Digits(np.frombuffer(text.encode(), np.uint8))
-    every = np.concatenate([np.repeat(d.digits, d.counts) for d in held])
-    assert np.array_equal(every, np.repeat(whole.digits, whole.counts))
+    texts = [c.sentence(rng, n, 300).encode() for n in (20, 1, 0, 7, 200, 9, 10, 11, 60)] + [b"x" * 49, b"y" * 50, b"ab" * 90]
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    begins = np.cumsum([0, *map(len, texts[:-1])])
+    together = Digits(raw, begins)
+    got = set(zip(together.texts.tolist(), (together.starts - begins[together.texts]).tolist(), together.counts.tolist(), together.digits.tolist()))
+    want = set()
+    for i, text in enumerate(texts):
+        if len(text) >= 50:
+            d = Digits(np.frombuffer(text, np.uint8))
+            want |= set(zip([i] * d.starts.size, d.starts.tolist(), d.counts.tolist(), d.digits.tolist()))
+    assert got == want
 
 
 def test_long_text(spark):
