@@ -90,44 +90,59 @@ def _map_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([*part.select(["lang", "key"]).columns, pa.array(vectors, pa.binary())], names=["lang", "key", "vector"])
 
 
-def _map_sums(place: dict[str, int], weight: np.ndarray):
-    """The part's share of the normal equations: blocks of rows of X'WX next to X'WT."""
+def _sums(batches: Iterator[pa.RecordBatch], place: dict[str, int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """X'WX and X'WT of some sampled texts."""
+    code = codewords(len(place))
+    left, right = np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros((FEATURES + 1, code.shape[1]))
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 512):
+            part = batch.slice(lo, 512)
+            x = np.frombuffer(b"".join(part.column("vector").to_pylist()), np.float16).reshape(-1, FEATURES)
+            x = with_bias(x.astype(np.float32))
+            y = np.asarray([place[lang] for lang in part.column("lang").to_pylist()], np.int64)
+            weighted = x * weight[y][:, None].astype(np.float32)
+            for at in range(0, FEATURES + 1, BLOCK):
+                left[at : at + BLOCK] += weighted[:, at : at + BLOCK].T @ x
+            right += weighted.T @ code[y]
+    return left, right
+
+
+def _solved(left: np.ndarray, right: np.ndarray) -> bytes:
+    left[np.diag_indices_from(left)] += RIDGE
+    return np.linalg.solve(left, right).astype(np.float32).tobytes()
+
+
+def _map_solved(place: dict[str, int], weight: np.ndarray):
+    """The weights, where one task holds the whole sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = codewords(len(place))
-        sums = np.zeros((FEATURES + 1, FEATURES + 1 + code.shape[1]))
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                x = np.frombuffer(b"".join(part.column("vector").to_pylist()), np.float16).reshape(-1, FEATURES)
-                x = with_bias(x.astype(np.float32))
-                y = np.asarray([place[lang] for lang in part.column("lang").to_pylist()], np.int64)
-                weighted = x * weight[y][:, None].astype(np.float32)
-                sums[:, : FEATURES + 1] += weighted.T @ x
-                sums[:, FEATURES + 1 :] += weighted.T @ code[y]
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([_solved(*_sums(batches, place, weight))], pa.binary())})
+
+    return run
+
+
+def _map_blocks(place: dict[str, int], weight: np.ndarray):
+    """A task's share of the sums, in blocks of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right = _sums(batches, place, weight)
         for block, at in enumerate(range(0, FEATURES + 1, BLOCK)):
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "sums": pa.array([sums[at : at + BLOCK].tobytes()], pa.binary())})
+            both = np.hstack([left[at : at + BLOCK], right[at : at + BLOCK]])
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "sums": pa.array([both.tobytes()], pa.binary())})
 
     return run
 
 
 def _add_blocks(blocks):
-    """The parts' blocks of one place added up; there are as many as parts."""
+    """The tasks' blocks of one place added up; there are as many as tasks."""
     total = sum(np.frombuffer(b) for b in blocks["sums"])
     return blocks[:1].assign(sums=[total.tobytes()])
 
 
-def _map_solved(bits: int):
-    """The weights from the blocks, which together are one matrix of fixed size."""
-
-    def run(blocks):
-        rows = b"".join(blocks.sort_values("block")["sums"])
-        sums = np.frombuffer(rows).reshape(FEATURES + 1, FEATURES + 1 + bits)
-        a = sums[:, : FEATURES + 1] + RIDGE * np.eye(FEATURES + 1)
-        weights = np.linalg.solve(a, sums[:, FEATURES + 1 :]).astype(np.float32)
-        return blocks[:1].assign(sums=[weights.tobytes()])
-
-    return run
+def _solve_blocks(blocks):
+    """The weights from the added blocks, which together are one matrix of fixed size."""
+    both = np.frombuffer(b"".join(blocks.sort_values("block")["sums"])).reshape(FEATURES + 1, -1)
+    return blocks[:1].assign(sums=[_solved(both[:, : FEATURES + 1].copy(), both[:, FEATURES + 1 :])])
 
 
 def _map_predict(model):
@@ -177,9 +192,14 @@ def learn_languages(docs: DataFrame, learnable, sample: int = SAMPLE) -> tuple[l
         return [], np.zeros((FEATURES + 1, 0), np.float32), code
     weight = np.asarray([total / (len(sizes) * n) for n in sizes.values()])
     place = {lang: i for i, lang in enumerate(languages)}
-    parts = rows.repartition(-(-total // PART), "key").mapInArrow(_map_sums(place, weight), "block int, sums binary")
-    blocks = parts.groupBy("block").applyInPandas(_add_blocks, "block int, sums binary")
-    solved = blocks.groupBy().applyInPandas(_map_solved(code.shape[1]), "block int, sums binary").first()["sums"]
+    parts = -(-total // PART)
+    if parts == 1:
+        solved = rows.repartition(1).mapInArrow(_map_solved(place, weight), "sums binary")
+    else:
+        blocks = rows.repartition(parts, "key").mapInArrow(_map_blocks(place, weight), "block int, sums binary")
+        blocks = blocks.groupBy("block").applyInPandas(_add_blocks, "block int, sums binary")
+        solved = blocks.groupBy().applyInPandas(_solve_blocks, "block int, sums binary")
+    solved = solved.first()["sums"]
     return languages, np.frombuffer(bytes(solved), np.float32).reshape(FEATURES + 1, -1), code
 
 

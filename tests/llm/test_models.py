@@ -95,8 +95,10 @@ def test_language_awkward(spark):
     assert identify_languages(c.frame(spark, rows).limit(0)).count() == 0
 
 
-def test_language_by_hand(spark):
-    """Ridge regression per bit and logistic losses of all codewords, in plain NumPy."""
+@pytest.mark.parametrize("part", [20_000, 30])
+def test_language_by_hand(spark, monkeypatch, part):
+    """Ridge regression per bit and logistic losses of all codewords, in plain NumPy; one task and several."""
+    monkeypatch.setattr("lobbylens.llm.language.PART", part)
     rng = c.rng(3)
     vocab = {lang: ["".join(rng.choice(letters) for _ in range(4)) for _ in range(60)] for lang, letters in
              (("aa", "abcdefgh"), ("bb", "efghijkl"), ("cc", "ijklmnop"), ("dd", "mnopabcd"), ("ee", "éèüößñ"))}
