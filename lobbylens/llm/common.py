@@ -39,6 +39,15 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def sized(pairs: DataFrame, row_bytes: int = 16, limit: int = 8 << 20) -> DataFrame:
+    """A table of narrow rows as the small side of a join with texts.
+
+    Up to `limit` bytes it is broadcast, and the texts stay where they are; beyond, it is the hashed
+    side, so that texts move once and need no sort.
+    """
+    return F.broadcast(pairs) if pairs.count() * row_bytes <= limit else pairs.hint("shuffle_hash")
+
+
 def collect_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the files of shuffles that are done with.
 

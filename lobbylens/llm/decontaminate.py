@@ -8,7 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lobbylens.llm.common import stash
+from lobbylens.llm.common import sized, stash
 
 #: Words of a window that counts as contamination.
 WINDOW = 10
@@ -16,8 +16,6 @@ WINDOW = 10
 #: smallest hash is kept, on both sides, so every shared window shares a kept gram.
 GRAM = 5
 SEPARATORS = "[\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+"
-#: Sides with at most this many rows (of a few hundred bytes at most) are broadcast.
-BROADCAST_ROWS = 50_000
 
 
 def words_of(text: str = "text") -> Column:
@@ -36,11 +34,7 @@ def _grams(k: int) -> Column:
 
 def _winnowed(grams: str, slack: int) -> Column:
     """Smallest hash of each run of slack + 1 grams, each once."""
-    if not slack:
-        return F.array_distinct(grams)
-    parts = ", ".join(f"get({grams}, i + {j})" for j in range(slack + 1))
-    sliding = f"transform(sequence(0, size({grams}) - {slack + 1}), i -> least({parts}))"
-    return F.array_distinct(F.expr(f"if(size({grams}) <= {slack}, cast(array() AS array<bigint>), {sliding})"))
+    return F.array_distinct(_lows(grams, slack))
 
 
 def _hashed(df: DataFrame) -> DataFrame:
@@ -52,31 +46,46 @@ def _families(sizes: list[int], window: int, gram: int) -> list[tuple[int, int]]
     return [(gram, window - gram)] * any(n >= window for n in sizes) + [(n, 0) for n in sizes if 0 < n < window]
 
 
-def _occurrences(df: DataFrame, families: list[tuple[int, int]], wanted: str | None = None) -> DataFrame:
-    """Kept grams with their place and the words around them: fp, k, slack, at, lefts, middle, rights.
+def _lows(grams: str, slack: int) -> Column:
+    """The smallest hash of each run of slack + 1 grams."""
+    if not slack:
+        return F.col(grams)
+    span = ", ".join(f"get({grams}, i + {j})" for j in range(slack + 1))
+    lows = f"transform(sequence(0, size({grams}) - {slack + 1}), i -> least({span}))"
+    return F.expr(f"if(size({grams}) <= {slack}, cast(array() AS array<bigint>), {lows})")
+
+
+def _kept_places(grams: str, lows: str, slack: int) -> Column:
+    """Places of the grams that winnowing keeps: those that are the smallest of some run.
 
-    wanted: a column of hashes to look for, in place of those that winnowing keeps.
+    The runs that hold place i start at i - slack to i; a gram is the low of one of them if it
+    equals the largest of their lows.
     """
-    # explode_outer: for a plain explode the planner would copy the array expressions into a
-    # filter below, and into their own lambdas, where they run once per element.
+    around = ", ".join(f"if(i >= {j}, get({lows}, i - {j}), NULL)" for j in range(slack + 1))
+    largest = f"greatest({around})" if slack else f"{lows}[i]"
+    return F.expr(f"if(size({lows}) = 0, array(), filter(sequence(0, size({grams}) - 1), i -> {grams}[i] = {largest}))")
+
+
+def _places(df: DataFrame, families: list[tuple[int, int]]) -> DataFrame:
+    """Every gram of each row with its place: the row's columns but the words, and k, slack, at, fp."""
     out = []
     for k, slack in families:
-        part = df.withColumn("g", _grams(k))
-        part = part.withColumn("kept", F.col(wanted) if wanted else _winnowed("g", slack))
-        spots = F.expr("if(size(g) = 0, array(), filter(sequence(0, size(g) - 1), i -> array_contains(kept, g[i])))")
-        part = part.withColumn("at", F.explode_outer(spots)).where("at IS NOT NULL")
-        out.append(
-            part.select(
-                *[c for c in df.columns if c not in ("words", "h", wanted)],
-                F.expr("g[at]").alias("fp"), F.lit(k).alias("k"), F.lit(slack).alias("slack"), "at",
-                F.expr(f"reverse(slice(words, greatest(at - {slack}, 0) + 1, least(at, {slack})))").alias("lefts"),
-                F.expr(f"slice(words, at + 1, {k})").alias("middle"),
-                F.expr(f"slice(words, at + {k} + 1, {slack})").alias("rights"),
-            )
-        )
+        part = df.withColumn("g", _grams(k)).select(
+            *[c for c in df.columns if c not in ("words", "h")], F.lit(k).alias("k"), F.lit(slack).alias("slack"), F.posexplode_outer("g").alias("at", "fp"))
+        out.append(part.where("fp IS NOT NULL"))
     return reduce(DataFrame.unionByName, out)
 
 
+def _surroundings(df: DataFrame, most: int) -> DataFrame:
+    """The words at a gram's place: lefts (nearest first), middle, rights; at most `most` on each side."""
+    return df.select(
+        *[c for c in df.columns if c not in ("words", "h")],
+        F.expr(f"reverse(slice(words, greatest(at - {most}, 0) + 1, least(at, {most})))").alias("lefts"),
+        F.expr("slice(words, at + 1, k)").alias("middle"),
+        F.expr(f"slice(words, at + k + 1, {most})").alias("rights"),
+    )
+
+
 def _agreeing(a: str, b: str, most: int) -> str:
     """How many leading words of two short arrays agree."""
     if not most:
@@ -85,10 +94,6 @@ def _agreeing(a: str, b: str, most: int) -> str:
     return f"CASE {cases} ELSE {most} END"
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Which words of each document lie in a window of a benchmark item.
 
@@ -116,36 +121,43 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
             F.lit(False).alias("contaminated"),
         )
     # Items of a window and more are found by their winnowed grams, each shorter one as a whole.
-    fitting = [
-        _occurrences(items.where(F.size("words") >= window if slack else F.size("words") == k), [(k, slack)])
-        for k, slack in families
-    ]
+    reach = max(slack for _, slack in families)
+    fitting = []
+    for k, slack in families:
+        part = items.where(F.size("words") >= window if slack else F.size("words") == k).withColumn("g", _grams(k))
+        # Written, so that no array is worked out again for each of its elements.
+        part = stash(part.select("item_id", "words", "g", _lows("g", slack).alias("lows")), "benchmark-words")
+        part = part.withColumn("at", F.explode_outer(_kept_places("g", "lows", slack))).where("at IS NOT NULL")
+        part = part.select("item_id", "words", F.lit(k).alias("k"), F.lit(slack).alias("slack"), "at", F.expr("g[at]").alias("fp"))
+        fitting.append(_surroundings(part, reach).drop("at"))
     known = stash(reduce(DataFrame.unionByName, fitting).distinct(), "benchmark-grams")
-    n_known = known.count()
 
     # One pass over all texts: of each document its word count and its kept grams that the
-    # benchmark has too. The null gram carries the row itself.
+    # benchmark has too. The null gram carries the row itself. Sides are broadcast where the
+    # planner finds their files small enough.
     hashed = _hashed(base.withColumn("n_words", F.size("words").cast("long")))
     for i, (k, slack) in enumerate(families):
         hashed = hashed.withColumn(f"g{i}", _grams(k)).withColumn(f"f{i}", _winnowed(f"g{i}", slack))
     kept = F.concat(F.expr("array(cast(null AS bigint))"), *[F.col(f"f{i}") for i in range(len(families))])
     rows = hashed.select("doc_id", "key", "n_words", F.explode_outer(kept).alias("fp"))
-    fps = known.select(F.col("fp").alias("known")).distinct()
-    rows = rows.join(_sized(fps, n_known), F.col("fp") == F.col("known"), "left")
+    fps = stash(known.select(F.col("fp").alias("known")).distinct(), "known-grams")
+    rows = rows.join(fps, F.col("fp") == F.col("known"), "left")
     rows = stash(rows.where("known IS NOT NULL OR fp IS NULL").drop("known"), "document-grams")
 
-    # The few documents with such grams again, now with places and neighbours.
-    found = rows.where("fp IS NOT NULL").groupBy("doc_id", "key").agg(F.collect_set("fp").alias("fps"))
-    found = stash(found.select(F.col("doc_id").alias("f_id"), F.col("key").alias("f_key"), "fps"), "document-hits")
+    # The few documents with such grams again: first the places of the known grams, then the
+    # words around these places only.
+    found = stash(rows.where("fp IS NOT NULL").select(F.col("doc_id").alias("f_id"), F.col("key").alias("f_key")).distinct(), "document-hits")
     same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key"))
     again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    again = again.join(_sized(found, found.count()), same).drop("f_id", "f_key")
-    again = _hashed(again.withColumn("words", words_of()).drop("text"))
-    here = _occurrences(again, families, wanted="fps")
-    theirs = known.select(*[F.col(c).alias(f"b_{c}") for c in ("item_id", "fp", "k", "slack", "lefts", "middle", "rights")])
-    theirs = _sized(theirs, n_known)
+    again = again.join(sized(found), same, "left_semi").dropDuplicates(["doc_id", "key"]).select("doc_id", "key", words_of().alias("words"))
+    again = stash(again, "documents-again")
+    places = _places(_hashed(again), families).join(fps, F.col("fp") == F.col("known"), "left_semi")
+    places = places.groupBy("doc_id", "key").agg(F.collect_list(F.struct("k", "slack", "at", "fp")).alias("places"))
+    places = stash(places.select(F.col("doc_id").alias("f_id"), F.col("key").alias("f_key"), "places"), "gram-places")
+    here = again.join(places, same).select("doc_id", "key", "words", F.explode("places").alias("p")).select("doc_id", "key", "words", "p.*")
+    here = _surroundings(here, reach)
+    theirs = known.select(*[F.col(c).alias(f"b_{c}") for c in ("item_id", "fp", "k", "lefts", "middle", "rights")])
     match = here.join(theirs, (F.col("fp") == F.col("b_fp")) & (F.col("k") == F.col("b_k")) & (F.col("middle") == F.col("b_middle")))
-    reach = max(slack for _, slack in families)
     match = match.withColumns(
         {"l": F.expr(_agreeing("lefts", "b_lefts", reach)), "r": F.expr(_agreeing("rights", "b_rights", reach))}
     ).where("l + r >= slack")
