@@ -1,4 +1,4 @@
-"""Substring dedup: windows found by hash in indexed reference blocks become duplicate spans."""
+"""Substring dedup: documents are factored greedily against indexed reference blocks."""
 
 from __future__ import annotations
 
@@ -107,25 +107,76 @@ def _map_windows(bits, window: int):
     return run
 
 
+def parse(lo: np.ndarray, hi: np.ndarray, ref: np.ndarray, ref_lo: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, end, ref, ref_start) of a document, given its matches.
+
+    A match says that words lo to hi are those of document ref from ref_lo on. Matches with the
+    same ref on one diagonal that meet are extended to one. Then, from left to right, the factor at
+    a place is the match that reaches farthest from there, and the parse jumps to its end; a match
+    that straddles this boundary is taken up there. Words outside all matches are literals.
+    """
+    if not lo.size:
+        return []
+    order = np.lexsort((lo, ref_lo - lo, ref))
+    lo, hi, ref, ref_lo = lo[order], hi[order], ref[order], ref_lo[order]
+    same = (ref[1:] == ref[:-1]) & ((ref_lo - lo)[1:] == (ref_lo - lo)[:-1])
+    # The farthest end so far, within a diagonal.
+    past = np.cumsum(np.concatenate(([False], ~same))) * (int(hi.max()) + 1)
+    ends = np.maximum.accumulate(hi + past) - past
+    fresh = np.concatenate(([True], ~same | (lo[1:] > ends[:-1])))
+    first = np.flatnonzero(fresh)
+    last = np.concatenate((first[1:], [lo.size])) - 1
+    lo, hi, ref, ref_lo = lo[first], ends[last], ref[first], ref_lo[first]
+    out, at, best = [], 0, None
+    for i in np.argsort(lo, kind="stable").tolist():
+        # Factors end before the next match begins beyond them.
+        while best is not None and lo[i] > at:
+            out.append((at, int(hi[best]), int(ref[best]), int(ref_lo[best] + at - lo[best])))
+            at, best = int(hi[best]), None
+        if hi[i] > at and (best is None or hi[i] > hi[best]):
+            if best is None:
+                at = max(at, int(lo[i]))
+            best = i
+    if best is not None:
+        out.append((at, int(hi[best]), int(ref[best]), int(ref_lo[best] + at - lo[best])))
+    return out
+
+
+def _parsed(hits: pa.ListScalar) -> list[tuple[int, int, int, int]]:
+    if not hits.is_valid:
+        return []
+    return parse(*(hits.values.field(name).to_numpy() for name in ("lo", "hi", "ref", "ref_lo")))
+
+
+def _map_factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_parsed(hits) for hits in batch.column("hits")]
+        at = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+        start, end, ref, ref_start = (np.asarray(c, np.int64) for c in zip(*[x for f in found for x in f])) if len(at) else [np.empty(0, np.int64)] * 4
+        head = batch.select(["s_id", "s_key"]).take(at)
+        columns = [pa.array(start), pa.array(end - start), pa.array(ref, mask=ref == (1 << 63) - 1), pa.array(ref_start)]
+        yield pa.RecordBatch.from_arrays([*head.columns, *columns], names=[f.split()[0] for f in FACTORS.split(", ")])
+
+
+FACTORS = "doc_id long, key long, start long, length long, ref_id long, ref_start long"
+
+
 def _map_kept(with_text: bool):
-    """Remove the words under the spans of each document."""
+    """Remove the words under the factors of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, digests, kept_texts = [], [], [], []
-            for text, spans in zip(texts(batch), batch.column("spans").to_pylist()):
+            for text, hits in zip(texts(batch), batch.column("hits")):
                 words = text.split()  # of bytes: at [\x20\x09-\x0D]
-                n = len(words)
-                if spans:
-                    depth = np.zeros(n + 1, np.int64)
-                    for span in spans:
-                        depth[span["lo"]] += 1
-                        depth[span["hi"]] -= 1
-                    kept = np.flatnonzero(np.cumsum(depth[:-1]) == 0)
-                    words = [words[i] for i in kept.tolist()]
-                joined = b" ".join(words)
+                n, kept, at = len(words), [], 0
+                for start, end, _, _ in _parsed(hits):
+                    kept += words[at:start]
+                    at = end
+                kept += words[at:]
+                joined = b" ".join(kept)
                 sizes.append(n)
-                removed.append(n - len(words))
+                removed.append(n - len(kept))
                 digests.append(hashlib.sha256(joined).hexdigest())
                 if with_text:
                     kept_texts.append(joined.decode())
@@ -138,18 +189,20 @@ def _map_kept(with_text: bool):
     return run
 
 
-def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Spans of words (doc_id, key, lo, hi) that also occur in a document with a smaller doc_id.
+def matches(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Per document (s_id, s_key) its matches with earlier ones: hits, an array of (lo, hi, ref, ref_lo).
 
-    key is xxhash64 of the text, to tell rows with the same doc_id apart.
+    s_key is xxhash64 of the text, to tell rows with the same doc_id apart; ref is the earliest
+    document (null_last of its doc_id) that holds the words.
     1. Every document is cut into pieces, runs of windows with the same anchor. The pieces of
        an anchor are its reference block; only anchors of two and more documents matter.
-    2. A piece that is the same, as a whole, in an earlier document is one span.
+    2. A piece that is the same, as a whole, in an earlier document is one match.
     3. Other pieces of blocks with several different pieces are looked up in the block window
-       by window, which covers the repeats that end inside a piece, so none is lost at a
-       boundary. Neighbouring spans join where they overlap. No longest match is searched for.
+       by window, which covers the matches that begin or end inside a piece, so none is lost at a
+       boundary.
     Equal copies are one reference; what is compared grows with the different pieces, and a
-    window is looked up by hash, so no block is gathered in one task.
+    window is looked up by hash, so no block is gathered in one task. What is gathered per document are its
+    own matches, at most one per word.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -163,20 +216,32 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     blocks = blocks.where("lowest < highest").select("anchor", (F.col("b0") < F.col("b1")).alias("several"))
     blocks = stash(blocks, "blocks")
     shared = stash(pieces.join(blocks, "anchor"), "shared-pieces")
-    firsts = stash(shared.groupBy("anchor", "body").agg(F.min("ord").alias("first")), "first-pieces")
-    placed = stash(shared.join(firsts, ["anchor", "body"]), "placed-pieces")
-    whole = placed.where("ord > first").select("doc_id", "key", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + window - 1).alias("hi"))
+    earliest = F.min(F.struct("ord", "start"))
+    firsts = shared.groupBy("anchor", "body").agg(earliest.alias("f")).select("anchor", "body", F.col("f.ord").alias("ref"), F.col("f.start").alias("ref_lo"))
+    placed = stash(shared.join(stash(firsts, "first-pieces"), ["anchor", "body"]), "placed-pieces")
+    end = F.col("start") + F.col("windows") + window - 1
+    whole = placed.where("ord > ref").select("doc_id", "key", F.col("start").alias("lo"), end.alias("hi"), "ref", "ref_lo")
 
     code = F.expr("anchor ^ body ^ shiftleft(ord, 17) ^ ord")
-    parsed = placed.where("ord = first AND several").select(code.alias("code")).distinct()
+    parsed = placed.where("ord = ref AND several").select(code.alias("code")).distinct()
     bits = spark.sparkContext.broadcast(filter_bits(parsed, "code"))
     looked = rows.mapInArrow(_map_windows(bits, window), "ord long, doc_id long, key long, anchor long, body long, start int")
     looked = stash(looked, "windows")
-    index = looked.groupBy("anchor", "body").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
-    index = stash(index.where("first < last").select("anchor", "body", "first"), "window-index")
-    inside = looked.join(index, ["anchor", "body"]).where("ord > first")
-    inside = inside.select("doc_id", "key", F.col("start").alias("lo"), (F.col("start") + window).alias("hi"))
-    return whole.union(inside)
+    index = looked.groupBy("anchor", "body").agg(earliest.alias("f"), F.max("ord").alias("last")).where("f.ord < last")
+    index = stash(index.select("anchor", "body", F.col("f.ord").alias("ref"), F.col("f.start").alias("ref_lo")), "window-index")
+    inside = looked.join(index, ["anchor", "body"]).where("ord > ref")
+    inside = inside.select("doc_id", "key", F.col("start").alias("lo"), (F.col("start") + window).alias("hi"), "ref", "ref_lo")
+    found = whole.union(inside).distinct().groupBy(F.col("doc_id").alias("s_id"), F.col("key").alias("s_key"))
+    return found.agg(F.collect_list(F.struct("lo", "hi", "ref", "ref_lo")).alias("hits"))
+
+
+def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The factors of each document in earlier ones: doc_id, key, start, length, ref_id, ref_start (in words).
+
+    Factors of a document do not overlap; each is part of a match of at least `window` words, and all
+    windows that occur earlier lie inside runs of adjoining factors.
+    """
+    return matches(docs, window).mapInArrow(_map_factors, FACTORS)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
@@ -184,18 +249,17 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
 
     A window is `window` consecutive words of [^\\x20\\x09-\\x0D]+, unchanged. Each word
     goes that a window covers whose words also start a window of a document with a smaller
-    doc_id; windows are judged on the input. Returns doc_id, n_words, n_removed, kept_sha256
+    doc_id, that is every word inside a factor; windows are judged on the input. Returns doc_id, n_words,
+    n_removed, kept_sha256
     (of the kept words joined by a space) and, if asked for, kept_text, one row per input row.
     Null texts have no words; texts shorter than a window stay; repeats inside one document
     and between rows with the same doc_id stay; a null doc_id comes after all others; an empty
     table gives an empty result; further columns are not read.
     """
-    spans = duplicate_spans(docs, window).distinct().groupBy("doc_id", "key")
-    spans = stash(spans.agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    spans = spans.select(F.col("doc_id").alias("s_id"), F.col("key").alias("s_key"), "spans")
+    hits = stash(matches(docs, window), "matches")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     same = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("key") == F.col("s_key"))
-    # The spans are the hashed side, so that whole texts move once and need no sort.
-    joined = rows.join(spans.hint("shuffle_hash"), same, "left").select("doc_id", "text", "spans")
+    # The matches are the hashed side, so that whole texts move once and need no sort.
+    joined = rows.join(hits.hint("shuffle_hash"), same, "left").select("doc_id", "text", "hits")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.mapInArrow(_map_kept(with_text), out)

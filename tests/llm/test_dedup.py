@@ -8,7 +8,7 @@ from lobbylens.llm.decontaminate import contamination
 from lobbylens.llm.exact import exact_groups
 from lobbylens.llm.graph import components
 from lobbylens.llm.jaccard import near_duplicates
-from lobbylens.llm.repeats import pieces_of, without_repeats
+from lobbylens.llm.repeats import factors, parse, pieces_of, without_repeats
 from tests.llm import corpus as c
 
 
@@ -85,6 +85,53 @@ def test_without_repeats(docs):
     c.same(out.select(F.sha2("kept_text", 256).alias("s")), [(r[3],) for r in c.repeats(rows)], ["s"])
 
 
+def test_factors_are_their_references(docs):
+    """Each factor holds the words of its reference, an earlier document; together they are all that repeats."""
+    rows, df = docs
+    texts = {}
+    for doc_id, text in rows:
+        texts.setdefault(doc_id, []).append(c.words(text))
+    covered = {}
+    for f in factors(df).collect():
+        assert c.big(f["ref_id"]) < c.big(f["doc_id"]) and f["length"] > 0
+        own = [w[f["start"] : f["start"] + f["length"]] for w in texts[f["doc_id"]]]
+        assert any(w[f["ref_start"] : f["ref_start"] + f["length"]] in own for w in texts[f["ref_id"]])
+        key = f["doc_id"], f["key"]
+        assert covered.get(key, 0) <= f["start"]  # in order of their places, none overlaps
+        covered[key] = f["start"] + f["length"]
+    assert len(covered) > 10
+
+
+def test_parse_is_greedy():
+    rng = c.rng(14)
+    import numpy as np
+
+    for _ in range(300):
+        matches = [(lo, lo + rng.randrange(5, 30), rng.randrange(3), lo + rng.randrange(4) * 50) for lo in rng.sample(range(100), rng.randrange(0, 12))]
+        # As the operator has them: what lies on one diagonal and meets is one match.
+        got = parse(*(np.asarray([m[i] for m in matches], np.int64) for i in range(4)))
+        reach = {}
+        for lo, hi, ref, ref_lo in matches:
+            for p in range(lo, hi):
+                reach.setdefault(p, set()).add((ref, ref_lo - lo))
+        expected, at = [], 0
+        while at < 130:
+            if at not in reach:
+                at += 1
+                continue
+            ends = {}
+            for way in reach[at]:
+                end = at
+                while way in reach.get(end, ()):
+                    end += 1
+                ends[way] = end
+            end = max(ends.values())
+            expected.append((at, end, {w for w, e in ends.items() if e == end}))
+            at = end
+        assert [(a, b) for a, b, _, _ in got] == [(a, b) for a, b, _ in expected]
+        assert all((ref, ref_lo - a) in ways for (a, _, ref, ref_lo), (_, _, ways) in zip(got, expected))
+
+
 def test_repeats_at_the_bound(spark):
     """49 shared words stay, 50 go; a factor that ends in the middle of another is found."""
     rng = c.rng(2)
