@@ -164,8 +164,8 @@ def _map_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for lo in range(0, batch.num_rows, BLOCK):
             part = batch.slice(lo, BLOCK)
-            vectors = [features(t).astype(np.float16).tobytes() for t in texts(part)]
-            yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(vectors, pa.binary())], names=["quality", "vector"])
+            vectors = pa.array([features(t).astype(np.float16).tobytes() for t in texts(part)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.select(["l_id", "quality"]).columns, vectors], names=["l_id", "quality", "vector"])
 
 
 def _map_scores(model, names: list[str], threshold: float):
@@ -202,7 +202,9 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> M
     # A bounded number of ids and labels, so it may be broadcast.
     picked = F.broadcast(marked.where(coin < share))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, F.col("doc_id") == F.col("l_id"))
-    table = rows.select("quality", "text").mapInArrow(_map_features, "quality int, vector binary").toArrow()
+    rows = rows.select("l_id", "quality", "text").mapInArrow(_map_features, "l_id long, quality int, vector binary")
+    # One row per id, however often it is repeated.
+    table = rows.groupBy("l_id").agg(F.min("quality").alias("quality"), F.min("vector").alias("vector")).orderBy("l_id").toArrow()
     if not table.num_rows:
         return empty
     x = np.frombuffer(b"".join(table["vector"].to_pylist()), np.float16).reshape(-1, FEATURES).astype(np.float32)
@@ -217,6 +219,23 @@ def score_quality(docs: DataFrame, model: Model, keep: list[str], threshold: flo
     return rows.mapInArrow(_map_scores(sent, [f.split()[0] for f in fields], threshold), ", ".join(fields))
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows predicted 1, with all their columns as they are; each is judged and kept or dropped where it lies.
+
+    Scores are those of quality_scores, so rows with equal texts stay or go together.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(learn_quality(docs, labels, sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(lo, BLOCK)
+                scores = model.value.scores(np.vstack([features(t) for t in texts(part)]))
+                yield part.filter(pa.array(scores.astype(np.float64) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Quality of every document: doc_id, held_out, key (xxhash64 of the text), score, predicted.
 
