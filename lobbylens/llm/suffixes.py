@@ -24,8 +24,8 @@ CLASS = 8
 SLICE = 1 << 17
 #: Most rows of a batch that is handed to Spark.
 BATCH = 1 << 18
-#: The last pass takes its digits in so many portions, which bounds the files of its shuffles.
-PORTIONS = 4
+#: The last pass goes over the texts once for each portion of the first digits, which bounds what it writes.
+PORTIONS = 3
 #: In place of a run: the whole text.
 WHOLE_TEXT = -1
 
@@ -274,13 +274,14 @@ def _map_classes(firsts, bits):
     return run
 
 
-def _map_suffixes(firsts, bits, shared):
-    """The suffixes of the open runs whose second digit is in the other filter."""
+def _map_suffixes(firsts, bits, shared, portion: int):
+    """The suffixes of the open runs whose second digit is in the other filter, of a portion of the first digits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows(SUFFIXES)
         for order, key, at, d in _parts(batches, firsts):
-            in_run, first, count, core = d.classes(_open(d, bits.value, order))
+            runs = _open(d, bits.value, order)
+            in_run, first, count, core = d.classes(runs[d.digits[runs] % np.uint64(PORTIONS) == portion])
             keep = np.flatnonzero(in_filter(shared.value, core))
             in_run, first, count = in_run[keep], first[keep], count[keep]
             each = np.repeat(np.arange(keep.size), count)
@@ -353,17 +354,16 @@ def repeated_suffixes(rows: DataFrame) -> DataFrame:
     cores = rows.mapInArrow(_map_classes(firsts, open_bits), "core long, low long, high long")
     cores = cores.groupBy("core").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     shared = broadcast_filter(stash(cores.select("core"), "shared-classes"), "core")
-    suffixes = stash(rows.mapInArrow(_map_suffixes(firsts, open_bits, shared), SUFFIXES), "suffixes")
     found = whole
     for portion in range(PORTIONS):
         collect_shuffles(spark)
-        some = suffixes.where(F.pmod("digit", F.lit(PORTIONS)) == portion)
-        equal = some.groupBy("digit", "suffix").agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
+        suffixes = stash(rows.mapInArrow(_map_suffixes(firsts, open_bits, shared, portion), SUFFIXES), "suffixes")
+        equal = suffixes.groupBy("digit", "suffix").agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
         equal = stash(equal.where("low < high").select("digit", "suffix", "low"), "equal-suffixes")
-        single = some.join(equal, ["digit", "suffix"]).where("ord > low").groupBy("ord", "key", packed.alias("run"))
+        collect_shuffles(spark)
+        single = suffixes.join(equal, ["digit", "suffix"]).where("ord > low").groupBy("ord", "key", packed.alias("run"))
         found = found.union(stash(single.agg(F.expr("bit_or(shiftleft(1L, offset))").alias("mask")), "single-suffixes"))
-        discard(equal)
-    discard(suffixes)
+        discard(suffixes, equal)
     collect_shuffles(spark)
     found = found.groupBy("ord", "key", "run").agg(F.expr("bit_or(mask)").alias("mask"))
     found = found.select("ord", "key", F.expr("run | mask").alias("run"))
