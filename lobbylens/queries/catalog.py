@@ -39,7 +39,7 @@ SUMMARY_SQL = f"""SELECT l.replay_id,
 
 
 def summaries(spark, sf):
-    return t.replay_summaries(spark, sf).select("replay_id", bundle.parse_summary().alias("doc"))
+    return t.replay_summaries(spark, sf).select("replay_id", bundle.parse_summary(schema=bundle.LABELS).alias("doc"))
 
 
 @R.add("json_struct_parse", q.with_ctes("lp bounds", SUMMARY_SQL))

@@ -53,7 +53,7 @@ def _run(rows: DataFrame, sink, checkpoint: str, mode: str = "append") -> Stream
 # --- metadata ingest ---------------------------------------------------------------------
 
 #: Hash partitions of the stored replays and players.
-BUCKETS = 64
+BUCKETS = 32
 
 
 class IngestStores:
@@ -104,7 +104,7 @@ def ingest(
     """
     stores = IngestStores(spark, path)
     lines = (
-        spark.readStream.schema(f"{bundle.LINE}, {bundle.BAD} string, requested_rank string")
+        spark.readStream.schema(f"{bundle.LABEL_LINE}, {bundle.BAD} string, requested_rank string")
         .option("columnNameOfCorruptRecord", bundle.BAD)
         .option("maxFilesPerTrigger", files_per_batch)
         .json(bundle_path)

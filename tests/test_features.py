@@ -153,3 +153,32 @@ def test_hot_game_equals_small_games(spark):
     alone = vectors(spark, [r for r in rows if r[0] == 2], length=10)
     assert {k: v for k, v in together.items() if k[0] == 2} == alone
     assert len(together) == 6 * (200 + 10)
+
+
+def test_slots_of_rating_rows(spark):
+    """Names in the order of the targets, whoever is in the frames: absent, unknown, repeated and surplus ones."""
+    from lobbylens.operators import labelling
+
+    rows = [(1, 0, "b", 5.0), (1, 0, "a", 9.0), (1, 0, "a", 3.0), (1, 0, "c", 1.0), (1, 1, "z", 7.0), (2, 1, "y", None)]
+    players = spark.createDataFrame(rows, "replay_id long, team int, player_name string, target_mmr double")
+    names = {r.replay_id: r.roster for r in labelling.rating_roster(players).collect()}
+    targets = {r[0]: list(r[1:]) for r in labelling.target_slots(players).collect()}
+    assert names == {1: ["a", "a", "b", "z", "", ""], 2: ["", "", "", "y", "", ""]}
+    assert targets == {1: [3.0, 9.0, 5.0, 7.0, 0.0, 0.0], 2: [0.0] * 6}
+
+
+def test_kickoffs_of_ball_actors(spark):
+    """Two balls: one at rest at the centre is enough; state is carried, and ends with the actor."""
+    from lobbylens.operators import telemetry as tel
+
+    far, slow, fast = (500.0, 0.0, 93.0), (0.0, 0.0, 0.0), (0.0, 40.0, 0.0)
+    rows = [
+        (1, 1, 0, 10, "new", far, fast), (1, 1, 1, 11, "update", (0.0, 9.9, 93.0), None), (1, 1, 2, 12, "update", None, slow),
+        (1, 2, 3, 13, "new", None, None), (1, 1, 4, 14, "update", far, None), (1, 2, 5, 15, "delete", None, None),
+        (1, 2, 6, 16, "update", (0.0, 0.0, 0.0), slow), (1, 2, 7, 17, "new", None, None), (1, 2, 8, 18, "update", far, None),
+        (1, 1, 8, 19, "update", (0.0, 0.0, 0.0), None), (2, 1, 4, 1, "update", (0.0, 0.0, 0.0), slow),
+    ]
+    vec = "struct<x:double,y:double,z:double>"
+    log = spark.createDataFrame(rows, f"game_id long, actor_id long, frame_idx long, seq long, kind string, position {vec}, velocity {vec}")
+    got = sorted((r.game_id, r.frame) for r in tel.ball_kickoffs(log).collect())
+    assert got == [(1, 0), (1, 2), (1, 7), (2, 0)]

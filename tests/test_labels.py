@@ -73,5 +73,13 @@ def test_json_number_and_placeholder(spark):
 def test_verdict(spark):
     df = spark.createDataFrame([([], 1), (["Al"], 0), (["Al", "Bo"], 0)], "n array<string>, k int")
     lines = [r.v for r in df.select(labels.verdict_line(F.col("n"), F.lit(58.0), F.col("k")).alias("v")).collect()]
-    assert lines == ["Nobody stood out among these Bronze I players.", "Al played well above this lobby.",
+    assert lines == ["Nobody stood out: plain Bronze I.", "Al played well above this lobby.",
                      "Al and Bo played well above this lobby."]
+
+
+def test_verdict_pools_by_tier(spark):
+    df = spark.createDataFrame([(50.0, 0), (1000.0, 0), (1600.0, 1), (1900.0, 0)], "m double, k long")
+    names = F.array().cast("array<string>")
+    lines = [r.v for r in df.select(labels.verdict_line(names, F.col("m"), F.col("k")).alias("v")).collect()]
+    assert lines == ["An even Bronze I lobby, all of them still learning.", "A fair Diamond III match, close all the way.",
+                     "High level, and Grand Champion III on every seat.", "Nowhere left to hide: all Supersonic Legend."]

@@ -79,7 +79,7 @@ def test_scans_never_partition_rows_by_the_bare_key(spark, queries, name):
 
 
 def test_no_cross_joins_anywhere(spark, queries):
-    skip = {"stream_ingest", "status_latest", "stream_progress", "stream_segments", "stream_features",
+    skip = {"stream_ingest", "stream_ingest_quota", "status_latest", "stream_progress", "stream_segments", "stream_features",
             "segment_write", "incremental_segments", "link_resolve", "sustained_outlier", "oversample"}
     bad = [n for n, q in queries.items() if n not in skip
            and any(w in plan(q(spark, SF)) for w in ("NestedLoopJoin", "CartesianProduct"))]
@@ -99,3 +99,27 @@ def test_missing_games_reads_no_blocks(spark, folder):
 def test_frames_are_bounded_per_chunk(spark):
     counted = t.event_frames(spark, SF).groupBy("game_id").agg(F.max("frame_idx").alias("m"), F.count("*").alias("n"))
     assert counted.where("m + 1 <> n").count() == 0 and fq.L == 10
+
+
+def test_listings_read_no_content(spark, folder):
+    """The listing reads names and lengths; blocks of another length are left out before they are read."""
+    from lobbylens.sources import blocks, inventory
+
+    rows = spark.createDataFrame([("replays/m/r/a.replay", bytearray(b"123")), ("replays/m/r/b.features", bytearray(8))], "path string, content binary")
+    assert inventory.write_files(rows, folder) == 2
+    text = plan(inventory.list_replay_files(spark, folder))
+    assert "content" not in text.split("ReadSchema")[1]
+    assert "EqualTo(length,8)" in plan(blocks.read_blocks(spark, folder, 2))
+
+
+def test_build_outcomes(spark, folder):
+    """Each class in the order of its checks; the counts come from the write itself."""
+    replays = spark.createDataFrame([(i, f"p{i}", "m", "r") for i in range(7)], "id long, file_path string, game_mode string, rank string")
+    ids = lambda name, *xs: spark.createDataFrame([(x,) for x in xs], f"{name} long")
+    files = spark.createDataFrame([(f"p{i}",) for i in (0, 1, 3, 4, 5, 5, 6)], "path string")
+    parsed = spark.createDataFrame([(3, True), (4, False), (5, False), (5, False), (0, False)], "id long, is_bad boolean")
+    out = sg.build_outcomes(replays, ids("replay_id", 1, 2, 3, 4, 5, 5, 6), ids("game_id", 1, 0), files, parsed, ids("game_id", 5, 5, 0))
+    counts = sg.write_outcomes(out, f"{folder}/plan")
+    assert counts == {"no_players": 1, "cached": 1, "read_error": 1, "parse_error": 2, "no_frames": 1, "built": 1}
+    got = {r.id: r.outcome for r in spark.read.parquet(f"{folder}/plan").collect()}
+    assert got == {0: "no_players", 1: "cached", 2: "read_error", 3: "parse_error", 4: "no_frames", 5: "built", 6: "parse_error"}

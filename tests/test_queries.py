@@ -13,7 +13,8 @@ PICKED = [
     "lobby_outlier", "json_struct_parse", "acceptance_policy", "rank_info_resolve", "status_reconcile_counters",
     "impute_lobby_average", "goal_window_exclusion", "next_event_asof", "feature_vector", "segment_pack",
     "sustained_outlier", "link_resolve", "segment_median", "composite_loss", "capped_sample", "sticky_split",
-    "label_jitter", "hash_coin", "ridge_eval", "metrics_json", "stream_ingest", "stream_features",
+    "label_jitter", "hash_coin", "ridge_eval", "metrics_json", "stream_ingest", "stream_features", "stream_ingest_quota",
+    "status_latest", "skip_classes", "built_segments", "ball_goal_windows", "feature_vector_rated", "block_files", "replay_listing",
 ]
 
 
