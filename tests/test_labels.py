@@ -82,4 +82,4 @@ def test_verdict_pools_by_tier(spark):
     names = F.array().cast("array<string>")
     lines = [r.v for r in df.select(labels.verdict_line(names, F.col("m"), F.col("k")).alias("v")).collect()]
     assert lines == ["An even Bronze I lobby, all of them still learning.", "A fair Diamond III match, close all the way.",
-                     "High level, and Grand Champion III on every seat.", "Nowhere left to hide: all Supersonic Legend."]
+                     "High level, and Grand Champion II on every seat.", "Nowhere left to hide: all Supersonic Legend."]
