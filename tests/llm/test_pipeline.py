@@ -5,8 +5,12 @@ import re
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 import corpus_pipeline
+from lobbylens.llm.common import stash
+from lobbylens.llm.quality import quality_scores
 from lobbylens.llm.queries import collect
 from tests.llm import corpus as c
 
@@ -47,6 +51,56 @@ def test_repeated_rows_in_exact_dedup(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in out), key=repr) == [(1, "a b"), (3, "x"), (None, None)]
 
 
+#: Names that the pipeline uses, or used, inside.
+RESERVED = ["own_key", "ITS_ID", "its_key", "_key", "_id", "_named", "own_key_"]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    rng = c.rng(3)
+    rows = c.awkward(rng) + c.near_copies(rng)
+    docs = c.frame(spark, rows).withColumns({n: F.lit(n) for n in RESERVED})
+    return rows, stash(docs, "awkward-docs")
+
+
+def texts(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+def test_stages_on_awkward_rows(spark, awkward):
+    """Nulls, empty and long texts, repeated rows, ties, and columns with clashing names."""
+    rows, docs = awkward
+    functions = dict(corpus_pipeline.STAGES)
+    outs = {name: functions[name](spark, docs, SF) for name in list(functions)[:-1]}
+    assert all(out.columns == docs.columns for out in outs.values())
+    named = docs.select(F.xxhash64("text").alias("key"), "text").distinct()
+    scored = quality_scores(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1")
+    good = {r["text"] for r in scored.join(named, "key").collect()}
+    assert texts(outs["quality_classifier"]) == sorted(((d, t) for d, t in rows if t in good), key=repr)
+    assert ids_or_none(outs["exact_dedup"]) == sorted({(r[3], repr(r[1])) for r in c.exact(rows)})
+    near = c.near_groups(rows)
+    kept = texts(outs["ngram_jaccard_join"])
+    assert [x for x in kept if not c.words(x[1])] == sorted((x for x in rows if not c.words(x[1])), key=repr)
+    groups = {repr(r[2]) for r in near if r[1]}
+    assert {repr(d) for d, t in kept if c.words(t)} == groups
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert texts(outs["benchmark_decontamination"]) == sorted((x for x, r in zip(rows, c.leaks(rows, items)) if not r[5]), key=repr)
+    assert functions["packing"](spark, docs, SF).where("start = 0").count() == len(rows)
+
+
+def ids_or_none(df):
+    import hashlib
+
+    bare = lambda t: hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", t or "").encode()).hexdigest()
+    return sorted((bare(r["text"]), repr(r["doc_id"])) for r in df.collect())
+
+
+def test_stages_on_no_rows(spark, awkward):
+    empty = awkward[1].limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+
+
 def test_registered():
     queries, oracles = collect()
     assert set(queries) <= set(entry.queries()) and set(oracles) < set(queries)
