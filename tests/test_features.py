@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from helpers import NAMES, frame, frames_df, rosters_df, six
 from pyspark.sql import functions as F
@@ -182,3 +184,16 @@ def test_kickoffs_of_ball_actors(spark):
     log = spark.createDataFrame(rows, f"game_id long, actor_id long, frame_idx long, seq long, kind string, position {vec}, velocity {vec}")
     got = sorted((r.game_id, r.frame) for r in tel.ball_kickoffs(log).collect())
     assert got == [(1, 0), (1, 2), (1, 7), (2, 0)]
+
+
+@pytest.mark.parametrize("with_context", [True, False])
+def test_no_method_too_long_to_compile(spark, folder, capsys, with_context):
+    """The JVM leaves methods above 8000 bytes uncompiled; the limit of the session must not be what prevents them."""
+    rows = [frame(1, i, six({"Player1": 0.5})) for i in range(6)]
+    frames = ft.inference_frames(frames_df(spark, rows), rosters_df(spark, [1]), 3)
+    context = ("0 AS seconds_remaining", "0L AS blue", "0L AS orange")
+    ft.with_cumulative(frames).selectExpr(*([c for c in frames.columns if c not in ("seconds_remaining", "blue", "orange")]),
+                                          *(f"c{s}" for s in range(6)), *context).write.parquet(f"{folder}/summed")
+    ft.vectors_of(spark.read.parquet(f"{folder}/summed"), with_context).explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
