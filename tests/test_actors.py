@@ -1,8 +1,11 @@
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from lobbylens.operators import actors, probe
 from lobbylens.operators import telemetry as tel
+from lobbylens.queries import catalog as catalog_queries
 from lobbylens.sources import blocks, inventory
 
 
@@ -148,6 +151,33 @@ def test_replay_listing(spark, folder):
     assert (row.length, row.game_mode, row["rank"], row.id) == (3, "ranked-standard", "gold-1", "abc")
 
 
+def test_files_lie_there_a_portion_at_a_time(spark, folder):
+    rows = spark.createDataFrame([(f"replays/hoops/gold-1/{i % 20}.replay", b"x" * (i % 20 + 1)) for i in range(25)], "path string, content binary")
+    most = []
+
+    def read(spark, root):
+        there = inventory.list_replay_files(spark, root)
+        most.append(there.count())
+        return there
+
+    got = inventory.in_portions(rows, f"{folder}/files", read, size=5)
+    assert sorted((int(r.id), r.length) for r in got.collect()) == [(i, i + 1) for i in range(20)]
+    assert len(most) == 5 and sum(most) == 20 and max(most) < 20
+    assert not [f for _, _, names in os.walk(f"{folder}/files") for f in names]
+
+
+def test_the_listed_files_do_not_stay(spark, folder, monkeypatch):
+    """Before, a file per replay stayed in the shared folder."""
+    monkeypatch.setattr(catalog_queries, "run_folder", lambda spark, name: f"{folder}/{name}")
+    orders = spark.range(40).selectExpr(
+        "id AS o_orderkey", "DATE '2024-01-01' AS o_orderdate", "'F' AS o_orderstatus", "'3-MEDIUM' AS o_orderpriority", "7.5D AS o_totalprice")
+    orders.write.parquet(f"{folder}/orders.parquet")
+    got = {(r.id, r.length) for r in catalog_queries.replay_listing(spark, folder).collect()}
+    # Files of the catalogue; those in a folder too few or of another ending are not listed.
+    assert got == {(str(i), i % 50 + 1) for i in range(40) if i % 7}
+    assert not [f for _, _, names in os.walk(f"{folder}/files") for f in names]
+
+
 def test_ridge_against_numpy(spark):
     rng = np.random.default_rng(9)
     x = np.c_[rng.normal(size=(80, 3)), np.ones(80)]
