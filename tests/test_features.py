@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 from helpers import NAMES, frame, frames_df, rosters_df, six
 from pyspark.sql import functions as F
@@ -197,3 +198,14 @@ def test_no_method_too_long_to_compile(spark, folder, capsys, with_context):
     ft.vectors_of(spark.read.parquet(f"{folder}/summed"), with_context).explain("codegen")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
     assert sizes and max(sizes) <= 8000
+
+
+def test_packing_gathers_float32(spark):
+    """The rows that are sorted and spilled hold the stored numbers, not doubles narrowed afterwards."""
+    rows = spark.createDataFrame([(1, 0, 0, i, 2, [0.1 * i] * 3) for i in range(2)],
+                                 "game_id bigint, segment bigint, slot int, rn bigint, n_kept bigint, features array<double>")
+    packed = sg.pack(rows, 2)
+    gather = [line for line in packed._jdf.queryExecution().optimizedPlan().toString().split("\n") if "collect_list" in line]
+    assert gather and "array<float>" not in gather[0]
+    want = np.float32([[0.0] * 3, [0.1] * 3])
+    assert np.array_equal(np.float32(packed.first()["frames"]), want)
