@@ -35,17 +35,19 @@ class Unigram:
     A text is cut before a space that follows another character, because no piece spans such a
     place, and between Latin letters and other characters if none spans that either (both are
     checked when the vocabulary is loaded; named pieces like <s> are let be by not cutting
-    texts with a <). This needs whole numbers as scores, so that sums over parts are exact and
-    equal those over the whole text. Any other vocabulary, such as a trained one with log
+    texts with a <). This needs whole numbers as scores and a text whose sums stay below 2^53, so that
+    sums over parts are exact and equal those over the whole text (a score of minus a billion, such as that
+    of runs of spaces, allows nine million characters). Any longer text, and any other vocabulary, such as a trained one with log
     probabilities, is run over the whole text in one pass, adding up in the tokenizer's order.
     """
 
     def __init__(self, vocab: list[tuple[str, float]], byte_fallback: bool = True) -> None:
         import ahocorasick
 
+        self.unknown = min(score for _, score in vocab) - UNKNOWN_PENALTY
         # Texts may be cut where no piece spans, if sums do not depend on it.
         self.cuts = (
-            all(score == int(score) and abs(score) < 1 << 20 for _, score in vocab)
+            all(score == int(score) for _, score in vocab)
             and not any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece, _ in vocab)
             and SPACE in dict(vocab)
         )
@@ -55,7 +57,7 @@ class Unigram:
             if piece and piece not in self.automaton:
                 self.automaton.add_word(piece, (len(piece), float(score)))
         self.automaton.make_automaton()
-        self.unknown = min(score for _, score in vocab) - UNKNOWN_PENALTY
+        self.exact_chars = (1 << 53) / max(-self.unknown, *(abs(score) for _, score in vocab))
         names = {piece for piece, _ in vocab}
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in names for b in range(256))
         # Unknown runs may cross such a cut: bytes add up, whole runs would not.
@@ -136,7 +138,7 @@ class Unigram:
         """(score, pieces) of a whole text with its space mark in front; 0 pieces if empty."""
         if not text:
             return 0.0, 0
-        if not self.cuts:
+        if not self.cuts or len(text) >= self.exact_chars - 1:
             return self.whole(SPACE + text.replace(" ", SPACE))
         cut = _RUNS if self.runs and "<" not in text else _PARTS
         parts = cut.findall(" " + text.replace(SPACE, " "))

@@ -8,7 +8,7 @@ import pytest
 from lobbylens.llm.packing import pack, plan_slots, sequences
 from lobbylens.llm.tokenfiles import token_files
 from lobbylens.llm.tokens import Encoder, vocabulary
-from lobbylens.llm.viterbi import Unigram, piece_vocabulary, token_counts
+from lobbylens.llm.viterbi import Unigram, piece_vocabulary, token_counts, unigram
 from tests.llm import corpus as c
 
 ODD = [
@@ -150,3 +150,15 @@ def test_viterbi_of_trained_vocabularies(seed):
         direct = library.encode("▁" + text.replace(" ", "▁"), add_special_tokens=False).ids
         assert own.count(text)[1] == len(direct), text[:50]
     assert own.count("") == (0.0, 0)
+
+
+def test_texts_are_cut_under_forbidding_scores():
+    """The public vocabulary holds runs of spaces at minus a billion; before, that kept every text in one slow pass."""
+    own = unigram(vocabulary("piece_bpe_32k.model"), True)
+    assert own.cuts and own.runs and min(score for _, score in piece_vocabulary(vocabulary("piece_bpe_32k.model"))) < -1e8
+    rng = random.Random(6)
+    for _ in range(400):
+        text = "".join(rng.choice("   abet<\u2581\u4e00\U0001f600\x07\u00e9\n\t.,'") for _ in range(rng.randrange(1, 60)))
+        assert own.count(text) == own.whole("\u2581" + text.replace(" ", "\u2581")), text
+    own = Unigram([("<unk>", 0.0), ("\u2581", -(2.0**48)), ("a", -1.0), ("\u2581a", -3.0)], byte_fallback=False)
+    assert own.cuts and own.count("a " * 40) == own.whole("\u2581" + "a\u2581" * 40) and not own.cache
