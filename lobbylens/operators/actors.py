@@ -62,6 +62,9 @@ def resolve_team(
     ).drop("_known")
 
 
+#: Nodes with more links are dealt to several tasks.
+HOT_LINKS = 4096
+HOT_PARTS = 64
 #: Rounds that walk the links hop by hop; what is farther away is reached by doubling.
 NEAR_ROUNDS = 3
 
@@ -77,26 +80,31 @@ def resolve_links(
     pair, ties to the smaller record; a record that is itself the component counts before a
     record the component refers to.
 
-    The first rounds walk outwards; a round costs two combining aggregations over the links that
-    are left, with no pairs listed per node. Nodes that are still open then are
+    The first rounds walk outwards; a round costs two combining aggregations over the links of the
+    components that still lead to an open node, with no pairs listed per node, and there is none
+    once every node has its record. Nodes that are still open then are
     mostly strung in chains, which `_far` shortens by doubling. Every state is written out
     and replaces the one before.
     """
     known = records.select(F.col("id").alias("node")).distinct()
-    edges = materialize(
-        links.select("src", "dst").distinct().select(
-            "src", "dst", scatter("dst").alias("src_part"), scatter("src").alias("dst_part")
-        )
-    )
-    # Where the links of each node lie once scattered.
-    src_parts = materialize(edges.select("src", "src_part").distinct())
-    dst_parts = materialize(edges.select("dst", "dst_part").distinct())
+    edges = materialize(links.select("src", "dst").distinct())
+    # The links of a hot node lie in several parts, which its value is sent to.
+    hot = {end: materialize(edges.groupBy(end).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_LINKS).select(
+        end, F.lit(True).alias(f"hot_{end}"))) for end in ("src", "dst")}
+
+    def at(end: str, other: str, values: DataFrame) -> DataFrame:
+        part, is_hot = f"{end}_part", F.coalesce(f"hot_{end}", F.lit(False))
+        parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+        dealt = F.when(is_hot, scatter(other, parts=HOT_PARTS).cast("int")).otherwise(F.lit(0))
+        sent = values.join(hot[end], end, "left").withColumn(part, F.explode(parts)).drop(f"hot_{end}")
+        laid = edges.join(hot[end], end, "left").withColumn(part, dealt).drop(f"hot_{end}")
+        return laid.join(sent, [end, part]).drop(part)
 
     def at_src(values: DataFrame) -> DataFrame:
-        return edges.join(src_parts.join(values, "src"), ["src", "src_part"])
+        return at("src", "dst", values)
 
     def at_dst(values: DataFrame) -> DataFrame:
-        return edges.join(dst_parts.join(values, "dst"), ["dst", "dst_part"])
+        return at("dst", "src", values)
 
     # Distance 1: the component is a record itself; distance 2: it refers to one.
     direct = at_src(known.withColumnRenamed("node", "src")).select(
@@ -105,7 +113,12 @@ def resolve_links(
     named = materialize(at_dst(known.withColumnRenamed("node", "dst")).groupBy("src").agg(F.min("dst").alias("record")))
     shared = at_src(named).select(F.col("dst").alias("node"), F.lit(2).alias("distance"), "record")
     best = frontier = materialize(_best(direct.unionByName(shared).join(known, "node", "left_anti")))
-    for _ in range(NEAR_ROUNDS):
+    open_nodes = materialize(edges.select(F.col("dst").alias("node")).distinct().join(best, "node", "left_anti").join(known, "node", "left_anti"))
+    rounds = NEAR_ROUNDS if not open_nodes.isEmpty() else 0
+    if rounds:
+        # Only components that lead to an open node can pass anything on.
+        edges = materialize(at_src(at_dst(open_nodes.withColumnRenamed("node", "dst")).select("src").distinct()))
+    for _ in range(rounds):
         reached = (
             at_dst(frontier.withColumnRenamed("node", "dst"))
             .groupBy("src")
@@ -119,12 +132,18 @@ def resolve_links(
             break
         best = materialize(best.unionByName(frontier))
     else:
+        if not rounds:
+            return _with_own(cars, known, named, best)
         done = best.select("node").union(known).withColumnRenamed("node", "dst")
         left = materialize(edges.select("src", "dst").join(done, "dst", "left_anti"))
         starts = at_dst(frontier.withColumnRenamed("node", "dst")).groupBy("src").agg(F.min(F.struct("distance", "record")).alias("b"))
         starts = starts.select("src", (F.col("b.distance") + 1).alias("distance"), F.col("b.record").alias("record"))
         best = best.unionByName(_far(left, starts.join(left.select("src").distinct(), "src", "left_semi")))
-    # A car's own link to a record counts for that car only, not for what leads to it.
+    return _with_own(cars, known, named, best)
+
+
+def _with_own(cars: DataFrame, known: DataFrame, named: DataFrame, best: DataFrame) -> DataFrame:
+    """Cars with their records. A car's own link to a record counts for that car only, not for what leads to it."""
     own = named.select(F.col("src").alias("node"), F.lit(1).alias("distance"), "record")
     own = own.join(cars.select(F.col("id").alias("node")).distinct(), "node", "left_semi").join(known, "node", "left_anti")
     return cars.select(F.col("id").alias("car")).join(

@@ -121,6 +121,15 @@ def test_links_through_chains_rings_and_branches(spark):
     assert resolved(spark, links, cars, ["r1", "r2"]) == nearest_records(links, cars, {"r1", "r2"})
 
 
+def test_links_of_hot_nodes_are_dealt(spark, monkeypatch):
+    """Only nodes with many links are cut into parts; before, the parts of every node were a table as long as the links."""
+    monkeypatch.setattr(actors, "HOT_LINKS", 2)
+    monkeypatch.setattr(actors, "HOT_PARTS", 3)
+    links = {("hub", f"n{i}") for i in range(8)} | {(f"c{i}", "n0") for i in range(6)} | {("c1", "r1"), ("c2", "m1"), ("c9", "m1"), ("c9", "m2")}
+    cars = [*(f"n{i}" for i in range(8)), "m1", "m2", "alone"]
+    assert resolved(spark, links, cars, ["r1"]) == nearest_records(links, cars, {"r1"})
+
+
 def test_a_thousand_hops(spark):
     links = {(f"c{i}", f"n{i + d}") for i in range(1000) for d in (0, 1)} | {("c999", "r9")}
     cars = [f"n{i}" for i in range(1001)]
