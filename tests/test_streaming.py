@@ -190,3 +190,47 @@ def test_a_batch_reads_its_partitions_only(spark, folder):
     read = live.known_replays(stores, [3, 9])
     assert {int(f.split("bucket=")[1].split("/")[0]) for f in read.inputFiles()} >= {r.bucket for r in read.collect()}
     assert read.count() < 40
+
+
+def test_merges_double(spark, folder, monkeypatch):
+    """Before, everything was merged again at every other batch."""
+    store, made = BatchStore(spark, folder, "k long, v long"), []
+    monkeypatch.setattr(store, "numbers", lambda kind: made)
+    for n in range(16):
+        if store.due(n, 2):
+            made.append(n)
+    assert made == [1, 3, 7, 15] and not store.due(15, 0)
+
+
+def test_sums_go_on_from_batch_to_batch(spark):
+    """A batch goes on from the table of the one before, with the sums of the whole segment to the last bit."""
+    rng = np.random.default_rng(5)
+    inputs = rng.integers(0, 2, (6, 6, 5)).astype(float)
+    inputs[:, :, 0] = rng.random((6, 6)) * 100
+    inputs = (inputs * inputs[:, :, 4:]).reshape(6, 30)
+
+    def arrived(places):
+        return spark.createDataFrame([(1, 0, i, 1000, [float(i)], inputs[i].tolist()) for i in places],
+                                     "game_id long, segment long, rn long, event_ms long, numbers array<double>, inputs array<double>")
+
+    held, got = spark.createDataFrame([], live.OPEN), {}
+    for places in ([0, 1, 3], [2, 3, 1], [5, 4]):
+        rows = live.advance(arrived(places), held, live.Assembly(None, 10, True, 60_000), 0).collect()
+        out = {r.rn: r.sums for r in rows if r.ready}
+        assert not set(out) & set(got)
+        got |= out
+        held = spark.createDataFrame(rows, live.OPEN)
+    assert [got[i] for i in range(6)] == ft.fold_segment(inputs)[0].tolist()
+
+
+def test_lines_come_from_one_pass_over_the_summaries(spark, folder):
+    """Before, the summaries were a union of four."""
+    from lobbylens.queries.streams import bundle_lines
+
+    spark.range(12).selectExpr(
+        "id % 3 AS l_orderkey", "cast(id / 3 AS int) + 1 AS l_linenumber", "id * 10D AS l_extendedprice", "id AS l_suppkey",
+        "id + 1D AS l_quantity", "'N' AS l_returnflag").write.parquet(f"{folder}/lineitem.parquet")
+    lines = bundle_lines(spark, folder)
+    assert "Union" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    counts = lines.groupBy("replay_id").agg(F.count("*").alias("n"), F.countDistinct("line").alias("m")).collect()
+    assert sorted(map(tuple, counts)) == [(i, 4, 3) for i in range(3)]
