@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ CLASS = 8
 SLICE = 1 << 17
 #: Most rows of a batch that is handed to Spark.
 BATCH = 1 << 18
-#: The last pass goes over the texts once for each portion of the first digits, which bounds what it writes.
+#: Runs are compared a portion of the first digits at a time, and the last pass goes over the texts once for
+#: each portion, which bounds what is on disk at once.
 PORTIONS = 3
 #: In place of a run: the whole text.
 WHOLE_TEXT = -1
@@ -311,9 +313,9 @@ def copied_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def repeated_suffixes(rows: DataFrame) -> DataFrame:
-    """Runs (ord, key, run) of suffixes that also start in an earlier document.
+    """Per document (ord, key) the runs of suffixes that also start in an earlier one.
 
-    rows: ord, key, text. run is the start of a run and a bit mask of its suffixes, start << 32 | mask,
+    rows: ord, key, text. runs holds starts of runs with bit masks of their suffixes, start << 32 | mask,
     or WHOLE_TEXT. Equal suffixes fall into one group in every pass, and a group of one
     document is finished, so each pass writes less.
     0. Texts that are equal as a whole: all but the first document's are settled.
@@ -339,22 +341,29 @@ def repeated_suffixes(rows: DataFrame) -> DataFrame:
     digits = stash(digits.groupBy("digit").agg(F.sum("n").alias("n")).where("n > 1").select("digit"), "digits")
     collect_shuffles(spark)
     runs = stash(rows.mapInArrow(_map_runs(firsts, broadcast_filter(digits, "digit")), RUNS), "runs")
-    bodies = stash(runs.groupBy("digit", "body").agg(F.min("ord").alias("low"), F.max("ord").alias("high")), "bodies")
-    several = bodies.groupBy("digit").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.count("*").alias("n"))
-    open_runs = bodies.join(several.where("a < b AND n > 1").select("digit"), "digit").select(F.expr(OPEN).alias("code"))
-    open_bits = broadcast_filter(stash(open_runs, "open-runs"), "code")
-    collect_shuffles(spark)
     packed = F.expr("shiftleft(CAST(start AS BIGINT), 32)")
-    whole = runs.join(bodies.where("low < high").select("digit", "body", "low"), ["digit", "body"]).where("ord > low")
-    whole = stash(whole.select("ord", "key", packed.alias("run"), F.expr("shiftleft(1L, suffixes) - 1L").alias("mask")), "whole-runs")
-    discard(runs, bodies)
-    del several, open_runs
+    found, open_runs = [], []
+    for portion in range(PORTIONS):
+        collect_shuffles(spark)
+        some = runs.where(f"pmod(digit, {PORTIONS}) = {portion}")
+        bodies = stash(some.groupBy("digit", "body").agg(F.min("ord").alias("low"), F.max("ord").alias("high")), "bodies")
+        collect_shuffles(spark)
+        several = bodies.groupBy("digit").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.count("*").alias("n"))
+        several = bodies.join(several.where("a < b AND n > 1").select("digit"), "digit").select(F.expr(OPEN).alias("code"))
+        open_runs.append(stash(several, "open-runs"))
+        collect_shuffles(spark)
+        whole = some.join(bodies.where("low < high").select("digit", "body", "low"), ["digit", "body"]).where("ord > low")
+        mask = F.expr("shiftleft(1L, suffixes) - 1L").alias("mask")
+        found.append(stash(whole.select("ord", "key", packed.alias("run"), mask), "whole-runs"))
+        discard(bodies)
+    discard(runs, digits)
     collect_shuffles(spark)
+    open_bits = broadcast_filter(reduce(DataFrame.union, open_runs), "code")
+    discard(*open_runs)
 
     cores = rows.mapInArrow(_map_classes(firsts, open_bits), "core long, low long, high long")
     cores = cores.groupBy("core").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     shared = broadcast_filter(stash(cores.select("core"), "shared-classes"), "core")
-    found = whole
     for portion in range(PORTIONS):
         collect_shuffles(spark)
         suffixes = stash(rows.mapInArrow(_map_suffixes(firsts, open_bits, shared, portion), SUFFIXES), "suffixes")
@@ -362,12 +371,16 @@ def repeated_suffixes(rows: DataFrame) -> DataFrame:
         equal = stash(equal.where("low < high").select("digit", "suffix", "low"), "equal-suffixes")
         collect_shuffles(spark)
         single = suffixes.join(equal, ["digit", "suffix"]).where("ord > low").groupBy("ord", "key", packed.alias("run"))
-        found = found.union(stash(single.agg(F.expr("bit_or(shiftleft(1L, offset))").alias("mask")), "single-suffixes"))
+        found.append(stash(single.agg(F.expr("bit_or(shiftleft(1L, offset))").alias("mask")), "single-suffixes"))
         discard(suffixes, equal)
     collect_shuffles(spark)
-    found = found.groupBy("ord", "key", "run").agg(F.expr("bit_or(mask)").alias("mask"))
-    found = found.select("ord", "key", F.expr("run | mask").alias("run"))
-    return found.union(copies.select("ord", "key", F.lit(WHOLE_TEXT).cast("long").alias("run")))
+    found.append(copies.select("ord", "key", F.lit(WHOLE_TEXT).cast("long").alias("run"), F.lit(0).cast("long").alias("mask")))
+    # Both groupings use one shuffle by document.
+    parts = reduce(DataFrame.union, found).repartition("ord", "key").groupBy("ord", "key", "run").agg(F.expr("bit_or(mask)").alias("mask"))
+    out = stash(parts.groupBy("ord", "key").agg(F.collect_list(F.expr("run | mask")).alias("runs")), "doc-runs")
+    discard(*found)
+    collect_shuffles(spark)
+    return out
 
 
 def spans_of(packed: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -417,8 +430,7 @@ def without_repeated_bytes(docs: DataFrame, with_text: bool = False) -> DataFram
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     rows = docs.select(order.alias("ord"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     runs = repeated_suffixes(rows.select("ord", "key", "text"))
-    runs = runs.groupBy("ord", "key").agg(F.collect_list("run").alias("runs"))
     # The runs are the hashed side, so that whole texts move once and need no sort.
-    joined = rows.join(stash(runs, "doc-runs").hint("shuffle_hash"), ["ord", "key"], "left").select("doc_id", "text", "runs")
+    joined = rows.join(runs.hint("shuffle_hash"), ["ord", "key"], "left").select("doc_id", "text", "runs")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return joined.mapInArrow(_map_kept(with_text), out)

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 
+from lobbylens.llm import common, suffixes
 from lobbylens.llm.suffixes import Digits, spans_of, without_repeated_bytes
 from tests.llm import corpus as c
 
@@ -112,3 +113,27 @@ def test_runs_share_a_place():
 
 def test_empty(spark):
     assert without_repeated_bytes(c.frame(spark, [(1, "x")]).limit(0)).count() == 0
+
+
+def test_a_portion_is_on_disk_at_a_time(spark, tmp_path, monkeypatch):
+    """Tables of the runs are as many as the portions and small; all that was used up is gone at the end."""
+    folders, sizes, rng = [], {}, c.rng(23)
+    base = "".join(rng.choice("abcdefghij klm") for _ in range(6000))
+    rows = [(i, base[i * 37 : i * 37 + 2500] + str(i)) for i in range(60)] + [(100, base[:300]), (101, base[:300])]
+
+    def folder(_, name):
+        folders.append((name, tmp_path / f"{name}-{len(folders)}"))
+        return str(folders[-1][1])
+
+    def discard(*tables):
+        for df in tables:
+            sizes.setdefault(df.inputFiles()[0].split("/")[-2].rsplit("-", 1)[0], []).append(df.count())
+        common.discard(*tables)
+
+    monkeypatch.setattr(common, "run_folder", folder)
+    monkeypatch.setattr(suffixes, "discard", discard)
+    got = without_repeated_bytes(c.frame(spark, rows))
+    assert sorted(repr(tuple(r[k] for k in COLUMNS)) for r in got.collect()) == sorted(map(repr, repeats(rows)))
+    assert len(sizes["bodies"]) == suffixes.PORTIONS and max(sizes["bodies"]) < 0.6 * sum(sizes["bodies"])
+    left = {name for name, path in folders if path.exists()}
+    assert left <= {"texts", "text-groups", "shared-classes", "doc-runs"}
