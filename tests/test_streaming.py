@@ -3,6 +3,7 @@ import json
 import numpy as np
 import pytest
 from helpers import FRAME, frame, frames_df, rosters_df, six
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lobbylens.plans import features as ft
@@ -123,6 +124,34 @@ def test_stuck_downloads_are_released_by_a_timer(spark, folder):
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
 
 
+def test_a_replay_not_in_progress_costs_one_state_call():
+    calls = []
+
+    class State:
+        def __init__(self, held=None):
+            self.held = held
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append((name, *args))
+                return self.held if name == "get" else None
+
+            return call
+
+    def handled(held, *rows_):
+        calls.clear()
+        downloads = live.Downloads("replay_id", 100)
+        downloads._handle, downloads._running = State(), State(held)
+        made = [Row("status", "changed_at", "event_id")(*r) for r in rows_]
+        return [tuple(r) for r in downloads.handleInputRows((7,), iter(made), None)]
+
+    assert handled(None, ("failed", 5, 1), ("downloaded", 6, 2), ("in_progress", 6, 1)) == [(7, "downloaded", 6, 2, False)]
+    assert calls == [("get",)]
+    assert handled((6, 2), ("failed", 6, 1)) == [] and calls == [("get",)]
+    assert handled((6, 2), ("in_progress", 7, 0)) == [(7, "in_progress", 7, 0, False)]
+    assert calls == [("get",), ("deleteTimer", 106000), ("update", (7, 0)), ("registerTimer", 107000)]
+
+
 def test_store_before_and_after_a_merge(spark, folder):
     store = BatchStore(spark, folder, "k long, v long", newest(["k"], ["v"]))
     assert store.read().count() == 0
