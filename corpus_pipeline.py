@@ -21,6 +21,10 @@ from lobbylens.sources.tables import table
 ORACLE_SQL = None
 
 
+#: Words that a Python worker keeps ids of while packing: it shares its executor with what the stages before left in the JVM.
+PACKING_WORDS = 100_000
+
+
 def _fresh(docs: DataFrame, name: str) -> str:
     """A name that no column of the documents has, in any case."""
     taken = {c.lower() for c in docs.columns}
@@ -79,7 +83,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the remaining documents in packed sequences; an empty or null text is its end id."""
-    return pack(docs)
+    return pack(docs, cache_words=PACKING_WORDS)
 
 
 STAGES = [

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lobbylens.llm.common import filter_bits, gram_hashes, in_filter, null_last, signed, stash, texts, word_hashes
+from lobbylens.llm.common import filter_bits, gram_hashes, in_filter, null_last, released, signed, stash, texts, word_hashes
 from lobbylens.llm.graph import components
 
 #: Words of a shingle; the similarity is at least PART / WHOLE.
@@ -186,7 +186,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     codes = pairs.select(F.explode(F.array("code_u", "code_v")).alias("code")).distinct()
     bits = spark.sparkContext.broadcast(filter_bits(codes, "code"))
     coded = docs.select("text", F.xxhash64("doc_id").alias("code"))
-    sets = stash(coded.mapInArrow(_sets(bits), "fp long, counts array<smallint>, shingles array<long>"), "sets")
+    sets = stash(coded.mapInArrow(released(_sets(bits)), "fp long, counts array<smallint>, shingles array<long>"), "sets")
     for side in ("v", "u"):
         pairs = pairs.join(sets.select(F.col("fp").alias(side), F.col("counts").alias(f"c_{side}")), side)
     apart = F.expr("aggregate(zip_with(c_u, c_v, (x, y) -> abs(cast(x AS int) - y)), 0, (s, d) -> s + d)")
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    profiles = stash(docs.mapInArrow(_profiles, PROFILE), "profiles")
+    profiles = stash(docs.mapInArrow(released(_profiles), PROFILE), "profiles")
     classes = profiles.where("n IS NOT NULL").select("doc_id", "key", "fp", "n", "parity")
     counted = profiles.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("seen")).toArrow()
     cells = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -234,11 +234,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = stash(nodes, "nodes")
 
     text = docs.select("text")
-    shared = text.mapInArrow(_prefix_rows(sketch, None), "h long, fp long")
+    shared = text.mapInArrow(released(_prefix_rows(sketch, None)), "h long, fp long")
     shared = shared.groupBy("h").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
     shared = stash(shared.select("h"), "shared-shingles")
     bits = spark.sparkContext.broadcast(filter_bits(shared, "h"))
-    members = text.mapInArrow(_prefix_rows(sketch, bits), "h long, fp long, n int, pos int")
+    members = text.mapInArrow(released(_prefix_rows(sketch, bits)), "h long, fp long, n int, pos int")
     members = stash(members.join(shared, "h", "left_semi"), "members")
 
     # The leader has fewest rarer shingles before this one: of near copies, the least edited.

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lobbylens.llm.common import ranked, stash
-from lobbylens.llm.tokens import encoder, vocabulary
+from lobbylens.llm.common import ranked, released, stash
+from lobbylens.llm.tokens import CACHE_WORDS, encoder, vocabulary
 
 SEQUENCE = 4096
 END_ID = 2
@@ -22,12 +22,14 @@ SLOTS = "slot_length long, lo long, hi long, first_sequence long, offset long"
 BROADCAST_SLOTS = 200_000
 
 
-def _document_ids(text: bytes, path: str, end_id: int) -> np.ndarray:
-    ids = encoder(path, True).ids(text.decode())
+def _document_ids(text: bytes, path: str, end_id: int, cache_words: int = CACHE_WORDS) -> np.ndarray:
+    ids = encoder(path, True, cache_words).ids(text.decode())
     return np.frombuffer(ids + int(end_id).to_bytes(4, "little"), "<u4")
 
 
-def pieces_of(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def pieces_of(
+    docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID, cache_words: int = CACHE_WORDS
+) -> DataFrame:
     """Tokenise and cut: full pieces of `sequence` ids and one shorter rest per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,14 +37,14 @@ def pieces_of(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = _document_ids((text or "").encode(), path, end_id)
+                ids = _document_ids((text or "").encode(), path, end_id, cache_words)
                 for at in range(0, ids.size, sequence):
                     part = ids[at : at + sequence]
                     rows.append((doc_id, at, part.size, zlib.crc32(part.tobytes()), ids.size))
             columns = list(zip(*rows)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(released(run), PIECES)
 
 
 def plan_slots(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
@@ -101,7 +103,9 @@ def slot_table(spark: SparkSession, slots: list[tuple]) -> DataFrame:
     return spark.createDataFrame(table)
 
 
-def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def pack(
+    docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID, cache_words: int = CACHE_WORDS
+) -> DataFrame:
     """Pack every document into sequences of at most `sequence` ids.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
@@ -110,11 +114,12 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end
     they take the slots of their length in the order of doc_id (null first), start and crc, so
     repeated rows and ties are defined. An empty table packs into nothing. Only doc_id and text
     are read.
+    A Python worker keeps the ids of so many words as cache_words says, twice at most; results do not depend on it.
     The driver holds the histogram (at most `sequence` rows) and the slots made from it.
     """
     spark = docs.sparkSession
     # Written before they are ordered: range partitioning reads its input twice.
-    pieces = stash(pieces_of(docs, path or vocabulary("word_bpe_49k.json"), sequence, end_id), "pieces")
+    pieces = stash(pieces_of(docs, path or vocabulary("word_bpe_49k.json"), sequence, end_id, cache_words), "pieces")
     pieces = ranked(pieces, ["length", "doc_id", "start", "ids_crc32", "doc_tokens"], "ranked-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = plan_slots(histogram, sequence)

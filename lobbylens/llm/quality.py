@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lobbylens.llm.common import mix, texts, word_hashes
+from lobbylens.llm.common import mix, released, texts, word_hashes
 
 #: Hashed features: trigrams of byte classes, the repetition of words and word pairs, and terms
 #: (words, and runs of letters of other scripts, which may have no spaces).
@@ -233,7 +233,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
                 scores = model.value.scores(np.vstack([features(t) for t in texts(part)]))
                 yield part.filter(pa.array(scores.astype(np.float64) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

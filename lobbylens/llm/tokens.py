@@ -8,8 +8,10 @@ from functools import lru_cache
 
 import numpy as np
 
+from lobbylens.llm.common import release
+
 #: Cached words per worker and generation; the generation before is kept as well.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 500_000
 #: Longer words are encoded each time.
 CACHE_CHARS = 48
 #: Words encoded in one call.
@@ -21,8 +23,8 @@ _LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F"
 #: both tokenizers start a word; the byte-level one takes the space before it along.
 _OTHER = re.compile(f"[^{_LETTERS}\\x00-&(-\x7f]")
 _RUNS = {
-    False: re.compile(f" ?[{_LETTERS}]+|[^{_LETTERS}]+?(?= ?[{_LETTERS}]|\\Z)"),
-    True: re.compile(f"[{_LETTERS}]+|[^{_LETTERS} \t\n\x0b\x0c\r]+"),
+    False: re.compile(f" ?[{_LETTERS}]++|[^{_LETTERS}]+?(?= ?[{_LETTERS}]|\\Z)"),
+    True: re.compile(f"[{_LETTERS}]++|[^{_LETTERS} \t\n\x0b\x0c\r]++"),
 }
 # Other texts are cut at single spaces between two characters that are no white space, or, if
 # the tokenizer drops white space, at that of ASCII.
@@ -47,13 +49,14 @@ class Encoder:
     are joined, so the result is that of encoding the whole text.
     """
 
-    def __init__(self, path: str, words: bool) -> None:
+    def __init__(self, path: str, words: bool, cache_words: int = CACHE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words, self.cache, self.before = words, {}, {}
+        self.words, self.cache, self.before, self.cache_words = words, {}, {}, cache_words
+        release()  # what reading the file took
         self.runs = _RUNS[words].findall
 
     def direct(self, text: str) -> bytes:
@@ -98,7 +101,7 @@ class Encoder:
         learnt = self.learn(new)
         if learnt is None:
             return self.apart(text)
-        if len(self.cache) + len(learnt) > CACHE_WORDS and self.cache:
+        if len(self.cache) + len(learnt) > self.cache_words and self.cache:
             learnt.update((p, self.cache[p]) for p in set(parts).difference(learnt))
             self.before, self.cache = self.cache, {}
         self.cache.update(learnt)
@@ -119,5 +122,5 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, words: bool) -> Encoder:
-    return Encoder(path, words)
+def encoder(path: str, words: bool, cache_words: int = CACHE_WORDS) -> Encoder:
+    return Encoder(path, words, cache_words)

@@ -5,6 +5,7 @@ import re
 import duckdb
 import pytest
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -118,3 +119,27 @@ def test_query_matches_sql(spark, name):
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     assert sorted(map(repr, cursor.fetchall())) == sorted(repr(tuple(r)) for r in df.select(*columns).collect())
+
+
+def test_workers_hold_little_between_stages(spark, monkeypatch):
+    """Long texts are handed to Python a few megabytes at a time; what a task frees goes back to the system."""
+    from lobbylens.llm import common
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["size"])
+
+    texts_ = spark.range(300, numPartitions=1).select(F.expr("repeat(chr(97 + id % 26), 100000)").alias("text"))
+    got = [r["size"] for r in common.stash(texts_.mapInArrow(sizes, "size long"), "sizes").collect()]
+    assert sum(got) > 29_000_000 and max(got) < 2 * common.HANDED_BYTES
+    assert spark.conf.get(common.HANDED, None) is None
+    spark.conf.set(common.HANDED, str(1 << 20))
+    try:
+        got = [r["size"] for r in common.stash(texts_.mapInArrow(sizes, "size long"), "sizes").collect()]
+        assert max(got) < 2 << 20 and spark.conf.get(common.HANDED) == str(1 << 20)
+    finally:
+        spark.conf.unset(common.HANDED)
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_pydict({"text": ["a"]})
+    assert len(list(common.released(sizes)(iter([batch, batch])))) == 2 and calls == [1]

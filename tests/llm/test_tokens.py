@@ -162,3 +162,24 @@ def test_texts_are_cut_under_forbidding_scores():
         assert own.count(text) == own.whole("\u2581" + text.replace(" ", "\u2581")), text
     own = Unigram([("<unk>", 0.0), ("\u2581", -(2.0**48)), ("a", -1.0), ("\u2581a", -3.0)], byte_fallback=False)
     assert own.cuts and own.count("a " * 40) == own.whole("\u2581" + "a\u2581" * 40) and not own.cache
+
+
+def test_kept_words_are_bounded(spark):
+    """The ids are the same however few words are kept; fewer are learnt again with more room."""
+    rng = c.rng(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    said = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(400)]
+    learnt = {}
+    for room in (40, 400):
+        coder = Encoder(vocabulary("byte_bpe_50k.json"), False, room)
+        letters, seen = coder.letters, []
+        coder.letters = lambda runs: seen.extend(runs) or letters(runs)
+        for text in said:
+            assert np.frombuffer(coder.ids(text), "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+            assert len(coder.cache) <= room + 12
+        learnt[room] = len(seen)
+    assert learnt[400] < learnt[40] / 3
+    rows = list(enumerate(said))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    few, many = (sorted(map(repr, pack(c.frame(spark, rows), cache_words=n).select(*columns).collect())) for n in (20, 100_000))
+    assert few == many
