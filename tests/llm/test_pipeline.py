@@ -3,9 +3,8 @@
 import re
 
 import duckdb
-import pytest
-
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
