@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lobbylens.llm.common import collect_shuffles, discard, filter_bits, in_filter, mix, stash, texts
+from lobbylens.llm.common import MOST_BITS, ROW_BITS, collect_shuffles, discard, filter_bits, filter_width, in_filter, mix, stash, texts
 
 #: Bytes through which suffixes are ordered: the shortest repeat that is removed.
 DEPTH = 50
@@ -28,6 +29,8 @@ BATCH = 1 << 18
 #: Runs are compared a portion of the first digits at a time, and the last pass goes over the texts once for
 #: each portion, which bounds what is on disk at once.
 PORTIONS = 3
+#: Repeated first digits of a round: as many as the largest filter holds. The passes behind run once for each round.
+ROUND = (1 << MOST_BITS) // ROW_BITS
 #: In place of a run: the whole text.
 WHOLE_TEXT = -1
 
@@ -225,13 +228,36 @@ def _map_digits(firsts):
     return run
 
 
-def _map_runs(firsts, bits):
+class Share(NamedTuple):
+    """The first digits of one round of several; the same code in SQL (DIGIT_ROUND)."""
+
+    round: int = 0
+    rounds: int = 1
+
+    def of(self, d: Digits) -> np.ndarray:
+        """Its runs."""
+        if self.rounds == 1:
+            return np.arange(d.digits.size)
+        return np.flatnonzero((d.digits >> np.uint64(34)) % np.uint64(self.rounds) == self.round)
+
+
+DIGIT_ROUND = "pmod(shiftrightunsigned(digit, 34), {rounds}) = {round}"
+#: The smallest of many hashes has few high bits set, so a filter is given its low bits there too (as _digit_code).
+DIGIT = "digit ^ shiftleft(digit, 32)"
+
+
+def _digit_code(digits: np.ndarray) -> np.ndarray:
+    return digits ^ (digits << np.uint64(32))
+
+
+def _map_runs(firsts, bits, share: Share):
     """Runs whose first digit is in the filter, with a hash of all their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows(RUNS)
         for order, key, at, d in _parts(batches, firsts):
-            keep = np.flatnonzero(in_filter(bits.value, d.digits))
+            keep = share.of(d)
+            keep = keep[in_filter(bits.value, _digit_code(d.digits[keep]))]
             starts, counts, text = d.starts[keep], d.counts[keep], d.texts[keep]
             rows.add(order[text], key[text], d.digits[keep], d.hashes(starts, starts + counts + DEPTH - 1), starts + at[text], counts)
             if rows.size >= BATCH:
@@ -242,17 +268,17 @@ def _map_runs(firsts, bits):
     return run
 
 
-def _open(d: Digits, bits: np.ndarray, orders: np.ndarray) -> np.ndarray:
-    """Runs in the filter of open runs; the same code in SQL (OPEN)."""
-    body = d.hashes(d.starts, d.starts + d.counts + DEPTH - 1).view(np.int64)
-    order = orders[d.texts]
-    return np.flatnonzero(in_filter(bits, (d.digits.view(np.int64) ^ body ^ (order << np.int64(17)) ^ order).view(np.uint64)))
+def _open(d: Digits, bits: np.ndarray, orders: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Which of some runs are in the filter of open runs; the same code in SQL (OPEN)."""
+    starts, order = d.starts[runs], orders[d.texts[runs]]
+    body = d.hashes(starts, starts + d.counts[runs] + DEPTH - 1).view(np.int64)
+    return runs[in_filter(bits, (d.digits[runs].view(np.int64) ^ body ^ (order << np.int64(17)) ^ order).view(np.uint64))]
 
 
 OPEN = "digit ^ body ^ shiftleft(low, 17) ^ low"
 
 
-def _map_classes(firsts, bits):
+def _map_classes(firsts, bits, share: Share):
     """Second digits of the open runs, with the lowest and highest document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +292,7 @@ def _map_classes(firsts, bits):
 
         rows = _Rows("core long, ord long")
         for order, _, _, d in _parts(batches, firsts):
-            in_run, _, _, core = d.classes(_open(d, bits.value, order))
+            in_run, _, _, core = d.classes(_open(d, bits.value, order, share.of(d)))
             rows.add(core, order[d.texts[in_run]])
             if rows.size >= 8 * BATCH:
                 yield packed()
@@ -276,14 +302,15 @@ def _map_classes(firsts, bits):
     return run
 
 
-def _map_suffixes(firsts, bits, shared, portion: int):
+def _map_suffixes(firsts, bits, shared, share: Share, portion: int):
     """The suffixes of the open runs whose second digit is in the other filter, of a portion of the first digits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows(SUFFIXES)
         for order, key, at, d in _parts(batches, firsts):
-            runs = _open(d, bits.value, order)
-            in_run, first, count, core = d.classes(runs[d.digits[runs] % np.uint64(PORTIONS) == portion])
+            runs = share.of(d)
+            runs = _open(d, bits.value, order, runs[d.digits[runs] % np.uint64(PORTIONS) == portion])
+            in_run, first, count, core = d.classes(runs)
             keep = np.flatnonzero(in_filter(shared.value, core))
             in_run, first, count = in_run[keep], first[keep], count[keep]
             each = np.repeat(np.arange(keep.size), count)
@@ -326,21 +353,42 @@ def repeated_suffixes(rows: DataFrame) -> DataFrame:
     3. Second digit: the bytes shared by up to CLASS neighbours.
     4. Last digit: the whole depth, suffix by suffix. What is equal now is equal through DEPTH bytes.
     Groups are only counted (lowest and highest document), never gathered. The passes read the texts
-    again and keep what fixed-size filters of the pass before let through; a full filter makes
-    the next pass write more and changes no result. Tables and shuffles that
+    again and keep what filters of the pass before let through. A filter grows with its rows; where the first
+    digits are more than the largest holds, passes 2 to 4 are run for a share of them at a time. A full filter
+    would make the next pass write more and change no result. Tables and shuffles that
     nothing reads any more are dropped along the way.
     """
     spark = rows.sparkSession
-
-    def broadcast_filter(df: DataFrame, column: str):
-        return spark.sparkContext.broadcast(filter_bits(df, column))
-
     copies, codes = copied_texts(rows)
-    firsts = broadcast_filter(codes, "code")
+    firsts = _filter(codes, "code")
     digits = rows.mapInArrow(_map_digits(firsts), "digit long, n int")
     digits = stash(digits.groupBy("digit").agg(F.sum("n").alias("n")).where("n > 1").select("digit"), "digits")
+    rounds, found = max(1, -(-digits.count() // ROUND)), []
+    for i in range(rounds):
+        found += _settled(rows, firsts, digits, Share(i, rounds))
+    discard(digits)
+    collect_shuffles(spark)
+    found.append(copies.select("ord", "key", F.lit(WHOLE_TEXT).cast("long").alias("run"), F.lit(0).cast("long").alias("mask")))
+    # Both groupings use one shuffle by document.
+    parts = reduce(DataFrame.union, found).repartition("ord", "key").groupBy("ord", "key", "run").agg(F.expr("bit_or(mask)").alias("mask"))
+    out = stash(parts.groupBy("ord", "key").agg(F.collect_list(F.expr("run | mask")).alias("runs")), "doc-runs")
+    discard(*found)
     collect_shuffles(spark)
-    runs = stash(rows.mapInArrow(_map_runs(firsts, broadcast_filter(digits, "digit")), RUNS), "runs")
+    return out
+
+
+def _filter(df: DataFrame, code: str):
+    """A filter of the codes of stored rows, sent to all tasks."""
+    coded = df.select(F.expr(code).alias("code"))
+    return df.sparkSession.sparkContext.broadcast(filter_bits(coded, "code", filter_width(df.count())))
+
+
+def _settled(rows: DataFrame, firsts, digits: DataFrame, share: Share) -> list[DataFrame]:
+    """Passes 2 to 4 over a share of the repeated first digits: runs of suffixes (ord, key, run, mask) to remove."""
+    spark = rows.sparkSession
+    collect_shuffles(spark)
+    mine = digits.where(DIGIT_ROUND.format(**share._asdict()))
+    runs = stash(rows.mapInArrow(_map_runs(firsts, _filter(mine, DIGIT), share), RUNS), "runs")
     packed = F.expr("shiftleft(CAST(start AS BIGINT), 32)")
     found, open_runs = [], []
     for portion in range(PORTIONS):
@@ -356,31 +404,28 @@ def repeated_suffixes(rows: DataFrame) -> DataFrame:
         mask = F.expr("shiftleft(1L, suffixes) - 1L").alias("mask")
         found.append(stash(whole.select("ord", "key", packed.alias("run"), mask), "whole-runs"))
         discard(bodies)
-    discard(runs, digits)
+    discard(runs)
     collect_shuffles(spark)
-    open_bits = broadcast_filter(reduce(DataFrame.union, open_runs), "code")
+    open_bits = _filter(reduce(DataFrame.union, open_runs), "code")
     discard(*open_runs)
 
-    cores = rows.mapInArrow(_map_classes(firsts, open_bits), "core long, low long, high long")
+    cores = rows.mapInArrow(_map_classes(firsts, open_bits, share), "core long, low long, high long")
     cores = cores.groupBy("core").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
-    shared = broadcast_filter(stash(cores.select("core"), "shared-classes"), "core")
+    shared = _filter(stash(cores.select("core"), "shared-classes"), "core")
     for portion in range(PORTIONS):
         collect_shuffles(spark)
-        suffixes = stash(rows.mapInArrow(_map_suffixes(firsts, open_bits, shared, portion), SUFFIXES), "suffixes")
-        equal = suffixes.groupBy("digit", "suffix").agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
-        equal = stash(equal.where("low < high").select("digit", "suffix", "low"), "equal-suffixes")
-        collect_shuffles(spark)
-        single = suffixes.join(equal, ["digit", "suffix"]).where("ord > low").groupBy("ord", "key", packed.alias("run"))
-        found.append(stash(single.agg(F.expr("bit_or(shiftleft(1L, offset))").alias("mask")), "single-suffixes"))
-        discard(suffixes, equal)
-    collect_shuffles(spark)
-    found.append(copies.select("ord", "key", F.lit(WHOLE_TEXT).cast("long").alias("run"), F.lit(0).cast("long").alias("mask")))
-    # Both groupings use one shuffle by document.
-    parts = reduce(DataFrame.union, found).repartition("ord", "key").groupBy("ord", "key", "run").agg(F.expr("bit_or(mask)").alias("mask"))
-    out = stash(parts.groupBy("ord", "key").agg(F.collect_list(F.expr("run | mask")).alias("runs")), "doc-runs")
-    discard(*found)
-    collect_shuffles(spark)
-    return out
+        suffixes = stash(rows.mapInArrow(_map_suffixes(firsts, open_bits, shared, share, portion), SUFFIXES), "suffixes")
+        for half in range(2):  # what is shuffled is half of what is stored
+            some = suffixes.where(f"shiftrightunsigned(digit, 20) & 1 = {half}")
+            equal = some.groupBy("digit", "suffix").agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
+            equal = stash(equal.where("low < high").select("digit", "suffix", "low"), "equal-suffixes")
+            collect_shuffles(spark)
+            single = some.join(equal, ["digit", "suffix"]).where("ord > low").groupBy("ord", "key", packed.alias("run"))
+            found.append(stash(single.agg(F.expr("bit_or(shiftleft(1L, offset))").alias("mask")), "single-suffixes"))
+            discard(equal)
+            collect_shuffles(spark)
+        discard(suffixes)
+    return found
 
 
 def spans_of(packed: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:

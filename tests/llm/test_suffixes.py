@@ -137,3 +137,49 @@ def test_a_portion_is_on_disk_at_a_time(spark, tmp_path, monkeypatch):
     assert len(sizes["bodies"]) == suffixes.PORTIONS and max(sizes["bodies"]) < 0.6 * sum(sizes["bodies"])
     left = {name for name, path in folders if path.exists()}
     assert left <= {"texts", "text-groups", "shared-classes", "doc-runs"}
+
+
+def test_filters_grow_with_their_rows(spark, monkeypatch):
+    """Before, a filter had the same bits for any number of rows, and let everything through once it was full."""
+    widths, rng = [], c.rng(29)
+
+    def filter_bits(df, column, bits=None):
+        widths.append((df.count(), bits))
+        out = common.filter_bits(df, column, bits)
+        assert np.unpackbits(out.view(np.uint8)).mean() <= 0.25
+        return out
+
+    monkeypatch.setattr(common, "FILTER_BITS", 8)
+    monkeypatch.setattr(suffixes, "filter_bits", filter_bits)
+    base = "".join(rng.choice("abcdefghij klm") for _ in range(6000))
+    check(spark, [(i, base[i * 37 : i * 37 + 2500] + str(i)) for i in range(60)] + [(100, base[:300])])
+    assert len(widths) == 4 and len({bits for _, bits in widths}) > 1
+    assert common.filter_width(0) == 8 and common.filter_width(1 << 40) == common.MOST_BITS
+
+
+def test_first_digits_reach_every_bit_of_a_filter(spark):
+    """Before, the high bits of a digit, the smallest of many hashes, named a small part of the filter only."""
+    d = Digits(np.random.default_rng(2).integers(0, 256, 1 << 16).astype(np.uint8))
+    assert np.unique(d.digits >> np.uint64(56)).size < 128
+    code = suffixes._digit_code(d.digits)
+    assert np.unique(code >> np.uint64(56)).size == 256
+    df = spark.createDataFrame([(int(x),) for x in d.digits[:50].view(np.int64)], "digit long")
+    same = [r[0] for r in df.selectExpr(suffixes.DIGIT).collect()]
+    assert same == code[:50].view(np.int64).tolist()
+
+
+def test_rounds_of_first_digits(spark, monkeypatch):
+    """More first digits than the largest filter holds are settled a round at a time, with the same result."""
+    rng = c.rng(31)
+    base = "".join(rng.choice("abcdefghij klm") for _ in range(6000))
+    rows = [(i, base[i * 37 : i * 37 + 2500] + str(i)) for i in range(60)] + [(100, base[:300]), (101, base[:300])]
+    shares, settled = [], suffixes._settled
+
+    def seen(rows, firsts, digits, share):
+        shares.append((share, digits.where(suffixes.DIGIT_ROUND.format(**share._asdict())).count(), digits.count()))
+        return settled(rows, firsts, digits, share)
+
+    monkeypatch.setattr(suffixes, "_settled", seen)
+    monkeypatch.setattr(suffixes, "ROUND", 250)
+    check(spark, rows)
+    assert len(shares) > 1 and sum(n for _, n, _ in shares) == shares[0][2] and all(n for _, n, _ in shares)
