@@ -160,6 +160,31 @@ def test_replay_listing(spark, folder):
     assert (row.length, row.game_mode, row["rank"], row.id) == (3, "ranked-standard", "gold-1", "abc")
 
 
+def test_wide_trees_are_listed_by_tasks(spark, folder):
+    """Before, one folder was handed to Spark, which the driver lists by itself."""
+    names = [f"replays/m{i % 5}/r{i % 9}/{i}.replay" for i in range(90)] + ["replays/r3/x y%20.replay", "replays/m1/_hidden/a.replay", "replays/.b/a.replay"]
+    rows = spark.createDataFrame([(n, b"ab") for n in names], "path string, content binary")
+    inventory.write_files(rows, folder)
+    found = inventory.branches(spark, folder)
+    assert len(found) == 46 and len(set(found)) == 46 and not any("hidden" in f for f in found)
+    listed = inventory.list_files(spark, folder, "*.replay")
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.replay").load(folder)
+    assert sorted(listed.collect()) == sorted(whole.select("path", "length").collect()) and listed.count() == 91
+    os.makedirs(f"{folder}/empty/a/b")
+    assert len(inventory.branches(spark, f"{folder}/empty")) == 1 and inventory.list_files(spark, f"{folder}/empty").count() == 0
+    # A folder with files of its own is one branch, and so is one whose name Spark takes for a pattern.
+    assert len(inventory.branches(spark, f"{folder}/replays/r3")) == 1
+    inventory.write_files(spark.createDataFrame([(f"odd/{n}/1.replay", b"a") for n in ("a[1]", "a1", "b")], "path string, content binary"), folder)
+    assert inventory.list_files(spark, f"{folder}/odd").count() == 3
+
+
+def test_a_file_is_replaced(spark, folder):
+    """A task that runs again, or a path that is repeated, leaves the content of the last write only."""
+    for content in (b"long content", b"s", b""):
+        inventory.write_files(spark.createDataFrame([("a/b.replay", content)], "path string, content binary"), folder)
+        assert (__import__("pathlib").Path(folder) / "a" / "b.replay").read_bytes() == content
+
+
 def test_files_lie_there_a_portion_at_a_time(spark, folder):
     rows = spark.createDataFrame([(f"replays/hoops/gold-1/{i % 20}.replay", b"x" * (i % 20 + 1)) for i in range(25)], "path string, content binary")
     most = []
