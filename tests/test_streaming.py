@@ -212,6 +212,25 @@ def test_ranks_take_replays_until_they_hold_their_target(spark, folder):
     assert stores.players.read().groupBy("replay_id").count().where("count = 6").count() == 3
 
 
+def test_replays_of_full_ranks_are_not_moved(spark, folder, monkeypatch):
+    """Before, every batch moved, compared and wrote all its replays, whatever the ranks held already."""
+    moved, materialize = [], live.materialize
+
+    def seen(df):
+        made = materialize(df)
+        if "players" in made.columns:
+            moved.append(made.count())
+        return made
+
+    monkeypatch.setattr(live, "materialize", seen)
+    batches = [("gold-1", lines(range(6), True)), ("gold-1", lines(range(4, 12), True)), ("silver-2", lines([20, 21])), ("gold-1", lines([20, 30, 3], True))]
+    stores, kept = ingested(spark, folder, batches, target=4)
+    assert kept == [(i, "gold-1") for i in range(4)] + [(20, "silver-2"), (21, "silver-2")]
+    # All lines of a batch, then those that its ranks take; nothing of the second and fourth.
+    assert moved == [6, 4, 0, 2, 2, 0]
+    assert stores.replays.numbers("batch") == [0, 2]
+
+
 def test_a_batch_reads_its_partitions_only(spark, folder):
     stores, _ = ingested(spark, folder, [("gold-1", lines(range(40), True))])
     plan = live.known_replays(stores, [3, 9])._jdf.queryExecution().executedPlan().toString()
